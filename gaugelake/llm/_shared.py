@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,23 @@ def work_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: their Python workers import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="gaugelake-")) / "gaugelake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "gaugelake").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def discard(*paths: str) -> None:
     """Delete work tables that no later plan reads."""
     for path in paths:
