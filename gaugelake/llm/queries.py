@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugelake.llm._shared import work_path
+from gaugelake.llm.mixing import mix_sources
+from gaugelake.llm.packing import pack_documents
+from gaugelake.llm.pretokens import tokenizer_path
 from gaugelake.llm.quality_rules import CLASSES, COMMON_WORDS, quality_rules
+from gaugelake.llm.token_counts import count_tokens
+from gaugelake.llm.token_files import read_token_files, write_token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +70,56 @@ def _op3_sql() -> str:
     FROM f"""
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, _, _ = mix_sources(_documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return sized.select("row.doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+
+
+_OP2_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS number FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM d GROUP BY source
+), w AS (
+    SELECT *, list_extract([3.0, 1.0, 2.0], ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT)::DOUBLE AS weight FROM s
+), l AS (
+    SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY 2::DOUBLE * source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY 2::DOUBLE * source_size / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+    SELECT source, source_size, n_docs, CASE WHEN source_size > 0 THEN least(2::DOUBLE * source_size,
+        weight * coalesce(max(CASE WHEN level * weight <= 2::DOUBLE * source_size THEN level END) OVER (), 'inf'::DOUBLE)) ELSE 0 END AS target FROM l
+), p AS (
+    SELECT *, least(65536, greatest(1, n_docs // 16)) AS blocks, floor(target / greatest(source_size, 1)) AS passes, target - floor(target / greatest(source_size, 1)) * source_size AS rest FROM t
+), e AS (
+    SELECT d.*, p.source_size, p.target, p.passes, p.rest, number % blocks AS block,
+        sum(size) OVER (PARTITION BY d.source ORDER BY number % blocks, number, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto,
+        sum(size) OVER (PARTITION BY d.source ORDER BY number % blocks RANGE UNBOUNDED PRECEDING) AS block_end
+    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN rest > 0 AND (block_end <= rest OR upto - size / 2 <= rest) THEN 1 ELSE 0 END))::BIGINT AS taken FROM e
+"""
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "tokens")
+    manifest = write_token_files(_documents(spark, sf_dir), folder, tokenizer_path("byte_bpe_50k.json"))
+    read = read_token_files(spark, manifest, folder)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules,)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op6_token_counts, op7_packing, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3_sql()}
+    return {"op2_mix_sources": _OP2_SQL.replace("\\\\", "\\"), "op3_quality_rules": _op3_sql()}
