@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: Chunks that a cache holds at most: some 60 MB in each Python worker.
-CACHE_CHUNKS = 300_000
+#: Chunks that a cache holds at most: some 150 MB in each Python worker.
+CACHE_CHUNKS = 800_000
 #: Texts are handled in groups of about so many characters, so that lists of their chunks stay small.
 GROUP_CHARS = 1_000_000
 
@@ -95,56 +96,96 @@ class PieceCounter:
         return out
 
 
+class IdCache(dict):
+    """Ids of chunks, encoded when first asked for; of older chunks those asked for again are kept when half the cap is reached."""
+
+    def __init__(self, encode: Callable[[str | bytes], bytes], cap: int = CACHE_CHUNKS):
+        super().__init__()
+        self.encode, self.half, self.older = encode, cap // 2, {}
+
+    def __missing__(self, chunk: str | bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
+def _visible_bytes() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a visible character: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class IdEncoder:
-    """Ids of a text by a ``tokenizers`` file, as little-endian unsigned integers of 2 or 4 bytes.
+    """Ids of a text by a ``tokenizers`` file with byte-level BPE, as little-endian unsigned integers of 2 or 4 bytes.
 
-    ``spaced``: a word keeps the space before it (byte-level vocabularies); else white space is dropped.
+    ``spaced``: a word keeps the space before it; else white space is dropped and letters are lower case.
+    A chunk of Latin letters, with or without marks behind them, is given to the tokenizer's model at once: for those, its
+    normalizer and splitter are known (letters are one piece, marks another). Other chunks take the tokenizer's whole way.
     Texts that hold a special token's string are encoded whole.
     """
 
-    ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|\x00")
+    #: Texts with none of these, and no white space at an end, have words with one space or line feed between them.
+    ODD = ("  ", " \n", "\n ", "\n\n", "\0", *(chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)))
     CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+    PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&]*)")
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, cap: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.letter = {2: "H", 4: "I"}[self.dtype.itemsize]
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.spaced, self.cache = spaced, ChunkCache(self._encode)
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+        self.spaced, self.visible = spaced, _visible_bytes()
+        self.cache, self.marks = IdCache(self._encode, cap), IdCache(self._whole, 1000)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
-    def _encode(self, keys: list) -> Iterator[bytes]:
+    def _whole(self, chunk: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def _encode(self, key: str | bytes) -> bytes:
         if self.spaced:
             # A key is a word that has a space before it, a line feed and what follows, or after a NUL any chunk as it is.
-            words = [k[1:] if k[0] == "\0" else k if k[0] == "\n" else f" {k}" for k in keys]
+            chunk = key[1:] if key[0] == "\0" else key if key[0] == "\n" else f" {key}"
+            if chunk[0] == "\n" and len(chunk) > 1 and not chunk[1].isspace():  # a line feed alone is a piece of its own
+                return self.marks["\n"] + self.cache[f"\0{chunk[1:]}"]
         else:
-            words = [k.decode() for k in keys]
-        for i in range(0, len(words), 2000):
-            for e in self.tokenizer.encode_batch_fast(words[i : i + 2000], add_special_tokens=False):
-                yield np.array(e.ids, self.dtype).tobytes()
+            chunk = key.decode()
+        if not (plain := self.PLAIN.fullmatch(chunk)):
+            return self._whole(chunk)
+        word, marks = plain.groups()
+        seen = (word if self.spaced else word.lower()).encode().decode("latin-1").translate(self.visible)
+        ids = self._bytes([t.id for t in self.model.tokenize(seen)])
+        return ids + self.marks[marks] if marks else ids
 
     def _keys(self, text: str) -> list:
         if not self.spaced:
-            return text.encode().split()
+            return text.encode().lower().split()
         if not text:
             return []
-        if self.ODD.search(text):
+        if text[0].isspace() or text[-1].isspace() or any(s in text for s in self.ODD):
             return [f"\0{c}" for c in self.CHUNK.findall(text)]
         words = text.replace("\n", " \n").split(" ")
         words[0] = f"\0{words[0]}"
         return words
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for a, b in groups(texts):
-            keys = [None if self.special and self.special.search(t) else self._keys(t) for t in texts[a:b]]
-            known = self.cache.of(k for ks in keys if ks for k in ks)
-            for text, ks in zip(texts[a:b], keys, strict=True):
-                if ks is None:
-                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-                else:
-                    yield b"".join(map(known.__getitem__, ks))
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        for text in texts:
+            if self.special and self.special.search(text):
+                yield self._whole(text)
+            else:
+                yield b"".join(map(self.cache.__getitem__, self._keys(text)))
 
 
 _kept: dict = {}
