@@ -1,10 +1,63 @@
-"""A training-data pipeline over documents: its stages each take and return a table."""
+"""A training-data pipeline over documents: quality, lines, near copies, mixing, packing.
+
+Each stage takes what its predecessor kept and returns a table; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugelake.llm._shared import work_path
+from gaugelake.llm.line_dedup import dedup_lines
+from gaugelake.llm.minhash_dedup import near_duplicates
+from gaugelake.llm.mixing import mix_sources
+from gaugelake.llm.packing import pack_documents
+from gaugelake.llm.pretokens import tokenizer_path
+from gaugelake.llm.quality_rules import quality_rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie close to their language."""
+    return quality_rules(docs).where("quality.kept").select("row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that many sources share, but for each line's first place; those left empty go."""
+    left = dedup_lines(docs)
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_chars")]
+    found = left.where("NOT (n_removed_lines > 0 AND text = '')").select(*own, "text", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"))
+    return found.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 80 % of its five-word shingles; documents without an id stay."""
+    kept = near_duplicates(docs, width=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    _, draws, _ = mix_sources(docs)
+    return draws.select("row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 token ids."""
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near copies", near_copies), ("mixing", mixture), ("packing", packed)]
+
+#: Shingle components and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = work_path(spark, f"stage-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
