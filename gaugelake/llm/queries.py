@@ -14,6 +14,7 @@ from gaugelake.llm.packing import pack_documents
 from gaugelake.llm.pretokens import tokenizer_path
 from gaugelake.llm.quality_rules import CLASSES, COMMON_WORDS, quality_rules
 from gaugelake.llm.sentence_spans import dedup_spans
+from gaugelake.llm.substring_dedup import remove_repeats
 from gaugelake.llm.token_counts import count_tokens
 from gaugelake.llm.token_files import read_token_files, write_token_files
 
@@ -165,6 +166,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "tokens")
     manifest = write_token_files(_documents(spark, sf_dir), folder, tokenizer_path("byte_bpe_50k.json"))
@@ -210,13 +216,13 @@ FROM documents AS d LEFT JOIN e ON d.doc_id = e.doc_id
 def queries() -> dict:
     every = (
         op1_minhash_dedup, op2_mix_sources, op3_quality_rules, op4_embedding_dedup, op5_line_dedup, op6_token_counts, op7_packing,
-        op9_token_files, op10_sentence_spans,
+        op8_substring_dedup, op9_token_files, op10_sentence_spans,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None for op1, op6, op7 and op9: shingle components of a whole corpus and tokenizers are beyond SQL; tests hold them against brute force."""
+    """None for op1, op6, op7, op8 and op9: shingle components and repeated byte strings of a whole corpus, and tokenizers, are beyond SQL; tests hold them against brute force."""
     return {
         "op2_mix_sources": _OP2_SQL,
         "op3_quality_rules": _op3_sql(),
