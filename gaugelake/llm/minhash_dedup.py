@@ -206,7 +206,7 @@ def near_duplicates(
     sizes = loose.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     member = loose.join(sizes, "component").select(F.col("component").alias("grp"), F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    rows = member.join(texts, "doc_id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = member.join(texts.hint("merge"), "doc_id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
