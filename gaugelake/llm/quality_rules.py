@@ -104,7 +104,7 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     guard_words: int = 100,
-    max_char_distance: float = 0.25,
+    max_char_distance: float = 0.28,
     max_word_distance: float = 0.3,
     carry: list[str] | None = None,
 ) -> DataFrame:

@@ -71,7 +71,7 @@ def _op3_sql() -> str:
     )
     SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
         (n < 50 OR 100 * n_repeat > 50 * n) AS base_failed,
-        NOT (n < 50 OR 100 * n_repeat > 50 * n) AND NOT (n >= 100 AND (coalesce(cd, 0) > 0.25 OR coalesce(wd, 0) > 0.3)) AS kept
+        NOT (n < 50 OR 100 * n_repeat > 50 * n) AND NOT (n >= 100 AND (coalesce(cd, 0) > 0.28 OR coalesce(wd, 0) > 0.3)) AS kept
     FROM f"""
 
 
