@@ -21,10 +21,11 @@ _LEVEL = struct.Struct("<Q")
 def pack(values: np.ndarray, chunk_bits: int = 8) -> bytes:
     """The code of unsigned integers. chunk_bits: 8 or 16."""
     kind = {8: np.dtype("u1"), 16: np.dtype("<u2")}[chunk_bits]
-    levels, rest = [], np.asarray(values, np.uint64)
+    rest = np.asarray(values)
+    levels, rest = [], rest.astype(np.min_scalar_type(int(rest.max()))) if len(rest) and rest.itemsize > 2 else rest
     n = len(rest)
     while True:
-        more = rest >> np.uint64(chunk_bits)
+        more = rest >> rest.dtype.type(chunk_bits) if rest.itemsize * 8 > chunk_bits else np.zeros(len(rest), np.uint8)
         on = more > 0
         bits = np.packbits(on, bitorder="little")
         per = RANK_BITS // 8
@@ -83,18 +84,18 @@ class DirectCodes:
 
     def between(self, a: int, b: int) -> np.ndarray:
         """Values a to b, without those before."""
-        parts, shift = [], 0
-        lo, hi = a, b
+        parts, lo, hi = [], a, b
         for chunks, bits, ranks in self.levels:
             on = np.unpackbits(bits[lo // 8 : -(-hi // 8)], bitorder="little")[lo % 8 : lo % 8 + hi - lo].astype(bool) if hi > lo else np.zeros(0, bool)
-            parts.append((chunks[lo:hi].astype(np.uint64) << np.uint64(shift), on))
+            parts.append((chunks[lo:hi], on))
             first = self._rank(bits, ranks, lo) if lo < len(chunks) else 0
-            lo, hi, shift = first, first + int(on.sum()), shift + self.chunk_bits
+            lo, hi = first, first + int(np.count_nonzero(on))
             if lo == hi:
                 break
-        total = np.zeros(0, np.uint64)
-        for values, on in reversed(parts):
-            higher = np.zeros(len(values), np.uint64)
-            higher[on] = total
-            total = values | higher
+        kind = np.uint32 if self.chunk_bits * len(parts) <= 32 else np.uint64
+        total = np.zeros(0, kind)
+        for chunks, on in reversed(parts):
+            values = chunks.astype(kind)
+            values[on] |= total << kind(self.chunk_bits)
+            total = values
         return total

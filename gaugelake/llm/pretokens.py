@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: Chunks that a cache holds at most: some 150 MB in each Python worker.
-CACHE_CHUNKS = 800_000
+#: Chunks that a cache holds at most: some 250 MB in each Python worker.
+CACHE_CHUNKS = 1_200_000
 #: Texts are handled in groups of about so many characters, so that lists of their chunks stay small.
 GROUP_CHARS = 1_000_000
 

@@ -124,7 +124,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> D
                     shard = Shard(file.read())
                 for a in range(0, len(shard.doc_ids), 500):
                     some = range(a, min(a + 500, len(shard.doc_ids)))
-                    ids = [shard.ids(i).astype("<u4").tobytes() for i in some]
+                    ids = [shard.ids(i).astype("<u4", copy=False).tobytes() for i in some]
                     columns = [
                         pa.array([int(shard.doc_ids[i]) if shard.known[i] else None for i in some], pa.int64()),
                         pa.array([base + int(shard.starts[i]) for i in some], pa.int64()),
