@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugelake.llm._shared import materialize
+from gaugelake.llm._shared import discard, materialize
 from gaugelake.llm.line_dedup import row_key
 
 #: A sentence ends behind a stop and white space, or a line feed. Commas, semicolons and colons count as stops, so that the parts of
@@ -41,8 +41,10 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = f"""CASE WHEN size(sentences) >= {run} THEN filter(transform(sequence(0, size(sentences) - {run}),
         j -> struct(xxhash64({parts}) AS h1, xxhash64(7, {parts}) AS h2, j AS pos, {words} AS n)), x -> x.n >= {min_words}) END"""
     runs = cut.select("k1", "k2", "id", F.explode(F.expr(made)).alias("x")).select("k1", "k2", "id", "x.h1", "x.h2", "x.pos")
+    runs, every = materialize(runs, "runs")  # two joins read it: cutting and hashing the texts costs far more
     again = runs.groupBy("h1").count().where("count > 1").select("h1")
     repeated, _ = materialize(runs.join(again, "h1"), "repeated")
+    discard(every)
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("pos").alias("pos"))
     first = repeated.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = repeated.join(first, ["h1", "h2"]).where(place != F.col("first"))
