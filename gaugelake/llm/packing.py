@@ -26,10 +26,12 @@ BLOCK_IDS = 1 << 20
 @dataclass
 class Costs:
     max_len: int = 4096
-    sentence: int = 16
-    inside: int = 256
-    #: Sentence ends closer than this to the last cut point are no cut points.
-    spacing: int = 32
+    sentence: int = 4
+    inside: int = 16
+    #: Of the sentence ends in each stretch of so many ids the first may be cut at.
+    spacing: int = 8
+    #: Where cut points lie farther apart, a sentence may be cut after each so many ids.
+    grid: int = 16
 
 
 def cut_points(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +40,7 @@ def cut_points(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, costs: C
     thin = sentence_ends[np.flatnonzero(np.diff(grid, prepend=-1))] if len(sentence_ends) else sentence_ends
     free = np.unique(np.concatenate([[0, n], doc_ends]))
     points = np.unique(np.concatenate([free, thin]))
-    step = costs.max_len // 4
+    step = costs.grid
     gaps = np.flatnonzero(np.diff(points) > step)
     forced = [np.arange(points[g] + step, points[g + 1], step) for g in gaps]
     penalty = np.where(np.isin(points, free), 0, costs.sentence)
