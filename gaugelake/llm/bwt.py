@@ -1,10 +1,10 @@
 """Burrows-Wheeler transforms of collections of short strings, and their merging by interleave refinement.
 
 A collection's strings end in terminators that differ from one another and sort before all bytes, in the order of the strings.
-Two transforms are merged without sorting their suffixes again: an interleave says which collection each merged suffix comes
-from. Refined h times, it is right for the first h symbols; one refinement is one stable counting pass over the interleaved transforms.
-The places where blocks of equal prefixes part at step h are the common prefixes of length h - 1, and blocks that are whole after a
-given number of steps are the repeated intervals of that length.
+Two transforms are merged without sorting their suffixes again: an interleave says in which order the suffixes of both follow one another. Right for
+the first h symbols, it falls into blocks of suffixes that share them; a suffix's block and that of the suffix h symbols on make it right for
+2h. Each refinement touches only blocks of several suffixes. Where blocks part after h symbols, common prefixes are h and more; blocks that are whole
+after a given number of symbols are the repeated intervals of that length.
 """
 
 from __future__ import annotations
@@ -13,15 +13,23 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Symbols of 9 bits that fit into one first key.
+FIRST = 7
+
 
 @dataclass
 class Transform:
-    """symbols: what stands before each suffix in order (0: a terminator, else byte + 1). places: where each suffix starts in the joined strings, terminators included."""
+    """text: joined strings (0: a terminator, else byte + 1). places: where each suffix starts, in order."""
 
-    symbols: np.ndarray
+    text: np.ndarray
     places: np.ndarray
     n_strings: int
 
+    @property
+    def symbols(self) -> np.ndarray:
+        """The transform itself: what stands before each suffix; a terminator before a string's start."""
+        return self.text[self.places - 1]
+
 
 def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all strings, each followed by a terminator; start of each string)."""
@@ -34,97 +42,112 @@ def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def _first_keys(text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the first ``size`` symbols of each suffix as one number, nothing behind a terminator; whether there is a terminator among them)."""
+    n, alive = len(text), np.ones(len(text), bool)
+    key = np.zeros(n, np.uint64)
+    for k in range(size):
+        symbol = np.zeros(n, np.uint64)
+        symbol[: max(0, n - k)] = text[k:]
+        symbol[~alive] = 0
+        key = key << np.uint64(9) | symbol
+        alive &= symbol > 0
+    return key, ~alive
+
+
+def _refine(order: np.ndarray, block: np.ndarray, open_: np.ndarray, step: int, places: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Refine blocks of several suffixes by the blocks ``step`` symbols on; changes ``order`` and ``block``.
+
+    order: suffixes in order; block: for each suffix the place of its block's first in that order; open_: places of suffixes in blocks of several.
+    Returns those still open, and the places where blocks parted.
+    """
+    at = order[open_]
+    key = block[at] * np.int64(len(order) + 1) + block[rank[places[at] + step]]
+    by = np.argsort(key, kind="stable")
+    at, key = at[by], key[by]
+    order[open_] = at
+    starts = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+    block[at] = open_[first]
+    several = np.bincount(first, minlength=len(key))[first] > 1 if len(key) else starts
+    return open_[several], open_[starts]
+
+
+def _first_blocks(key: np.ndarray, ended: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block of each suffix, open places, whether a block starts at each place); suffixes that end are apart from all others."""
+    k, e = key[order], ended[order]
+    starts = np.concatenate([[True], (k[1:] != k[:-1]) | e[1:]]) if len(k) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(starts, np.arange(len(k)), 0)) if len(k) else np.zeros(0, np.int64)
+    block = np.empty(len(k), np.int64)
+    block[order] = first
+    return block, np.flatnonzero(np.bincount(first, minlength=len(k))[first] > 1), starts
+
+
 def transform(strings: list[bytes]) -> Transform:
-    """The transform of one shard, by prefix doubling."""
-    text, starts = joined(strings)
-    n = len(text)
-    ends = np.flatnonzero(text == 0)
-    # Ranks by the first symbol, terminators apart from one another; then by twice as many symbols each round.
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    step = 1
-    padded = np.zeros(n, np.int64)
-    while True:
-        padded[:] = 0
-        padded[: n - step] = rank[step:] + 1
-        key = rank * (n + 300 + len(ends)) + padded
-        order = np.argsort(key, kind="stable")
-        in_order = key[order]
-        new = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
+    """The transform of one shard, by prefix doubling of what is not yet in order."""
+    text, _ = joined(strings)
+    key, ended = _first_keys(text, FIRST)
+    order = np.argsort(key, kind="stable")
+    block, open_, _ = _first_blocks(key, ended, order)
+    everything, step = np.arange(len(text)), FIRST
+    while len(open_):
+        open_, _ = _refine(order, block, open_, step, everything, everything)
         step *= 2
-    before = text[order - 1]
-    before[np.isin(order, starts)] = 0
-    return Transform(before, order, len(strings))
+    return Transform(text, order, len(strings))
 
 
 def interleave(a: Transform, b: Transform, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from_b, lcp, block) after ``depth`` refinements.
+    """(order, shared, block) of both transforms' suffixes, right for ``depth`` symbols.
 
-    from_b: whether a merged suffix comes from ``b``. lcp: common prefix with the suffix before it, where it is below ``depth``, else -1.
-    block: number of the run of suffixes equal in ``depth`` symbols.
+    order: numbers of suffixes, those of ``b`` behind those of ``a``. shared: symbols that a suffix has in common with the one before it, at least;
+    ``depth`` within a block. block: place of the first suffix that shares ``depth`` symbols.
     """
-    n, strings = len(a.symbols) + len(b.symbols), a.n_strings + b.n_strings
-    from_b = np.zeros(n, bool)
-    from_b[len(a.symbols) :] = True
-    head = np.zeros(strings, bool)
-    head[a.n_strings :] = True
-    block = np.zeros(n, np.int32)
-    lcp = np.full(n, -1, np.int16)
-    lcp[0] = 0
-    merged = np.empty(n, np.uint16)
-    # Few distinct symbols: a byte code for each lets the stable sort be one counting pass.
-    seen = np.unique(np.concatenate([np.unique(a.symbols), np.unique(b.symbols), [0]]))
-    code = np.zeros(257, np.uint16 if len(seen) > 256 else np.uint8)
-    code[seen] = np.arange(len(seen))
-    symbols_a, symbols_b = code[a.symbols], code[b.symbols]
-    merged = np.empty(n, code.dtype)
-    edge = np.zeros(n, bool)
-    for h in range(1, depth + 1):
-        merged[from_b] = symbols_b
-        merged[~from_b] = symbols_a
-        order = np.argsort(merged, kind="stable")
-        source, symbol = block[order], merged[order]
-        from_b = from_b[order]
-        from_b[:strings] = head  # terminators keep the order of their strings
-        now = np.empty(n, bool)
-        now[0] = True
-        np.not_equal(source[1:], source[:-1], out=now[1:])
-        now[1:] |= symbol[1:] != symbol[:-1]
-        now[: strings + 1] = True
-        lcp[now & ~edge & (lcp < 0)] = h - 1
-        if h > 1 and np.array_equal(now, edge) and now.all():
-            break
-        edge = now
-        block = np.cumsum(now, dtype=np.int32)
-    return from_b, lcp, block
+    size = min(FIRST, depth)
+    keys = [_first_keys(t.text, size) for t in (a, b)]
+    key = np.concatenate([k[t.places] for (k, _), t in zip(keys, (a, b), strict=True)])
+    ended = np.concatenate([e[t.places] for (_, e), t in zip(keys, (a, b), strict=True)])
+    places = np.concatenate([a.places, b.places + len(a.text)])
+    rank = np.empty(len(places), np.int64)
+    rank[places] = np.arange(len(places))
+    order = np.argsort(key, kind="stable")  # two runs in order: one pass
+    block, open_, starts = _first_blocks(key, ended, order)
+    shared = np.where(starts, 0, depth)
+    h = size
+    while h < depth and len(open_):
+        step = min(h, depth - h)
+        open_, parted = _refine(order, block, open_, step, places, rank)
+        shared[parted] = np.minimum(shared[parted], h)
+        h += step
+    return order, shared, block[order]
 
 
 def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray, np.ndarray]:
-    """The transform of both collections (``b``'s strings after ``a``'s) exact to ``depth`` symbols, its lcp and blocks."""
-    from_b, lcp, block = interleave(a, b, depth)
-    symbols, places = np.empty(len(from_b), np.uint16), np.empty(len(from_b), np.int64)
-    symbols[from_b], symbols[~from_b] = b.symbols, a.symbols
-    places[from_b], places[~from_b] = b.places + len(a.places), a.places
-    return Transform(symbols, places, a.n_strings + b.n_strings), lcp, block
+    """The transform of both collections (``b``'s strings after ``a``'s), in order to ``depth`` symbols; common prefixes; blocks."""
+    order, shared, block = interleave(a, b, depth)
+    places = np.concatenate([a.places, b.places + len(a.text)])[order]
+    return Transform(np.concatenate([a.text, b.text]), places, a.n_strings + b.n_strings), shared, block
 
 
 def repeated_windows(strings: list[bytes], width: int, shards: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(class, place) of every substring of ``width`` bytes that occurs more than once; places are in the joined strings, terminators included."""
-    strings = [*strings, *[b""] * (2 - len(strings))]
+    """(class, place) of every substring of ``width`` bytes that occurs more than once; places are in the joined strings, terminators included.
+
+    Strings are dealt to the shards in turn, so that neighbours, which are likely to be alike, meet in merging.
+    """
+    own = joined(strings)[1] if strings else np.zeros(0, np.int64)
+    known = len(strings)
+    strings = [*strings, *[b""] * (2 - known)]
     shards = max(2, min(shards, len(strings)))
-    bounds = [len(strings) * k // shards for k in range(shards + 1)]
-    parts = [transform(strings[x:y]) for x, y in zip(bounds, bounds[1:])]
-    block = np.zeros(0, np.int32)
+    dealt = [k for s in range(shards) for k in range(s, len(strings), shards)]
+    parts = [transform(strings[s::shards]) for s in range(shards)]
+    block = np.zeros(0, np.int64)
     while len(parts) > 1:
         # Every merge but the last orders all suffixes, so that its outcome is a transform again.
         depth = width if len(parts) == 2 else max(map(len, strings)) + 1
         merged = [merge(parts[k], parts[k + 1], depth) for k in range(0, len(parts) - 1, 2)]
         block = merged[0][2]
         parts = [m[0] for m in merged] + parts[len(merged) * 2 :]
-    if not len(block):
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     many = np.bincount(block)[block] > 1
-    return block[many], parts[0].places[many]
+    group, place = block[many], parts[0].places[many]
+    begins = joined([strings[k] for k in dealt])[1]
+    at = np.searchsorted(begins, place, side="right") - 1
+    return group, own[np.array(dealt)[at]] + place - begins[at] if len(place) else place

@@ -22,7 +22,7 @@ from gaugelake.llm.shingles import mix, powers, prefix_sums
 #: Bytes of texts whose anchors are found together, and documents whose anchors make one row for each bucket.
 GROUP_BYTES, CHUNK_DOCS = 2_000_000, 4096
 #: Bytes of a collection whose transforms are merged at a time; anchors of one hash are never parted.
-COLLECTION_BYTES = 4_000_000
+COLLECTION_BYTES = 1_500_000
 #: Occurrences of an anchor hash from which its windows travel one by one, keyed by their own hash.
 HOT = 100_000
 _MASK = np.uint64((1 << 40) - 1)
