@@ -464,14 +464,15 @@ def hyperparameter_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_RUNS}, x AS (SELECT *, strategy || '_r' || repeat AS task_id FROM runs), y AS (SELECT run_id, rmse - min(rmse) OVER (PARTITION BY task_id) AS g, rank() OVER (PARTITION BY task_id ORDER BY rmse) AS k FROM x WHERE model <> 'dummy')
-    SELECT run_id, task_id, model AS x_model, CASE model WHEN 'dummy' THEN 'baseline' ELSE 'neighbours' END AS x_model_class, feature_type AS x_feature_type, d(rmse) AS y_rmse, d(g) AS y_regret, n(k) AS y_rank, n((k <= 3)::INT) AS y_top, n((g <= 0.1)::INT) AS y_near_best, n(x_n) AS x_test_entities
+    SELECT run_id, task_id, model AS x_model, CASE model WHEN 'dummy' THEN 'baseline' ELSE 'neighbours' END AS x_model_class, feature_type AS x_feature_type, d(rmse) AS y_rmse, d(g) AS y_regret, d(k) AS y_rank, d((k <= 3)::INT) AS y_top, d((g <= 0.1)::INT) AS y_near_best, n(x_n) AS x_test_entities
     FROM (SELECT *, n AS x_n FROM x) LEFT JOIN y USING (run_id)""")
 def meta_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _runs(spark, sf_dir)
     results = runs.select("run_id", "model", "feature_type", "strategy", "repeat", F.lit(0).alias("seed"))
     outcomes = runs.select("run_id", F.col("rmse").alias("y_rmse"))
     per_task = runs.groupBy("strategy", "repeat").agg(F.max("n").alias("x_test_entities")).select("strategy", "repeat", F.lit(0).alias("seed"), "x_test_entities", F.concat_ws("_r", "strategy", F.col("repeat").cast("string")).alias("task_id"))
-    return unify.by_role(tasks.meta_table(results, outcomes, per_task), ["run_id", "task_id"])
+    made = unify.by_role(tasks.meta_table(results, outcomes, per_task), ["run_id", "task_id"])
+    return made.withColumns({c: F.col(c).cast("double") for c in ("y_rank", "y_top", "y_near_best")})  # with nulls: doubles compare alike everywhere
 
 
 _RANKS = "SELECT *, rank() OVER (PARTITION BY run_id ORDER BY truth) + (count(*) OVER (PARTITION BY run_id, truth) - 1) / 2 AS rt, rank() OVER (PARTITION BY run_id ORDER BY predicted) + (count(*) OVER (PARTITION BY run_id, predicted) - 1) / 2 AS rp FROM lab"
