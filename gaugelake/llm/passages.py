@@ -1,0 +1,193 @@
+"""Substring dedup by spans of words, for any passage: with and without sentences.
+
+Sentence spans alone (``sentence_spans``) miss copies without three sentences or with very short ones. Here a text has three
+kinds of spans: runs of sentences, extended until they have enough words; passages of a fixed number of words that start at
+winnowed words (the least hash in some stretch of words, so equal passages start alike wherever they stand); and the whole text.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gaugelake.llm._shared import discard, materialize, ship
+from gaugelake.llm.line_dedup import row_key
+
+#: Stops that end a word and a sentence without white space behind them.
+WIDE_STOPS = "。！？、，；：…؟।"
+_WORD = re.compile(rf"[^ \t-\r{WIDE_STOPS}]*[{WIDE_STOPS}]|[^ \t-\r{WIDE_STOPS}]+")
+_WIDE = [s.encode() for s in WIDE_STOPS]
+_STOPS = (*(s.encode() for s in ".!?,;:"), *_WIDE)
+#: Odd, hence invertible modulo 2^64.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MOST_WORDS = 1 << 17
+#: So many texts' spans are held at a time.
+_TEXTS = 500
+
+
+class _Hashes(dict):
+    """64-bit hash of each word; its last bit tells whether the word ends a sentence."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _MOST_WORDS:
+            self.clear()
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self[word] = h = h & ~1 | word.endswith(_STOPS)
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, place behind the last word of each sentence)."""
+    data, hashes, ends = text.encode(), [], []
+    for stop in _WIDE:
+        if stop in data:
+            data = data.replace(stop, stop + b"\n")
+    for line in data.split(b"\n"):
+        hashes += map(_hashes.__getitem__, line.split())
+        ends.append(len(hashes))
+    h = np.array(hashes, np.uint64)
+    return h, np.union1d(np.flatnonzero(h & np.uint64(1)) + 1, [e for e in ends if e]).astype(np.int64)
+
+
+def winnowed(h: np.ndarray, stretch: int) -> np.ndarray:
+    """Places that hold the last least value (of its upper bits) of some stretch of so many: each stretch has one, and it depends on the stretch alone."""
+    n = len(h)
+    if n < stretch:
+        return np.zeros(0, np.int64)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    least, width = h & ~low | np.arange(n - 1, -1, -1, dtype=np.uint64), 1
+    while width < stretch:
+        step = min(width, stretch - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    at = n - 1 - (least & low).astype(np.int64)  # ascends
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
+
+
+_powers_of: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to ``n`` modulo 2^64; those of common lengths are kept."""
+    if n >= len(_powers_of.get(base, ())):
+        out = np.full(max(n + 1, 1 << 12), base, np.uint64)
+        out[0] = 1
+        out = out.cumprod(dtype=np.uint64)
+        if n >= 1 << 16:
+            return out
+        _powers_of[base] = out
+    return _powers_of[base][: n + 1]
+
+
+def spans_of(h: np.ndarray, ends: np.ndarray, run: int, min_words: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, h1, h2) of each span of a text, each range of words once, in order of their places."""
+    n = len(h)
+    if not n:
+        return ends, ends, ends, ends
+    starts = np.concatenate([[0], ends[:-1]])
+    last = np.maximum(np.arange(len(ends)) + run - 1, np.searchsorted(ends, starts + min_words))
+    ok = last < len(ends)
+    mixed = _mixed(h)
+    at = winnowed(mixed, passage)
+    at = at[at + passage <= n]
+    a = np.concatenate([starts[ok], at, [0]])
+    key = np.sort(a * (n + 1) + np.concatenate([ends[last[ok]], at + passage, [n]]))
+    a, b = np.divmod(key[np.flatnonzero(np.diff(key, prepend=-1))], n + 1)
+    size, out = _mixed((b - a).astype(np.uint64)), []
+    for base in _BASES:
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed * _powers(base, n)[:n], out=total[1:])
+        out.append(_mixed((total[b] - total[a]) * _powers(pow(base, -1, 1 << 64), n)[a] ^ size))
+    return a, b, out[0].view(np.int64), out[1].view(np.int64)
+
+
+def is_first(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether a span is the first of its equals."""
+    order = np.lexsort((h2, h1))
+    new = np.ones(len(h1), bool)
+    new[order[1:]] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+    return new
+
+
+def left_of(text: str | None, gone: list | None) -> tuple:
+    """(text left, sentences, whole sentences removed, stretches of removed words) without the ranges ``gone`` of words (start, size)."""
+    if text is None:
+        return None, 0, 0, 0
+    h, ends = words_of(text)
+    if not gone:
+        return text, len(ends), 0, 0
+    a = np.array([g["start"] for g in gone])
+    b = a + [g["size"] for g in gone]
+    mark = np.cumsum(np.bincount(a, minlength=len(h) + 1) - np.bincount(b, minlength=len(h) + 1))[: len(h)] > 0
+    places = [m.start() for m in _WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8)))
+    cuts = [0 if e == 0 else len(text) if e == len(h) else places[e] for e in edges.tolist()]
+    kept = "".join(text[x:y] for x, y in zip([0, *cuts[1::2]], [*cuts[::2], len(text)], strict=True))
+    before = np.concatenate([[0], np.cumsum(mark)])
+    starts = np.concatenate([[0], ends[:-1]])
+    return kept, len(ends), int((before[ends] - before[starts] == ends - starts).sum()), len(edges) // 2
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = 3, min_words: int = 8, passage: int = 25) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row``, with ``text`` (what is left), n_sentences, n_removed_sentences, n_spans.
+
+    Spans are runs of ``run`` sentences, extended until they have ``min_words`` words; stretches of ``passage`` words from winnowed words on; and
+    whole texts. They are compared by their words, by two 64-bit hashes. Of equal spans the first (least id, null last, then place) stays; the words of
+    every other one go, with the white space behind them. So a passage of ``2 * passage - 1`` words or more that stands elsewhere holds a full span,
+    whatever its stops, and of equal texts one stays. Words are cut at ASCII white space and behind stops of other scripts. n_spans counts
+    stretches of removed words. A null text stays null with 0 sentences; rows equal in id and text are treated alike.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text, name = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+
+    def spans(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in (b.slice(k, _TEXTS) for b in batches for k in range(0, b.num_rows, _TEXTS)):
+            found, rows = [], []
+            for k, t in enumerate(batch.column(3).to_pylist()):
+                a, b, h1, h2 = spans_of(*words_of(t), run, min_words, passage)
+                rows.append(np.full(len(a), k))
+                found.append((h1, h2, a, b - a, is_first(h1, h2)))
+            if found:
+                rest = batch.select([0, 1, 2]).take(pa.array(np.concatenate(rows)))
+                h1, h2, a, n, first = (np.concatenate(x) for x in zip(*found, strict=True))
+                made = [pa.array(h1, mask=~first), pa.array(h2, mask=~first), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*rest.columns, *made], names=["k1", "k2", "id", "h1", "h2", "start", "size"])
+
+    @F.arrow_udf("text string, n_sentences long, n_removed_sentences long, n_spans long")
+    def applied(texts, gone):
+        import pyarrow as pa
+
+        rows = [left_of(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text", "n_sentences", "n_removed_sentences", "n_spans"])
+
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.where(text.isNotNull()).select(*row_key(name, text), name.alias("id"), text.alias("text"))
+    every, path = materialize(slim.mapInArrow(spans, f"k1 long, k2 long, id {kind}, h1 long, h2 long, start int, size int"), "spans")
+    own, _ = materialize(every.where("h1 IS NULL").select("k1", "k2", "start", "size"), "own")  # equal to a span before it in the same text
+    again = every.where("h1 IS NOT NULL").groupBy("h1").count().where("count > 1").select("h1")
+    repeated, _ = materialize(every.join(again, "h1"), "repeated")
+    discard(path)
+    # Rows equal in id and text share their keys.
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("k1"), F.col("k2"), F.col("start"), F.col("size"))
+    first = repeated.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = repeated.join(first, ["h1", "h2"]).where(place != F.col("first")).select("k1", "k2", "start", "size").union(own)
+    gone = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "size")).alias("gone"))  # a document's own spans
+    whole = docs.select(row, *row_key(name, text), text.alias("text")).join(gone, ["k1", "k2"], "left")
+    return whole.select("row", applied("text", "gone").alias("left")).select("row", "left.*")

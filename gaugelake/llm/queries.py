@@ -11,6 +11,7 @@ from gaugelake.llm.line_dedup import dedup_lines
 from gaugelake.llm.minhash_dedup import near_duplicates
 from gaugelake.llm.mixing import mix_sources
 from gaugelake.llm.packing import pack_documents
+from gaugelake.llm.passages import dedup_passages
 from gaugelake.llm.pretokens import tokenizer_path
 from gaugelake.llm.quality_rules import CLASSES, COMMON_WORDS, quality_rules
 from gaugelake.llm.sentence_spans import dedup_spans
@@ -182,6 +183,11 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept_text(dedup_spans(_documents(spark, sf_dir).select("doc_id", "text")), "n_sentences", "n_removed_sentences", "n_spans")
 
 
+def op10_whole_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_sentence_spans, whose SQL fixes runs of 3 sentences, and copies that have no such run."""
+    return _kept_text(dedup_passages(_documents(spark, sf_dir).select("doc_id", "text")), "n_sentences", "n_removed_sentences", "n_spans")
+
+
 _OP10_SQL = r"""
 WITH g AS (
     SELECT doc_id, string_split(regexp_replace(text, '([.!?,;:][ \t-\r]|\n)', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL
@@ -216,7 +222,7 @@ FROM documents AS d LEFT JOIN e ON d.doc_id = e.doc_id
 def queries() -> dict:
     every = (
         op1_minhash_dedup, op2_mix_sources, op3_quality_rules, op4_embedding_dedup, op5_line_dedup, op6_token_counts, op7_packing,
-        op8_substring_dedup, op9_token_files, op10_sentence_spans,
+        op8_substring_dedup, op9_token_files, op10_sentence_spans, op10_whole_spans,
     )
     return {f.__name__: f for f in every}
 
