@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gaugelake.llm._shared import work_path
 from gaugelake.llm.line_dedup import dedup_lines
 from gaugelake.llm.minhash_dedup import near_duplicates
-from gaugelake.llm.mixing import mix_sources
+from gaugelake.llm.mixing import SHARDS, mix_sources
 from gaugelake.llm.packing import pack_documents
 from gaugelake.llm.pretokens import tokenizer_path
 from gaugelake.llm.quality_rules import quality_rules
@@ -37,9 +37,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, each of its shards in one partition and shuffled there."""
     _, draws, _ = mix_sources(docs)
-    return draws.select("row.*")
+    return draws.repartitionById(SHARDS, "shard").sortWithinPartitions("place", "pass").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from gaugelake.llm._shared import SPACE, materialize
 
 #: A source has at most so many blocks, and about so many documents in each of them.
 MAX_BLOCKS, BLOCK_DOCS = 65_536, 16
+#: Output shards.
+SHARDS = 64
 
 
 def words_in(text: Column) -> Column:
@@ -80,8 +82,9 @@ def mix_sources(
     weights: tuple[float, ...] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
-    n_shards: int = 64,
+    n_shards: int = SHARDS,
     seed: int = 17,
+    size_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sized, draws, sources) of a mix of ``docs``.
 
@@ -94,11 +97,13 @@ def mix_sources(
     No document is taken more than ``cap`` (rounded up) times. Everything follows from ids, source and ``seed``: reruns agree on any cluster.
     A null text has size 0, a null source is a source of its own, the last in order; null ids and repeated rows are documents like others
     (rows equal in id, source and size are taken alike up to the crossing point). An empty table gives empty results.
-    The tree sees one quota a source: a few numbers for each source, never of each document.
+    The tree sees one quota a source: a few numbers for each source, never of each document. Its shards decide the draws: a block's draw
+    that no shard takes is none. ``size_col``: a column of sizes, where the words are counted already.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    base = docs.select(row, F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size"))
-    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size"))
+    size = F.col(f"`{size_col}`") if size_col else words_in(F.col(f"`{text_col}`"))
+    base = docs.select(row, F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"))
     sizes, _ = materialize(slim.withColumn("_number", order_number(seed, F.col("_id"))), "sizes")
     sources, _ = materialize(source_targets(sizes, weights, share, cap), "sources")
     n_blocks = F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.floor(F.col("n_docs") / BLOCK_DOCS))).cast("long")
@@ -150,7 +155,11 @@ def _draws(sized: DataFrame, state: DataFrame, n_shards: int, seed: int) -> Data
     # A shard takes the next run of its source's blocks: block b of pass p is the draw number p * blocks + b.
     plan = [(q["source"], [int(x) for x in ends[:, k]]) for k, q in enumerate(quotas)]
     plan_df, _ = materialize(spark.createDataFrame(plan, "source string, _ends array<long>"), "plan")
-    taken = _with_source(sized.where("times > 0").withColumn("pass", F.explode(F.expr("sequence(0L, times - 1)"))), plan_df)
+    tried = _with_source(sized.withColumn("pass", F.explode(F.expr("sequence(0L, _passes)"))), plan_df)
     draw = F.col("pass") * F.col("_blocks") + F.col("_block")
     shard = F.size(F.filter("_ends", lambda e: e <= draw))
-    return taken.select("row", "size", "pass", shard.alias("shard"), order_number(seed + 1, F.col("_id"), F.col("pass")).alias("place"))
+    # The last block of the last pass is taken up to a document.
+    mine = F.struct("_number", F.col("_id").alias("id"), F.col("size").alias("size"))
+    whole = (F.col("pass") < F.col("_passes")) | ~F.col("_block").eqNullSafe(F.col("_edge")) | F.coalesce(mine <= F.col("_last"), F.lit(False))
+    taken = tried.withColumn("shard", shard).where((F.col("shard") < n_shards) & whole)
+    return taken.select("row", "size", "pass", "shard", order_number(seed + 1, F.col("_id"), F.col("pass")).alias("place"))

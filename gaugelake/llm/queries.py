@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm._shared import work_path
+from gaugelake.llm._shared import materialize, work_path
 from gaugelake.llm.embedding_dedup import near_vectors
 from gaugelake.llm.line_dedup import dedup_lines
 from gaugelake.llm.minhash_dedup import near_duplicates
-from gaugelake.llm.mixing import mix_sources
+from gaugelake.llm.mixing import mix_sources, words_in
 from gaugelake.llm.packing import pack_documents
 from gaugelake.llm.passages import dedup_passages
 from gaugelake.llm.pretokens import tokenizer_path
@@ -81,8 +81,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized, _, _ = mix_sources(_documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return sized.select("row.doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+    docs, _ = materialize(_documents(spark, sf_dir).select("doc_id", "source", words_in(F.col("text")).alias("size")), "words")
+    sized, draws, _ = mix_sources(docs, size_col="size")
+    # Documents equal in id, source and size are drawn alike, once a pass each.
+    drawn = draws.groupBy(F.col("row.doc_id").alias("_id"), F.col("row.source").alias("_source"), F.col("size").alias("_size"), "pass").agg(F.first("size").alias("words"))
+    drawn = drawn.groupBy("_id", "_source", "_size").agg(F.sum("words").alias("words"))
+    mine = F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    return sized.join(drawn, mine, "left").select("row.doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
 _OP2_SQL = r"""
