@@ -1,7 +1,7 @@
-"""Burrows-Wheeler transforms of collections of short strings, and their merging by interleave refinement.
+"""Suffix arrays of collections of short strings, and their merging by prefix doubling.
 
 A collection's strings end in terminators that differ from one another and sort before all bytes, in the order of the strings.
-Two transforms are merged without sorting their suffixes again: an interleave says in which order the suffixes of both follow one another. Right for
+Two are merged by ranking the suffixes of both by their first symbols and doubling these: the interleave says in which order they follow one another. Right for
 the first h symbols, it falls into blocks of suffixes that share them; a suffix's block and that of the suffix h symbols on make it right for
 2h. Each refinement touches only blocks of several suffixes. Where blocks part after h symbols, common prefixes are h and more; blocks that are whole
 after a given number of symbols are the repeated intervals of that length.

@@ -3,7 +3,7 @@
 Every window of ``width`` bytes is assigned to the anchor in it: its leftmost least hash of ``gram`` bytes. Equal windows have equal anchors,
 so windows whose anchor's hash occurs once in the corpus are settled after one shuffle of bare hashes. For the others, an anchor's consecutive windows
 travel as one string (their union) to the task of its hash. There, equal strings are one, and the strings left of anchors
-that still have several are shards of a collection: Burrows-Wheeler transforms of the shards are merged by interleave refinement, and the
+that still have several are shards of a collection: suffix arrays of the shards are merged by prefix doubling, and the
 repeated intervals of ``width`` symbols are the repeated windows; all but the earliest start of each go.
 """
 
