@@ -130,9 +130,11 @@ class IdEncoder:
     Texts that hold a special token's string are encoded whole.
     """
 
+    #: White space as Unicode's property has it, and so the tokenizer's splitter; Python's own class holds U+001C to U+001F besides.
+    WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
     #: Texts with none of these, and no white space at an end, have words with one space or line feed between them.
     ODD = ("  ", " \n", "\n ", "\n\n", "\0", *(chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)))
-    CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
     PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&]*)")
 
     def __init__(self, path: str, spaced: bool, cap: int = CACHE_CHUNKS):
