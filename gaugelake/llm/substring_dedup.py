@@ -2,9 +2,13 @@
 
 Every window of ``width`` bytes is assigned to the anchor in it: its leftmost least hash of ``gram`` bytes. Equal windows have equal anchors,
 so windows whose anchor's hash occurs once in the corpus are settled after one shuffle of bare hashes. For the others, an anchor's consecutive windows
-travel as one string (their union) to the task of its hash. There, equal strings are one, and the strings left of anchors
-that still have several are shards of a collection: suffix arrays of the shards are merged by prefix doubling, and the
-repeated intervals of ``width`` symbols are the repeated windows; all but the earliest start of each go.
+travel as one string (their union) to the bucket of its hash. The distinct strings of a bucket's anchors are a collection in shards: each shard has its
+Burrows-Wheeler transform, transforms are merged by refining their interleave, and the intervals of rows with ``width`` symbols in common are the
+repeated windows; all but the earliest start of each go.
+
+Both shuffles are combined before they start: of hashes (and strings) that a batch of documents holds several times one is sent, and what that
+already says about the others goes straight to their documents. So a passage costs a row for each batch that holds it, however often it occurs.
+Buckets grow in number with the bytes of the input and are handled one after another.
 """
 
 from __future__ import annotations
@@ -22,10 +26,9 @@ from gaugelake.llm.shingles import mix, powers, prefix_sums
 #: Bytes of texts whose anchors are found together, and documents whose anchors make one row for each bucket.
 GROUP_BYTES, CHUNK_DOCS = 2_000_000, 4096
 #: Bytes of a collection whose transforms are merged at a time; anchors of one hash are never parted.
-COLLECTION_BYTES = 1_500_000
-#: Occurrences of an anchor hash from which its windows travel one by one, keyed by their own hash.
-HOT = 100_000
-_MASK = np.uint64((1 << 40) - 1)
+COLLECTION_BYTES, SHARD_BYTES = 1_500_000, 750_000
+#: Bytes of input for each partition of the shuffles, and buckets in each of them.
+PART_BYTES, BUCKETS = 16_000_000, 8
 
 
 def anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -112,12 +115,30 @@ def _spans_by_doc(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "starts", "ends"])
 
 
+def _groups_of(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hash, whether a new hash starts at each place of it, how often the hash at each place occurs)."""
+    order = np.argsort(hashed, kind="stable")
+    new = np.concatenate([[True], hashed[order][1:] != hashed[order][:-1]]) if len(order) else np.zeros(0, bool)
+    edges = np.flatnonzero(new)
+    times = np.diff(np.concatenate([edges, [len(order)]]))
+    return order, new, np.repeat(times, times)
+
+
+def _places_by_doc(doc: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
+    order = np.argsort(doc, kind="stable")
+    doc, place = doc[order], place[order].astype(np.int32)
+    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    return [(int(doc[a]), place[a:b].tobytes()) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(doc)])]
+
+
 def _bare_hashes(texts: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
-    """(bucket, hashes, docs, places): anchors of each chunk of documents, dealt by hash."""
+    """(bucket, hashes, docs, places, several): anchors of each chunk of documents, dealt by hash; of those that the chunk holds several times
+    the first, marked. In rows of a negative bucket, docs and places of all the others and of the first: these are known to repeat."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names = ["bucket", "hashes", "docs", "places", "several"]
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK_DOCS):
                 part = batch.slice(k, CHUNK_DOCS)
@@ -127,76 +148,97 @@ def _bare_hashes(texts: DataFrame, width: int, gram: int, buckets: int) -> DataF
                     text, place, _, _, hashed = anchors(texts[a:b], width, gram)
                     found.append((docs[a:b][text], place.astype(np.int32), hashed))
                 doc, place, hashed = (np.concatenate(x) for x in zip(*found, strict=True))
-                rows = [(bucket, *_packed(hashed[at], np.diff(doc[at], prepend=0), place[at])) for bucket, at in _dealt((hashed % np.uint64(buckets)).astype(np.int64))]
+                order, new, times = _groups_of(hashed)
+                known = np.sort(order[times > 1])
+                sent, several = order[new], (times > 1)[new]
+                back = np.argsort(sent, kind="stable")
+                sent, several = sent[back], several[back].astype(np.uint8)
+                rows = [(bucket, *_packed(hashed[sent[at]], np.diff(doc[sent[at]], prepend=0), place[sent[at]], several[at])) for bucket, at in _dealt((hashed[sent] % np.uint64(buckets)).astype(np.int64))]
+                if len(known):
+                    none = _packed(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+                    at = known[np.argsort(doc[known], kind="stable")]
+                    rows.append((-1 - int(doc[known[0]]) % buckets, none[0], *_packed(np.diff(doc[at], prepend=0), place[at]), none[1]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3))], ["bucket", "hashes", "docs", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3, 4))], names)
+
+    return texts.mapInArrow(run, "bucket long, hashes binary, docs binary, places binary, several binary")
+
 
-    return texts.mapInArrow(run, "bucket long, hashes binary, docs binary, places binary")
+def _by_bucket(batches: Iterator, n: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(bucket, its rows) of rows in order of their bucket; rows of negative buckets come one by one."""
+    key, held = None, []
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(n)), strict=True):
+            if held and (bucket != key or bucket < 0):
+                yield key, held
+                held = []
+            key = bucket
+            held.append(tuple(row))
+    if held:
+        yield key, held
 
 
 def _repeated_anchors(dealt: DataFrame) -> DataFrame:
-    """(doc_id, places, hot): anchors whose hash occurs twice or more, for each document and task; hot: places whose hash is very frequent."""
+    """(doc_id, places): anchors whose hash occurs twice or more, for each document and bucket; rows come in order of their bucket."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        parts = [(_unpacked(h, "u8"), np.cumsum(_unpacked(d, "i8")), _unpacked(p, "i4")) for batch in batches for h, d, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
-        if not parts:
-            return
-        hashed, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(hashed, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], hashed[order][1:] != hashed[order][:-1]]))
-        times = np.diff(np.concatenate([edges, [len(order)]]))
-        count = np.empty(len(order), np.int64)
-        count[order] = np.repeat(times, times)
-        keep = count > 1
-        doc, place, hot = doc[keep], place[keep].astype(np.int64), count[keep] > HOT
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], np.where(hot, -1 - place, place)[order]
-        edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-        ends = [*edges[1:].tolist(), len(doc)]
-        for k in range(0, len(edges), 10_000):
-            some = list(zip(edges[k : k + 10_000].tolist(), ends[k : k + 10_000]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(doc[a]) for a, _ in some], pa.int64()), pa.array([place[a:b].astype(np.int32).tobytes() for a, b in some], pa.binary())], ["doc_id", "places"])
+        for bucket, rows in _by_bucket(batches, 5):
+            hashed, doc, place, several = (np.concatenate(x) for x in zip(*((_unpacked(h, "u8"), np.cumsum(_unpacked(d, "i8")), _unpacked(p, "i4"), _unpacked(s, "u1")) for h, d, p, s in rows), strict=True))
+            if bucket >= 0:
+                order, new, times = _groups_of(hashed)
+                marked = np.maximum.reduceat(several[order], np.flatnonzero(new)) if len(order) else several
+                repeats = (times > 1) | (np.repeat(marked, np.diff(np.concatenate([np.flatnonzero(new), [len(order)]]))) > 0)
+                tell = order[repeats & (several[order] == 0)]
+                doc, place = doc[tell], place[tell]
+            told = _places_by_doc(doc, place)
+            for k in range(0, len(told), 10_000):
+                some = told[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([p for _, p in some], pa.binary())], ["doc_id", "places"])
 
     return dealt.mapInArrow(run, "doc_id long, places binary")
 
 
 def _strings(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
-    """(bucket, hashes, docs, starts, lengths, offsets, bytes): the windows of every repeated anchor as one string; of rows (doc_id, text, places)."""
+    """(bucket, hashes, docs, starts, lengths, offsets, strings): the windows of every repeated anchor as one string; of rows (doc_id, text, places).
+
+    Of equal strings in a batch the earliest is sent. The others' windows are known to go: docs, starts and lengths in rows of a negative bucket.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         names = ["bucket", "hashes", "docs", "starts", "lengths", "offsets", "strings"]
         for batch in batches:
+            order = np.argsort(np.array(batch.column(0).to_pylist(), np.int64), kind="stable")
+            batch = batch.take(pa.array(order))  # the earliest comes first
             docs, places = np.array(batch.column(0).to_pylist(), np.int64), batch.column(2).to_pylist()
             texts = [t.encode() for t in batch.column(1).to_pylist()]
+            seen: set[tuple] = set()
             for a, b in _groups(texts):
                 some = texts[a:b]
                 text, place, first, last, hashed = anchors(some, width, gram)
-                wanted = [np.concatenate([np.frombuffer(x, np.int32) for x in ps]) for ps in places[a:b]]
                 base = np.concatenate([[0], np.cumsum([len(t) for t in some])])
-                listed = np.concatenate([np.where(w < 0, -1 - w, w).astype(np.int64) + base[i] for i, w in enumerate(wanted)])
-                hot_at = np.concatenate([(w < 0) for w in wanted])
-                absolute = place + base[text]
-                chosen = np.isin(absolute, listed[~hot_at])
-                hot = np.flatnonzero(np.isin(absolute, listed[hot_at]))
-                if len(hot):  # each window of theirs on its own, keyed by its own hash
-                    reps = (last - first + 1)[hot]
-                    one = np.repeat(hot, reps)
-                    start = np.concatenate([np.arange(first[k], last[k] + 1) for k in hot.tolist()])
-                    sums = prefix_sums(np.frombuffer(b"".join(some), np.uint8))
-                    at = start + base[text[one]]
-                    own = mix((sums[at + width] - sums[at]) * powers(len(sums), True)[at] + np.uint64(1))
-                    text, first, last, hashed, offset = (np.concatenate(x) for x in ((text[chosen], text[one]), (first[chosen], start), (last[chosen], start), (hashed[chosen], own), ((place - first)[chosen], np.zeros(len(one), np.int64))))
-                else:
-                    text, first, last, hashed, offset = text[chosen], first[chosen], last[chosen], hashed[chosen], (place - first)[chosen]
-                lengths = last - first + width
-                rows = []
-                for bucket, at in _dealt((hashed % np.uint64(buckets)).astype(np.int64)):
-                    parts = b"".join(some[text[k]][first[k] : first[k] + lengths[k]] for k in at.tolist())
+                listed = np.concatenate([np.concatenate([np.frombuffer(x, np.int32) for x in ps]).astype(np.int64) + base[i] for i, ps in enumerate(places[a:b])])
+                chosen = np.isin(place + base[text], listed)
+                text, first, last, hashed, offset = text[chosen], first[chosen], last[chosen], hashed[chosen], (place - first)[chosen]
+                lengths, new, held = last - first + width, np.ones(len(text), bool), []
+                for k, (t, x, size, h, o) in enumerate(zip(text.tolist(), first.tolist(), lengths.tolist(), hashed.tolist(), offset.tolist(), strict=True)):
+                    key = (h, o, some[t][x : x + size])
+                    held.append(key[2])
+                    if key in seen:
+                        new[k] = False
+                    else:
+                        seen.add(key)
+                rows, sent, late = [], np.flatnonzero(new), np.flatnonzero(~new)
+                for bucket, at in _dealt((hashed[sent] % np.uint64(buckets)).astype(np.int64)):
+                    at = sent[at]
+                    parts = b"".join(held[k] for k in at.tolist())
                     rows.append((bucket, *_packed(hashed[at], np.diff(docs[a:b][text[at]], prepend=0), first[at].astype(np.int32), lengths[at].astype(np.int32), offset[at].astype(np.int32)), _packed(np.frombuffer(parts, np.uint8))[0]))
+                if len(late):
+                    none = _packed(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint8))
+                    rows.append((-1 - int(docs[a + text[late[0]]]) % buckets, none[0], *_packed(np.diff(docs[a:b][text[late]], prepend=0), first[late].astype(np.int32), lengths[late].astype(np.int32)), *none[1:]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 7))], names)
 
@@ -204,31 +246,25 @@ def _strings(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
 
 
 def _later_windows(dealt: DataFrame, width: int) -> DataFrame:
-    """(doc_id, starts, ends): spans of all windows that have an equal, earlier one; all strings of a hash are in one partition."""
+    """(doc_id, starts, ends): spans of all windows that have an equal, earlier one; rows come in order of their bucket."""
 
-    def run(batches: Iterator) -> Iterator:
+    def bucket_of(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         first: dict[tuple, tuple[int, int]] = {}  # (hash, offset, string): least (document, start)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         late: list[tuple[int, int, int]] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(1, 7)), strict=True):
-                hashed, docs, starts, lengths, offsets = (_unpacked(x, k).tolist() for x, k in zip(row[:5], ("u8", "i8", "i4", "i4", "i4"), strict=True))
-                data, at, doc = _unpacked(row[5], "u1").tobytes(), 0, 0
-                for h, step, start, length, offset in zip(hashed, docs, starts, lengths, offsets, strict=True):
-                    doc += step
-                    key, mine = (h, offset, data[at : at + length]), (doc, start)
-                    at += length
-                    known = first.setdefault(key, mine)
-                    if mine < known:
-                        first[key] = mine
-                        late.append((*known, known[1] + length))
-                    elif mine > known:
-                        late.append((*mine, start + length))
-                if len(late) > 200_000:
-                    out.append(tuple(np.array(late, np.int64).T))
-                    late = []
+        for row in rows:
+            hashed, docs, starts, lengths, offsets = (_unpacked(x, k) for x, k in zip(row[:5], ("u8", "i8", "i4", "i4", "i4"), strict=True))
+            data, at = _unpacked(row[5], "u1").tobytes(), 0
+            for h, doc, start, length, offset in zip(hashed.tolist(), np.cumsum(docs).tolist(), starts.tolist(), lengths.tolist(), offsets.tolist(), strict=True):
+                key, mine = (h, offset, data[at : at + length]), (doc, start)
+                at += length
+                known = first.setdefault(key, mine)
+                if mine < known:
+                    first[key] = mine
+                    late.append((*known, known[1] + length))
+                elif mine > known:
+                    late.append((*mine, start + length))
         if late:
-            out.append(tuple(np.array(late, np.int64).T))
+            yield tuple(np.array(late, np.int64).T)
         several: dict[int, int] = {}
         for h, _, _ in first:
             several[h] = several.get(h, 0) + 1
@@ -239,10 +275,16 @@ def _later_windows(dealt: DataFrame, width: int) -> DataFrame:
             while stop < len(left) and (size < COLLECTION_BYTES or left[stop][0] == left[stop - 1][0]):
                 size += len(left[stop][2])
                 stop += 1
-            out.append(_later_in(left[at:stop], first, width))
+            yield _later_in(left[at:stop], first, width)
             at = stop
-        if out:
-            yield _spans_by_doc(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    def run(batches: Iterator) -> Iterator:
+        for bucket, rows in _by_bucket(batches, 7):
+            if bucket < 0:
+                docs, starts, lengths = np.cumsum(_unpacked(rows[0][1], "i8")), _unpacked(rows[0][2], "i4").astype(np.int64), _unpacked(rows[0][3], "i4")
+                yield _spans_by_doc(docs, starts, starts + lengths)
+            elif out := list(bucket_of(rows)):
+                yield _spans_by_doc(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     return dealt.mapInArrow(run, "doc_id long, starts array<long>, ends array<long>")
 
@@ -250,7 +292,7 @@ def _later_windows(dealt: DataFrame, width: int) -> DataFrame:
 def _later_in(keys: list[tuple], first: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(documents, starts, ends) of windows of these strings that are not the earliest of their equals."""
     strings = [k[2] for k in keys]
-    group, place = repeated_windows(strings, width)
+    group, place = repeated_windows(strings, width, -(-sum(map(len, strings)) // SHARD_BYTES))
     _, begins = joined(strings)
     string = np.searchsorted(begins, place, side="right") - 1
     where = np.array([first[k] for k in keys], np.int64)
@@ -274,15 +316,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * parts
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     long_enough = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    dealt = _bare_hashes(long_enough, width, gram, buckets).repartition(parts, "bucket")
+    size = long_enough.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    buckets = BUCKETS * parts
+    dealt = _bare_hashes(long_enough, width, gram, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
     repeated = _repeated_anchors(dealt).groupBy("doc_id").agg(F.collect_list("places").alias("places"))  # a document's own anchors
     repeated, _ = materialize(repeated, "anchors")
     strings = _strings(long_enough.join(repeated, "doc_id").select("doc_id", "text", "places"), width, gram, buckets)
-    spans = _later_windows(strings.repartition(parts, "bucket"), width)
+    spans = _later_windows(strings.repartition(parts, "bucket").sortWithinPartitions("bucket"), width)
     spans = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))  # a document's own spans
     spans, _ = materialize(spans, "spans")
 

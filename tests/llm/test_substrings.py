@@ -60,9 +60,11 @@ def brute(rows, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [100_000, 5])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize(("chunk", "collection"), [(4096, 1_500_000), (3, 2000)])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, chunk, collection):
+    monkeypatch.setattr(substring_dedup, "CHUNK_DOCS", chunk)
+    monkeypatch.setattr(substring_dedup, "COLLECTION_BYTES", collection)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", collection // 3)
     r = random.Random(9)
     words = "die the naïve 日本 of and house tree über alpha beta gamma delta".split()
     make = lambda n: " ".join(r.choice(words) + str(r.randint(0, 99)) for _ in range(n))
