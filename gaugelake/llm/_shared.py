@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space, everywhere in this subpackage.
 SPACE = r"[ \t-\r]+"
 #: Rows of a hot key are dealt over so many tasks.
-SALTS = 32
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,13 +96,12 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step: each node links to the least node it knows."""
+    """One large-star and one small-star step: each node links to the least node it knows. A hub's edges are dealt over several tasks."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    large = salted_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))  # a node's links all lead down
+    small = salted_join(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return small.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -110,7 +109,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` (columns u, v): the least node reachable.
 
     Alternating large-star and small-star steps, O(log^2 n) rounds; each round's edges are a table in the shared folder.
-    Hub nodes meet only partial minima and joins whose other side has one row a key.
+    Hub nodes meet only partial minima and salted joins whose other side has one row a key.
     """
     links = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links, path = materialize(links, "edges")

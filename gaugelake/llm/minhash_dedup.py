@@ -1,13 +1,17 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
-Each document is posted under its (coordinate, value) tokens. Two documents above the similarity share at least ``matches`` of the
-``k`` tokens of their signatures, but for a stated chance. So they share ``least`` tokens among the first ``k - matches + least`` of each, in any
+Each document is posted under the (coordinate, value) tokens of its signature. Two documents above the similarity share at least ``matches`` of their
+``k`` tokens, but for a stated chance. So they share ``least`` tokens among the first ``k - matches + least`` of each, in any
 one order of all tokens; with the rarest first these prefixes hold short posting lists. Collisions within prefixes are counted, pairs
-below ``least`` skipped, and of the rest those stay that collide in ``matches`` coordinates. Posting lists longer than
-``hot`` are not paired up: their documents (whose prefixes hold little else, so near copies of one text) go to the last step as one group.
+below ``least`` skipped, and of the rest those stay that collide in ``matches`` coordinates.
 
-There, groups are cut into blocks and every two blocks of a group meet in one tile, where full shingle sets decide. Tiles
-give a spanning forest of their links, never the pairs, and components of these forests are the result.
+Posting lists longer than ``hot`` are not paired up. Their documents (whose prefixes hold little else: near copies of one text) are first compared
+with one document each, the least of the list: links to it leave few components, however long the list. All of a list's documents are
+candidates of one group; in a group only documents of different components still have to be compared.
+
+Groups are cut into blocks, and two blocks meet in a tile where full shingle sets decide. A component that fills a block or more has blocks of
+its own, which meet those of others and never one another. Tiles give a spanning forest of their links, never the pairs, and components of
+these forests are the result. ``hot`` moves work between the two ways and changes no result: pairs of both ways meet the same full sets.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugelake.llm._shared import connected_components, materialize, ship
+from gaugelake.llm._shared import connected_components, discard, materialize, salted_join, ship
 from gaugelake.llm.shingles import shingle_sets, signature
 
 #: Documents, and shingles, of a block: what two of them take in memory bounds a tile.
@@ -38,12 +42,11 @@ def match_threshold(k: int, percent: int, miss: float) -> int:
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, tokens): size, 128-bit digest and signature tokens (coordinate * 2^32 + value) of each document's set."""
+    """(doc_id, n_shingles, d1, d2, tokens): size, 128-bit digest and signature tokens (64-bit hashes of coordinate and value) of each document's set."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        lanes = np.arange(k, dtype=np.int64) << 32
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             sizes, digests, tokens, start = [], [], [], 0
@@ -55,7 +58,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -
                 for found in shingle_sets(texts[start:stop], width):
                     sizes.append(len(found))
                     digests.append(np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64))
-                    tokens.append(lanes + signature(found, k) if len(found) else None)
+                    tokens.append(signature(found, k) if len(found) else None)
                 start = stop
             both = np.array(digests).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -67,14 +70,18 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>")
 
 
-def candidate_groups(reps: DataFrame, k: int, matches: int, least: int, hot: int) -> DataFrame:
-    """Links (u, v) that hold every two of ``reps`` (doc_id, tokens) with enough collisions in one group."""
+def candidates(reps: DataFrame, k: int, matches: int, least: int, hot: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(links (u, v) of two of ``reps`` (doc_id, tokens) with enough collisions; stars (u, v): each document of a long list and its list's least; tables to delete).
+
+    Every two documents with enough collisions are linked or have a star in common.
+    """
     posted = reps.select("doc_id", F.explode("tokens").alias("token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = posted.join(shared, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))  # k at most
+    # Written before they are joined: then a frequent token's rows can be split over tasks.
+    shared, p1 = materialize(posted.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).where("df > 1"), "shared")
+    own = posted.join(shared, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "token", "first"))).alias("own"))  # k at most
     room = F.lit(k - matches + least) - (F.lit(k) - F.size("own"))  # tokens that no other document has come first
-    prefix = own.where(room > 0).select("doc_id", F.explode(F.slice("own", F.lit(1), room)).alias("p")).select("doc_id", "p.token", "p.df")
-    prefix, _ = materialize(prefix, "prefix")
+    prefix = own.where(room > 0).select("doc_id", F.explode(F.slice("own", F.lit(1), room)).alias("p")).select("doc_id", "p.token", "p.df", "p.first")
+    prefix, p2 = materialize(prefix, "prefix")
     listed = prefix.where(F.col("df") <= hot).groupBy("token").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where(F.size("ids") > 1)  # hot at most
     ahead = F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a AS u, b AS v))))")
     pairs = listed.select(F.explode(ahead).alias("p")).select("p.u", "p.v").groupBy("u", "v").agg(F.count("*").alias("n"))
@@ -84,9 +91,34 @@ def candidate_groups(reps: DataFrame, k: int, matches: int, least: int, hot: int
     pairs = pairs.where((F.col("n") >= least) | (F.col("lu") & F.col("lv"))).select("u", "v")
     close = pairs.join(reps.select(F.col("doc_id").alias("u"), F.col("tokens").alias("tu")), "u").join(reps.select(F.col("doc_id").alias("v"), F.col("tokens").alias("tv")), "v")
     close = close.where(F.size(F.array_intersect("tu", "tv")) >= matches).select("u", "v")
-    long_lists = prefix.where(F.col("df") > hot)
-    first = long_lists.groupBy("token").agg(F.min("doc_id").alias("v"))
-    return close.union(long_lists.join(first, "token").select(F.col("doc_id").alias("u"), "v").where("u <> v").distinct())
+    stars = prefix.where(F.col("df") > hot).select(F.col("doc_id").alias("u"), F.col("first").alias("v")).where("u <> v").distinct()
+    close, p3 = materialize(close, "close")
+    stars, p4 = materialize(stars, "stars")
+    discard(p1, p2)
+    return close, stars, [p3, p4]
+
+
+def _dealt(loose: DataFrame) -> DataFrame:
+    """(grp, i, j, block, doc_id): which tiles each document goes to; rows: component (the group), node, n_shingles, root (what stars have linked it to).
+
+    In a group of several blocks a root that fills one has blocks of its own. Theirs are not paired with one another; all other two blocks meet.
+    """
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK_DOCS, w / BLOCK_SHINGLES)).cast("long")
+    by_root = loose.groupBy("component", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    by_root = by_root.withColumn("own", F.when((F.col("n") >= BLOCK_DOCS) | (F.col("w") >= BLOCK_SHINGLES), blocks(F.col("n"), F.col("w"))))
+    # A group's large roots in order; as many as it has documents over BLOCK_DOCS.
+    group = by_root.groupBy("component").agg(
+        F.coalesce(blocks(F.sum(F.when(F.col("own").isNull(), F.col("n"))), F.sum(F.when(F.col("own").isNull(), F.col("w")))), F.lit(0).cast("long")).alias("mixed"), F.coalesce(F.sum("own"), F.lit(0)).alias("large"),
+        F.count("*").alias("roots"),
+    )
+    order = Window.partitionBy("component").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_root.where("own IS NOT NULL").withColumn("at", F.coalesce(F.sum("own").over(order), F.lit(0))).select("component", "root", "own", "at")
+    member = salted_join(salted_join(loose, group.where("roots > 1"), ["component"]), starts, ["component", "root"], "left")
+    spread = F.xxhash64("node")
+    block = F.when(F.col("own").isNull(), F.pmod(spread, F.greatest("mixed", F.lit(1)))).otherwise(F.col("mixed") + F.col("at") + F.pmod(spread, F.col("own")))
+    member = member.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0L, mixed + large - 1)")))
+    member = member.where("own IS NULL OR other < mixed + at OR other >= mixed + at + own")
+    return member.select(F.col("component").alias("grp"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("node").alias("doc_id"))
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +214,15 @@ def _tiles(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select("grp", "i", "j", "block", "doc_id", "text").mapInArrow(run, "u long, v long")
 
 
+def _star_tiles(stars: DataFrame) -> DataFrame:
+    """(grp, i, j, block, doc_id) of stars (u, v): v meets its documents in tiles of one block of them each."""
+    sizes = stars.groupBy("v").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("long").alias("blocks"))
+    leaves = salted_join(stars, sizes, ["v"]).select(F.col("v").alias("grp"), (F.lit(1) + F.pmod(F.xxhash64("u"), "blocks")).alias("j"), F.col("u").alias("doc_id"))
+    heads = sizes.select(F.col("v").alias("grp"), F.explode(F.expr("sequence(1L, blocks)")).alias("j"), F.col("v").alias("doc_id"))
+    rows = leaves.withColumn("block", F.col("j")).unionByName(heads.withColumn("block", F.lit(0).cast("long")))
+    return rows.select("grp", F.lit(0).cast("long").alias("i"), "j", "block", "doc_id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, k: int = 64, miss: float = 5e-7, least: int = 4, hot: int = 32
 ) -> DataFrame:
@@ -192,26 +233,37 @@ def near_duplicates(
     doc_id reachable, kept tells whether that is the document itself. A pair at the threshold goes unseen with a chance of ``miss``
     at most, more similar pairs with less. Equal sets are one class, found by digest, and only its least id is compared.
     Ids are integers; rows of a null id have a null component, link with nothing and are kept; rows that share an id are one document. Null texts
-    have no words. An empty table gives an empty result; other columns are not read.
+    have no words. Texts of any length are taken whole. An empty table gives an empty result; other columns are not read.
+
+    Of a long list, documents that its least one does not link to are compared with all of their group: near copies of one another
+    that are mostly not linked to it cost the square of their number.
     """
     spark = docs.sparkSession
     matches = match_threshold(k, percent, miss)
     table, _ = materialize(set_table(docs, id_col, text_col, width, k), "sets")
     real = table.where("n_shingles > 0 and doc_id is not null")
-    classes, _ = materialize(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes, c1 = materialize(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     heads = classes.select("d1", "d2", F.col("rep").alias("doc_id"))
-    reps, _ = materialize(real.join(heads, ["d1", "d2", "doc_id"]).select("doc_id", "n_shingles", "tokens").dropDuplicates(["doc_id"]), "reps")
-    loose = connected_components(candidate_groups(reps, k, matches, least, hot))
-    loose, _ = materialize(loose.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "loose")
-    sizes = loose.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    member = loose.join(sizes, "component").select(F.col("component").alias("grp"), F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    reps, c2 = materialize(real.join(heads, ["d1", "d2", "doc_id"]).select("doc_id", "n_shingles", "tokens").dropDuplicates(["doc_id"]), "reps")
+    close, stars, own = candidates(reps, k, matches, least, hot)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    rows = member.join(texts.hint("merge"), "doc_id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    found = connected_components(_tiles(rows, width, percent))
+
+    def tiles(rows: DataFrame, what: str) -> tuple[DataFrame, str]:
+        rows = rows.join(texts.hint("merge"), "doc_id").select("grp", "i", "j", "block", "doc_id", "text")
+        return materialize(_tiles(rows.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j"), width, percent), what)
+
+    first, f1 = tiles(_star_tiles(stars), "starlinks")
+    roots = first.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))  # all of one root are connected
+    loose = connected_components(close.union(stars))
+    loose = loose.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").join(roots, "node", "left")
+    loose, c3 = materialize(loose.withColumn("root", F.coalesce("root", "node")), "loose")
+    rest, f2 = tiles(_dealt(loose), "links")
+    found = connected_components(first.union(rest))
     components = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("root"))
-    out = table.drop("tokens").join(components, ["d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    components, _ = materialize(components, "components")
+    discard(c1, c2, c3, f1, f2, *own)
+    told = "n_shingles > 0 and doc_id is not null"
+    out = table.drop("tokens").where(told).join(components, ["d1", "d2"]).select("doc_id", "n_shingles", "root")
+    alone = table.where(f"NOT ({told})").select("doc_id", "n_shingles", F.col("doc_id").alias("root"))
+    return out.union(alone).select("doc_id", "n_shingles", F.col("root").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -100,7 +100,7 @@ def _coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, k: int) -> np.ndarray:
-    """The least of k hashes over a set of shingles, upper 32 bits of each."""
+    """A token of 64 bits for each of k coordinates: a hash of the coordinate and the least of its hashes over a set of shingles."""
     a, b = _coefficients(k)
     least = np.full((k, 1), ~_U(0))
     for i in range(0, len(shingles), 2048):
@@ -108,4 +108,4 @@ def signature(shingles: np.ndarray, k: int) -> np.ndarray:
         part ^= part >> _U(32)
         part *= _U(0xD6E8FEB86659FD93)
         least = np.minimum(least, part.min(axis=1, keepdims=True))
-    return (least[:, 0] >> _U(32)).astype(np.int64)
+    return mix(least[:, 0] + np.arange(1, k + 1, dtype=np.uint64) * _P).view(np.int64)

@@ -19,7 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugelake.llm._shared import materialize, ship
+from gaugelake.llm._shared import discard, materialize, ship
+from gaugelake.llm.buckets import by_bucket, dealt, packed, unpacked
 from gaugelake.llm.bwt import joined, repeated_windows
 from gaugelake.llm.shingles import mix, powers, prefix_sums
 
@@ -72,29 +73,6 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _packed(*arrays: np.ndarray) -> list[bytes]:
-    import zstandard
-
-    press = zstandard.ZstdCompressor(level=1)
-    return [press.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()) for a in arrays]
-
-
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    import zstandard
-
-    kind = np.dtype(kind)
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
-
-
-def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, its places in order)."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
-        yield int(bucket[order[a]]), order[a:b]
-
-
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of intervals."""
     order = np.argsort(starts, kind="stable")
@@ -153,39 +131,25 @@ def _bare_hashes(texts: DataFrame, width: int, gram: int, buckets: int) -> DataF
                 sent, several = order[new], (times > 1)[new]
                 back = np.argsort(sent, kind="stable")
                 sent, several = sent[back], several[back].astype(np.uint8)
-                rows = [(bucket, *_packed(hashed[sent[at]], np.diff(doc[sent[at]], prepend=0), place[sent[at]], several[at])) for bucket, at in _dealt((hashed[sent] % np.uint64(buckets)).astype(np.int64))]
+                rows = [(bucket, *packed(hashed[sent[at]], np.diff(doc[sent[at]], prepend=0), place[sent[at]], several[at])) for bucket, at in dealt((hashed[sent] % np.uint64(buckets)).astype(np.int64))]
                 if len(known):
-                    none = _packed(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+                    none = packed(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
                     at = known[np.argsort(doc[known], kind="stable")]
-                    rows.append((-1 - int(doc[known[0]]) % buckets, none[0], *_packed(np.diff(doc[at], prepend=0), place[at]), none[1]))
+                    rows.append((-1 - int(doc[known[0]]) % buckets, none[0], *packed(np.diff(doc[at], prepend=0), place[at]), none[1]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3, 4))], names)
 
     return texts.mapInArrow(run, "bucket long, hashes binary, docs binary, places binary, several binary")
 
 
-def _by_bucket(batches: Iterator, n: int) -> Iterator[tuple[int, list[tuple]]]:
-    """(bucket, its rows) of rows in order of their bucket; rows of negative buckets come one by one."""
-    key, held = None, []
-    for batch in batches:
-        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(n)), strict=True):
-            if held and (bucket != key or bucket < 0):
-                yield key, held
-                held = []
-            key = bucket
-            held.append(tuple(row))
-    if held:
-        yield key, held
-
-
 def _repeated_anchors(dealt: DataFrame) -> DataFrame:
     """(doc_id, places): anchors whose hash occurs twice or more, for each document and bucket; rows come in order of their bucket."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for bucket, rows in _by_bucket(batches, 5):
-            hashed, doc, place, several = (np.concatenate(x) for x in zip(*((_unpacked(h, "u8"), np.cumsum(_unpacked(d, "i8")), _unpacked(p, "i4"), _unpacked(s, "u1")) for h, d, p, s in rows), strict=True))
+        for bucket, rows in by_bucket(batches, 5):
+            hashed, doc, place, several = (np.concatenate(x) for x in zip(*((unpacked(h, "u8"), np.cumsum(unpacked(d, "i8")), unpacked(p, "i4"), unpacked(s, "u1")) for h, d, p, s in rows), strict=True))
             if bucket >= 0:
                 order, new, times = _groups_of(hashed)
                 marked = np.maximum.reduceat(several[order], np.flatnonzero(new)) if len(order) else several
@@ -232,13 +196,13 @@ def _strings(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
                     else:
                         seen.add(key)
                 rows, sent, late = [], np.flatnonzero(new), np.flatnonzero(~new)
-                for bucket, at in _dealt((hashed[sent] % np.uint64(buckets)).astype(np.int64)):
+                for bucket, at in dealt((hashed[sent] % np.uint64(buckets)).astype(np.int64)):
                     at = sent[at]
                     parts = b"".join(held[k] for k in at.tolist())
-                    rows.append((bucket, *_packed(hashed[at], np.diff(docs[a:b][text[at]], prepend=0), first[at].astype(np.int32), lengths[at].astype(np.int32), offset[at].astype(np.int32)), _packed(np.frombuffer(parts, np.uint8))[0]))
+                    rows.append((bucket, *packed(hashed[at], np.diff(docs[a:b][text[at]], prepend=0), first[at].astype(np.int32), lengths[at].astype(np.int32), offset[at].astype(np.int32)), packed(np.frombuffer(parts, np.uint8))[0]))
                 if len(late):
-                    none = _packed(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint8))
-                    rows.append((-1 - int(docs[a + text[late[0]]]) % buckets, none[0], *_packed(np.diff(docs[a:b][text[late]], prepend=0), first[late].astype(np.int32), lengths[late].astype(np.int32)), *none[1:]))
+                    none = packed(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint8))
+                    rows.append((-1 - int(docs[a + text[late[0]]]) % buckets, none[0], *packed(np.diff(docs[a:b][text[late]], prepend=0), first[late].astype(np.int32), lengths[late].astype(np.int32)), *none[1:]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 7))], names)
 
@@ -252,8 +216,8 @@ def _later_windows(dealt: DataFrame, width: int) -> DataFrame:
         first: dict[tuple, tuple[int, int]] = {}  # (hash, offset, string): least (document, start)
         late: list[tuple[int, int, int]] = []
         for row in rows:
-            hashed, docs, starts, lengths, offsets = (_unpacked(x, k) for x, k in zip(row[:5], ("u8", "i8", "i4", "i4", "i4"), strict=True))
-            data, at = _unpacked(row[5], "u1").tobytes(), 0
+            hashed, docs, starts, lengths, offsets = (unpacked(x, k) for x, k in zip(row[:5], ("u8", "i8", "i4", "i4", "i4"), strict=True))
+            data, at = unpacked(row[5], "u1").tobytes(), 0
             for h, doc, start, length, offset in zip(hashed.tolist(), np.cumsum(docs).tolist(), starts.tolist(), lengths.tolist(), offsets.tolist(), strict=True):
                 key, mine = (h, offset, data[at : at + length]), (doc, start)
                 at += length
@@ -279,9 +243,9 @@ def _later_windows(dealt: DataFrame, width: int) -> DataFrame:
             at = stop
 
     def run(batches: Iterator) -> Iterator:
-        for bucket, rows in _by_bucket(batches, 7):
+        for bucket, rows in by_bucket(batches, 7):
             if bucket < 0:
-                docs, starts, lengths = np.cumsum(_unpacked(rows[0][1], "i8")), _unpacked(rows[0][2], "i4").astype(np.int64), _unpacked(rows[0][3], "i4")
+                docs, starts, lengths = np.cumsum(unpacked(rows[0][1], "i8")), unpacked(rows[0][2], "i4").astype(np.int64), unpacked(rows[0][3], "i4")
                 yield _spans_by_doc(docs, starts, starts + lengths)
             elif out := list(bucket_of(rows)):
                 yield _spans_by_doc(*(np.concatenate(x) for x in zip(*out, strict=True)))
@@ -321,8 +285,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = long_enough.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     buckets = BUCKETS * parts
-    dealt = _bare_hashes(long_enough, width, gram, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    repeated = _repeated_anchors(dealt).groupBy("doc_id").agg(F.collect_list("places").alias("places"))  # a document's own anchors
+    hashes = _bare_hashes(long_enough, width, gram, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    repeated = _repeated_anchors(hashes).groupBy("doc_id").agg(F.collect_list("places").alias("places"))  # a document's own anchors
     repeated, _ = materialize(repeated, "anchors")
     strings = _strings(long_enough.join(repeated, "doc_id").select("doc_id", "text", "places"), width, gram, buckets)
     spans = _later_windows(strings.repartition(parts, "bucket").sortWithinPartitions("bucket"), width)

@@ -1,5 +1,6 @@
 """Near-duplicates, lines, spans, mixing and quality rules on small tables, against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaugelake.llm import minhash_dedup
 from gaugelake.llm._shared import connected_components
 from gaugelake.llm.embedding_dedup import near_vectors, tile_links
 from gaugelake.llm.line_dedup import dedup_lines
@@ -66,8 +68,9 @@ def frame(spark, rows):
     return df.withColumns({"u": F.lit(1), "d1": F.lit("x"), "size": F.lit(None).cast("int"), "k1": F.lit(2), "row": F.lit(3), "n_words": F.lit(4), "h1": F.lit(5)}).repartition(3)
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(spark, corpus, width, percent):
+@pytest.mark.parametrize(("width", "percent", "block", "hot"), [(3, 85, 256, 16), (5, 80, 6, 4)])
+def test_near_duplicates_equal_brute_force(spark, corpus, monkeypatch, width, percent, block, hot):
+    monkeypatch.setattr(minhash_dedup, "BLOCK_DOCS", block)
     sets = {}
     for doc_id, text, *_ in corpus:
         ws = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in SPACE.findall(text or "")]
@@ -75,7 +78,7 @@ def test_near_duplicates_equal_brute_force(spark, corpus, width, percent):
     ids = [k for k in sets if k is not None]
     links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = components(ids, links)
-    got = near_duplicates(frame(spark, corpus), width=width, percent=percent, hot=16).collect()
+    got = near_duplicates(frame(spark, corpus), width=width, percent=percent, hot=hot).collect()
     assert len(got) == len(corpus)
     for r in got:
         assert r.n_shingles == len(sets[r.doc_id])
@@ -155,25 +158,37 @@ def test_lines_on_many_sites_stay_once(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
-def brute_spans(rows, run=3, least=8):
+def brute_spans(rows, run=2, min_words=20, long=10, stretch=6):
     """(text left, sentences, removed, spans) of each row."""
+    value = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:15], 16)
     cut, first = {}, {}
     for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        segments = re.split(r"(?<=[.!?,;:][ \t-\r])|(?<=\n)", text) if text is not None else []
-        sentences = [(" ".join(SPACE.findall(s)), k) for k, s in enumerate(segments) if SPACE.search(s)]
-        cut[doc_id, text] = segments, sentences
-        for j in range(len(sentences) - run + 1):
-            first.setdefault(tuple(w for w, _ in sentences[j : j + run]), (doc_id, j))
+        pieces = re.findall(r"[^ \t-\r]+[ \t-\r]*", text or "")
+        words = [p.rstrip(" \t\n\r\x0b\x0c") for p in pieces]
+        ends = [k + 1 for k, p in enumerate(pieces) if "\n" in p or words[k][-1] in ".!?" or k == len(pieces) - 1]
+        units = set(ends)
+        for a, b in zip([0, *ends], ends):
+            if b - a > long:
+                for k in range(a, b - stretch + 1):
+                    units.add(max(range(k, k + stretch), key=lambda j: (-value(words[j]), j)))
+        units = sorted(units - {0})
+        starts = [0, *units[:-1]]
+        spans = []
+        for k, a in enumerate(starts):
+            stop = next((b for b in units[k + run - 1 :] if b - a >= min_words), None)
+            if stop:
+                spans.append((a, stop))
+        spans = spans or ([(0, len(words))] if words else [])
+        cut[doc_id, text] = pieces, words, ends, spans
+        for a, b in spans:
+            first.setdefault(tuple(words[a:b]), (doc_id, text, a))
     out = []
     for doc_id, text in rows:
-        segments, sentences = cut[doc_id, text]
-        marked = set()
-        for j in range(len(sentences) - run + 1):
-            span = tuple(w for w, _ in sentences[j : j + run])
-            if len(" ".join(span).split(" ")) >= least and first[span] != (doc_id, j):
-                marked |= set(range(j, j + run))
-        gone = {sentences[j][1] for j in marked}
-        out.append((doc_id, None if text is None else "".join(s for k, s in enumerate(segments) if k not in gone), len(sentences), len(marked), sum(j - 1 not in marked for j in marked)))
+        pieces, words, ends, spans = cut[doc_id, text]
+        gone = {j for a, b in spans if first[tuple(words[a:b])] != (doc_id, text, a) for j in range(a, b)}
+        lead = "" if 0 in gone else re.match(r"[ \t-\r]*", text or "")[0]
+        kept = None if text is None else lead + "".join(p for j, p in enumerate(pieces) if j not in gone)
+        out.append((doc_id, kept, len(ends), sum(set(range(a, b)) <= gone for a, b in zip([0, *ends], ends)), sum(j - 1 not in gone for j in gone)))
     return out
 
 
@@ -181,7 +196,7 @@ def test_spans_equal_brute_force(spark):
     r = random.Random(8)
     sentences = [" ".join(r.choices("alpha beta gamma delta eps zeta Ä ö".split(), k=r.randint(1, 7))) + r.choice([". ", "! ", ", ", ".\n", "\n", ".  "]) for _ in range(60)]
     rows = [(k, "".join(r.choices(sentences, k=r.randint(0, 25))) + "".join(sentences[10:16]) * (k % 3)) for k in range(40)]
-    rows += [(o[0], o[1]) for o in ODD] + [rows[4], (1000, "a b c d. " * 3000), (1001, "no stop " * 4000)]
+    rows += [(o[0], o[1]) for o in ODD] + [rows[4], (1000, "a b c d. " * 300), (1001, "no stop " * 400), (1002, "  " + rows[3][1]), (1003, rows[3][1])]
     df = frame(spark, [(i, t, "en", "s") for i, t in rows])
     got = sorted(((x.row.doc_id, x.text, x.n_sentences, x.n_removed_sentences, x.n_spans) for x in dedup_spans(df).collect()), key=repr)
     assert got == sorted(brute_spans(rows), key=repr)
