@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,10 +21,12 @@ SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and all run on this machine (tests)."""
     sc = spark.sparkContext
     if where := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         return where.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="gaugelake-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir().rstrip("/")
@@ -37,6 +41,10 @@ def _delete(path: str) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    elif re.match("file:|/", path):  # the session has been stopped
+        shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
+    else:
+        return
     _made.discard(path)
 
 
@@ -45,8 +53,8 @@ def _clean() -> None:
     for path in list(_made):
         try:
             _delete(path)
-        except Exception:  # noqa: BLE001  the session may be gone by now
-            return
+        except Exception:  # noqa: BLE001, PERF203  the others can still go
+            continue
 
 
 def work_path(spark: SparkSession, what: str) -> str:
@@ -79,6 +87,11 @@ def discard(*paths: str) -> None:
         _delete(path)
 
 
+def work_tables() -> set[str]:
+    """Paths of all work tables there are now."""
+    return set(_made)
+
+
 def materialize(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a compressed table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     path = work_path(df.sparkSession, what)

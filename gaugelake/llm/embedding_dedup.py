@@ -107,7 +107,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     empty or zero, or hold null or non-finite components, link with nothing, nor do rows without an id. Equal vectors of a label are one class: compared
     once, counted as often as they occur. n_links: other rows linked directly; component_id: least id reachable, the row's own included; kept: they
     are equal (a row of a null id is kept, its component null). All pairs of a label are compared, in tiles of two blocks; tiles return a link count and
-    a root for each vector, not the pairs. An empty table gives an empty result; other columns are not read.
+    a root for each vector, not the pairs. Rows that share an id but not their vector are one node: it has the links of all its vectors. An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)

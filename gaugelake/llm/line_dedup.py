@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugelake.llm._shared import materialize
+from gaugelake.llm._shared import discard, materialize
 
 _EDGE = r"^[ \t-\r]+|[ \t-\r]+$"
 
@@ -37,22 +37,26 @@ def dedup_lines(
     words are left alone. A line on ``min_sites`` distinct sites or more stays at its first place (least id, null last, then line number) and
     goes elsewhere. A null site is no site. Estimates farther than ``margin`` from the threshold decide (6 standard errors
     at the default ``lg_k``); the rest is counted exactly. Null texts stay null with 0 lines; rows equal in id and text are treated alike,
-    so where such a row holds a line's first place, each of them keeps it. Other columns of any name stay in ``row``.
+    so where such a row holds a line's first place, each of them keeps it. Texts of any length are taken whole; an empty table gives an empty result; other
+    columns of any name stay in ``row``.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text, name = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("pos").alias("pos"))
     cut = docs.select(*row_key(name, text), name.alias("id"), F.col(f"`{site_col}`").alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     cut = cut.withColumn("line", F.regexp_replace("line", _EDGE, "")).where(F.col("line").rlike(r"^(?:[^ \t-\r]+[ \t-\r]+){%d}[^ \t-\r]" % (min_words - 1)))
+    # Written once and read by all that follows: cutting and trimming the texts costs more.
     lines = cut.select("k1", "k2", "site", F.col("pos"), place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-
+    lines, _ = materialize(lines, "lines")
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("sites"), F.min("place").alias("first"))
     spread = spread.select("h1", "h2", "first", F.hll_sketch_estimate("sites").alias("n")).where(F.col("n") >= min_sites * (1 - margin))
-    spread, _ = materialize(spread, "spread")
+    spread, path = materialize(spread, "spread")
     near = spread.where(F.col("n") <= min_sites * (1 + margin))
     exact = lines.select("h1", "h2", "site").join(near.select("h1", "h2"), ["h1", "h2"]).distinct()
     exact = exact.groupBy("h1", "h2").agg(F.count("site").alias("exact")).where(F.col("exact") >= min_sites)
     found = spread.where(F.col("n") > min_sites * (1 + margin)).unionByName(near.join(exact, ["h1", "h2"]).drop("exact")).drop("n")
+    found, _ = materialize(found, "found")  # a table on either side: a line of very many places can be split over tasks
+    discard(path)
 
     gone = lines.join(found, ["h1", "h2"]).where(F.col("place") != F.col("first"))
     gone = gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))  # a document's own lines

@@ -17,6 +17,8 @@ from gaugelake.llm._shared import SPACE, materialize
 
 #: A source has at most so many blocks, and about so many documents in each of them.
 MAX_BLOCKS, BLOCK_DOCS = 65_536, 16
+#: Blocks of a stretch: sums of blocks are taken in two steps.
+STRETCH = 256
 #: Output shards.
 SHARDS = 64
 
@@ -56,6 +58,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     return per.select("source", "source_size", "n_docs", F.when(F.col("source_size") > 0, F.col("target")).otherwise(0.0).alias("target"))
 
 
+#: Largest population of one draw: the generator takes no more.
+MOST = 500_000_000
+
+
+def hypergeometric(random: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
+    """How many of each colour ``n`` draws without replacement take. Populations over :data:`MOST` are cut into strata of equal make-up, each with its share of the draws."""
+    total = int(colours.sum())
+    if total < MOST:
+        return random.multivariate_hypergeometric(colours, n, method="marginals")
+    k = -(-total // (MOST // 2))
+    edges = [colours * i // k for i in range(k + 1)]
+    sums = [int(e.sum()) for e in edges]
+    drawn = [n * s // total for s in sums]
+    return sum(random.multivariate_hypergeometric(edges[i + 1] - edges[i], drawn[i + 1] - drawn[i], method="marginals") for i in range(k))
+
+
 def splitting_tree(quotas: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
     """Blocks of each source (columns) for each shard (rows): rows differ by at most one in their sums, columns sum to ``quotas``."""
     out, total = np.zeros((n_shards, len(quotas)), np.int64), int(quotas.sum())
@@ -68,7 +86,7 @@ def splitting_tree(quotas: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
             continue
         mid = (lo + hi) // 2
         draw = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        left = draw.multivariate_hypergeometric(left_over, bounds[mid] - bounds[lo], method="marginals")
+        left = hypergeometric(draw, left_over, bounds[mid] - bounds[lo])
         nodes += [(lo, mid, left), (mid, hi, left_over - left)]
     return out
 
@@ -96,7 +114,8 @@ def mix_sources(
     that crosses it, documents in order while their words' middle lies below it, so a source misses its target by less than one document.
     No document is taken more than ``cap`` (rounded up) times. Everything follows from ids, source and ``seed``: reruns agree on any cluster.
     A null text has size 0, a null source is a source of its own, the last in order; null ids and repeated rows are documents like others
-    (rows equal in id, source and size are taken alike up to the crossing point). An empty table gives empty results.
+    (rows equal in id, source and size are taken alike up to the crossing point). Texts of any length count whole. An empty table gives empty results;
+    other columns of any name stay in ``row``.
     The tree sees one quota a source: a few numbers for each source, never of each document. Its shards decide the draws: a block's draw
     that no shard takes is none. ``size_col``: a column of sizes, where the words are counted already.
     """
@@ -112,8 +131,12 @@ def mix_sources(
     # A source's row meets all its documents; there are as many rows as sources.
     with_block = _with_source(sizes, sources).withColumn("_block", F.pmod(F.col("_number"), F.col("_blocks")))
     blocks = with_block.groupBy("source", "_block").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
-    running = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # MAX_BLOCKS rows at most
-    blocks = blocks.withColumn("_end", F.sum("_words").over(running)).withColumn("_before", F.col("_end") - F.col("_words"))
+    # Sums up to a block: those of the stretches of blocks before its own, and of the blocks before it there.
+    blocks = blocks.withColumn("_stretch", F.floor(F.col("_block") / STRETCH))
+    ahead = Window.partitionBy("source").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # MAX_BLOCKS / STRETCH rows at most
+    stretches = blocks.groupBy("source", "_stretch").agg(F.sum("_words").alias("_w")).withColumn("_ahead", F.coalesce(F.sum("_w").over(ahead), F.lit(0))).drop("_w")
+    running = Window.partitionBy("source", "_stretch").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = _with_source(blocks, stretches, ["_stretch"]).withColumn("_end", F.col("_ahead") + F.sum("_words").over(running)).withColumn("_before", F.col("_end") - F.col("_words"))
     blocks, _ = materialize(blocks.withColumn("_extra", F.when(F.col("_end") <= F.col("_rest"), 2).when(F.col("_before") < F.col("_rest"), 1).otherwise(0)), "blocks")
     edge = blocks.where("_extra = 1").select("source", "_block", "_before")  # one block a source at most
     in_edge = _with_source(with_block, edge, ["_block"])

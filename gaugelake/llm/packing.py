@@ -137,7 +137,7 @@ def pack_documents(
     Each id lies in exactly one piece; a sequence's pieces are gapless from offset 0, in order. ids: little-endian unsigned 32-bit integers.
     Sequences are meant to be padded to ``costs.max_len``; only the last few of a partition are shorter by more than a cut costs, and
     these have lengths that are powers of two. sequence_id: the partition's number times 2^40, and a count. Documents keep the order of
-    their partition and no row moves between machines. Repeated rows and null ids are packed like any other; an empty table gives no piece;
+    their partition and no row moves between machines. Repeated rows and null ids are packed like any other; a text of any length is cut over as many sequences as it takes; an empty table gives no piece;
     other columns are not read.
     """
     costs = costs or Costs()
@@ -177,6 +177,6 @@ def pack_documents(
 
     ship(docs.sparkSession)
     kind = to_arrow_type(docs.schema[id_col].dataType)
-    rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows_in = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     packed = rows_in.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

@@ -1,7 +1,7 @@
 """Quality rules: base counts of a text and its divergence from its language's reference histograms.
 
 A text is reduced to two histograms: character classes, and the most usual words of its language. The reference
-of a language is the same pair of histograms summed over every text of that language that is long enough to
+of a language is the same pair of histograms summed over every text of that language that passes the base rules and is long enough to
 be judged. A text goes when the Jensen-Shannon distance (square root of the divergence, base 2) to its reference
 exceeds a threshold. Everything is DataFrame expressions; the only shuffle carries one row a task and language.
 """
@@ -65,10 +65,10 @@ def _histograms(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
 
 
 def _references(df: DataFrame, min_words: int) -> DataFrame:
-    """At most one row for each language of :data:`COMMON_WORDS` and one for the others: summed histograms of all texts of ``min_words`` and more."""
+    """At most one row for each language of :data:`COMMON_WORDS` and one for the others: summed histograms of all texts of ``min_words`` and more that pass the base rules."""
     width = len(next(iter(COMMON_WORDS.values()))) + 1
     sums = [F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(width)]
-    ref = df.where(F.col("n_words") >= min_words).groupBy(F.col("_lang").alias("_ref_lang")).agg(*sums)
+    ref = df.where((F.col("n_words") >= min_words) & ~F.col("base_failed")).groupBy(F.col("_lang").alias("_ref_lang")).agg(*sums)
     return ref.select("_ref_lang", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("_ref_chars"), F.array(*[f"w{i}" for i in range(width)]).alias("_ref_common"))
 
 
@@ -113,7 +113,7 @@ def quality_rules(
     quality: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
     base_failed: under ``min_words`` words, or more than ``max_repeat_percent`` percent of them in repeated 3-word windows.
     kept: base passed and neither distance above its threshold. The guard: texts of under ``guard_words`` words are not
-    judged by their histograms (short texts stray by chance), nor are words where a language has no list.
+    judged by their histograms (short texts stray by chance), nor are words where a language has no list. A value that equals its threshold passes.
 
     A null text is empty: it has no words and fails the base rules. A null or unknown language uses the reference of all such texts.
     Rows are judged one by one, so repeated rows get equal verdicts; an empty table gives an empty result; other columns of any name stay in ``row``.

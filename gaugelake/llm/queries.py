@@ -52,17 +52,17 @@ def _op3_sql() -> str:
         SELECT *, {classes} AS chars, list_transform(list_concat(common, [NULL]), lambda u: CASE WHEN u IS NULL
             THEN len(list_filter(w, lambda x: NOT list_contains(common, lower(x)))) ELSE len(list_filter(w, lambda x: lower(x) = u)) END) AS words
         FROM c
-    ), r AS (
-        SELECT lang, {', '.join(f'sum(chars[{i + 1}]) AS c{i}' for i in range(len(CLASSES)))}, {', '.join(f'sum(words[{i + 1}]) AS w{i}' for i in range(21))}
-        FROM h WHERE n >= 100 GROUP BY lang
-    ), rr AS (
-        SELECT lang, [{', '.join(f'c{i}::DOUBLE' for i in range(len(CLASSES)))}] AS rc, [{', '.join(f'w{i}::DOUBLE' for i in range(21))}] AS rw FROM r
     ), g AS (
         SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, n - 1)) AS i FROM h WHERE n >= 3)
     ), p AS (
         SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g
     ), o AS (
         SELECT doc_id, count(DISTINCT j) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM p WHERE k >= 2) GROUP BY doc_id
+    ), r AS (
+        SELECT lang, {', '.join(f'sum(chars[{i + 1}]) AS c{i}' for i in range(len(CLASSES)))}, {', '.join(f'sum(words[{i + 1}]) AS w{i}' for i in range(21))}
+        FROM h LEFT JOIN o ON h.doc_id = o.doc_id WHERE n >= 100 AND 100 * coalesce(n_repeat, 0) <= 50 * n GROUP BY lang
+    ), rr AS (
+        SELECT lang, [{', '.join(f'c{i}::DOUBLE' for i in range(len(CLASSES)))}] AS rc, [{', '.join(f'w{i}::DOUBLE' for i in range(21))}] AS rw FROM r
     ), f AS (
         SELECT h.doc_id, n, h.word_chars, symbol, len(lines) - len(list_distinct(lines)) AS dup, coalesce(n_repeat, 0) AS n_repeat,
             {distance.format(p=share('chars'), q=share('rc'))} AS cd,
@@ -202,7 +202,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept_text(dedup_spans(_documents(spark, sf_dir).select("doc_id", "text")), "n_sentences", "n_removed_sentences", "n_spans")
+    return _kept_text(dedup_spans(_documents(spark, sf_dir).select("doc_id", "text")), "n_removed_words", "n_spans")
 
 
 _OP10_SQL = rf"""
@@ -236,15 +236,13 @@ WITH t AS (
 ), x AS (
     SELECT q.*, g.i IS NOT NULL AS gone, g.i IS NOT NULL AND lag(g.i) OVER (PARTITION BY q.doc_id ORDER BY q.i) IS NULL AS starts FROM q LEFT JOIN g ON q.doc_id = g.doc_id AND q.i = g.i
 ), z AS (
-    SELECT doc_id, count(DISTINCT s) AS n_sentences, count(*) FILTER (starts) AS n_spans, count(*) FILTER (gone) AS n_gone, bool_or(gone AND i = 0) AS gone0, coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM x GROUP BY doc_id
-), y AS (
-    SELECT doc_id, count(*) FILTER (every) AS n_removed FROM (SELECT doc_id, s, bool_and(gone) AS every FROM x GROUP BY doc_id, s) GROUP BY doc_id
+    SELECT doc_id, count(*) FILTER (starts) AS n_spans, count(*) FILTER (gone) AS n_gone, bool_or(gone AND i = 0) AS gone0, coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM x GROUP BY doc_id
 ), o AS (
-    SELECT d.doc_id, coalesce(d.text, '') AS text, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    SELECT d.doc_id, coalesce(d.text, '') AS text, coalesce(n_gone, 0) AS n_gone, coalesce(n_spans, 0) AS n_spans,
         CASE WHEN coalesce(n_gone, 0) = 0 THEN coalesce(d.text, '') WHEN gone0 THEN kept ELSE regexp_extract(d.text, '^[ \t-\r]*') || kept END AS kept
-    FROM documents AS d LEFT JOIN z ON d.doc_id = z.doc_id LEFT JOIN y ON d.doc_id = y.doc_id
+    FROM documents AS d LEFT JOIN z ON d.doc_id = z.doc_id
 )
-SELECT doc_id, strlen(text)::BIGINT AS n_bytes, (strlen(text) - strlen(kept))::BIGINT AS n_removed, n_sentences::BIGINT AS n_sentences, n_removed::BIGINT AS n_removed_sentences, n_spans::BIGINT AS n_spans, sha256(kept) AS kept_sha256 FROM o
+SELECT doc_id, strlen(text)::BIGINT AS n_bytes, (strlen(text) - strlen(kept))::BIGINT AS n_removed, n_gone::BIGINT AS n_removed_words, n_spans::BIGINT AS n_spans, sha256(kept) AS kept_sha256 FROM o
 """
 
 

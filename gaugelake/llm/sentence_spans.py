@@ -127,32 +127,29 @@ def run_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def left_of(text: str | None, gone: list | None) -> tuple:
-    """(text left, sentences, whole sentences removed, stretches of removed words) without the ranges ``gone`` of words (start, size)."""
-    if text is None:
-        return None, 0, 0, 0
-    h, ends = words_of(text)
-    if not gone:
-        return text, len(ends), 0, 0
-    a = np.array([g["start"] for g in gone])
-    b = a + [g["size"] for g in gone]
-    mark = np.cumsum(np.bincount(a, minlength=len(h) + 1) - np.bincount(b, minlength=len(h) + 1))[: len(h)] > 0
+def left_of(text: str, gone: np.ndarray) -> tuple[str, int, int]:
+    """(text left, words removed, stretches of removed words) without the ranges ``gone`` of words (start * 2^32 + size)."""
     places = [m.start() for m in _WORD.finditer(text)]
+    a, n = gone >> 32, len(places)
+    b = a + (gone & 0xFFFFFFFF)
+    mark = np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:n] > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8)))
-    cuts = [0 if e == 0 else len(text) if e == len(h) else places[e] for e in edges.tolist()]
+    cuts = [0 if e == 0 else len(text) if e == n else places[e] for e in edges.tolist()]
     kept = "".join(text[x:y] for x, y in zip([0, *cuts[1::2]], [*cuts[::2], len(text)], strict=True))
-    before = np.concatenate([[0], np.cumsum(mark)])
-    starts = np.concatenate([[0], ends[:-1]])
-    return kept, len(ends), int((before[ends] - before[starts] == ends - starts).sum()), len(edges) // 2
+    return kept, int(mark.sum()), len(edges) // 2
 
 
 def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the first of each set of equal runs, by document and start; all that are not at the first's place)."""
-    order = np.lexsort((start, key, doc, h2, h1))
-    heads = edges_of(h1[order], h2[order])
-    first = order[np.repeat(heads, np.diff(np.concatenate([heads, [len(order)]])))]
-    other = (doc[order] != doc[first]) | (key[order] != key[first]) | (start[order] != start[first])
-    return order[heads], order[other]
+    """(the first of each set of equal runs, by document and start; all that are not at the first's place). Most runs have no equal: only the others are sorted in full."""
+    order = np.argsort(h1, kind="stable")
+    sizes = np.diff(np.concatenate([edges_of(h1[order]), [len(order)]]))
+    several = np.repeat(sizes > 1, sizes)
+    alone, some = order[~several], order[several]
+    some = some[np.lexsort((start[some], key[some], doc[some], h2[some], h1[some]))]
+    heads = edges_of(h1[some], h2[some])
+    first = some[np.repeat(heads, np.diff(np.concatenate([heads, [len(some)]])))]
+    other = (doc[some] != doc[first]) | (key[some] != key[first]) | (start[some] != start[first])
+    return np.concatenate([alone, some[heads]]), some[other]
 
 
 _COLUMNS = ["bucket", "h1", "h2", "ids", "keys", "starts", "sizes"]
@@ -214,7 +211,7 @@ def _gone(sent: DataFrame) -> DataFrame:
 def dedup_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = 2, min_words: int = 20, long: int = 10, stretch: int = 6
 ) -> DataFrame:
-    """Each row of ``docs`` as the struct ``row``, with ``text`` (what is left), n_sentences, n_removed_sentences, n_spans.
+    """Each row of ``docs`` as the struct ``row``, with ``text`` (what is left), n_removed_words, n_spans.
 
     A sentence ends behind a word with a stop (. ! ? or one of other scripts), or at a line feed; those of over ``long`` words are cut before winnowed words, the
     least in a stretch of ``stretch``. A span is a run of ``run`` and more consecutive such units, as few as have ``min_words`` words together; a
@@ -222,7 +219,7 @@ def dedup_spans(
     stays; the words of every other one go, with the white space behind them. So a passage of 51 words and more that stands elsewhere
     holds a full span, whatever its stops, and of equal texts one stays. n_spans counts stretches of removed words.
 
-    Ids are integers. A null text stays null with 0 sentences; rows equal in id and text are treated alike; texts of any length are taken whole; other columns
+    Ids are integers. A null text stays null; rows equal in id and text are treated alike; texts of any length are taken whole; other columns
     of any name stay in ``row``; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -235,16 +232,18 @@ def dedup_spans(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     sent = _sent(slim, BUCKETS * parts, run, min_words, long, stretch)
     later = _gone(sent.repartition(parts, "bucket").sortWithinPartitions("bucket"))
-    gone, _ = materialize(later.groupBy("id", "key").agg(F.collect_set(F.struct("start", "size")).alias("gone")), "gone")  # a document's own spans
+    span = F.shiftleft(F.col("start").cast("long"), 32) + F.col("size")
+    gone, _ = materialize(later.groupBy("id", "key").agg(F.collect_set(span).alias("gone")), "gone")  # a document's own spans
 
-    @F.arrow_udf("text string, n_sentences long, n_removed_sentences long, n_spans long")
+    @F.arrow_udf("text string, n_removed_words long, n_spans long")
     def applied(texts, gone):
         import pyarrow as pa
 
-        rows = [left_of(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True)]
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text", "n_sentences", "n_removed_sentences", "n_spans"])
+        rows = [(None, 0, 0) if t is None else left_of(t.as_py(), g.values.to_numpy()) for t, g in ((t if t.is_valid else None, g) for t, g in zip(texts, gone, strict=True))]
+        columns = zip(*rows, strict=True) if rows else [[]] * 3
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["text", "n_removed_words", "n_spans"])
 
     whole = docs.select(row, *keys, text.alias("text")).join(gone, ["id", "key"], "left")
-    return whole.select("row", applied("text", "gone").alias("left")).select("row", "left.*")
+    cut = whole.select("row", "text", "gone", applied(F.when(F.col("gone").isNotNull(), F.col("text")), "gone").alias("left"))  # other texts stay where they are
+    kept = F.when(F.col("gone").isNotNull(), F.col("left.text")).otherwise(F.col("text"))
+    return cut.select("row", kept.alias("text"), "left.n_removed_words", "left.n_spans")

@@ -15,7 +15,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """``(id_col, n_bytes, n_tokens, over_limit)`` for each row: UTF-8 bytes and tokens of the whole text by a sentencepiece model.
 
     Without begin, end or added special tokens. A null or empty text has 0 of both. Rows are counted one by one: repeated
-    rows, null ids and texts of any length come back as they are; other columns are not read.
+    rows, null ids and texts of any length come back as they are; an empty table gives an empty result; other columns are not read.
     ``model_path`` names a file that every executor has.
     """
 
@@ -31,6 +31,6 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     counted = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -99,9 +99,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
             yield close()
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(parts, "id", "hash").sortWithinPartitions("id", "hash")  # by the hash too: rows without an id spread
     manifest, _ = materialize(dealt.mapInArrow(run, "part long, segment long, path string, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("_part_base"))  # one row a partition

@@ -54,7 +54,7 @@ def test_words_and_winnowing():
     text = "  Ab,\tc d\n\ne。f。 g\x0b "
     h, ends = words_of(text)
     assert len(h) == 6 and ends.tolist() == [3, 4, 5, 6]
-    assert left_of(text, None) == (text, 4, 0, 0) and left_of(text, [{"start": 0, "size": 6}]) == ("", 4, 4, 1)
+    assert left_of(text, np.array([6])) == ("", 6, 1) and left_of(text, np.array([(1 << 32) + 2, 2 << 32 | 1])) == ("  Ab,\te。f。 g\x0b ", 2, 1)
     values = np.random.default_rng(1).integers(0, 9, 200).astype(np.uint64) << np.uint64(32)
     want = {max(j for j in range(i, i + 7) if values[j] == values[i : i + 7].min()) for i in range(194)}
     assert set(winnowed(values, 7).tolist()) == want and len(winnowed(values[:6], 7)) == 0 and len(winnowed(values, 7)) == 194
