@@ -8,10 +8,12 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space, everywhere in this subpackage.
@@ -112,29 +114,70 @@ def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step: each node links to the least node it knows. A hub's edges are dealt over several tasks."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = salted_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = salted_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     low = large.groupBy("u").agg(F.min("v").alias("m"))  # a node's links all lead down
     small = salted_join(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return small.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Links that one task settles: 16 MB.
+FEW_LINKS = 1_000_000
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place that each of n places reaches by links (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        np.minimum.at(root, before[i], low)
+        np.minimum.at(root, before[j], low)
+        root = root[root]
+        if np.array_equal(root, before):
+            return root
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    """``(node, component)`` of few links, by one task."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = [np.array([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) for batch in batches]
+        if held:
+            nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            at = at.reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest(len(nodes), at[0], at[1])])], ["node", "component"])
+
+    ship(links.sparkSession)
+    return links.coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` (columns u, v): the least node reachable.
 
+    Up to ``few`` links are settled by one task, at once, which spares small tables the rounds; more of them, of any number, by rounds over all tasks.
+    Either way gives the same rows:
     Alternating large-star and small-star steps, O(log^2 n) rounds; each round's edges are a table in the shared folder.
     Hub nodes meet only partial minima and salted joins whose other side has one row a key.
     """
     links = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links, path = materialize(links, "edges")
-    mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s"))
-    before = links.agg(mark.alias("m")).first()["m"]
+
+    def settled(df: DataFrame) -> tuple[DataFrame, str, dict]:
+        """Written, with its size and a sum of its rows' hashes, which the write itself observes."""
+        seen = Observation()
+        out, where = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")), "edges")
+        return out, where, dict(seen.get)
+
+    links, path, before = settled(links)
+    if not before.get("n") or before["n"] <= few:
+        return _in_one_task(links)
     for _ in range(max_rounds):
-        if not before["n"]:
-            break
-        links, new = materialize(_stars(links), "edges")
+        links, new, after = settled(_stars(links))
         discard(path)
         path = new
-        after = links.agg(mark.alias("m")).first()["m"]
         if after == before:
             break
         before = after

@@ -13,8 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugelake.llm._shared import connected_components, materialize, ship
-from gaugelake.llm.minhash_dedup import forest
+from gaugelake.llm._shared import connected_components, forest, materialize, ship
 
 #: Vectors of a block; two blocks meet in a tile.
 BLOCK = 1024

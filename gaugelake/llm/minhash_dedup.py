@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugelake.llm._shared import connected_components, discard, materialize, salted_join, ship
+from gaugelake.llm._shared import connected_components, discard, forest, materialize, salted_join, ship
 from gaugelake.llm.shingles import shingle_sets, signature
 
 #: Documents, and shingles, of a block: what two of them take in memory bounds a tile.
@@ -153,21 +153,6 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return i[i < j], j[i < j]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least place that each of n places reaches by links (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        np.minimum.at(root, before[i], low)
-        np.minimum.at(root, before[j], low)
-        root = root[root]
-        if np.array_equal(root, before):
-            return root
-
-
 def _tiles(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Links of a spanning forest for each tile of rows (grp, i, j, block, doc_id, text)."""
 

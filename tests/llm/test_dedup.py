@@ -103,12 +103,13 @@ def test_shingles_ignore_case_and_all_ascii_spaces():
     assert a.tolist() == b.tolist() and len(a) == 2 and set(c.tolist()) < set(a.tolist()) and len(d) == 0
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_of_a_chain_and_a_star(spark, few):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(300, 340)] + [(5, 5), (None, 3), (9, 8)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), few=few).collect()}
     want = components(range(100, 161), edges[:60]) | {k: 7 for k in [7, *range(300, 340)]} | {8: 8, 9: 8}
     assert got == want
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long"), few=few).count() == 0
 
 
 def test_near_vectors_equal_brute_force(spark):
