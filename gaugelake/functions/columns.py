@@ -33,6 +33,17 @@ def slug(column: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(column), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def slug_or_error(column: Column) -> Column:
+    """:func:`slug`; a name of which nothing is left ends the query."""
+    made = slug(column)
+    return F.when(made != "", made).when(column.isNotNull(), F.raise_error(F.concat(F.lit("no letter or digit in a name: "), column)))
+
+
+def utc_now() -> Column:
+    """The time of the query as ISO 8601 in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
 def record_id(source: Column, row: Column) -> Column:
     return F.format_string("%s:%07d", source, row)
 
@@ -42,8 +53,13 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
-def threshold_name(threshold: float, prefix: str = "q_abs_error_gt_") -> str:
-    return prefix + f"{float(threshold):.1f}".replace(".", "p")
+# Flags are named after their threshold with one decimal, p for the point.
+FLAG, RATE = "q_abs_error_gt_", "failure_rate_gt_"
+
+
+def threshold_name(threshold: float, prefix: str = FLAG) -> str:
+    whole, tenths = divmod(round(float(threshold) * 10), 10)
+    return f"{prefix}{whole}p{tenths}"
 
 
 def joined_set(column: Column, separator: str = "|") -> Column:

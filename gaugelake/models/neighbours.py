@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugelake.operators.similarity import most_similar
 
-def knn_predict(queries: DataFrame, train: DataFrame, k: int = 5, target: str = "target", least: float = 1e-9) -> DataFrame:
-    """(entity_id, predicted): the mean target of the k most cosine-similar rows of ``train``, weighed by 1 / distance. Ties: least id. Queries that share no bit have no row."""
-    q = queries.select(F.col("entity_id").alias("query"), F.size("bits").alias("nq"), F.explode("bits").alias("bit"))
-    t = train.select(F.col("entity_id").alias("candidate"), F.size("bits").alias("nt"), F.explode("bits").alias("bit"))
-    both = q.join(t, "bit").groupBy("query", "candidate").agg(F.count("*").cast("double").alias("i"), F.first("nq").alias("nq"), F.first("nt").alias("nt"))
-    scored = both.withColumn("cosine", F.round(F.col("i") / F.sqrt(F.col("nq") * F.col("nt")), 12))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "candidate"))
-    near = scored.withColumn("p", place).where(F.col("p") <= k).join(train.select(F.col("entity_id").alias("candidate"), F.col(target).alias("y")), "candidate")
-    w = 1 / F.greatest(1 - F.col("cosine"), F.lit(least))
+
+def knn_predict(queries: DataFrame, train: DataFrame, k: int = 5, target: str = "target", least: float = 1e-9, others: bool = False) -> DataFrame:
+    """(entity_id, predicted): the mean target of the k most cosine-similar rows of ``train``, weighed by 1 / distance. Ties: least id; every query has a row.
+
+    ``others``: a query's own row is no neighbour.
+    """
+    near = most_similar(queries, train, k, others=others, measure="cosine").join(train.select(F.col("entity_id").alias("candidate"), F.col(target).alias("y")), "candidate")
+    w = 1 / F.greatest(1 - F.col("similarity"), F.lit(least))
     return near.groupBy("query").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("predicted")).withColumnRenamed("query", "entity_id")
 
 

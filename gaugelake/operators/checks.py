@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Where a target of a hold-out task comes from.
+ORIGINS = {"test": "heldout_source_only", "fit": "nonheldout_sources_only"}
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     """Raise before any work when a column is missing."""
     if missing := sorted(set(names).difference(df.columns)):
@@ -83,12 +87,24 @@ def split_faults(assignments: DataFrame, targets: DataFrame, group_strategies: t
 
 
 def holdout_faults(tasks: DataFrame) -> DataFrame:
-    """Faults of (heldout, repeat, entity_id, partition): repeats, empty partitions, entities on both sides, a test set that changes between repeats."""
+    """Faults of (heldout, repeat, entity_id, partition): repeats, empty partitions, entities on both sides, a test set that changes between repeats.
+
+    Where there are these columns, also: an origin that is not its side's, and a max_similarity that is null outside train or not null in it.
+    """
     task = ["heldout", "repeat"]
     test = F.col("partition") == "test"
-    sets = tasks.where(test).groupBy(*task).agg(F.sha2(joined_ids("entity_id"), 256).alias("ids")).groupBy("heldout").agg(F.count_distinct("ids").alias("n"))
+    # A set of ids by its size and two sums of their hashes: no task gathers the ids.
+    mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("entity_id").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "entity_id")).alias("b"))
+    sets = tasks.where(test).groupBy(*task).agg(mark.alias("ids")).groupBy("heldout").agg(F.count_distinct("ids").alias("n"))
+    more = []
+    if "origin" in tasks.columns:
+        want = F.when(test, ORIGINS["test"]).otherwise(ORIGINS["fit"])
+        more.append(_told(tasks.where(~F.col("origin").eqNullSafe(want)), "origin is another side's", *map(F.col, task), F.col("entity_id")))
+    if "max_similarity" in tasks.columns:
+        more.append(_told(tasks.where((F.col("partition") == "train") != F.col("max_similarity").isNull()), "similarity is null for train alone", *map(F.col, task), F.col("entity_id")))
     return union(
         [
+            *more,
             repeated_keys(tasks, [*task, "entity_id"]),
             _told(tasks.groupBy(*task).agg(F.count_distinct("partition").alias("n")).where("n < 3"), "a partition is empty", *map(F.col, task)),
             _told(tasks.groupBy(*task, "entity_id").agg(F.count_distinct(test).alias("n")).where("n > 1"), "entity on both sides", *map(F.col, task), F.col("entity_id")),
@@ -97,8 +113,42 @@ def holdout_faults(tasks: DataFrame) -> DataFrame:
     )
 
 
-def joined_ids(column: str) -> Column:
-    return F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n")
+def other_bits(bits: DataFrame, n_bits: int) -> DataFrame:
+    """Rows of (entity_id, bits) that are no set of places below ``n_bits``: null, repeated, or out of range."""
+    bad = F.col("bits").isNull() | (F.size(F.array_distinct("bits")) != F.size("bits")) | F.exists("bits", lambda b: b.isNull() | (b < 0) | (b >= n_bits))
+    return _told(bits.where(bad), "not a set of bits", F.col("entity_id"))
+
+
+def other_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Values of wide bit columns that are neither 0 nor 1."""
+    return union([_told(df.where(~F.coalesce(F.col(f"`{c}`").isin(0, 1), F.lit(False))), f"{c} is not binary", F.col(key)) for c in columns])
+
+
+def ordered_entities(df: DataFrame, columns: list[str], key: str = "entity_id") -> DataFrame:
+    """``columns`` of ``df`` in order of the key; a missing column, a null among them or a repeated key is an error."""
+    require_columns(df, [key, *columns])
+    chosen = df.select(key, *[c for c in columns if c != key])
+    nulls = chosen.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in chosen.columns]).first().asDict()
+    if any(nulls.values()):
+        raise ValueError(f"nulls: {({c: n for c, n in nulls.items() if n})}")
+    raise_if_any(repeated_keys(chosen, [key]))
+    return chosen.orderBy(key)
+
+
+def source_meta_faults(meta: DataFrame, top: int = 3, least_sources: int = 3, outcomes: tuple[str, ...] = ("y_top", "y_rmse", "y_regret", "y_near_best")) -> DataFrame:
+    """Faults of a meta table by held-out source: repeated runs, tasks of several sources, missing outcomes of selectable runs, tasks without exactly ``top`` top runs, too few sources."""
+    require_columns(meta, ["run_id", "task_id", "heldout", "selectable", *outcomes])
+    can = meta.where("selectable")
+    sources = can.agg(F.count_distinct("heldout").alias("n"))
+    return union(
+        [
+            repeated_keys(meta, ["run_id"]),
+            _told(meta.groupBy("task_id").agg(F.count_distinct("heldout").alias("n")).where("n <> 1"), "task of several sources", F.col("task_id")),
+            *[_told(can.where(F.col(c).isNull()), f"missing {c}", F.col("run_id")) for c in outcomes],
+            _told(can.groupBy("task_id").agg(F.sum(F.col("y_top").cast("int")).alias("n")).where(F.col("n") != top), "number of top runs", F.col("task_id"), F.col("n")),
+            _told(sources.where(F.col("n") < least_sources), "too few sources", F.col("n")),
+        ]
+    )
 
 
 def raise_if_any(faults: DataFrame, report: str | None = None, limit: int = 20) -> None:

@@ -9,13 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Scores in a bucket are close together: the bucket is the score's rank among so many sampled cuts, or any monotone number.
-BUCKETS = 256
-
-
 def _bucket(score: Column) -> Column:
-    """A whole number that grows with the score, about 16 to each doubling and sign: the upper bits of its size."""
-    size = F.floor(16 * F.log2(F.abs(score) + F.lit(1e-12))).cast("long") + 1000
+    """A whole number that grows with the score, 256 to each doubling and sign: the upper bits of its size. Smaller scores than 1e-12 share one."""
+    size = F.floor(256 * F.log2(F.abs(score) + F.lit(1e-12))).cast("long") + 16_000
     return F.when(score >= 0, size).otherwise(-size)
 
 
@@ -39,15 +35,39 @@ def average_ranks(df: DataFrame, keys: list[str], column: str, name: str) -> Dat
 
 
 def regression_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """rmse, mae, r2 and Spearman's rho of (truth, predicted) by group; rho is null unless both have two values at least."""
-    df = average_ranks(average_ranks(predictions.select(*keys, "truth", "predicted"), keys, "truth", "_rt"), keys, "predicted", "_rp")
-    gap = F.col("truth") - F.col("predicted")
-    out = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"), F.sum(gap * gap).alias("_sse"), (F.var_pop("truth") * F.count("truth")).alias("_sst"),
-        F.try_divide(F.covar_pop("_rt", "_rp"), F.stddev_pop("_rt") * F.stddev_pop("_rp")).alias("_rho"), F.count_distinct("truth").alias("_nt"), F.count_distinct("predicted").alias("_np"),
+    """rmse, mae, r2 and Spearman's rho of (truth, predicted) by group, of the rows that have both; n counts all rows. rho is null unless both have two values at least.
+
+    Equal pairs are counted first; ranks join these counts, and a group whose keys hold nulls is a group.
+    """
+    named = [f"_key{i}" for i in range(len(keys))]
+    # Null keys stay groups through the joins below: each key travels as a struct.
+    shaped = predictions.select(*[F.struct(F.col(k)).alias(n) for k, n in zip(keys, named, strict=True)], F.col("truth").cast("double").alias("truth"), F.col("predicted").cast("double").alias("predicted"))
+    pairs = shaped.groupBy(*named, "truth", "predicted").agg(F.count("*").alias("_n"))
+    full = pairs.where("truth IS NOT NULL AND predicted IS NOT NULL")
+
+    def ranks(column: str, name: str) -> DataFrame:
+        counts = full.groupBy(*named, column).agg(F.sum("_n").alias("n"))
+        return sums_before(counts, named, column, ["n"]).select(*named, column, (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
+
+    ranked = full.join(ranks("truth", "_rt"), [*named, "truth"]).join(ranks("predicted", "_rp"), [*named, "predicted"])
+    w, gap, t = F.col("_n"), F.col("truth") - F.col("predicted"), F.col("truth")
+    n = F.sum(w)
+    # Ranks of n rows have the mean (n + 1) / 2.
+    middle = (F.col("n") + 1) / 2
+    out = ranked.groupBy(*named).agg(
+        n.alias("n"), F.sum(w * gap * gap).alias("_sse"), F.sum(w * F.abs(gap)).alias("_sae"), F.avg(t).alias("_any"), F.sum(w * t).alias("_st"), F.count_distinct("truth").alias("_nt"), F.count_distinct("predicted").alias("_np"),
+        F.sum(w * F.col("_rt") * F.col("_rp")).alias("_tp"), F.sum(w * F.col("_rt") * F.col("_rt")).alias("_tt"), F.sum(w * F.col("_rp") * F.col("_rp")).alias("_pp"),
+    )
+    means = out.select(*named, (F.col("_st") / F.col("n")).alias("_mean"))
+    spread = full.join(F.broadcast(means), named).groupBy(*named).agg(F.sum(w * (t - F.col("_mean")) * (t - F.col("_mean"))).alias("_sst"))  # a row a group
+    every = shaped.groupBy(*named).agg(F.count("*").alias("_all"))
+    out = every.join(out, named, "left").join(spread, named, "left")
+    square = F.col("n") * middle * middle
+    rho = F.when((F.col("_nt") > 1) & (F.col("_np") > 1), F.try_divide(F.col("_tp") - square, F.sqrt((F.col("_tt") - square) * (F.col("_pp") - square))))
+    return out.select(
+        *[F.col(c).getField(k).alias(k) for k, c in zip(keys, named, strict=True)], F.col("_all").alias("n"), F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"), (F.col("_sae") / F.col("n")).alias("mae"),
+        F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst")).alias("r2"), rho.alias("spearman"),
     )
-    rho = F.when((F.col("_nt") > 1) & (F.col("_np") > 1), F.col("_rho"))
-    return out.select(*keys, "n", "rmse", "mae", F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst")).alias("r2"), rho.alias("spearman"))
 
 
 def gaussian_nll(predictions: DataFrame, keys: list[str], floor: float = 1e-12) -> DataFrame:

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugelake.functions.columns import finite_or_null
+from gaugelake.operators.quantiles import with_quantiles
 
 
 def source_validation(obs: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
     """For each source: rows, finite and missing values, distinct entities and the spread; with ``expected`` row counts, whether they are met."""
     v = finite_or_null(F.col("value"))
     out = obs.groupBy("source").agg(
-        F.count("*").alias("n"), F.count(v).alias("finite"), (F.count("*") - F.count(v)).alias("missing"), F.count_distinct("entity_id").alias("entities"), F.min(v).alias("value_min"), F.median(v).alias("value_median"), F.max(v).alias("value_max")
+        F.count("*").alias("n"), F.count(v).alias("finite"), (F.count("*") - F.count(v)).alias("missing"), F.count_distinct("entity_id").alias("entities"), F.min(v).alias("value_min"), F.max(v).alias("value_max")
     )
+    out = with_quantiles(out, obs.select("source", v.alias("value")), ["source"], "value", {"value_median": 0.5})  # few sources, each of any size
     if not expected:
         return out
     table = F.create_map(*[F.lit(x) for pair in sorted(expected.items()) for x in pair])
@@ -45,18 +47,43 @@ def id_digest(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
 
 
 def flatten_report(report: Any, path: str = "") -> list[tuple[str, Any]]:
-    """(metric, value) of a nested report: dotted paths; a list of scalars repeats its path, one of objects adds the place; an empty list is one value, an empty object none."""
+    """(metric, value) of a nested report: dotted paths; items of a list repeat its path, but objects add their place; an empty list is one value, an empty object none."""
     if isinstance(report, dict):
         return [pair for k, v in report.items() for pair in flatten_report(v, f"{path}.{k}" if path else str(k))]
     if isinstance(report, list):
         if not report:
             return [(path, "[]")]
-        if any(isinstance(x, (dict, list)) for x in report):
-            return [pair for k, v in enumerate(report) for pair in flatten_report(v, f"{path}.{k}")]
-        return [(path, x) for x in report]
+        return [pair for k, v in enumerate(report) for pair in flatten_report(v, f"{path}.{k}" if isinstance(v, dict) else path)]
     return [(path, report)]
 
 
+def split_report(quality: DataFrame, column: str = "similarity_median") -> DataFrame:
+    """For each strategy the mean, least and greatest of its repeats' test medians; ``quality``: rows of ``splits.split_quality``."""
+    test = quality.where("partition = 'test'")
+    return test.groupBy("strategy").agg(F.count_distinct("repeat").alias("repeats"), F.avg(column).alias("mean_of_medians"), F.min(column).alias("least_median"), F.max(column).alias("greatest_median"))
+
+
+def dataset_summary(validation: DataFrame) -> DataFrame:
+    """Rows of ``source_validation`` as (source, metric, value): a nested report by source, flat."""
+    names = [c for c in validation.columns if c != "source"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])
+    return validation.select("source", F.explode(pairs).alias("p")).select("source", "p.metric", "p.value")
+
+
+def experiment_summary(runs: DataFrame) -> DataFrame:
+    """What a table of runs holds: runs, tasks, models, feature types, strategies and repeats."""
+    return runs.agg(
+        F.count_distinct("run_id").alias("runs"), F.count_distinct(F.concat_ws("_r", "strategy", F.col("repeat").cast("string"))).alias("tasks"), F.count_distinct("model").alias("models"),
+        F.count_distinct("feature_type").alias("feature_types"), F.count_distinct("strategy").alias("strategies"), F.count_distinct("repeat").alias("repeats"),
+    )
+
+
+def last_records(records: DataFrame, key: str, order: str) -> DataFrame:
+    """Of the records of one key the last by ``order``."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    return records.withColumn("_p", place).where("_p = 1").drop("_p")
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, n, columns) of each."""
     parts = [df.agg(F.lit(name).alias("table"), F.count("*").alias("n"), F.lit(len(df.columns)).alias("columns")) for name, df in sorted(tables.items())]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.functions.columns import share, threshold_name
+from gaugelake.operators.quantiles import with_quantiles
 
 THRESHOLDS = (0.5, 1.0, 2.0)
 
@@ -32,10 +33,11 @@ def _rates(thresholds: tuple[float, ...]) -> list:
 def run_summary(labeled: DataFrame, keys: tuple[str, ...] = ("run_id", "model", "feature_type", "strategy", "repeat"), thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """One row a run. ``keys`` beside run_id must not vary within a run (see checks.inconsistent); grouping by all keeps the shuffle at one."""
     e, r = F.col("absolute_error"), F.col("residual")
-    return labeled.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(r).alias("mean_residual"), F.stddev_samp(r).alias("residual_sd"), F.sqrt(F.avg("squared_error")).alias("rmse"), F.avg(e).alias("mae"), F.median(e).alias("median_error"),
-        F.percentile(e, F.lit(0.9)).alias("p90_error"), F.percentile(e, F.lit(0.95)).alias("p95_error"), F.max(e).alias("max_error"), share(r > 0).alias("underprediction_rate"), share(r < 0).alias("overprediction_rate"), *_rates(thresholds),
+    out = labeled.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(r).alias("mean_residual"), F.stddev_samp(r).alias("residual_sd"), F.sqrt(F.avg("squared_error")).alias("rmse"), F.avg(e).alias("mae"),
+        F.max(e).alias("max_error"), share(r > 0).alias("underprediction_rate"), share(r < 0).alias("overprediction_rate"), *_rates(thresholds),
     )
+    return with_quantiles(out, labeled, list(keys), "absolute_error", {"median_error": 0.5, "p90_error": 0.9, "p95_error": 0.95})  # a run's rows may be many
 
 
 def group_summary(runs: DataFrame, primary: float = 1.0) -> DataFrame:

@@ -44,17 +44,19 @@ def resolve_targets(
     review_max: float = 2.5,
     labels: tuple[str, ...] = (),
     counted: tuple[str, ...] = (),
+    keys: tuple[str, ...] = ("entity_id",),
 ) -> DataFrame:
     """The median of each entity's eligible values, with spread, reliability class and benchmark flags.
 
     Classes: single_observation; consistent (range up to ``consistent_max``); moderate (up to ``conflict_min``); conflict. A primary target is
     neither in conflict nor outside the review range. ``counted``: columns whose values, not null, are counted.
+    ``keys``: what an entity's values are resolved by; further keys beside entity_id give an entity several targets.
     """
     if consistent_max < 0 or conflict_min <= consistent_max or review_min >= review_max:
         raise ValueError("thresholds must be non-negative and in order")
     # The deviations need the median first. Both passes share one shuffle by entity.
-    centred = eligible(obs).withColumn("_deviation", F.abs(F.col("value") - F.median("value").over(Window.partitionBy("entity_id"))))
-    out = centred.groupBy("entity_id").agg(
+    centred = eligible(obs).withColumn("_deviation", F.abs(F.col("value") - F.median("value").over(Window.partitionBy(*keys))))
+    out = centred.groupBy(*keys).agg(
         *[first_by(F.col(c), F.col("observation_id")).alias(c) for c in labels],
         F.count("*").alias("n_observations"),
         F.count_distinct("source").alias("n_sources"),

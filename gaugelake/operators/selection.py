@@ -21,6 +21,15 @@ def training_best(candidates: DataFrame) -> DataFrame:
     return means.withColumn("_p", best).where("_p = 1").select(F.col("fold").alias("heldout"), "x_model", "x_feature_type")
 
 
+def source_rate(candidates: DataFrame, outcome: str = "y_near_best") -> DataFrame:
+    """``candidates`` with ``probability``: how often the candidate's (model, feature_type) had the outcome on the other sources' tasks. The plainest meta model: it never sees the
+    source it is asked about."""
+    by_source = candidates.where(F.col(outcome).isNotNull()).groupBy("heldout", "x_model", "x_feature_type").agg(F.sum(F.col(outcome).cast("double")).alias("s"), F.count("*").alias("n"))
+    folds = candidates.select(F.col("heldout").alias("fold")).distinct()
+    rates = by_source.join(F.broadcast(folds), F.col("heldout") != F.col("fold")).groupBy("fold", "x_model", "x_feature_type").agg((F.sum("s") / F.sum("n")).alias("probability"))
+    return candidates.join(F.broadcast(rates.withColumnRenamed("fold", "heldout")), ["heldout", "x_model", "x_feature_type"], "left")  # sources x models x features
+
+
 def selected_candidates(candidates: DataFrame, fixed: dict[str, tuple[str, str]]) -> DataFrame:
     """One row for each selector and task: probability (where there is one), validation error, oracle, training sources' best, and fixed ones."""
     task, run = ["task_id"], F.asc("run_id")

@@ -1,10 +1,19 @@
-"""Nearest neighbours by Tanimoto similarity of bit sets, kept as arrays of set bits."""
+"""Nearest neighbours of bit sets, kept as arrays of set bits.
+
+Rows on either side fall into blocks; two blocks meet in one group as bit matrices, whose product counts shared bits at the speed of the hardware, and only the
+best of each query leave the group. So no pair of rows is ever a row of a table, and a task holds two blocks whatever the tables' size. All pairs are
+compared once: bits that half of all rows set cost no more than rare ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block.
+BLOCK = 4096
+
 
 def set_bits(vector: Column, threshold: float) -> Column:
     """Places of the components above a single-precision threshold."""
@@ -12,23 +21,71 @@ def set_bits(vector: Column, threshold: float) -> Column:
     return F.filter(above, lambda i: i.isNotNull())
 
 
-def _scored(queries: DataFrame, train: DataFrame) -> DataFrame:
-    """(query, candidate, similarity) of all that share a bit: postings meet by bit and count, so nothing is compared that shares none."""
-    q = queries.select(F.col("entity_id").alias("query"), F.size("bits").alias("nq"), F.explode("bits").alias("bit"))
-    t = train.select(F.col("entity_id").alias("candidate"), F.size("bits").alias("nt"), F.explode("bits").alias("bit"))
-    both = q.join(t, "bit").groupBy("query", "candidate").agg(F.count("*").alias("i"), F.first("nq").alias("nq"), F.first("nt").alias("nt"))
-    return both.select("query", "candidate", (F.col("i") / (F.col("nq") + F.col("nt") - F.col("i"))).alias("similarity"))
+def _matrix(bits, width: int) -> np.ndarray:
+    out = np.zeros((len(bits), width), np.float32)
+    for row, places in enumerate(bits):
+        out[row, np.asarray(places, np.int64)] = 1
+    return out
+
+
+def best_of(queries: np.ndarray, train: np.ndarray, same: np.ndarray | None, k: int, measure: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``train``, similarities) of the k most similar rows of each query, the first of equal ones; ``same``: pairs that are no candidates."""
+    both = (queries @ train.T).astype(np.float64)  # whole numbers below 2^24
+    nq, nt = queries.sum(axis=1, dtype=np.float64)[:, None], train.sum(axis=1, dtype=np.float64)[None, :]
+    under = nq + nt - both if measure == "tanimoto" else np.sqrt(nq * nt)
+    score = np.divide(both, under, out=np.zeros_like(both), where=under > 0)
+    if measure == "cosine":
+        score = np.round(score, 12)
+    if same is not None:
+        score[same] = -1
+    near = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return near, np.take_along_axis(score, near, axis=1)
+
+
+def most_similar(queries: DataFrame, train: DataFrame, k: int = 1, keys: tuple[str, ...] = (), others: bool = False, measure: str = "tanimoto") -> DataFrame:
+    """(keys, query, candidate, similarity): the ``k`` rows of ``train`` most similar to each query (ties: least id), among those of equal ``keys``.
+
+    Rows: (keys, entity_id, bits); a null set is empty, and two empty sets have similarity 0. measure: tanimoto, or cosine (to 12 places). ``others``: a query's own row is no
+    candidate. A query whose keys no row of ``train`` has gets none.
+    """
+    own, number = queries.schema["entity_id"].dataType.simpleString(), F.pmod(F.xxhash64("entity_id"), F.lit(1 << 40))
+    side = lambda df, s: df.select(*keys, F.lit(s).alias("side"), F.col("entity_id").alias("id"), F.coalesce("bits", F.array().cast("array<int>")).cast("array<int>").alias("bits"), number.alias("_n"))
+    rows = side(queries, 0).unionByName(side(train, 1)).persist()  # counted, then dealt
+    sizes = rows.agg(F.count_if(F.col("side") == 0).alias("q"), F.count_if(F.col("side") == 1).alias("t")).first()
+    n, m = (max(1, -(-sizes[s] // BLOCK)) for s in ("q", "t"))
+    q = rows.where("side = 0").withColumn("i", F.pmod("_n", F.lit(n)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    t = rows.where("side = 1").withColumn("j", F.pmod("_n", F.lit(m)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    kinds = dict(queries.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], f"query {own}", f"candidate {own}", "similarity double"])
+
+    def tile(group):
+        import pandas as pd
+
+        a, b = (group[group["side"] == s].sort_values("id", kind="stable") for s in (0, 1))
+        names = [*keys, "query", "candidate", "similarity"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names})
+        width = 1 + max((int(max(x)) for x in group["bits"] if len(x)), default=0)
+        same = a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :] if others else None
+        near, score = best_of(_matrix(a["bits"], width), _matrix(b["bits"], width), same, k, measure)
+        out = pd.DataFrame({"query": np.repeat(a["id"].to_numpy(), near.shape[1]), "candidate": b["id"].to_numpy()[near.ravel()], "similarity": score.ravel()})
+        for c in keys:
+            out[c] = group[c].iloc[0]
+        return out[out["similarity"] >= 0][names]
+
+    found = q.drop("_n").unionByName(t.drop("_n")).groupBy(*keys, "i", "j").applyInPandas(tile, schema)
+    place = Window.partitionBy(*keys, "query").orderBy(F.desc("similarity"), "candidate")  # k rows a block of ``train``
+    return found.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k).drop("_p")
 
 
-def nearest_neighbour(queries: DataFrame, train: DataFrame, digits: type = float) -> DataFrame:
+def nearest_neighbour(queries: DataFrame, train: DataFrame, others: bool = False) -> DataFrame:
     """For each query its most similar row of ``train`` (ties: least id), with single-precision similarity; 0 and the least id where no bit is shared."""
-    best = _scored(queries, train).groupBy("query").agg(F.max_by(F.struct("candidate", "similarity"), F.struct(F.col("similarity"), -F.col("candidate"))).alias("b"))
-    least = train.agg(F.min("entity_id").alias("least"))  # one row
-    out = queries.select(F.col("entity_id").alias("query")).join(best, "query", "left").crossJoin(F.broadcast(least))
-    return out.select("query", F.coalesce("b.candidate", "least").alias("nearest"), F.coalesce("b.similarity", F.lit(0.0)).cast("float").alias("similarity"))
+    best = most_similar(queries, train, others=others)
+    out = queries.select(F.col("entity_id").alias("query")).join(best, "query", "left")
+    return out.select("query", F.col("candidate").alias("nearest"), F.coalesce("similarity", F.lit(0.0)).cast("float").alias("similarity"))
 
 
-def max_similarity(queries: DataFrame, train: DataFrame) -> DataFrame:
-    """For each query the similarity of its nearest row of ``train``; 0 where no bit is shared."""
-    best = _scored(queries, train).groupBy("query").agg(F.max("similarity").alias("max_similarity"))
-    return queries.select(F.col("entity_id").alias("query")).join(best, "query", "left").select(F.col("query").alias("entity_id"), F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"))
+def max_similarity(queries: DataFrame, train: DataFrame, keys: tuple[str, ...] = (), others: bool = False) -> DataFrame:
+    """For each query the similarity of its nearest row of ``train`` (with equal ``keys``, columns of both); 0 where no bit is shared."""
+    best = most_similar(queries, train, 1, keys, others).select(*keys, F.col("query").alias("entity_id"), F.col("similarity").alias("max_similarity"))
+    return queries.select(*keys, "entity_id").join(best, [*keys, "entity_id"], "left").select(*keys, "entity_id", F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugelake.functions.columns import sample_key
+from gaugelake.operators.metrics import sums_before
 from gaugelake.operators.overlap import without_entities_of
+from gaugelake.operators.quantiles import grouped_quantiles
 from gaugelake.operators.similarity import max_similarity
 
 SEEDS = (13, 37, 73, 101, 137)
@@ -21,7 +23,8 @@ def quantile_bins(df: DataFrame, value: str, max_bins: int = 10) -> DataFrame:
     if n < 20:
         return df.withColumn("bin", F.lit(None).cast("int"))
     q = min(max_bins, max(2, n // 20))
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / q) for k in range(q + 1)]))).alias("_edges"))
+    cuts = grouped_quantiles(df, [], value, {f"e{k}": k / q for k in range(q + 1)})
+    edges = cuts.select(F.array_distinct(F.array(*[f"e{k}" for k in range(q + 1)])).alias("_edges"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", (F.greatest(below, F.lit(1)) - 1).cast("int")).drop("_edges")  # one row of max_bins + 1 numbers
     least = binned.groupBy("bin").count().agg(F.count("*").alias("_bins"), F.min("count").alias("_least"))
@@ -44,6 +47,22 @@ def chance_rank(df: DataFrame, keys: list[str], id_col: str, seed: Column | int)
     return joined.withColumn("chance", F.col("_ahead") + F.row_number().over(inside)).drop("_hash", "_digits", "_ahead")
 
 
+def score_rank(df: DataFrame, score: str, id_col: str, seed: int) -> DataFrame:
+    """``df`` with ``place``: from 1 by score, then by md5 of seed and id.
+
+    In three steps, so that no window holds all rows: rows of lesser scores, rows of the score with lesser first digits, and the place among rows that share both. The first
+    step has a row for each distinct score (similarities of bit sets: fewer than pairs of set sizes), the second 4,096 for each score.
+    """
+    marked = df.withColumn("_hash", sample_key(seed, F.col(id_col))).withColumn("_digits", F.substring("_hash", 1, 3))
+    counts = marked.groupBy(score, "_digits").agg(F.count("*").alias("_n"))
+    scores = sums_before(counts.groupBy(score).agg(F.sum("_n").alias("_n")).withColumn("_all", F.lit(0)), ["_all"], score, ["_n"]).select(score, F.col("before__n").alias("_lesser"))
+    before = Window.partitionBy(score).orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").join(scores, score)
+    inside = Window.partitionBy(score, "_digits").orderBy("_hash", id_col)
+    placed = marked.join(ahead, [score, "_digits"]).withColumn("place", F.col("_lesser") + F.col("_ahead") + F.row_number().over(inside))
+    return placed.drop("_hash", "_digits", "_ahead", "_lesser")
+
+
 def quotas(sizes: DataFrame, share: float, key: str = "bin") -> DataFrame:
     """(key, quota): whole numbers near share * n that sum to the rounded share of all, by largest remainder. One row a stratum."""
     exact = sizes.withColumn("_exact", F.col("n") * share).withColumn("quota", F.floor("_exact"))
@@ -74,15 +93,18 @@ def group_of(group: Column, name: Column) -> Column:
     return F.when(F.trim(F.coalesce(group, F.lit(""))).isin("", "[NO_SCAFFOLD]"), F.concat(F.lit("ACYCLIC_SINGLETON::"), name.cast("string"))).otherwise(group)
 
 
-def group_partitions(targets: DataFrame, seed: int, shares: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
+def group_partitions(targets: DataFrame, seed: int, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), large: float = 0.001) -> DataFrame:
     """(entity_id, partition), groups (column grp) whole.
 
-    Groups go by size, a little shuffled, to the partition that is filled least for its share; near ties go to the one that lacks most, then to
-    train before validation before test. This is sequential by nature: the table of groups (not of entities) is folded in one row.
+    Groups of a share ``large`` of all entities and more go one after another, by size, a little shuffled, to the partition that is filled least for its share; near ties go
+    to the one that lacks most, then to train before validation before test. There are 1 / ``large`` of them at most, folded in one row. All smaller groups follow in md5
+    order: a running sum of their entities fills what each partition lacks, which a single group hardly changes.
     """
     unit = F.conv(F.substring(sample_key(seed, F.col("grp")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    sizes = targets.groupBy("grp").agg(F.count("*").alias("n")).withColumn("weight", F.col("n") * (0.9 + 0.2 * unit))
-    ordered = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "grp", F.col("n").cast("double").alias("n")))).alias("groups"), F.sum("n").cast("double").alias("total"))
+    total = targets.agg(F.count("*").alias("_all"))
+    sizes = targets.groupBy("grp").agg(F.count("*").alias("n")).withColumn("weight", F.col("n") * (0.9 + 0.2 * unit)).crossJoin(F.broadcast(total))  # one row
+    sizes = sizes.withColumn("_large", F.col("n") >= large * F.col("_all"))
+    ordered = sizes.where("_large").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "grp", F.col("n").cast("double").alias("n")))).alias("groups")).crossJoin(F.broadcast(total.select(F.col("_all").cast("double").alias("total"))))
     need = [f"(total * {s} - acc.f[{k}])" for k, s in enumerate(shares)]
     fill = [f"(acc.f[{k}] / (total * {s}))" for k, s in enumerate(shares)]
     close = [f"({x} <= array_min(array({', '.join(fill)})) + 1e-9)" for x in fill]
@@ -91,24 +113,37 @@ def group_partitions(targets: DataFrame, seed: int, shares: tuple[float, float,
     step = f"""transform(array({pick}), p -> named_struct('f', transform(acc.f, (v, k) -> v + CASE WHEN k = p THEN g.n ELSE double(0) END), 'out', concat(acc.out, array(struct(g.grp AS grp, p AS p)))))[0]"""
     kind = targets.schema["grp"].dataType.simpleString()
     start = f"named_struct('f', array(double(0), double(0), double(0)), 'out', cast(array() AS array<struct<grp: {kind}, p: int>>))"
-    folded = ordered.select(F.explode(F.expr(f"aggregate(groups, {start}, (acc, g) -> {step}, acc -> acc.out)")).alias("x")).select("x.grp", F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), F.col("x.p") + 1).alias("partition"))
-    return targets.join(folded, "grp").select("entity_id", "partition")
+    done = ordered.select("total", F.expr(f"aggregate(groups, {start}, (acc, g) -> {step})").alias("a"))
+    names = F.array(F.lit("train"), F.lit("validation"), F.lit("test"))
+    folded = done.select(F.explode("a.out").alias("x")).select("x.grp", F.element_at(names, F.col("x.p") + 1).alias("partition"))
+    # What each partition lacks, as shares of all small groups' entities.
+    lacks = [F.greatest(F.col("total") * s - F.col("a.f").getItem(k), F.lit(0.0)) for k, s in enumerate(shares)]
+    open_ = done.select(*[x.alias(f"_l{k}") for k, x in enumerate(lacks)]).withColumn("_sum", F.col("_l0") + F.col("_l1") + F.col("_l2"))
+    small = sizes.where("NOT _large").select("grp", "n", sample_key(seed, F.col("grp")).alias("_hash"), F.substring(sample_key(seed, F.col("grp")), 1, 3).alias("_digits"))
+    first = Window.partitionBy("_one").orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows
+    ahead = small.groupBy("_digits").agg(F.sum("n").alias("_k")).withColumn("_one", F.lit(0)).select("_digits", F.coalesce(F.sum("_k").over(first), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_digits").orderBy("_hash", "grp").rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.col("_ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("n") / 2
+    dealt = small.join(F.broadcast(ahead), "_digits").withColumn("_at", middle).crossJoin(F.broadcast(open_)).crossJoin(F.broadcast(small.agg(F.sum("n").alias("_small"))))  # 4,096 rows and twice one
+    share = F.col("_at") / F.col("_small") * F.col("_sum")
+    rest = dealt.select("grp", F.when(share < F.col("_l0"), "train").when(share < F.col("_l0") + F.col("_l1"), "validation").otherwise("test").alias("partition"))
+    return targets.join(folded.unionByName(rest), "grp").select("entity_id", "partition")
 
 
 def low_similarity_partitions(targets: DataFrame, bits: DataFrame, seed: int, value: str = "target") -> DataFrame:
     """(entity_id, partition): of a stratified 30 %, the tenth of all least like the other 70 % is test, the next tenth validation."""
-    chosen = stratified_split(quantile_bins(targets.select("entity_id", value), value), 0.7, seed)
+    chosen = stratified_split(quantile_bins(targets.select("entity_id", value), value), 0.7, seed).persist()  # read for both sides and for the result
     ids = lambda flag: bits.join(chosen.where(flag).select("entity_id"), "entity_id", "left_semi")
     scored = max_similarity(ids("NOT chosen"), ids("chosen"))
     total = targets.agg(F.bround(F.lit(0.1) * F.count("*")).cast("long").alias("tenth"))
-    order = Window.orderBy("max_similarity", sample_key(seed, F.col("entity_id")), "entity_id")
-    rank = scored.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(total))
+    rank = score_rank(scored, "max_similarity", "entity_id", seed).crossJoin(F.broadcast(total))  # one row
     part = F.when(F.col("place") <= F.col("tenth"), "test").when(F.col("place") <= 2 * F.col("tenth"), "validation").otherwise("train")
     return chosen.where("chosen").select("entity_id", F.lit("train").alias("partition")).unionByName(rank.select("entity_id", part.alias("partition")))
 
 
 def with_similarity(assignments: DataFrame, bits: DataFrame) -> DataFrame:
     """``assignments`` with max_similarity to the final train rows; null for train."""
+    assignments = assignments.persist()  # read for both sides and for the result
     ids = lambda flag: bits.join(assignments.where(flag).select("entity_id"), "entity_id", "left_semi")
     return assignments.join(max_similarity(ids("partition <> 'train'"), ids("partition = 'train'")), "entity_id", "left")
 

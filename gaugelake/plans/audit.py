@@ -107,8 +107,9 @@ _BITS = """vb AS (
 
 
 def _two_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every id divisible by 100 as a query against all rows."""
     b = bits(spark, sf_dir)
-    return b.where("entity_id % 5 = 0"), b.where("entity_id % 5 <> 0")
+    return b.where("entity_id % 100 = 0"), b
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +119,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeats = spark.createDataFrame([(1, 13), (2, 37)], "repeat int, seed int")
     fit = obs.crossJoin(F.broadcast(repeats)).where(F.substring(sample_key(F.col("seed"), F.col("observation_id")), 1, 1) < "d").join(F.broadcast(heldout), F.col("source") != F.col("heldout"))
     sums = fit.groupBy("heldout", "repeat", "seed", "grp", "weekday").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.count("*").alias("c"))
-    test = obs.withColumn("heldout", F.col("source"))
-    models = [("dummy", []), ("group", ["grp"]), ("weekday", ["weekday"])]
-    parts = []
-    for model, by in models:
-        keys = ["heldout", "repeat", "seed", *by]
-        mean = sums.groupBy(*keys).agg((F.sum("s") / F.sum("c")).alias("predicted"), F.sqrt(F.greatest(F.sum("ss") / F.sum("c") - F.pow(F.sum("s") / F.sum("c"), 2), F.lit(0.0))).alias("sigma"))
-        scored = test.join(F.broadcast(mean), ["heldout", *by]) if by else test.join(F.broadcast(mean), "heldout")  # means: sources x repeats x (20 groups or 7 days)
-        parts.append(scored.select("heldout", "repeat", "seed", F.col("observation_id").alias("entity_id"), F.col("value").alias("truth"), "predicted", "sigma", F.lit(model).alias("model")))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    scored = obs.withColumn("heldout", F.col("source"))
+    models = {"dummy": [], "group": ["grp"], "weekday": ["weekday"]}
+    for model, by in models.items():  # each row meets all models' means in one pass: sources x repeats x (1, 20 groups, 7 days)
+        keys = ["heldout", *([] if model == "dummy" else ["repeat", "seed"]), *by]
+        mean = F.sum("s") / F.sum("c")
+        made = F.struct(F.lit(model).alias("model"), mean.alias("predicted"), F.sqrt(F.greatest(F.sum("ss") / F.sum("c") - F.pow(mean, 2), F.lit(0.0))).alias("sigma"))
+        scored = scored.join(F.broadcast(sums.groupBy("heldout", "repeat", "seed", *by).agg(made.alias(f"_{model}"))), keys, "inner" if model == "dummy" else "left")
+    rows = scored.select("heldout", "repeat", "seed", F.col("observation_id").alias("entity_id"), F.col("value").alias("truth"), F.explode(F.array(*[f"_{m}" for m in models])).alias("m")).where("m IS NOT NULL")
+    out = rows.select("heldout", "repeat", "seed", "entity_id", "truth", "m.predicted", "m.sigma", "m.model")
     run = F.concat_ws("_", F.concat(F.lit("source_"), slug(F.col("heldout"))), F.concat(F.lit("r"), F.col("repeat").cast("string")), F.lit("mean"), "model")
     return out.withColumns({"feature_type": F.lit("mean"), "strategy": F.concat(F.lit("source_"), slug(F.col("heldout"))), "run_id": run})
 
@@ -267,13 +268,13 @@ def semijoin_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ninth purchase as an external set, half of its entities renamed so that they are unknown."""
-    obs = observations(spark, sf_dir).where("source = 'purchase' AND observation_id % 9 = 0")
+    """All purchases as an external set, half of their entities renamed so that they are unknown."""
+    obs = observations(spark, sf_dir).where("source = 'purchase'")
     name = F.when(F.col("observation_id") % 2 == 0, F.col("entity_id")).otherwise(F.concat(F.lit("new-"), F.col("entity_id")))
     return obs.select(F.col("observation_id").alias("external_id"), name.alias("entity_id"), F.when(F.col("weekday") < 3, "early").otherwise("late").alias("task"), "value")
 
 
-_AUDIT = f"""{_OBS}, ex AS (SELECT observation_id AS external_id, CASE WHEN observation_id % 2 = 0 THEN entity_id ELSE 'new-' || entity_id END AS entity_id, CASE WHEN weekday < 3 THEN 'early' ELSE 'late' END AS task, value FROM obs WHERE source = 'purchase' AND observation_id % 9 = 0),
+_AUDIT = f"""{_OBS}, ex AS (SELECT observation_id AS external_id, CASE WHEN observation_id % 2 = 0 THEN entity_id ELSE 'new-' || entity_id END AS entity_id, CASE WHEN weekday < 3 THEN 'early' ELSE 'late' END AS task, value FROM obs WHERE source = 'purchase'),
     inside AS (SELECT entity_id, count(*) AS k, count(DISTINCT source) AS s, string_agg(DISTINCT source, ';' ORDER BY source) AS names, median(value) AS med FROM obs GROUP BY entity_id),
     audit AS (SELECT ex.*, coalesce(k, 0) AS k, coalesce(s, 0) AS s, coalesce(names, '') AS names, med, k IS NOT NULL AS known FROM ex LEFT JOIN inside USING (entity_id))"""
 
@@ -295,19 +296,19 @@ def external_task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- similarity and splits
 
-_NEAR = f"""{_BITS}, q AS (SELECT * FROM post WHERE entity_id % 5 = 0), t AS (SELECT * FROM post WHERE entity_id % 5 <> 0),
-    sim AS (SELECT q.entity_id AS query, t.entity_id AS candidate, count(*)::DOUBLE / (any_value(q.nb) + any_value(t.nb) - count(*)) AS s FROM q JOIN t ON q.bit = t.bit GROUP BY q.entity_id, t.entity_id)"""
+_NEAR = f"""{_BITS}, q AS (SELECT * FROM post WHERE entity_id % 100 = 0), t AS (SELECT * FROM post),
+    sim AS (SELECT q.entity_id AS query, t.entity_id AS candidate, count(*)::DOUBLE / (any_value(q.nb) + any_value(t.nb) - count(*)) AS s FROM q JOIN t ON q.bit = t.bit AND q.entity_id <> t.entity_id GROUP BY q.entity_id, t.entity_id)"""
 
 
 @_query(f"""WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, candidate) AS p FROM sim)
-    SELECT v.entity_id AS query, coalesce(candidate, (SELECT min(entity_id) FROM vb WHERE entity_id % 5 <> 0)) AS nearest, d(coalesce(s, 0)::FLOAT) AS similarity FROM vb v LEFT JOIN r ON v.entity_id = r.query AND p = 1 WHERE v.entity_id % 5 = 0""")
+    SELECT v.entity_id AS query, coalesce(candidate, (SELECT min(entity_id) FROM vb)) AS nearest, d(coalesce(s, 0)::FLOAT) AS similarity FROM vb v LEFT JOIN r ON v.entity_id = r.query AND p = 1 WHERE v.entity_id % 100 = 0""")
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.nearest_neighbour(*_two_sets(spark, sf_dir))
+    return similarity.nearest_neighbour(*_two_sets(spark, sf_dir), others=True)
 
 
-@_query(f"""WITH {_NEAR} SELECT v.entity_id, d(coalesce(max(s), 0)) AS max_similarity FROM vb v LEFT JOIN sim ON v.entity_id = query WHERE v.entity_id % 5 = 0 GROUP BY v.entity_id""")
+@_query(f"""WITH {_NEAR} SELECT v.entity_id, d(coalesce(max(s), 0)) AS max_similarity FROM vb v LEFT JOIN sim ON v.entity_id = query WHERE v.entity_id % 100 = 0 GROUP BY v.entity_id""")
 def max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.max_similarity(*_two_sets(spark, sf_dir))
+    return similarity.max_similarity(*_two_sets(spark, sf_dir), others=True)
 
 
 _BINNED = """{src}, ed AS (SELECT list_distinct(quantile_cont(target, [k / 10.0 FOR k IN range(11)])) AS e FROM {t}), bn AS (SELECT entity_id, target, greatest(len(list_filter(e, lambda x: x < target)), 1) - 1 AS bin FROM {t}, ed)"""
@@ -348,7 +349,19 @@ def split_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_quality(a, t)
 
 
-@_query()
+@_query("""WITH RECURSIVE g AS (
+    SELECT label::VARCHAR AS grp, count(*) AS n, count(*) * (0.9::DOUBLE + 0.2::DOUBLE * (('0x' || substr(md5('13:' || label), 1, 8))::BIGINT / 4294967296.0::DOUBLE)) AS w FROM embeddings GROUP BY label
+), o AS (
+    SELECT grp, n::DOUBLE AS n, row_number() OVER (ORDER BY w DESC, grp) AS k, (sum(n) OVER ())::DOUBLE AS total FROM g
+), f AS (
+    SELECT 0::BIGINT AS k, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, ''::VARCHAR AS grp, -1 AS p
+    UNION ALL SELECT k, a + CASE p WHEN 0 THEN n ELSE 0 END, b + CASE p WHEN 1 THEN n ELSE 0 END, c + CASE p WHEN 2 THEN n ELSE 0 END, grp, p FROM (
+        SELECT *, CASE WHEN ca AND na >= most THEN 0 WHEN cb AND nb >= most THEN 1 ELSE 2 END AS p FROM (
+            SELECT *, greatest(CASE WHEN ca THEN na ELSE -1e300 END, CASE WHEN cb THEN nb ELSE -1e300 END, CASE WHEN cc THEN nc ELSE -1e300 END) AS most FROM (
+                SELECT *, fa <= least(fa, fb, fc) + 1e-9 AS ca, fb <= least(fa, fb, fc) + 1e-9 AS cb, fc <= least(fa, fb, fc) + 1e-9 AS cc FROM (
+                    SELECT o.k, o.grp, o.n, a, b, c, a / (total * 0.8::DOUBLE) AS fa, b / (total * 0.1::DOUBLE) AS fb, c / (total * 0.1::DOUBLE) AS fc, total * 0.8::DOUBLE - a AS na, total * 0.1::DOUBLE - b AS nb, total * 0.1::DOUBLE - c AS nc
+                    FROM f JOIN o ON o.k = f.k + 1))))
+) SELECT vec_id AS entity_id, CASE p WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS partition FROM embeddings JOIN f ON f.grp = label::VARCHAR""")
 def scaffold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.group_partitions(bits(spark, sf_dir), 13)
 
@@ -373,19 +386,19 @@ def low_similarity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HOLD = f"""{_OBS}, te AS (SELECT DISTINCT source AS heldout, entity_id FROM obs), tr AS (SELECT DISTINCT h.heldout, o.entity_id FROM obs o, (SELECT DISTINCT source AS heldout FROM obs) h WHERE o.source <> h.heldout AND NOT EXISTS (SELECT 1 FROM te WHERE te.heldout = h.heldout AND te.entity_id = o.entity_id)),
-    sd AS (SELECT * FROM (VALUES (1, 13), (2, 37)) AS t(repeat, seed)),
+    sd AS (SELECT * FROM (VALUES (1, 13), (2, 37), (3, 73), (4, 101), (5, 137)) AS t(repeat, seed)),
     man AS (SELECT heldout, repeat, seed, entity_id, CASE WHEN row_number() OVER (PARTITION BY heldout, repeat ORDER BY md5(seed || ':' || entity_id)) <= round_even(0.9 * count(*) OVER (PARTITION BY heldout, repeat), 0) THEN 'train' ELSE 'validation' END AS partition FROM tr, sd
         UNION ALL SELECT heldout, repeat, seed, entity_id, 'test' FROM te, sd)"""
 
 
 @_query(f"""WITH {_HOLD} SELECT heldout, n(repeat) AS repeat, n(seed) AS seed, entity_id, partition FROM man""")
 def holdout_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.holdout_manifest(observations(spark, sf_dir), (13, 37))
+    return splits.holdout_manifest(observations(spark, sf_dir))
 
 
 @_query(f"""WITH {_HOLD} SELECT heldout, n(repeat) AS repeat, n(count(*) FILTER (partition = 'train')) AS train, n(count(*) FILTER (partition = 'validation')) AS validation, n(count(*) FILTER (partition = 'test')) AS test, n(count(DISTINCT entity_id)) AS entities FROM man GROUP BY heldout, repeat""")
 def holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = splits.holdout_manifest(observations(spark, sf_dir), (13, 37))
+    m = splits.holdout_manifest(observations(spark, sf_dir))
     return m.groupBy("heldout", "repeat").agg(*[F.count_if(F.col("partition") == p).alias(p) for p in ("train", "validation", "test")], F.count_distinct("entity_id").alias("entities"))
 
 
@@ -552,17 +565,17 @@ def _boot(source: str, keys: str, iterations: int) -> str:
     bm AS (SELECT t.*, c.* EXCLUDE (_k, _n, cluster{', ' + keys if keys else ''}) FROM dr t JOIN cn c ON {on})"""
 
 
-@_query(f"""WITH {_SEL}, {_boot('SELECT selector, heldout AS cluster, sum(regret) AS s, count(regret) AS c FROM sel GROUP BY selector, heldout', 'selector', 200)}, mm AS (SELECT selector, iteration, sum(s) / sum(c) AS m FROM bm GROUP BY selector, iteration)
+@_query(f"""WITH {_SEL}, {_boot('SELECT selector, heldout AS cluster, sum(regret) AS s, count(regret) AS c FROM sel GROUP BY selector, heldout', 'selector', 2000)}, mm AS (SELECT selector, iteration, sum(s) / sum(c) AS m FROM bm GROUP BY selector, iteration)
     SELECT selector, d((SELECT sum(s) / sum(c) FROM cl WHERE cl.selector = mm.selector)) AS estimate, n((SELECT count(*) FROM cl WHERE cl.selector = mm.selector)) AS clusters, d(quantile_cont(m, 0.025)) AS lower_95, d(quantile_cont(m, 0.975)) AS upper_95 FROM mm GROUP BY selector""")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.cluster_bootstrap(_selected(spark, sf_dir), ["selector"], "heldout", "y_regret", 200, 7)
+    return bootstrap.cluster_bootstrap(_selected(spark, sf_dir), ["selector"], "heldout", "y_regret", 2000, 7)
 
 
-@_query(f"""WITH {_SEL}, df AS (SELECT a.heldout, a.regret - b.regret AS x FROM sel a JOIN sel b ON a.task_id = b.task_id AND a.selector = 'validation_rmse' AND b.selector = 'fixed_group'), {_boot('SELECT heldout AS cluster, avg(x) AS m, sum(x) AS s, count(x) AS c FROM df GROUP BY heldout', '', 200)}, mm AS (SELECT iteration, avg(m) AS b FROM bm GROUP BY iteration)
+@_query(f"""WITH {_SEL}, df AS (SELECT a.heldout, a.regret - b.regret AS x FROM sel a JOIN sel b ON a.task_id = b.task_id AND a.selector = 'validation_rmse' AND b.selector = 'fixed_group'), {_boot('SELECT heldout AS cluster, avg(x) AS m, sum(x) AS s, count(x) AS c FROM df GROUP BY heldout', '', 2000)}, mm AS (SELECT iteration, avg(m) AS b FROM bm GROUP BY iteration)
     SELECT 'validation_rmse' AS selector, d((SELECT avg(x) FROM df)) AS paired_difference, n((SELECT count(*) FROM cl)) AS clusters, d(quantile_cont(b, 0.025)) AS lower_95, d(quantile_cont(b, 0.975)) AS upper_95, d(avg((b < -1e-12)::INT)) AS probability_better FROM mm""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = selection.paired(_selected(spark, sf_dir), "validation_rmse", "fixed_group", "y_regret").withColumn("selector", F.lit("validation_rmse"))
-    return bootstrap.paired_bootstrap(rows, ["selector"], "heldout", iterations=200, seed=7)
+    return bootstrap.paired_bootstrap(rows, ["selector"], "heldout", iterations=2000, seed=7)
 
 
 @_query(f"""WITH {_SEL} SELECT fold, n(count(*)) AS n, n(count(*) FILTER (heldout = fold)) AS test FROM cand, (SELECT DISTINCT heldout AS fold FROM cand) GROUP BY fold""")
@@ -573,10 +586,12 @@ def source_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- reports
 
 
-@_query("""SELECT 'l_quantity' AS feature, n(count(l_quantity)) AS non_null, d(1 - count(l_quantity) / count(*)) AS missing_share, n(count(DISTINCT l_quantity)) AS distinct_values, 'numeric' AS kind FROM lineitem UNION ALL SELECT 'l_discount', n(count(l_discount)), d(1 - count(l_discount) / count(*)), n(count(DISTINCT l_discount)), 'numeric' FROM lineitem
-    UNION ALL SELECT 'l_returnflag', n(count(l_returnflag)), d(1 - count(l_returnflag) / count(*)), n(count(DISTINCT l_returnflag)), 'categorical' FROM lineitem""")
+_LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS feature, n(count({c})) AS non_null, d(1 - count({c}) / count(*)) AS missing_share, n(count(DISTINCT {c})) AS distinct_values, '{'categorical' if c in ('l_returnflag', 'l_linestatus') else 'numeric'}' AS kind FROM lineitem" for c in _LINE))
 def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.feature_audit(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_discount", "l_returnflag"])
+    return reports.feature_audit(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), _LINE)
 
 
 @_query(f"""WITH {_BITS} SELECT n(count(*)) AS n, n(sum(len(bits))) AS set_bits, d(sum(len(bits)) / (count(*) * 64)) AS density FROM vb""")
@@ -589,9 +604,13 @@ def id_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.id_digest(_targets(spark, sf_dir), "entity_id", ["reliability"])
 
 
-@_query("""SELECT 'nation' AS "table", n(count(*)) AS n, n(3) AS columns FROM nation UNION ALL SELECT 'region', n(count(*)), n(2) FROM region""")
+#: The driver's tables and the number of their columns.
+TABLES = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
+
+
+@_query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", n(count(*)) AS n, n({k}) AS columns FROM {t}""" for t, k in TABLES.items()))
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.table_counts({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region")})
+    return reports.table_counts({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
 
 
 @_query("""SELECT vec_id AS entity_id, d(0.16 - 1.5 * embedding[1]::DOUBLE - 0.01 * embedding[2]::DOUBLE + 0.5 * embedding[3]::DOUBLE - 1.5 * embedding[4]::DOUBLE) AS predicted FROM embeddings""")
@@ -600,14 +619,14 @@ def fixed_equation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("entity_id"), esol(at(1), at(2), at(3), at(4)).alias("predicted"))
 
 
-@_query(f"""WITH {_NEAR}, c AS (SELECT query, candidate, round(i / sqrt(nq * nt), 12) AS cosine FROM (SELECT q.entity_id AS query, t.entity_id AS candidate, count(*)::DOUBLE AS i, any_value(q.nb) AS nq, any_value(t.nb) AS nt FROM q JOIN t ON q.bit = t.bit GROUP BY q.entity_id, t.entity_id)),
+@_query(f"""WITH {_NEAR}, c AS (SELECT query, candidate, round(i / sqrt(nq * nt), 12) AS cosine FROM (SELECT q.entity_id AS query, t.entity_id AS candidate, count(*)::DOUBLE AS i, any_value(q.nb) AS nq, any_value(t.nb) AS nt FROM q JOIN t ON q.bit = t.bit AND q.entity_id <> t.entity_id GROUP BY q.entity_id, t.entity_id)),
     k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, candidate) AS p FROM c), w AS (SELECT query, 1 / greatest(1 - cosine, 1e-9) AS w, target FROM k JOIN vb ON k.candidate = vb.entity_id WHERE p <= 5)
     SELECT query AS entity_id, d(sum(w * target) / sum(w)) AS predicted FROM w GROUP BY query""")
 def knn_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugelake.models.neighbours import knn_predict
 
     queries, train = _two_sets(spark, sf_dir)
-    return knn_predict(queries, train, k=5)
+    return knn_predict(queries, train, k=5, others=True)
 
 
 @_query(f"""WITH {_OBS} SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, source, n(count(*)) AS n, n(count(value)) AS finite, d(sum(value)) AS total, d(min(value)) AS least, d(max(value)) AS most FROM obs GROUP BY ALL""")
@@ -627,8 +646,12 @@ def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from gaugelake.plans import studies  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from gaugelake.plans import studies  # noqa: F401
+
     return dict(_SQL)

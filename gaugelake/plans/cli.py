@@ -6,14 +6,21 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugelake.models import adapters, experiments
+from gaugelake.models import external as external_runs
+from gaugelake.models import meta as meta_models
 from gaugelake.operators import bootstrap, checks, metrics, overlap, reports, residuals, resolve, selection, splits, tasks
+from gaugelake.operators import holdouts as held
+from gaugelake.operators.checks import union
 from gaugelake.session import build_session
-from gaugelake.sources import readers, writers
+from gaugelake.sources import harmonise, readers, writers
 
 
 def _save(df: DataFrame, args: argparse.Namespace, name: str) -> DataFrame:
@@ -41,13 +48,18 @@ def split(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
             a = made[name](seed).join(known.select("entity_id", "grp"), "entity_id")
             parts.append(splits.with_similarity(a, bits).withColumns({"strategy": F.lit(name), "repeat": F.lit(repeat), "seed": F.lit(seed)}))
     out = _save(checks.union(parts), args, "split_assignments")
-    _save(splits.split_quality(out, known), args, "split_quality")
+    _save(reports.split_report(_save(splits.split_quality(out, known), args, "split_quality")), args, "split_report")
     return checks.split_faults(out, known)
 
 
 def holdouts(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    out = _save(splits.holdout_manifest(readers.read_parquet(spark, args.observations), tuple(args.seeds)), args, "holdout_tasks")
-    return checks.holdout_faults(out)
+    obs = readers.read_parquet(spark, args.observations)
+    bits = readers.read_parquet(spark, args.bits) if args.bits else None
+    group = "grp" if "grp" in obs.columns else None
+    out = _save(held.source_holdout_tasks(obs, bits, args.sources, tuple(args.seeds), group=group), args, "holdout_tasks")
+    _save(held.holdout_summary(out), args, "holdout_summary")
+    _save(held.target_audit(obs, held.source_targets(obs, args.sources)), args, "holdout_target_audit")
+    return checks.holdout_faults(out if bits is not None else out.drop("max_similarity"))
 
 
 def failures(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -76,10 +88,142 @@ def audit(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def inventory(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    out = _save(readers.file_inventory(spark, args.root), args, "checksums")
+    out = _save(readers.file_inventory(spark, args.root, max_bytes=args.max_bytes, include=tuple(args.include)), args, "checksums")
+    _save(readers.inventory_totals(out), args, "totals")
     return checks.repeated_keys(out, ["path"])
 
 
+def _named(text: str):
+    """The object behind module:name."""
+    module, _, name = text.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def master(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Five raw files to observations with structures, summaries, and targets."""
+    raw = harmonise.load_sources(spark, args.raw)
+    parsed = adapters.standardize(raw, "original_smiles", _named(args.parser))
+    ok = (F.col("structure_status") == "ok") & F.col("log_s").isNotNull()
+    obs = parsed.withColumns({"source": F.col("source_dataset"), "value": F.col("log_s"), "eligible": ok, "grp": F.col("group_text")})
+    obs = _save(obs, args, "observations")
+    _save(resolve.entity_summary(obs, labels=("grp",)), args, "entity_summary")
+    validation = _save(reports.source_validation(obs), args, "validation")
+    _save(reports.dataset_summary(validation), args, "dataset_summary")
+    _save(overlap.source_overlap(obs), args, "source_overlap")
+    out = _save(resolve.resolve_targets(obs, labels=("grp", "parent")), args, "targets")
+    return checks.union([checks.repeated_keys(obs, ["observation_id"]), checks.repeated_keys(out, ["entity_id"])])
+
+
+def features(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Descriptors and bit sets of the targets' structures, and what failed."""
+    known = readers.read_parquet(spark, args.targets).where("primary").select("entity_id", args.structure)
+    compute = _named(args.compute)(radius=args.radius, n_bits=args.bits, chirality=not args.ignore_chirality)
+    out = _save(adapters.featurize(known, args.structure, compute), argparse.Namespace(**vars(args) | {"no_csv": True}), "features")
+    _save(out.select("entity_id", F.explode("failures").alias("f")).select("entity_id", "f.descriptor", "f.reason"), args, "feature_failures")
+    return checks.union([checks.differing_keys(known, out, ["entity_id"]), checks.repeated_keys(out, ["entity_id"]), checks.other_bits(out.where("size(failures) = 0"), args.bits)])
+
+
+def _experiments(spark: SparkSession, args: argparse.Namespace, targets: DataFrame, assignments: DataFrame) -> experiments.Experiments:
+    tables = {name: readers.read_parquet(spark, path) for name, _, path in (f.partition("=") for f in args.features)}
+    return experiments.run_experiments(targets, assignments, tables, args.models, args.strategies, args.repeats)
+
+
+def _published(spark: SparkSession, args: argparse.Namespace, made: experiments.Experiments) -> DataFrame:
+    """Write or append a call's runs and its report; faults are its failed runs."""
+    report = made.report()
+    path = Path(f"{args.output}/report.json")
+    if args.append and path.exists():
+        report = writers.merged_report(readers.read_report(path), report)
+    for name, table in (("model_results", made.results), ("test_predictions", made.predictions), ("tuning", made.tuning)):
+        if args.append:
+            writers.append_runs(spark, table, f"{args.output}/{name}")
+        else:
+            writers.write_table(table, f"{args.output}/{name}")
+    writers.write_report(report, str(path))
+    return made.failures.select(F.concat(F.lit("failed "), "run_id").alias("check"), F.col("reason").alias("detail"))
+
+
+def baselines(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Experiments within splits."""
+    made = _experiments(spark, args, readers.read_parquet(spark, args.targets), readers.read_parquet(spark, args.assignments))
+    return _published(spark, args, made)
+
+
+def holdout_runs(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Experiments on hold-out tasks, with failures, group summary by source, and the meta table of all runs there are."""
+    rows = readers.read_parquet(spark, args.tasks)
+    failed = []
+    # A fit side's targets differ between sources: each source is a call of its own.
+    for name in sorted(r[0] for r in rows.select("heldout").distinct().collect()):  # a row a source
+        own = rows.where(F.col("heldout") == name)
+        first = own.where(F.col("repeat") == own.agg(F.min("repeat")).first()[0])
+        made = _experiments(spark, args, held.task_inputs(first)[1], own)
+        failed.append(_published(spark, args, made))
+        args = argparse.Namespace(**vars(args) | {"append": True})
+    labeled = residuals.failure_labels(readers.read_parquet(spark, f"{args.output}/test_predictions"))
+    runs = residuals.run_summary(labeled, keys=("run_id", "model", "feature_type", "strategy", "repeat", "heldout"))
+    _save(held.with_heldout(residuals.group_summary(runs), runs), args, "group_summary")
+    descriptors = readers.read_parquet(spark, args.descriptors)
+    names = tuple(c for c in descriptors.columns if c != "entity_id")
+    each = [rows.where(F.col("heldout") == n) for n in sorted(r[0] for r in rows.select("heldout").distinct().collect())]
+    per_task = union([tasks.task_features(held.task_inputs(own)[0], held.task_inputs(own.where("repeat = 1"))[1], descriptors, names) for own in each])
+    results = readers.read_parquet(spark, f"{args.output}/model_results")
+    known = results.select("run_id", "model", "feature_type", "strategy", "repeat", "seed", *[F.col(f"validation_{c}").alias(f"x_validation_{c}") for c in ("rmse", "mae", "r2", "spearman")], F.col("features_after").alias("x_features_after_preprocessing"), "best_parameters")
+    known = known.join(runs.select("run_id", "heldout"), "run_id")
+    outcomes = runs.select("run_id", F.col("rmse").alias("y_rmse"), F.col("mae").alias("y_mae"), F.col("failure_rate_gt_1p0").alias("y_primary_failure_rate"))
+    keys = tasks.json_keys(known, "best_parameters")
+    source = tasks.rebuilt_meta(tasks.json_columns(known, "best_parameters", keys).drop("best_parameters"), outcomes, per_task)
+    out = _save(source, args, "source_meta")
+    if args.base_meta:
+        out = _save(tasks.combined_meta(readers.read_parquet(spark, args.base_meta), source), args, "meta")
+    _save(tasks.data_dictionary(spark, out), args, "data_dictionary")
+    return checks.union([*failed, checks.repeated_keys(out, ["run_id"])])
+
+
+def external(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """An external trainer's tasks: those that are not finished run, then all are collected."""
+    rows = held.task_rows(readers.read_parquet(spark, args.tasks), readers.read_parquet(spark, args.structures), args.structure, args.task_ids, args.task_limit)
+    settings = {"epochs": args.epochs, "patience": args.patience, "batch_size": args.batch_size}
+    trainer = _named(args.trainer)(settings)
+    cache = f"{args.output}/cache"
+    external_runs.run_external(rows, trainer, cache, args.force)
+    ids = sorted(r[0] for r in rows.select("task_id").distinct().collect())  # a row a task
+    sizes = rows.groupBy("task_id").agg(*[F.count_if(F.col("partition") == p).alias(f"n_{p}") for p in ("train", "validation", "test")])
+    every = readers.read_parquet(spark, args.tasks).select("task_id").distinct().count()
+    made = external_runs.collect_external(spark, trainer, cache, ids, sizes)
+    for name, table in zip(external_runs.output_names(args.design, every == len(ids)).values(), made, strict=True):
+        _save(table, args, name)
+    if args.append_canonical:
+        for name, table in zip(("model_results", "test_predictions", "tuning"), made, strict=True):
+            writers.append_runs(spark, table, f"{args.append_canonical}/{name}", idempotent=True)
+    return checks.repeated_keys(made[0], ["run_id"])
+
+
+def meta(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Meta models that never see the source they are asked about, their selector, ablations, importances and uncertainty."""
+    if args.iterations < 100:
+        raise ValueError("at least 100 bootstrap iterations")
+    every = readers.read_parquet(spark, args.meta)
+    faults = checks.source_meta_faults(every)
+    checks.raise_if_any(faults, f"{args.output}/input_faults")
+    frame = every.where("selectable")
+    scored = _save(meta_models.out_of_source(frame), args, "predictions")
+    _save(meta_models.importances(frame), args, "importances")
+    ablated = _save(meta_models.ablations(frame), args, "ablation_predictions")
+    told = metrics.discrimination(scored.select(F.col("meta_model").alias("model"), F.col("heldout").alias("source"), F.col("y_top").cast("int").alias("label"), "probability"))
+    _save(told, args, "discrimination")
+    chosen = [selection.selected_candidates(frame, json.loads(args.fixed))]
+    for column, table in (("meta_model", scored), ("ablation", ablated)):
+        for name in sorted(r[0] for r in table.select(column).distinct().collect()):  # four of each
+            own = table.where(F.col(column) == name).select(*frame.columns, "probability")
+            order = [F.desc("probability"), F.asc("x_validation_rmse"), F.asc("run_id")]
+            chosen.append(selection.select_best(own, ["task_id"], order, f"{column}_{name}").drop("probability"))
+    selected = _save(union(chosen), args, "selected_candidates")
+    _save(selection.selection_grains(selected), args, "selection")
+    _save(bootstrap.cluster_bootstrap(selected, ["selector"], "heldout", "y_regret", args.iterations), args, "uncertainty")
+    return checks.repeated_keys(selected, ["selector", "task_id"])
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="gaugelake", description=__doc__.splitlines()[0])
     sub = top.add_subparsers(dest="step", required=True)
@@ -98,6 +242,8 @@ def parser() -> argparse.ArgumentParser:
     s = step(split, "targets", "bits")
     s.add_argument("--strategies", nargs="+", default=["random", "group", "low_similarity"])
     h = step(holdouts, "observations")
+    h.add_argument("--sources", nargs="+")
+    h.add_argument("--bits", help="bit sets of the entities, for similarities")
     for p in (s, h):
         p.add_argument("--seeds", nargs="+", type=int, default=list(splits.SEEDS))
     f = step(failures, "predictions")
@@ -107,7 +253,38 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--fixed", default="{}", help='JSON: selector to [model, feature type]')
     c.add_argument("--iterations", type=int, default=2000)
     step(audit, "external", "observations")
-    step(inventory, "root")
+    i = step(inventory, "root")
+    i.add_argument("--max-bytes", type=int, default=95_000_000)
+    i.add_argument("--include", nargs="*", default=[])
+    m = step(master, "raw")
+    m.add_argument("--parser", default="gaugelake.models.structures:parse", help="module:function of a structure's text")
+    g = step(features, "targets")
+    g.add_argument("--structure", default="parent")
+    g.add_argument("--radius", type=int, default=2)
+    g.add_argument("--bits", type=int, default=2048)
+    g.add_argument("--ignore-chirality", action="store_true")
+    g.add_argument("--compute", default="gaugelake.models.structures:features", help="module:function that makes a function of a structure's text")
+    b, r = step(baselines, "targets", "assignments"), step(holdout_runs, "tasks", "descriptors")
+    for p in (b, r):
+        p.add_argument("--features", nargs="+", required=True, help="name=path of each feature table")
+        p.add_argument("--models", nargs="+", default=["dummy", "ridge", "random_forest", "extra_trees"])
+        p.add_argument("--append", action="store_true")
+    b.add_argument("--strategies", nargs="+", default=["random"])
+    b.add_argument("--repeats", nargs="+", type=int, default=[1])
+    r.set_defaults(strategies=None, repeats=None)
+    r.add_argument("--base-meta")
+    x = step(external, "tasks", "structures", "trainer")
+    x.add_argument("--design", choices=["within", "source"], default="within")
+    x.add_argument("--structure", default="parent")
+    for name, value in (("epochs", 30), ("patience", 5), ("batch-size", 64)):
+        x.add_argument(f"--{name}", type=int, default=value)
+    x.add_argument("--task-limit", type=int)
+    x.add_argument("--task-ids", nargs="+")
+    x.add_argument("--force", action="store_true")
+    x.add_argument("--append-canonical", help="folder of the tables to append to")
+    q = step(meta, "meta")
+    q.add_argument("--fixed", default="{}", help="JSON: selector to [model, feature type]")
+    q.add_argument("--iterations", type=int, default=2000)
     return top
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import shutil
 import tarfile
+import urllib.request
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,14 +20,16 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if bad.limit(1).count() else "UTF-8"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, skip_lines: int = 0, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header, after ``skip_lines`` lines; columns by name."""
-    reader = spark.read.schema(schema).option("header", True).option("encoding", encoding or csv_encoding(spark, path)).option("mode", "PERMISSIVE")
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, skip_lines: int = 0, encoding: str | None = None) -> DataFrame:
+    """A CSV file with a header, after ``skip_lines`` lines; columns by name. Without a schema all columns are strings."""
+    reader = (spark.read.schema(schema) if schema else spark.read).option("header", True).option("encoding", encoding or csv_encoding(spark, path)).option("mode", "PERMISSIVE")
     if not skip_lines:
         return reader.csv(path)
     lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n", -1)).alias("line"))
     body = [r.line for r in lines.collect()][skip_lines:]  # small files with a preamble
-    return reader.csv(spark.createDataFrame([(x,) for x in body if x], "value string").rdd.map(lambda r: r[0])) if body else spark.createDataFrame([], schema)
+    if not body:
+        return spark.createDataFrame([], schema or StructType())
+    return reader.csv(spark.createDataFrame([(x,) for x in body if x], "value string").rdd.map(lambda r: r[0]))
 
 
 def read_sources(specs: list[tuple[str, str, StructType, int | None]], spark: SparkSession) -> dict[str, DataFrame]:
@@ -49,10 +53,32 @@ def file_digest(path: str | Path, kind: str = "md5") -> str:
         return hashlib.file_digest(f, kind).hexdigest()
 
 
-def read_archive(spark: SparkSession, archive: str, members: dict[str, tuple[str, int]], schema: StructType, folder: str, skip_lines: int = 1, md5: str | None = None) -> DataFrame:
+def download(url: str, target: str, size: int | None = None, md5: str | None = None, force: bool = False) -> Path:
+    """The file behind ``url`` under ``target``, which appears only when its size and MD5 are right; one that is there already, and right, is kept."""
+    path = Path(target)
+
+    def right(p: Path) -> bool:
+        return (size is None or p.stat().st_size == size) and (md5 is None or file_digest(p) == md5)
+
+    if path.exists() and not force and right(path):
+        return path
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(path.name + ".part")
+    try:
+        with urllib.request.urlopen(url) as source, part.open("wb") as out:  # noqa: S310
+            shutil.copyfileobj(source, out, 1 << 20)
+        if not right(part):
+            raise ValueError(f"{url}: size or MD5 is another one")
+        part.replace(path)
+    finally:
+        part.unlink(missing_ok=True)
+    return path
+
+
+def read_archive(spark: SparkSession, archive: str, members: dict[str, tuple[str, int]], schema: StructType, folder: str, skip_lines: int = 1, md5: str | None = None, id_col: str | None = None) -> DataFrame:
     """The CSV members of a tar.gz as one table with a column task. members: task to (member, expected rows).
 
-    The archive's digest, the members' presence and their row counts are checked. ``folder``: where members are unpacked, for all executors to read.
+    The archive's digest, the members' presence, their row counts and, with ``id_col``, that no id stands twice are checked. ``folder``: where members are unpacked, for all executors to read.
     """
     if md5 and file_digest(archive) != md5:
         raise ValueError("the archive's MD5 is another one")
@@ -72,6 +98,8 @@ def read_archive(spark: SparkSession, archive: str, members: dict[str, tuple[str
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if id_col and (twice := out.groupBy(id_col).count().where("count > 1").limit(5).collect()):
+        raise ValueError(f"repeated ids: {[r[0] for r in twice]}")
     return out
 
 
@@ -86,21 +114,55 @@ def read_lock(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(pair[0].alias("package"), pair[1].alias("version"), F.lower(pair[0]).alias("_k")).orderBy("_k").drop("_k")
 
 
-def file_inventory(spark: SparkSession, root: str, exclude: tuple[str, ...] = (".git/", "__pycache__/"), max_bytes: int | None = None) -> DataFrame:
-    """(path, length, sha256) of every file under ``root``; raises when one is larger than ``max_bytes``."""
+def path_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files in a folder, wherever they are stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def file_inventory(spark: SparkSession, root: str, exclude: tuple[str, ...] = (".git/", "__pycache__/", ".egg-info/", ".pyc", ".pyo"), max_bytes: int | None = None, include: tuple[str, ...] = ()) -> DataFrame:
+    """(path, length, sha256) of every file under ``root``, in order of its path; raises when one is larger than ``max_bytes``.
+
+    exclude: parts of a path (those with a slash end a folder's name, the others the path) that leave a file out. include: files, or folders with a slash behind
+    them, that alone are taken.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = "file:" + str(Path(root).resolve()) + "/"
     listed = found.select(F.regexp_replace("path", "^file:/+", "file:/").alias("p"), "length", F.sha2("content", 256).alias("sha256"))
     listed = listed.select(F.expr("substr(p, length({0}) + 1)".format(repr(base))).alias("path"), "length", "sha256")
     for part in exclude:
-        listed = listed.where(~F.concat(F.lit("/"), F.col("path")).contains("/" + part))
+        full = F.concat(F.lit("/"), F.col("path"))
+        listed = listed.where(~(full.contains(part if part.startswith(".") and part != ".git/" else "/" + part) if part.endswith("/") else full.endswith(part)))
+    if include:
+        listed = listed.where(any_of([F.col("path").startswith(p) if p.endswith("/") else F.col("path") == p for p in include]))
     if max_bytes is not None and (large := listed.where(F.col("length") >= max_bytes).limit(5).collect()):
         raise ValueError(f"too large: {[r.path for r in large]}")
-    return listed
+    return listed.orderBy("path")
+
+
+def any_of(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def inventory_totals(listed: DataFrame) -> DataFrame:
+    """(files, bytes) of an inventory."""
+    return listed.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_shards(spark: SparkSession, folders: list[str], marker: str = "_SUCCESS") -> DataFrame:
-    """The union of finished shards; raises when one lacks its marker."""
-    if missing := [f for f in folders if not (Path(f) / marker).exists()]:
+def read_shards(spark: SparkSession, folders: list[str], marker: str = "_SUCCESS", order: list[str] | None = None, unique: list[str] | None = None) -> DataFrame:
+    """The union of finished shards, in order of ``order``; raises when one lacks its marker or ``unique`` columns repeat."""
+    if missing := [f for f in folders if not exists(spark, f"{f}/{marker}")]:
         raise ValueError(f"unfinished shards: {missing}")
-    return spark.read.option("mergeSchema", True).parquet(*folders)
+    df = spark.read.option("mergeSchema", True).parquet(*folders)
+    if unique and (twice := df.groupBy(*unique).count().where("count > 1").limit(5).collect()):
+        raise ValueError(f"repeated {'+'.join(unique)}: {[tuple(r)[:-1] for r in twice]}")
+    return df.orderBy(*order) if order else df

@@ -1,13 +1,12 @@
-"""Writers that check what they wrote, refuse to repeat rows, and swap whole tables.
+"""Writers that check what they wrote, refuse to repeat rows, and swap whole tables, in any file system that Spark writes to.
 
-Swaps rename local folders. On an object store, which has no atomic rename, write to a new path and publish that path instead.
+Swaps rename folders. On an object store, which has no atomic rename, write to a new path and publish that path instead.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import shutil
 import uuid
 from pathlib import Path
 
@@ -45,23 +44,33 @@ def write_partitioned(parts: list[DataFrame], path: str, key: str, max_rows: int
     if not df.limit(1).count():
         raise ValueError("nothing to write")
     df.repartition(key).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", max_rows).partitionBy(key).parquet(path)
-    if max_bytes and (large := [str(p) for p in Path(path).rglob("*.parquet") if p.stat().st_size >= max_bytes]):
-        raise ValueError(f"too large: {large}")
+    if max_bytes:
+        files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+        if large := [r.path for r in files.where(F.col("length") >= max_bytes).select("path").limit(5).collect()]:
+            raise ValueError(f"too large: {large}")
 
 
-def swap(staged: str, target: str) -> None:
+def _files(spark: SparkSession, path: str):
+    """(file system, path in it)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def swap(spark: SparkSession, staged: str, target: str) -> None:
     """Put a finished folder in place of another; the old one comes back if that fails."""
-    new, old = Path(staged), Path(target)
-    backup = old.with_name(f".{old.name}-{uuid.uuid4().hex[:8]}")
-    if old.exists():
-        old.rename(backup)
-    try:
-        new.rename(old)
-    except OSError:
-        if backup.exists():
-            backup.rename(old)
-        raise
-    shutil.rmtree(backup, ignore_errors=True)
+    system, old = _files(spark, target)
+    _, new = _files(spark, staged)
+    head, _, name = target.rstrip("/").rpartition("/")
+    _, backup = _files(spark, f"{head}/.{name}-{uuid.uuid4().hex[:8]}")
+    there = system.exists(old)
+    if there and not system.rename(old, backup):
+        raise OSError(f"{target} can't be moved")
+    if not (system.exists(new) and system.rename(new, old)):
+        if there:
+            system.rename(backup, old)
+        raise OSError(f"{staged} can't take the place of {target}")
+    if there:
+        system.delete(backup, True)
 
 
 def append_runs(spark: SparkSession, new: DataFrame, target: str, key: str = "run_id", idempotent: bool = False) -> str:
@@ -69,7 +78,8 @@ def append_runs(spark: SparkSession, new: DataFrame, target: str, key: str = "ru
 
     Returns "created", "appended" or "unchanged".
     """
-    if not Path(target).exists():
+    system, where = _files(spark, target)
+    if not system.exists(where):
         new.write.option("compression", "zstd").parquet(target)
         return "created"
     there, ids = spark.read.parquet(target), new.select(key).distinct()
@@ -80,10 +90,26 @@ def append_runs(spark: SparkSession, new: DataFrame, target: str, key: str = "ru
         raise ValueError(f"{known} of {total} runs are in the table already")
     staged = f"{target}-{uuid.uuid4().hex[:8]}"
     union_loose([there, new]).write.option("compression", "zstd").parquet(staged)
-    swap(staged, target)
+    swap(spark, staged, target)
     return "appended"
 
 
+def merged_report(before: dict, new: dict) -> dict:
+    """A report of all runs: counts add up, records of skipped and failed runs are joined (of one run the last), requested names are united, and it fails if either did."""
+    out = before | new
+    for key in {**before, **new}:
+        a, b = before.get(key), new.get(key)
+        if key in ("skipped_runs", "failed_runs"):
+            out[key] = sorted({r["run_id"]: r for r in [*(a or []), *(b or [])]}.values(), key=lambda r: r["run_id"])
+        elif isinstance(a, list) and isinstance(b, list):
+            out[key] = sorted({*a, *b})
+        elif isinstance(a, int) and isinstance(b, int) and not isinstance(a, bool):
+            out[key] = a + b
+    if "fail" in (before.get("status"), new.get("status")):
+        out["status"] = "fail"
+    return out
+
+
 def write_report(report: dict, path: str) -> None:
     """JSON with sorted keys; numbers that are not finite are null."""
 

@@ -33,3 +33,60 @@ def test_steps_write_their_tables(spark, tmp_path):
         main(["audit", "--external", str(tmp_path / "ext"), "--observations", str(tmp_path / "obs"), "--output", out, "--no-csv"], spark)
     assert spark.read.parquet(f"{out}/exclusions").count() == 1 and spark.read.json(f"{out}/faults").count() == 1
     main(["inventory", "--root", str(tmp_path / "ext"), "--output", out, "--no-csv"], spark)
+
+
+def parse_text(text):
+    if text.startswith("?"):
+        raise ValueError(text)
+    return {"canonical": text, "parent": text, "parent_key": f"K{text}", "group_text": text[:1], "charge": 0, "heavy_atoms": len(text), "weight": 1.0}
+
+
+def make_compute(radius, n_bits, chirality):
+    return lambda text: ([float(len(text))], sorted({ord(c) % n_bits for c in text}), [])
+
+
+def test_commands_from_raw_files_to_meta_models(spark, tmp_path):
+    import sys
+
+    sys.modules["gl_stand_in"] = sys.modules[__name__]
+    r, raw, out = random.Random(4), tmp_path / "raw", str(tmp_path / "out")
+    raw.mkdir()
+    names = [f"{a}{b}{c}" for a in "CNOS" for b in "abcde" for c in "vwxyz"]
+    value = {n: -3 + ord(n[0]) / 20 + ord(n[2]) / 50 for n in names}
+    share = lambda k: [n for i, n in enumerate(names) if i % 5 != k]
+    line = lambda n: round(value[n] + r.gauss(0, 0.05), 3)
+    (raw / "AqSolDB.csv").write_text("ID,SMILES,Solubility\n" + "".join(f"{n},{n},{line(n)}\n" for n in names[:40]) + "bad,?,1\n")
+    (raw / "Delaney.csv").write_text("Compound ID,smiles,measured log solubility in mols per litre\n" + "".join(f"{n},{n},{line(n)}\n" for n in names[30:70]))
+    (raw / "aqua_org.csv").write_text("smiles,logS\n" + "".join(f"{n},{line(n)}\n" for n in names[60:]))
+    (raw / "phys_org.csv").write_text("smiles,logS\n" + "".join(f"{n},{line(n)}\n" for n in share(0)[:30]))
+    (raw / "ochem_all.csv").write_text('SMILES,"Water solubility {measured, converted}"\n' + "".join(f"{n},{-line(n)}\n" for n in share(1)[40:]))
+    main(["master", "--raw", str(raw), "--output", out, "--parser", "gl_stand_in:parse_text", "--no-csv"], spark)
+    targets = spark.read.parquet(f"{out}/targets")
+    assert targets.count() == 100 and spark.read.parquet(f"{out}/observations").where("structure_status = 'invalid_smiles'").count() == 1 and spark.read.parquet(f"{out}/dataset_summary").count() > 20
+    main(["features", "--targets", f"{out}/targets", "--output", out, "--bits", "64", "--compute", "gl_stand_in:make_compute", "--no-csv"], spark)
+    made = spark.read.parquet(f"{out}/features")
+    dense = made.select("entity_id", F.ascii(F.substring("entity_id", 2, 1)).cast("double").alias("f1"), F.ascii(F.substring("entity_id", 4, 1)).cast("double").alias("f2"))
+    dense.write.parquet(str(tmp_path / "dense"))
+    made.select("entity_id", "bits").write.parquet(str(tmp_path / "bits"))
+    main(["split", "--targets", f"{out}/targets", "--bits", str(tmp_path / "bits"), "--output", out, "--seeds", "13", "--strategies", "random", "--no-csv"], spark)
+    table = f"rdkit_descriptors={tmp_path / 'dense'}"
+    within = ["baselines", "--targets", f"{out}/targets", "--assignments", f"{out}/split_assignments", "--features", table, "--output", f"{out}/within"]
+    main([*within, "--models", "dummy", "ridge"], spark)
+    main([*within, "--models", "knn", "--append"], spark)
+    assert spark.read.parquet(f"{out}/within/model_results").count() == 3
+    with pytest.raises(ValueError, match="already"):
+        main([*within, "--models", "knn", "--append"], spark)
+    main(["holdouts", "--observations", f"{out}/observations", "--bits", str(tmp_path / "bits"), "--output", out, "--seeds", "1", "--sources", "AqSolDB", "Delaney", "AQUA", "--no-csv"], spark)
+    assert spark.read.parquet(f"{out}/holdout_summary").count() == 3
+    runs = ["holdout_runs", "--tasks", f"{out}/holdout_tasks", "--descriptors", str(tmp_path / "dense"), "--features", table, "--output", f"{out}/held", "--models", "dummy", "ridge", "knn", "elastic_net", "hist_gradient_boosting", "--no-csv"]
+    main(runs, spark)
+    meta = spark.read.parquet(f"{out}/held/source_meta")
+    assert meta.count() == 15 and meta.where("y_top = 1").count() == 9 and spark.read.parquet(f"{out}/held/group_summary").where("heldout IS NULL").count() == 0
+    main(["meta", "--meta", f"{out}/held/source_meta", "--output", f"{out}/meta", "--iterations", "100", "--fixed", '{"fixed_ridge": ["ridge", "rdkit_descriptors"]}', "--no-csv"], spark)
+    selectors = {x.selector for x in spark.read.parquet(f"{out}/meta/selected_candidates").collect()}
+    assert {"oracle", "fixed_ridge", "meta_model_logistic", "meta_model_bayesian_logistic_laplace", "ablation_hgb_full"} <= selectors and spark.read.parquet(f"{out}/meta/importances").count() > 30
+    with pytest.raises(ValueError, match="100"):
+        main(["meta", "--meta", f"{out}/held/source_meta", "--output", f"{out}/meta", "--iterations", "10"], spark)
+    sys.modules["gl_trainer"] = __import__("test_experiments")
+    main(["external", "--tasks", f"{out}/holdout_tasks", "--structures", f"{out}/targets", "--trainer", "gl_trainer:make_trainer", "--output", f"{out}/program", "--task-limit", "1", "--no-csv"], spark)
+    assert spark.read.parquet(f"{out}/program/within_results_partial").count() == 1

@@ -14,7 +14,7 @@ def test_out_of_source_predictions(spark):
     assert predictors(frame) == (["x_a", "x_b"], ["x_c"])
     got = out_of_source(frame, ("logistic",)).collect()
     assert len(got) == 90 and np.mean([(g.probability > 0.5) == bool(g.y_top) for g in got]) > 0.9
-    without = ablations(frame, {"all": (), "no_a": ("x_a",)}).collect()
+    without = ablations(frame, {"all": ("x_a", "x_b", "x_c"), "no_a": ("x_b", "x_c")}, "logistic").collect()
     hit = {a: np.mean([(g.probability > 0.5) == bool(g.y_top) for g in without if g.ablation == a]) for a in ("all", "no_a")}
     assert hit["all"] > 0.9 > hit["no_a"]
     with pytest.raises(ValueError, match="missing"):
