@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from gaugelake.llm._shared import materialize, work_path
 from gaugelake.llm.embedding_dedup import near_vectors
+from gaugelake.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, words_of
 from gaugelake.llm.line_dedup import dedup_lines
 from gaugelake.llm.minhash_dedup import near_duplicates
 from gaugelake.llm.mixing import mix_sources, words_in
 from gaugelake.llm.packing import pack_documents
+from gaugelake.llm.phrases import mine_phrases
 from gaugelake.llm.pretokens import tokenizer_path
 from gaugelake.llm.quality_rules import CLASSES, COMMON_WORDS, quality_rules
 from gaugelake.llm.sentence_spans import WIDE_STOPS, dedup_spans
@@ -246,10 +248,77 @@ SELECT doc_id, strlen(text)::BIGINT AS n_bytes, (strlen(text) - strlen(kept))::B
 """
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_documents(spark, sf_dir))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP11_SQL = rf"""
+WITH p AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), f1 AS (
+    SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(w) AS g FROM p) GROUP BY lang, g
+), f2 AS (
+    SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM p WHERE len(w) >= 2) GROUP BY lang, g
+), f3 AS (
+    SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM p WHERE len(w) >= 3) GROUP BY lang, g HAVING count(*) >= 10
+), c AS (
+    SELECT lang, g AS phrase, f AS a, 1 AS k, split_part(g, ' ', 1) AS head, split_part(g, ' ', 2) AS tail FROM f2 WHERE f >= 10
+    UNION ALL SELECT lang, g, f, 1, split_part(g, ' ', 1), split_part(g, ' ', 2) || ' ' || split_part(g, ' ', 3) FROM f3
+    UNION ALL SELECT lang, g, f, 2, split_part(g, ' ', 1) || ' ' || split_part(g, ' ', 2), split_part(g, ' ', 3) FROM f3
+), f AS (
+    SELECT * FROM f1 UNION ALL SELECT * FROM f2
+), s AS (
+    SELECT c.*, h.f AS l, t.f AS r, (1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f) AS score FROM c JOIN f AS h ON c.lang = h.lang AND head = h.g JOIN f AS t ON c.lang = t.lang AND tail = t.g
+), b AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s) WHERE cut = 1
+), i AS (
+    SELECT lang, g, max(f) AS longer FROM (SELECT lang, f, unnest([split_part(g, ' ', 1) || ' ' || split_part(g, ' ', 2), split_part(g, ' ', 2) || ' ' || split_part(g, ' ', 3)]) AS g FROM f3) GROUP BY lang, g
+), o AS (
+    SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.g WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT o.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang) AS t ON o.lang = t.lang WHERE rank <= 2000
+"""
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_documents(spark, sf_dir))
+    return found.drop("matches")
+
+
+def _op12_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    rows = ", ".join(f"('{label}', {len(words_of(t))}, {quoted(sorted(set(words_of(t))))})" for label, t in TEMPLATES)
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + {len(words_of(p))}] = {quoted(words_of(p))})) AS i FROM w" for label, p in PHRASES
+    )
+    return rf"""
+    WITH w AS (
+        SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), t AS (
+        SELECT * FROM (VALUES {rows}) AS t(label, k, tokens)
+    ), b AS (
+        SELECT doc_id, label, tokens, w[a + 1:a + 2 * k] AS block FROM (SELECT *, unnest(range(0, len(w), k)) AS a FROM w, t)
+    ), m AS (
+        SELECT doc_id, label, len(list_intersect(list_distinct(block), tokens)) AS shared, len(tokens) AS size FROM b
+    ), h AS (
+        SELECT doc_id, label, max(shared::DOUBLE / size) AS share FROM m WHERE 100 * shared >= 85 * size GROUP BY doc_id, label
+    ), p AS ({phrases}), n AS (
+        SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id
+    ), e AS (
+        SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM h UNION ALL SELECT doc_id, label FROM p) GROUP BY doc_id
+    ), s AS (
+        SELECT doc_id, max(share) AS score FROM h GROUP BY doc_id
+    )
+    SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+    FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN e ON w.doc_id = e.doc_id LEFT JOIN s ON w.doc_id = s.doc_id"""
+
+
 def queries() -> dict:
     every = (
         op1_minhash_dedup, op2_mix_sources, op3_quality_rules, op4_embedding_dedup, op5_line_dedup, op6_token_counts, op7_packing,
-        op8_substring_dedup, op9_token_files, op10_sentence_spans,
+        op8_substring_dedup, op9_token_files, op10_sentence_spans, op11_phrases, op12_license_scan,
     )
     return {f.__name__: f for f in every}
 
@@ -263,4 +332,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_dedup": _OP4_SQL,
         "op5_line_dedup": _OP5_SQL,
         "op10_sentence_spans": _OP10_SQL,
+        "op11_phrases": _OP11_SQL,
+        "op12_license_scan": _op12_sql(),
     }
