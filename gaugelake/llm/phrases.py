@@ -241,7 +241,7 @@ def _pass(texts: DataFrame, length: int, longest: int, bits: int, cap: int, freq
 
 
 def mine_phrases(
-    docs: DataFrame, text_col: str = "text", group_col: str = "lang", *, max_words: int = 3, min_count: int = 10, covered: int = 50, top: int = 2000, bucket_bits: int = 24
+    docs: DataFrame, text_col: str = "text", group_col: str = "lang", *, max_words: int = 3, min_count: int = 10, covered: int = 50, top: int = 2000, bucket_bits: int = 26
 ) -> DataFrame:
     """(group_col, rank, phrase, a, l, r, n, score): the best phrases of 2 to ``max_words`` words of each group (null: und).
 
@@ -251,7 +251,7 @@ def mine_phrases(
     one with ``covered`` percent of its places or more is left out. Exact: decimals of 38 digits, up to 10 ** 16 places.
 
     Null and empty texts have no words; a text's length is free (it is cut into words piece by piece); repeated rows count again; no text gives no row.
-    Other columns are not read. ``bucket_bits``: the bitmaps' size is 2 ** bits / 8 bytes (2 MB); more of them prune better, results stay the same.
+    Other columns are not read. ``bucket_bits``: the bitmaps' size is 2 ** bits / 8 bytes (8 MB); more of them prune better, results stay the same.
     """
     cap = min(min_count, 255)
     texts = docs.select(F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit("und")).alias("grp"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
