@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import subprocess
 import time
 from collections.abc import Sequence
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from gaugelake.models.regressors import errors
 from gaugelake.operators import metrics, residuals
 from gaugelake.sources.readers import exists, read_shards
+from gaugelake.tables import written
 
 MARKER = "_complete.json"
 
@@ -53,7 +55,9 @@ def child_environment(more: dict | None = None) -> dict:
 
 
 def _call(command: Sequence[str], values: dict, where: Path, environment: dict | None) -> float:
-    words = [w.format(**values) for w in command]
+    # Only the known names in braces stand for values: programs and their arguments may hold any other braces.
+    known = re.compile("{(" + "|".join(map(re.escape, values)) + ")}")
+    words = [known.sub(lambda m: str(values[m[1]]), w) for w in command]
     start = time.perf_counter()
     done = subprocess.run(words, cwd=where, env=child_environment(environment), capture_output=True, text=True, check=False)  # noqa: S603
     if done.returncode:
@@ -76,11 +80,21 @@ def predicted_values(path: Path, column: str, expected: int) -> np.ndarray:
     return values
 
 
-_ROW = "task_id string, strategy string, repeat int, seed int, heldout string, entity_id string, partition string, truth double, predicted double, train_seconds double, predict_seconds double"
+_ROW = "task_id string, strategy string, repeat int, seed int, heldout string, entity_id string, partition string, truth double, predicted double, train_seconds double, predict_seconds double, reason string"
 
 
 def _train_task(trainer: Trainer):
+    names = [f.split(" ")[0] for f in _ROW.split(", ")]
+
     def run(frame):
+        import pandas as pd
+
+        try:
+            return trained(frame)
+        except Exception as e:  # noqa: BLE001  told in the task's only row, so that other tasks' rows stay
+            return pd.DataFrame([dict.fromkeys(names) | {"task_id": frame["task_id"].iloc[0], "reason": f"{type(e).__name__}: {e}"[:1000]}])
+
+    def trained(frame):
         with TemporaryDirectory(prefix="gaugelake-task-") as scratch:  # one process's own
             where = Path(scratch)
             frame = frame.sort_values("entity_id", kind="stable")
@@ -102,7 +116,7 @@ def _train_task(trainer: Trainer):
             import pandas as pd
 
             made = pd.concat(parts).assign(train_seconds=trained).rename(columns={"target": "truth"})
-            return made[[f.split(" ")[0] for f in _ROW.split(", ")]]
+            return made.assign(reason=None)[names]
 
     return run
 
@@ -121,8 +135,8 @@ def _marker(spark: SparkSession, folder: str, settings: dict | None = None) -> d
 def run_external(tasks: DataFrame, trainer: Trainer, folder: str, force: bool = False) -> list[str]:
     """Train every task of ``tasks`` (see ``holdouts.task_rows``) that has no finished shard of equal settings under ``folder``; returns the ids of those that ran.
 
-    All pending tasks run in parallel; each finished one is a shard with a marker. A task that fails ends the call after the others' shards are kept
-    only if it is run task by task: give few tasks a call where programs are likely to fail.
+    All pending tasks run in parallel, and each finished one becomes a shard with a marker. Tasks that fail leave none; the call then ends with an error that
+    names them, after all others' shards are kept, and the next call takes up the failed ones alone.
     """
     spark = tasks.sparkSession
     ids = sorted(r[0] for r in tasks.select("task_id").distinct().collect())  # a row a task
@@ -131,11 +145,13 @@ def run_external(tasks: DataFrame, trainer: Trainer, folder: str, force: bool =
         return []
     columns = ["task_id", "strategy", "repeat", "seed", F.col("heldout") if "heldout" in tasks.columns else F.lit(None).cast("string").alias("heldout"), F.col("entity_id").cast("string").alias("entity_id"), "partition", "structure", "target"]
     rows = tasks.where(F.col("task_id").isin(pending)).select(*columns)
-    made = rows.repartition(len(pending), "task_id").groupBy("task_id").applyInPandas(_train_task(trainer), _ROW).persist()
-    for t in pending:
-        made.where(F.col("task_id") == t).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{t}/rows")
+    made, _ = written(rows.repartition(len(pending), "task_id").groupBy("task_id").applyInPandas(_train_task(trainer), _ROW), "trained")
+    failed = {r.task_id: r.reason for r in made.where("reason IS NOT NULL").select("task_id", "reason").collect()}  # a row a task
+    for t in (t for t in pending if t not in failed):
+        made.where(F.col("task_id") == t).drop("reason").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{t}/rows")
         _marker(spark, f"{folder}/{t}", trainer.settings)
-    made.unpersist()
+    if failed:
+        raise RuntimeError(f"failed tasks: {failed}")
     return pending
 
 

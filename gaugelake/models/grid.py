@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugelake.tables import written
+
 #: Adapters for other libraries register here: name to (candidates, factory of an estimator).
 EXTRA: dict[str, tuple[list[dict], Callable]] = {}
 
@@ -57,7 +59,7 @@ def _errors(df: DataFrame) -> dict:
 
 def run_grid(frame: DataFrame, features: list[str], models: list[str], feature_type: str, strategy: str, repeat: int, seed: int) -> DataFrame:
     """One row a model: best parameters, validation and test errors. frame: entity_id, target, partition, features. A model that fails is told in ``failure``; the others go on."""
-    frame = frame.persist()
+    frame, _ = written(frame, "frame")
     side = {p: frame.where(F.col("partition") == p) for p in ("train", "validation", "test")}
     rows = []
     for model in models:
@@ -71,5 +73,4 @@ def run_grid(frame: DataFrame, features: list[str], models: list[str], feature_t
             rows.append((run, model, feature_type, strategy, repeat, seed, None, None, None, None, None, None, None, None, str(e)[:500]))
     names = "run_id string, model string, feature_type string, strategy string, repeat int, seed int, best_parameters string, validation_rmse double, validation_mae double, validation_r2 double, test_rmse double, test_mae double, test_r2 double, n_test long, failure string"
     out = frame.sparkSession.createDataFrame(rows, names)
-    frame.unpersist()
     return out

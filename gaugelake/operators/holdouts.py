@@ -12,8 +12,9 @@ from gaugelake.operators.checks import ORIGINS, require_columns
 from gaugelake.operators.metrics import average_ranks
 from gaugelake.operators.overlap import without_entities_of
 from gaugelake.operators.resolve import NEEDED, resolve_targets
-from gaugelake.operators.similarity import max_similarity
-from gaugelake.operators.splits import SEEDS, chance_rank, group_of
+from gaugelake.operators.similarity import max_similarity_by_task
+from gaugelake.operators.splits import SEEDS, chance_rank, group_of, seed_tasks
+from gaugelake.tables import small, written
 
 
 def source_targets(obs: DataFrame, sources: Iterable[str] | None = None, **how) -> DataFrame:
@@ -57,28 +58,25 @@ def source_holdout_tasks(obs: DataFrame, bits: DataFrame | None = None, sources:
     targets = source_targets(obs, sources, **how | ({"labels": (*how.get("labels", ()), group)} if group else {})).where("primary")
     kept = ["reliability", "n_observations", "n_sources", "sources", "value_range", "primary", "origin"]
     named = targets.withColumn("grp", group_of(F.col(group).cast("string"), F.col("entity_id")) if group else F.lit(None).cast("string"))
-    slim = named.select("heldout", "side", "entity_id", "target", "grp", *kept)
+    slim, _ = written(named.select("heldout", "side", "entity_id", "target", "grp", *kept), "targets")
     if bits is not None and (bare := slim.join(bits, "entity_id", "left_anti").select("entity_id").limit(5).collect()):
         raise ValueError(f"no bits for {[r[0] for r in bare]}")
-    tasks = F.broadcast(obs.sparkSession.createDataFrame(list(enumerate(map(int, seeds), 1)), "repeat int, seed int"))  # a row a seed
+    tasks = F.broadcast(seed_tasks(obs.sparkSession, seeds))  # a row a seed
     fit = slim.where("side = 'fit'")
     ranked = average_ranks(fit, ["heldout"], "target", "_rank")
-    sizes = fit.groupBy("heldout").agg(F.count("*").alias("_n"))
-    binned = ranked.join(F.broadcast(sizes), "heldout").withColumn("_bin", F.least(F.floor((F.col("_rank") - 0.5) * strata / F.col("_n")), F.lit(strata - 1)).cast("int"))
+    sizes, seen = written(fit.groupBy("heldout").agg(F.count("*").alias("_n")), "sizes")
+    binned = ranked.join(small(sizes, seen["n"]), "heldout").withColumn("_bin", F.least(F.floor((F.col("_rank") - 0.5) * strata / F.col("_n")), F.lit(strata - 1)).cast("int"))
+    binned, _ = written(binned.drop("_rank", "_n"), "strata")
     upto = Window.partitionBy("heldout").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # ``strata`` rows
     whole = lambda c: F.bround(share * c).cast("long")
     quota = binned.groupBy("heldout", "_bin").agg(F.count("*").alias("_k")).withColumn("_upto", F.sum("_k").over(upto)).select("heldout", "_bin", (whole(F.col("_upto")) - whole(F.col("_upto") - F.col("_k"))).alias("_quota"))
-    dealt = chance_rank(binned.drop("_rank", "_n").crossJoin(tasks), ["heldout", "repeat", "_bin"], "entity_id", F.col("seed")).join(F.broadcast(quota), ["heldout", "_bin"])
+    quota, seen = written(quota, "quotas")
+    dealt = chance_rank(binned.crossJoin(tasks), ["heldout", "repeat", "_bin"], "entity_id", F.col("seed")).join(small(quota, seen["n"]), ["heldout", "_bin"])
     dealt = dealt.withColumn("partition", F.when(F.col("chance") <= F.col("_quota"), "train").otherwise("validation"))
     test = slim.where("side = 'test'").crossJoin(tasks).withColumn("partition", F.lit("test"))
     columns = ["heldout", "repeat", "seed", "entity_id", "partition", "grp", "target", *kept]
-    out = dealt.select(*columns).unionByName(test.select(*columns)).persist()  # read for both sides' similarities and for the result
-    if bits is None:
-        out = out.withColumn("max_similarity", F.lit(None).cast("double"))
-    else:
-        held = out.select("heldout", "repeat", "entity_id", "partition").join(bits.select("entity_id", "bits"), "entity_id")
-        near = max_similarity(held.where("partition <> 'train'"), held.where("partition = 'train'"), ("heldout", "repeat"))
-        out = out.join(near, ["heldout", "repeat", "entity_id"], "left")
+    out = dealt.select(*columns).unionByName(test.select(*columns))
+    out = out.withColumn("max_similarity", F.lit(None).cast("double")) if bits is None else max_similarity_by_task(out, bits, ["heldout", "repeat"])
     strategy = F.concat(F.lit("source_holdout_"), slug_or_error(F.col("heldout")))
     return out.withColumns({"strategy": strategy, "task_id": F.concat(strategy, F.lit("_r"), F.col("repeat").cast("string"))})
 

@@ -1,37 +1,29 @@
 """Regression and classification metrics by group.
 
-Ranks and thresholds need scores in order. They are first counted by distinct score; sums before a score are those of the coarser
-buckets before it and those inside its bucket, so no window holds a whole group.
+Ranks and thresholds need scores in order. Rows are first counted by distinct score; sums before a score come from one sort over all tasks
+(``ranks.running_sums``), so no window and no task holds a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def _bucket(score: Column) -> Column:
-    """A whole number that grows with the score, 256 to each doubling and sign: the upper bits of its size. Smaller scores than 1e-12 share one."""
-    size = F.floor(256 * F.log2(F.abs(score) + F.lit(1e-12))).cast("long") + 16_000
-    return F.when(score >= 0, size).otherwise(-size)
+from gaugelake.operators.ranks import running_sums
+from gaugelake.tables import small, written
 
 
-def sums_before(counts: DataFrame, keys: list[str], score: str, names: list[str], descending: bool = False) -> DataFrame:
-    """``counts`` (one row for each score of a group) with ``before_x`` for each x of ``names``: the sum over the group's scores that come first."""
-    df = counts.withColumn("_b", (-1 if descending else 1) * _bucket(F.col(score)))
-    order = F.desc(score) if descending else F.asc(score)
-    buckets = df.groupBy(*keys, "_b").agg(*[F.sum(n).alias(f"_{n}") for n in names])
-    ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
-    buckets = buckets.select(*keys, "_b", *[F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_a{n}") for n in names])
-    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.join(buckets, [*keys, "_b"])
-    return df.select(*counts.columns, *[(F.col(f"_a{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"before_{n}") for n in names])
+def _mean_ranks(counts: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """(keys, column, name): the mean rank of each value, of rows (keys, column, n)."""
+    placed = running_sums(counts, keys, [column], ["n"])
+    return placed.select(*keys, column, (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
 
 
 def average_ranks(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """``df`` with the rank of ``column`` in its group; ties share their mean rank."""
+    df, _ = written(df, "ranked")  # counted, then joined
     counts = df.groupBy(*keys, column).agg(F.count("*").alias("n"))
-    ranks = sums_before(counts, keys, column, ["n"]).select(*keys, column, (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, column])
+    return df.join(_mean_ranks(counts, keys, column, name), [*keys, column])
 
 
 def regression_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,14 +34,13 @@ def regression_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
     named = [f"_key{i}" for i in range(len(keys))]
     # Null keys stay groups through the joins below: each key travels as a struct.
     shaped = predictions.select(*[F.struct(F.col(k)).alias(n) for k, n in zip(keys, named, strict=True)], F.col("truth").cast("double").alias("truth"), F.col("predicted").cast("double").alias("predicted"))
-    pairs = shaped.groupBy(*named, "truth", "predicted").agg(F.count("*").alias("_n"))
+    pairs, _ = written(shaped.groupBy(*named, "truth", "predicted").agg(F.count("*").alias("_n")), "pairs")
     full = pairs.where("truth IS NOT NULL AND predicted IS NOT NULL")
 
     def ranks(column: str, name: str) -> DataFrame:
-        counts = full.groupBy(*named, column).agg(F.sum("_n").alias("n"))
-        return sums_before(counts, named, column, ["n"]).select(*named, column, (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
+        return _mean_ranks(full.groupBy(*named, column).agg(F.sum("_n").alias("n")), named, column, name)
 
-    ranked = full.join(ranks("truth", "_rt"), [*named, "truth"]).join(ranks("predicted", "_rp"), [*named, "predicted"])
+    ranked, _ = written(full.join(ranks("truth", "_rt"), [*named, "truth"]).join(ranks("predicted", "_rp"), [*named, "predicted"]), "ranked")
     w, gap, t = F.col("_n"), F.col("truth") - F.col("predicted"), F.col("truth")
     n = F.sum(w)
     # Ranks of n rows have the mean (n + 1) / 2.
@@ -58,9 +49,10 @@ def regression_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
         n.alias("n"), F.sum(w * gap * gap).alias("_sse"), F.sum(w * F.abs(gap)).alias("_sae"), F.avg(t).alias("_any"), F.sum(w * t).alias("_st"), F.count_distinct("truth").alias("_nt"), F.count_distinct("predicted").alias("_np"),
         F.sum(w * F.col("_rt") * F.col("_rp")).alias("_tp"), F.sum(w * F.col("_rt") * F.col("_rt")).alias("_tt"), F.sum(w * F.col("_rp") * F.col("_rp")).alias("_pp"),
     )
+    out, seen = written(out, "sums")
     means = out.select(*named, (F.col("_st") / F.col("n")).alias("_mean"))
-    spread = full.join(F.broadcast(means), named).groupBy(*named).agg(F.sum(w * (t - F.col("_mean")) * (t - F.col("_mean"))).alias("_sst"))  # a row a group
-    every = shaped.groupBy(*named).agg(F.count("*").alias("_all"))
+    spread = full.join(small(means, seen["n"]), named).groupBy(*named).agg(F.sum(w * (t - F.col("_mean")) * (t - F.col("_mean"))).alias("_sst"))
+    every = pairs.groupBy(*named).agg(F.sum("_n").alias("_all"))
     out = every.join(out, named, "left").join(spread, named, "left")
     square = F.col("n") * middle * middle
     rho = F.when((F.col("_nt") > 1) & (F.col("_np") > 1), F.try_divide(F.col("_tp") - square, F.sqrt((F.col("_tt") - square) * (F.col("_pp") - square))))
@@ -84,12 +76,13 @@ def interval(predictions: DataFrame, z: float = 1.96) -> DataFrame:
 
 def classification_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     """ROC AUC (Mann-Whitney), average precision, Brier score and log loss of (label 0/1, probability) by group; the first two are null for one class alone."""
-    df = scored.where("label IS NOT NULL AND probability IS NOT NULL").select(*keys, F.col("label").cast("long").alias("label"), F.col("probability").cast("double").alias("probability"))
+    slim = scored.where("label IS NOT NULL AND probability IS NOT NULL").select(*keys, F.col("label").cast("long").alias("label"), F.col("probability").cast("double").alias("probability"))
+    df, _ = written(slim, "scores")
     p = F.least(F.greatest(F.col("probability"), F.lit(2.220446049250313e-16)), F.lit(1 - 2.220446049250313e-16))
     loss = -F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p))
     plain = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg(F.pow(F.col("probability") - F.col("label"), 2)).alias("brier"), F.avg(loss).alias("log_loss"))
     counts = df.groupBy(*keys, "probability").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    placed = sums_before(counts, keys, "probability", ["n", "pos"], descending=True)
+    placed = running_sums(counts, keys, ["probability"], ["n", "pos"], descending=True)
     # A positive ranks before the negatives below its score, and half before those at it.
     above = (F.col("before_n") - F.col("before_pos")) + (F.col("n") - F.col("pos")) / 2
     precision = (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n"))

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugelake.tables import written
+
 #: Rows of a block.
 BLOCK = 4096
 
@@ -28,14 +30,18 @@ def _matrix(bits, width: int) -> np.ndarray:
     return out
 
 
-def best_of(queries: np.ndarray, train: np.ndarray, same: np.ndarray | None, k: int, measure: str) -> tuple[np.ndarray, np.ndarray]:
-    """(places in ``train``, similarities) of the k most similar rows of each query, the first of equal ones; ``same``: pairs that are no candidates."""
+def scores(queries: np.ndarray, train: np.ndarray, measure: str = "tanimoto") -> np.ndarray:
+    """Similarity of each two rows of bit matrices; 0 where neither has a bit. Cosines to 12 places."""
     both = (queries @ train.T).astype(np.float64)  # whole numbers below 2^24
     nq, nt = queries.sum(axis=1, dtype=np.float64)[:, None], train.sum(axis=1, dtype=np.float64)[None, :]
     under = nq + nt - both if measure == "tanimoto" else np.sqrt(nq * nt)
     score = np.divide(both, under, out=np.zeros_like(both), where=under > 0)
-    if measure == "cosine":
-        score = np.round(score, 12)
+    return np.round(score, 12) if measure == "cosine" else score
+
+
+def best_of(queries: np.ndarray, train: np.ndarray, same: np.ndarray | None, k: int, measure: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``train``, similarities) of the k most similar rows of each query, the first of equal ones; ``same``: pairs that are no candidates."""
+    score = scores(queries, train, measure)
     if same is not None:
         score[same] = -1
     near = np.argsort(-score, axis=1, kind="stable")[:, :k]
@@ -50,9 +56,8 @@ def most_similar(queries: DataFrame, train: DataFrame, k: int = 1, keys: tuple[s
     """
     own, number = queries.schema["entity_id"].dataType.simpleString(), F.pmod(F.xxhash64("entity_id"), F.lit(1 << 40))
     side = lambda df, s: df.select(*keys, F.lit(s).alias("side"), F.col("entity_id").alias("id"), F.coalesce("bits", F.array().cast("array<int>")).cast("array<int>").alias("bits"), number.alias("_n"))
-    rows = side(queries, 0).unionByName(side(train, 1)).persist()  # counted, then dealt
-    sizes = rows.agg(F.count_if(F.col("side") == 0).alias("q"), F.count_if(F.col("side") == 1).alias("t")).first()
-    n, m = (max(1, -(-sizes[s] // BLOCK)) for s in ("q", "t"))
+    rows, sizes = written(side(queries, 0).unionByName(side(train, 1)), "bits", q=F.count_if(F.col("side") == 0), t=F.count_if(F.col("side") == 1))
+    n, m = (max(1, -(-sizes.get(s, 0) // BLOCK)) for s in ("q", "t"))
     q = rows.where("side = 0").withColumn("i", F.pmod("_n", F.lit(n)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     t = rows.where("side = 1").withColumn("j", F.pmod("_n", F.lit(m)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     kinds = dict(queries.dtypes)
@@ -89,3 +94,65 @@ def max_similarity(queries: DataFrame, train: DataFrame, keys: tuple[str, ...] =
     """For each query the similarity of its nearest row of ``train`` (with equal ``keys``, columns of both); 0 where no bit is shared."""
     best = most_similar(queries, train, 1, keys, others).select(*keys, F.col("query").alias("entity_id"), F.col("similarity").alias("max_similarity"))
     return queries.select(*keys, "entity_id").join(best, [*keys, "entity_id"], "left").select(*keys, "entity_id", F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"))
+
+
+def max_similarity_by_task(assignments: DataFrame, bits: DataFrame, keys: list[str]) -> DataFrame:
+    """``assignments`` with max_similarity: of each row that isn't train, the similarity of its entity to the nearest train row of its task; null for train.
+
+    A task is a combination of ``keys`` (columns of ``assignments``; none: one task). All tasks share one product: an entity carries a list of tasks in
+    which it is train and one of those in which it isn't, two blocks meet once, and each task reads the maxima of its rows and columns from the same
+    scores. Null sets are empty; 0 where no bit is shared or a task has no train rows; an entity without bits has 0 too.
+    """
+    assigned, seen = written(assignments, "assigned")
+    tasks = assigned.select(*keys).distinct().orderBy(*keys).collect() if keys else [()]  # a row a task
+    spark, named = assigned.sparkSession, [f"_{c}" for c in keys]
+    kinds = dict(assigned.dtypes)
+    numbers = spark.createDataFrame([(*t, i) for i, t in enumerate(tasks)], ", ".join([*[f"`_{c}` {kinds[c]}" for c in keys], "_task int"]))
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(keys, named, strict=True)]
+    numbered = (assigned.join(F.broadcast(numbers), on) if keys else assigned.crossJoin(F.broadcast(numbers))).drop(*named)
+    train = F.col("partition") == "train"
+    sides = numbered.groupBy("entity_id").agg(F.collect_list(F.when(train, F.col("_task"))).alias("fit"), F.collect_list(F.when(~train, F.col("_task"))).alias("ask"))
+    rows, size = written(sides.join(bits.select("entity_id", F.coalesce("bits", F.array().cast("array<int>")).cast("array<int>").alias("bits")), "entity_id"), "sides")
+    n = max(1, -(-size["n"] // BLOCK))
+    block = F.pmod(F.xxhash64("entity_id"), F.lit(n)).cast("int")
+    # Each block meets each other one once, at (lesser, greater).
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    dealt = rows.withColumn("own", block).withColumn("p", F.explode(pairs)).select("entity_id", "fit", "ask", "bits", "own", "p.i", "p.j")
+    own = rows.schema["entity_id"].dataType.simpleString()
+    count = len(tasks)
+
+    def tile(group):
+        import pandas as pd
+
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        width = 1 + max((int(max(x)) for x in group["bits"] if len(x)), default=0)
+        sides = [group[group["own"] == b] for b in ((i, j) if i != j else (i,))]
+        held = [(side["entity_id"].to_numpy(), _matrix(side["bits"], width), _mask(side["fit"], count), _mask(side["ask"], count)) for side in sides]
+        out = {"task": [], "entity_id": [], "similarity": []}
+        for a, b in ((0, 1), (1, 0)) if i != j else ((0, 0),):
+            if len(sides) <= max(a, b):
+                continue
+            ids, left, _, ask = held[a]
+            _, right, fit, _ = held[b]
+            if not len(ids) or not len(right):
+                continue
+            score = scores(left, right)
+            for t in range(count):
+                r, c = np.flatnonzero(ask[:, t]), np.flatnonzero(fit[:, t])
+                if len(r) and len(c):
+                    out["task"] += [t] * len(r)
+                    out["entity_id"] += ids[r].tolist()
+                    out["similarity"] += score[np.ix_(r, c)].max(axis=1).tolist()
+        return pd.DataFrame(out)
+
+    found = dealt.groupBy("i", "j").applyInPandas(tile, f"task int, entity_id {own}, similarity double")
+    best, _ = written(found.groupBy("task", "entity_id").agg(F.max("similarity").alias("_best")).withColumnsRenamed({"task": "_task"}), "nearest")
+    out = numbered.join(best, ["_task", "entity_id"], "left")
+    return out.withColumn("max_similarity", F.when(~train, F.coalesce("_best", F.lit(0.0)))).select(*assignments.columns, "max_similarity")
+
+
+def _mask(lists, tasks: int) -> np.ndarray:
+    out = np.zeros((len(lists), tasks), bool)
+    for row, places in enumerate(lists):
+        out[row, np.asarray(places, np.int64)] = True
+    return out

@@ -41,13 +41,7 @@ def targets(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def split(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     known, bits = readers.read_parquet(spark, args.targets).where("primary"), readers.read_parquet(spark, args.bits)
-    parts = []
-    for repeat, seed in enumerate(args.seeds, 1):
-        made = {"random": lambda s: splits.random_partitions(known, s), "group": lambda s: splits.group_partitions(known, s), "low_similarity": lambda s: splits.low_similarity_partitions(known, bits, s)}
-        for name in args.strategies:
-            a = made[name](seed).join(known.select("entity_id", "grp"), "entity_id")
-            parts.append(splits.with_similarity(a, bits).withColumns({"strategy": F.lit(name), "repeat": F.lit(repeat), "seed": F.lit(seed)}))
-    out = _save(checks.union(parts), args, "split_assignments")
+    out = _save(splits.split_assignments(known, bits, args.strategies, args.seeds), args, "split_assignments")
     _save(reports.split_report(_save(splits.split_quality(out, known), args, "split_quality")), args, "split_report")
     return checks.split_faults(out, known)
 

@@ -9,7 +9,7 @@ from gaugelake.models import experiments, meta
 from gaugelake.models.regressors import DESCRIPTORS
 from gaugelake.operators import holdouts, reports, selection, splits, tasks
 from gaugelake.operators.checks import union
-from gaugelake.plans.audit import _BINNED, _BITS, _LOW, _OBS, _SEL, _SUMMARY, _candidates, _query, _stratified, bits, observations
+from gaugelake.plans.audit import _BINNED, _BITS, _LOW, _OBS, _SEL, _SQL, _SUMMARY, _candidates, _query, _stratified, bits, observations
 from gaugelake.sources.harmonise import COLUMNS, TYPES, harmonise
 
 # ---- hold-out tasks
@@ -88,34 +88,39 @@ def holdout_target_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- task features with similarity
 
-_SPLIT_SEEDS = ((1, 13), (2, 37))
+_SPLIT_SEEDS = tuple(enumerate(splits.SEEDS, 1))
 _LOW_SPLIT = "SELECT entity_id, 'train' AS partition FROM s1 WHERE chosen UNION ALL SELECT entity_id, CASE WHEN p <= tenth THEN 'test' WHEN p <= 2 * tenth THEN 'validation' ELSE 'train' END FROM o"
 
 
-def _low(seed: int) -> str:
-    """The split by low similarity of this seed; the constant is that of seed 13."""
-    return _LOW.replace("'13:'", f"'{seed}:'")
+def _of_seed(strategy: str, seed: int) -> str:
+    """The assignments of this seed; the constants they come from are those of seed 13."""
+    if strategy == "low_similarity":
+        return f"WITH {_LOW.replace(chr(39) + '13:' + chr(39), chr(39) + f'{seed}:' + chr(39))} {_LOW_SPLIT}"
+    if strategy == "group":
+        return _SQL["scaffold_split"].replace("'13:'", f"'{seed}:'")
+    first, second = _stratified("", "bn", "0.8::DOUBLE", seed, "s1"), _stratified("", "r1", "0.5::DOUBLE", seed + 1, "s2")
+    return f"""WITH {_BINNED.format(src=_BITS, t='vb')}, {first}, r1 AS (SELECT entity_id, bin FROM s1 WHERE NOT chosen), {second}
+        SELECT entity_id, 'train' AS partition FROM s1 WHERE chosen UNION ALL SELECT entity_id, CASE WHEN chosen THEN 'validation' ELSE 'test' END FROM s2"""
 
 
-_LOWS = " UNION ALL ".join(f"SELECT 'low_similarity' AS strategy, {r} AS repeat, {s} AS seed, * FROM (WITH {_low(s)} {_LOW_SPLIT})" for r, s in _SPLIT_SEEDS)
-_DESCRIBED = f"""lo AS ({_LOWS}), {_BITS}, lb AS (SELECT lo.*, bit, nb FROM lo JOIN post USING (entity_id)), ls AS (
-    SELECT repeat, entity_id, max(i / (nq + nt - i)) AS s FROM (SELECT q.repeat, q.entity_id, t.entity_id AS c, count(*)::DOUBLE AS i, any_value(q.nb) AS nq, any_value(t.nb) AS nt FROM lb AS q JOIN lb AS t
-        ON q.repeat = t.repeat AND q.bit = t.bit AND q.partition <> 'train' AND t.partition = 'train' GROUP BY q.repeat, q.entity_id, t.entity_id) GROUP BY repeat, entity_id
+_EVERY = " UNION ALL ".join(f"SELECT '{strategy}' AS strategy, {r} AS repeat, {seed} AS seed, entity_id, partition FROM ({_of_seed(strategy, seed)})" for strategy in splits.STRATEGIES for r, seed in _SPLIT_SEEDS)
+_DESCRIBED = f"""lo AS ({_EVERY}), {_BITS}, pa AS (
+    SELECT q.entity_id, t.entity_id AS c, count(*)::DOUBLE / (any_value(q.nb) + any_value(t.nb) - count(*)) AS s FROM post AS q JOIN post AS t ON q.bit = t.bit GROUP BY q.entity_id, t.entity_id
+), ls AS (
+    SELECT q.strategy, q.repeat, q.entity_id, max(s) AS s FROM lo AS q JOIN pa ON q.entity_id = pa.entity_id AND q.partition <> 'train' JOIN lo AS t ON t.entity_id = pa.c AND t.partition = 'train' AND q.strategy = t.strategy AND q.repeat = t.repeat
+    GROUP BY q.strategy, q.repeat, q.entity_id
 ), tv AS (
     SELECT lo.*, CASE WHEN partition <> 'train' THEN coalesce(s, 0) END AS sim, partition <> 'test' AS fit, embedding[1]::DOUBLE AS target, embedding[2]::DOUBLE AS mass, embedding[3]::DOUBLE AS area, label::VARCHAR AS grp, e.vec_id % 3 AS ns, e.vec_id % 4 AS no
-    FROM lo JOIN embeddings AS e ON lo.entity_id = e.vec_id LEFT JOIN ls ON lo.repeat = ls.repeat AND lo.entity_id = ls.entity_id
+    FROM lo JOIN embeddings AS e ON lo.entity_id = e.vec_id LEFT JOIN ls ON lo.strategy = ls.strategy AND lo.repeat = ls.repeat AND lo.entity_id = ls.entity_id
 ), tg AS (
-    SELECT repeat, sum(CASE WHEN f = 0 THEN t ELSE 0 END)::DOUBLE / sum(t) AS u FROM (SELECT repeat, grp, count(*) FILTER (fit) AS f, count(*) FILTER (NOT fit) AS t FROM tv GROUP BY repeat, grp) GROUP BY repeat
+    SELECT strategy, repeat, sum(CASE WHEN f = 0 THEN t ELSE 0 END)::DOUBLE / sum(t) AS u FROM (SELECT strategy, repeat, grp, count(*) FILTER (fit) AS f, count(*) FILTER (NOT fit) AS t FROM tv GROUP BY strategy, repeat, grp) GROUP BY strategy, repeat
 )"""
 
 
-def _low_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All strategies and seeds of the embeddings' bits."""
     b = bits(spark, sf_dir)
-    parts = []
-    for repeat, seed in _SPLIT_SEEDS:
-        a = splits.with_similarity(splits.low_similarity_partitions(b, b, seed).join(b.select("entity_id", "grp"), "entity_id"), b)
-        parts.append(a.withColumns({"strategy": F.lit("low_similarity"), "repeat": F.lit(repeat), "seed": F.lit(seed)}))
-    return union(parts)
+    return splits.split_assignments(b, b)
 
 
 def _summary_sql(x: str, prefix: str, where: str) -> str:
@@ -133,18 +138,18 @@ def _descriptor_sql(name: str) -> str:
     n(count(DISTINCT grp) FILTER (NOT fit)) AS x_test_groups, {_summary_sql('target', 'x_fit_target', 'fit')}, d(quantile_cont(target, 0.75) FILTER (fit) - quantile_cont(target, 0.25) FILTER (fit)) AS x_fit_target_iqr,
     d(avg((no = 1)::INT) FILTER (fit)) AS x_fit_single_observation_fraction, d(avg(no) FILTER (fit)) AS x_fit_mean_observations, d(avg((ns > 1)::INT) FILTER (fit)) AS x_fit_multiple_source_fraction, {_summary_sql('sim', 'x_test_similarity', 'NOT fit')},
     d(quantile_cont(sim, 0.1) FILTER (NOT fit)) AS x_test_similarity_p10, {", ".join(f"d(avg((sim < {b})::INT) FILTER (NOT fit)) AS x_test_similarity_below_{str(b).replace('.', 'p')}" for b in (0.3, 0.5, 0.7))},
-    {_descriptor_sql('mass')}, {_descriptor_sql('area')}, d(any_value(u)) AS x_test_unseen_group_fraction FROM tv JOIN tg USING (repeat) GROUP BY strategy, repeat, seed""")
+    {_descriptor_sql('mass')}, {_descriptor_sql('area')}, d(any_value(u)) AS x_test_unseen_group_fraction FROM tv JOIN tg USING (strategy, repeat) GROUP BY strategy, repeat, seed""")
 def task_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     at = lambda k: F.element_at("embedding", k).cast("double")
     no = F.col("vec_id") % 4
     targets = e.select(F.col("vec_id").alias("entity_id"), at(1).alias("target"), F.when(no == 1, "single_observation").otherwise("consistent").alias("reliability"), no.alias("n_observations"), (F.col("vec_id") % 3).alias("n_sources"))
-    return tasks.task_features(_low_splits(spark, sf_dir), targets, e.select(F.col("vec_id").alias("entity_id"), at(2).alias("mass"), at(3).alias("area")), ("mass", "area"), strict=True)
+    return tasks.task_features(_all_splits(spark, sf_dir), targets, e.select(F.col("vec_id").alias("entity_id"), at(2).alias("mass"), at(3).alias("area")), ("mass", "area"), strict=True)
 
 
 @_query(f"""WITH {_DESCRIBED}, md AS (SELECT strategy, repeat, median(sim) AS m FROM tv WHERE partition = 'test' GROUP BY strategy, repeat) SELECT strategy, n(count(DISTINCT repeat)) AS repeats, d(avg(m)) AS mean_of_medians, d(min(m)) AS least_median, d(max(m)) AS greatest_median FROM md GROUP BY strategy""")
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.split_report(splits.split_quality(_low_splits(spark, sf_dir), bits(spark, sf_dir)))
+    return reports.split_report(splits.split_quality(_all_splits(spark, sf_dir), bits(spark, sf_dir)))
 
 
 # ---- experiment grids
