@@ -8,7 +8,7 @@ Only what passes both is counted exactly. Counts and bitmaps only prune: results
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark import Broadcast
@@ -17,32 +17,46 @@ from pyspark.sql import functions as F
 
 from gaugelake.llm._shared import discard, materialize, salted_join, ship
 
-#: Letters become small, the stops that end a piece line feeds, and a tab a space.
+#: No UTF-8 text holds this byte: it stands for the stops that end a piece.
+END = b"\xff"
+#: Letters become small, a stop :data:`END`, and a tab a space. No other white space that ``bytes.split`` knows is left then.
 _STOPS = b".,;:!?\n\x0b\x0c\r"
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _STOPS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(_STOPS) + b" ")
-#: Words that a task looks at together, and different phrases that it counts before it hands them on.
-CHUNK, HELD = 1 << 20, 500_000
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _STOPS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + END * len(_STOPS) + b" ")
+#: Words that a task looks at together (their numbers take 21 bits), and different phrases that it counts before it hands them on.
+CHUNK, BITS, HELD = 1 << 20, 21, 500_000
 #: Bytes of a long text that are cut into words at once.
-WINDOW = 1 << 22
+WINDOW = 1 << 20
 #: Buckets of a segment, the unit in which bucket counts travel.
-SEGMENT = 1 << 16
+SEGMENT = 1 << 14
 
 _PARTS = "kind int, grp string, phrase binary, n long, segment int, data binary"
 _PHRASE, _BUCKETS, _TOTAL = 0, 1, 2
 
 
-def pieces_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece, a window of the text at a time: windows end where pieces do."""
+def words_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, with :data:`END` behind each piece, a window at a time. Windows end between words."""
     text, start = text.translate(_FOLD), 0
     while start < len(text):
-        end = text.find(b"\n", start + WINDOW)
+        near = [p for p in (text.find(b" ", start + WINDOW, start + 2 * WINDOW), text.find(END, start + WINDOW, start + 2 * WINDOW)) if p >= 0]
+        end = min(near, default=-1)
+        if end < 0 and len(text) - start > 2 * WINDOW:  # a very long word
+            end = min((p for p in (text.find(b" ", start + WINDOW), text.find(END, start + WINDOW)) if p >= 0), default=len(text))
         end = len(text) if end < 0 else end
-        for piece in text[start:end].split(b"\n"):
-            if words := piece.split():  # white space that bytes.split knows is a stop or a space here
-                yield words
+        yield text[start:end].replace(END, b" " + END + b" ").split()
         start = end
 
 
+class Names(dict):
+    """Numbers of words, in order of their first use; 0 is :data:`END`."""
+
+    def __init__(self) -> None:
+        super().__init__({END: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The hash of a phrase and the word behind it."""
     x = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w
@@ -50,10 +64,11 @@ def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hash(word: bytes, group: str) -> int:
-    import xxhash
+def word_hashes(words: Iterable[bytes], group: str) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
 
-    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(group))
+    seed = xxh3_64_intdigest(group)
+    return np.array([xxh3_64_intdigest(w, seed) for w in words], np.uint64)
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -101,30 +116,37 @@ class Scan:
         self.length, self.bits = length, bits
         self.frequent, self.reached = (None if b is None else np.frombuffer(b, np.uint8) for b in (frequent, reached))
         self.next = Buckets(bits, cap) if length < longest else None
-        self.found: Counter = Counter()
+        self.found: dict[str, dict[bytes, int]] = {}
         self.totals: Counter = Counter()
-        self.words: dict[str, tuple[list, list]] = {}
+        self.held: dict[str, tuple[Names, list[np.ndarray]]] = {}
         self.size = 0
 
     def read(self, text: bytes, group: str) -> Iterator:
-        for piece in pieces_of(text):
-            words, sizes = self.words.setdefault(group, ([], []))
-            words += piece
-            sizes.append(len(piece))
-            self.size += len(piece)
-            if self.size >= CHUNK:
+        for words in words_of(text):
+            if self.size + len(words) >= CHUNK and END in words:  # a chunk ends with a piece
+                cut = len(words) - words[::-1].index(END)
+                self._take(words[:cut], group)
                 yield from self.flush()
+                words = words[cut:]
+            self._take(words, group)
+        self._take([END], group)
+
+    def _take(self, words: list[bytes], group: str) -> None:
+        if words:
+            names, parts = self.held.setdefault(group, (Names(), []))
+            parts.append(np.fromiter(map(names.__getitem__, words), np.int64, len(words)))
+            self.size += len(words)
 
     def flush(self) -> Iterator:
-        for group, (words, sizes) in self.words.items():
-            self._count(group, words, np.array(sizes, np.int64))
-            if len(self.found) >= HELD:
-                yield from self.handed()
-        self.words, self.size = {}, 0
+        for group, (names, parts) in self.held.items():
+            self._count(group, names, np.concatenate([*parts, np.zeros(1, np.int64)]))
+        self.held, self.size = {}, 0
+        if sum(map(len, self.found.values())) >= HELD:
+            yield from self.handed()
 
     def handed(self) -> Iterator:
-        yield from _batches([(_PHRASE, g, p, n, None, None) for (g, p), n in self.found.items()])
-        self.found = Counter()
+        yield from _batches([(_PHRASE, g, p, n, None, None) for g, found in self.found.items() for p, n in found.items()])
+        self.found = {}
 
     def finished(self) -> Iterator:
         yield from self.flush()
@@ -133,14 +155,14 @@ class Scan:
         if self.next is not None:
             yield from _batches([(_BUCKETS, None, None, None, k, data) for k, data in self.next.segments()])
 
-    def _count(self, group: str, words: list[bytes], sizes: np.ndarray) -> None:
-        names: dict[bytes, int] = {}
-        ids = np.array([names.setdefault(w, len(names)) for w in words], np.int64)
-        hashed = np.array([word_hash(w, group) for w in names], np.uint64)[ids]
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))  # words from here to the piece's end
+    def _count(self, group: str, names: Names, ids: np.ndarray) -> None:
+        words = list(names)
+        ends = np.flatnonzero(ids == 0)
         n, size = self.length, len(ids)
         if n == 1:
-            self.totals[group] += size
+            self.totals[group] += size - len(ends)
+        left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(size)  # words from here to the piece's end
+        hashed = word_hashes(words, group)[ids] if n > 1 or self.next is not None else None
         # Hashes of phrases of 1 to n + 1 words at each place; those that run over a piece's end are never looked at.
         runs = [hashed]
         for k in range(1, n + (self.next is not None)):
@@ -155,16 +177,23 @@ class Scan:
             open_[at] = True
             longer = at[open_[at + 1] & (left[at] > n)]
             self.next.add(runs[n][longer])
-        key = ids[at]
-        for k in range(1, n):
-            if k >= 3:
-                key = np.unique(key, return_inverse=True)[1]
-            key = key << 20 | ids[at + k]  # a chunk has fewer than 2 ** 20 words in use, but for one very long piece
-        if n > 1 and len(names) >> 20:
-            key = np.unique(np.stack([ids[at + k] for k in range(n)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-        _, first, times = np.unique(key, return_index=True, return_counts=True)
-        for p, t in zip(at[first].tolist(), times.tolist(), strict=True):
-            self.found[group, words[p] if n == 1 else b" ".join(words[p : p + n])] += t
+        found = self.found.setdefault(group, {})
+        if n == 1:
+            times = np.bincount(ids[at], minlength=len(words)).tolist()
+            phrases = words
+        elif n <= 3 and len(words) < 1 << BITS:
+            key = ids[at]
+            for k in range(1, n):
+                key = key << BITS | ids[at + k]
+            key, times = np.unique(key, return_counts=True)
+            parts = [[words[i] for i in (key >> BITS * k & (1 << BITS) - 1).tolist()] for k in range(n - 1, -1, -1)]
+            phrases, times = list(map(b" ".join, zip(*parts, strict=True))), times.tolist()
+        else:
+            rows, times = np.unique(np.stack([ids[at + k] for k in range(n)], axis=1), axis=0, return_counts=True)
+            phrases, times = [b" ".join(words[i] for i in row) for row in rows.tolist()], times.tolist()
+        for phrase, t in zip(phrases, times, strict=True):
+            if t:
+                found[phrase] = found.get(phrase, 0) + t
 
 
 def _bitmap(parts: DataFrame, bits: int, cap: int) -> bytes:
@@ -207,7 +236,7 @@ def _frequent_bitmap(frequent: DataFrame, bits: int) -> bytes:
         for batch in batches:
             hashes = []
             for group, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                first, *rest = [np.array([word_hash(w, group)], np.uint64) for w in phrase.split(b" ")]
+                first, *rest = word_hashes(phrase.split(b" "), group)[:, None]
                 for w in rest:
                     first = _mixed(first, w)
                 hashes.append(first)
@@ -241,7 +270,7 @@ def _pass(texts: DataFrame, length: int, longest: int, bits: int, cap: int, freq
 
 
 def mine_phrases(
-    docs: DataFrame, text_col: str = "text", group_col: str = "lang", *, max_words: int = 3, min_count: int = 10, covered: int = 50, top: int = 2000, bucket_bits: int = 26
+    docs: DataFrame, text_col: str = "text", group_col: str = "lang", *, max_words: int = 3, min_count: int = 10, covered: int = 50, top: int = 2000, bucket_bits: int = 25
 ) -> DataFrame:
     """(group_col, rank, phrase, a, l, r, n, score): the best phrases of 2 to ``max_words`` words of each group (null: und).
 
@@ -251,7 +280,7 @@ def mine_phrases(
     one with ``covered`` percent of its places or more is left out. Exact: decimals of 38 digits, up to 10 ** 16 places.
 
     Null and empty texts have no words; a text's length is free (it is cut into words piece by piece); repeated rows count again; no text gives no row.
-    Other columns are not read. ``bucket_bits``: the bitmaps' size is 2 ** bits / 8 bytes (8 MB); more of them prune better, results stay the same.
+    Other columns are not read. ``bucket_bits``: the bitmaps' size is 2 ** bits / 8 bytes (4 MB); more of them prune better, results stay the same.
     """
     cap = min(min_count, 255)
     texts = docs.select(F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit("und")).alias("grp"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
@@ -277,9 +306,9 @@ def mine_phrases(
     cut = F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: F.struct(k.alias("k"), part(1, k).alias("head"), part(k + 1, F.col("words") - k).alias("tail")))
     cuts = candidates.select("grp", "phrase", "words", "a", F.explode(cut).alias("c")).select("grp", "phrase", "words", "a", "c.*")
     shorter = every.where(F.col("words") < max_words)
-    # Many phrases share their first or last word: salted.
-    cuts = salted_join(cuts, shorter.select("grp", F.col("phrase").alias("head"), F.col("n").alias("l")), ["grp", "head"])
-    cuts = salted_join(cuts, shorter.select("grp", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["grp", "tail"])
+    # Many phrases share their first or last word: salted. Each is one row, however often it stands, so a few salts do.
+    cuts = salted_join(cuts, shorter.select("grp", F.col("phrase").alias("head"), F.col("n").alias("l")), ["grp", "head"], salts=4)
+    cuts = salted_join(cuts, shorter.select("grp", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["grp", "tail"], salts=4)
     wide = lambda c: f"cast({c} AS decimal(16, 0))"
     scored = cuts.withColumn("score", F.expr(f"(1000000 * ({wide('a')} * {wide('a')})) div ({wide('l')} * {wide('r')})"))
     best = scored.groupBy("grp", "phrase", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b")).select("grp", "phrase", "words", "a", "b.score", "b.l", "b.r")

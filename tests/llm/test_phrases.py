@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from gaugelake.llm import phrases
-from gaugelake.llm.phrases import Buckets, Scan, mine_phrases, pieces_of
+from gaugelake.llm.phrases import Buckets, Scan, mine_phrases, words_of
 
 SCHEMA = "doc_id long, text string, lang string, a string"
 
@@ -64,9 +64,10 @@ def test_empty_tables_and_other_names(spark):
 def test_long_texts_and_small_chunks(monkeypatch):
     """Windows, chunks and hand-overs of any size count alike."""
     text = ("aa bb cc dd, ee ff. " * 500 + "gg " * 900).encode()
-    whole = [w for p in pieces_of(text) for w in p]
+    whole = [w for p in words_of(text) for w in p]
     monkeypatch.setattr(phrases, "WINDOW", 64)
-    assert [w for p in pieces_of(text) for w in p] == whole
+    assert [w for p in words_of(text) for w in p] == whole and whole[:6] == [b"aa", b"bb", b"cc", b"dd", phrases.END, b"ee"]
+    assert [w for p in words_of(b"x" * 500 + b" y") for w in p] == [b"x" * 500, b"y"]
     full = np.packbits(np.ones(1 << 10, np.uint8)).tobytes()
     count = lambda: dict(_counted(Scan(2, 2, 10, 10, full, full), text))
     want = count()
