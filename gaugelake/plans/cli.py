@@ -41,6 +41,8 @@ def targets(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def split(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     known, bits = readers.read_parquet(spark, args.targets).where("primary"), readers.read_parquet(spark, args.bits)
+    if not known.limit(1).count():
+        raise ValueError("no primary targets to split")
     out = _save(splits.split_assignments(known, bits, args.strategies, args.seeds), args, "split_assignments")
     _save(reports.split_report(_save(splits.split_quality(out, known), args, "split_quality")), args, "split_report")
     return checks.split_faults(out, known)
@@ -123,18 +125,22 @@ def _experiments(spark: SparkSession, args: argparse.Namespace, targets: DataFra
 
 
 def _published(spark: SparkSession, args: argparse.Namespace, made: experiments.Experiments) -> DataFrame:
-    """Write or append a call's runs and its report; faults are its failed runs."""
+    """Write a call's report, then write or append its runs. With failed runs the tables stay as they are, and the faults end the command."""
     report = made.report()
     path = Path(f"{args.output}/report.json")
+    path.parent.mkdir(parents=True, exist_ok=True)
     if args.append and path.exists():
         report = writers.merged_report(readers.read_report(path), report)
+    writers.write_report(report, str(path))
+    faults = made.failures.select(F.concat(F.lit("failed "), "run_id").alias("check"), F.col("reason").alias("detail"))
+    if faults.limit(1).count():
+        return faults
     for name, table in (("model_results", made.results), ("test_predictions", made.predictions), ("tuning", made.tuning)):
         if args.append:
             writers.append_runs(spark, table, f"{args.output}/{name}")
         else:
             writers.write_table(table, f"{args.output}/{name}")
-    writers.write_report(report, str(path))
-    return made.failures.select(F.concat(F.lit("failed "), "run_id").alias("check"), F.col("reason").alias("detail"))
+    return faults
 
 
 def baselines(spark: SparkSession, args: argparse.Namespace) -> DataFrame:

@@ -52,7 +52,7 @@ def test_commands_from_raw_files_to_meta_models(spark, tmp_path):
     r, raw, out = random.Random(4), tmp_path / "raw", str(tmp_path / "out")
     raw.mkdir()
     names = [f"{a}{b}{c}" for a in "CNOS" for b in "abcde" for c in "vwxyz"]
-    value = {n: -3 + ord(n[0]) / 20 + ord(n[2]) / 50 for n in names}
+    value = {n: -6 + ord(n[0]) / 20 + ord(n[2]) / 50 for n in names}
     share = lambda k: [n for i, n in enumerate(names) if i % 5 != k]
     line = lambda n: round(value[n] + r.gauss(0, 0.05), 3)
     (raw / "AqSolDB.csv").write_text("ID,SMILES,Solubility\n" + "".join(f"{n},{n},{line(n)}\n" for n in names[:40]) + "bad,?,1\n")
