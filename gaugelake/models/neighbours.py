@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.operators.similarity import most_similar
@@ -18,17 +18,13 @@ def knn_predict(queries: DataFrame, train: DataFrame, k: int = 5, target: str =
     return near.groupBy("query").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("predicted")).withColumnRenamed("query", "entity_id")
 
 
-def knn_dense(queries: DataFrame, train: DataFrame, features: list[str], k: int = 5, blocks: int = 16, target: str = "target", least: float = 1e-9) -> DataFrame:
-    """(entity_id, predicted): as knn_predict, by Euclidean distance of dense features.
+def knn_dense(queries: DataFrame, train: DataFrame, features: list[str], k: int = 5, target: str = "target", least: float = 1e-9, others: bool = False) -> DataFrame:
+    """(entity_id, predicted): as knn_predict, by Euclidean distance of dense features without nulls.
 
-    Rows of ``train`` fall into blocks; each query meets one block in one group and brings k rows out of it, so the final choice sees k * blocks rows a query.
+    Blocks hold rows of like distance from the origin; two of them meet only if their rows can be near enough, and k rows a query leave each.
     """
-    vector = F.array(*[F.col(f).cast("double") for f in features])
-    q = queries.select(F.col("entity_id").alias("query"), vector.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    t = train.select(F.col("entity_id").alias("candidate"), F.col(target).alias("y"), vector.alias("b"), F.pmod(F.xxhash64("entity_id"), F.lit(blocks)).cast("int").alias("block"))
-    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    met = q.join(t, "block").select("query", "candidate", "block", "y", F.sqrt(gap).alias("d"))
-    nearest = lambda df, *keys: df.withColumn("p", F.row_number().over(Window.partitionBy(*keys).orderBy("d", "candidate"))).where(F.col("p") <= k).drop("p")
-    near = nearest(nearest(met, "query", "block"), "query")
-    w = 1 / F.greatest(F.col("d"), F.lit(least))
+    vector = F.array(*[F.col(f).cast("double") for f in features]).alias("bits")
+    near = most_similar(queries.select("entity_id", vector), train.select("entity_id", vector), k, others=others, measure="euclidean")
+    near = near.join(train.select(F.col("entity_id").alias("candidate"), F.col(target).alias("y")), "candidate")
+    w = 1 / F.greatest(-F.col("similarity"), F.lit(least))
     return near.groupBy("query").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("predicted")).withColumnRenamed("query", "entity_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugelake.functions.columns import draw
+from gaugelake.tables import written
 
 
 def _drawn(clusters: DataFrame, keys: list[str], iterations: int, seed: int) -> DataFrame:
@@ -19,7 +20,8 @@ def _drawn(clusters: DataFrame, keys: list[str], iterations: int, seed: int) ->
 
 def cluster_bootstrap(rows: DataFrame, keys: list[str], cluster: str, value: str, iterations: int = 2000, seed: int = 20260309) -> DataFrame:
     """estimate (pooled mean of rows) of each group and its 95 % interval under draws of whole clusters."""
-    clusters = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(cluster).alias("cluster")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("c"))
+    sums = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(cluster).alias("cluster")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("c"))
+    clusters, _ = written(sums, "clusters")  # for the estimate, the numbers and the draws
     means = _drawn(clusters, keys, iterations, seed).groupBy(*keys, "iteration").agg((F.sum("s") / F.sum("c")).alias("m"))
     spread = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("lower_95"), F.percentile("m", F.lit(0.975)).alias("upper_95"))
     plain = clusters.groupBy(*keys).agg((F.sum("s") / F.sum("c")).alias("estimate"), F.count("*").alias("clusters"))
@@ -31,7 +33,8 @@ def paired_bootstrap(differences: DataFrame, keys: list[str], cluster: str, valu
 
     The pooled bootstrap above weighs rows, this one clusters: they agree only when clusters are of one size.
     """
-    clusters = differences.groupBy(*keys, F.col(cluster).alias("cluster")).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count(value).alias("c"))
+    sums = differences.groupBy(*keys, F.col(cluster).alias("cluster")).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count(value).alias("c"))
+    clusters, _ = written(sums, "clusters")
     means = _drawn(clusters, keys, iterations, seed).groupBy(*keys, "iteration").agg(F.avg("m").alias("b"))
     better = F.col("b") < 0 if lower_is_better else F.col("b") > 0
     spread = means.groupBy(*keys).agg(F.percentile("b", F.lit(0.025)).alias("lower_95"), F.percentile("b", F.lit(0.975)).alias("upper_95"), F.avg(better.cast("double")).alias("probability_better"))

@@ -28,9 +28,15 @@ def without_entities_of(obs: DataFrame, heldout: DataFrame) -> DataFrame:
     return obs.join(heldout.select("heldout", "entity_id").distinct(), ["heldout", "entity_id"], "left_anti")
 
 
-def restricted_to(features: DataFrame, targets: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Features of the targets' entities."""
-    return features.join(targets.select(key).distinct(), key, "left_semi")
+def restricted_to(features: DataFrame, targets: DataFrame, key: str = "entity_id", exact: bool = False) -> DataFrame:
+    """Features of the targets' entities. ``exact``: a target without features, or with several rows of them, is an error."""
+    wanted = targets.select(key).distinct()
+    found = features.join(wanted, key, "left_semi")
+    if exact:
+        counts = wanted.join(found.groupBy(key).agg(F.count("*").alias("_n")), key, "left")
+        if bad := counts.where("_n IS NULL OR _n > 1").select(key).limit(5).collect():
+            raise ValueError(f"no features, or several rows of them: {[r[0] for r in bad]}")
+    return found
 
 
 def internal_overlap(master: DataFrame) -> DataFrame:

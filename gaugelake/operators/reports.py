@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugelake.functions.columns import finite_or_null
+from gaugelake.operators.checks import union
 from gaugelake.operators.quantiles import with_quantiles
 
 
@@ -25,10 +28,18 @@ def source_validation(obs: DataFrame, expected: dict[str, int] | None = None) ->
 
 
 def feature_audit(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, non_null, missing_share, distinct_values, kind) of each column, from one pass."""
+    """(feature, non_null, missing_share, distinct_values, kind) of each column.
+
+    Each column is counted by value first, in partial sums, so neither a row nor a set of values is copied for each distinct count; the scan reads that column alone.
+    """
     kinds = dict(df.dtypes)
-    per = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("non_null"), (1 - F.count(c) / F.count("*")).alias("missing_share"), F.count_distinct(c).alias("distinct_values"), F.lit("categorical" if kinds[c] in ("string", "boolean") else "numeric").alias("kind")) for c in columns]
-    return df.agg(F.array(*per).alias("all")).select(F.inline("all"))
+    parts = []
+    for c in columns:
+        values = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        n, there = F.sum("n"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
+        kind = "categorical" if kinds[c] in ("string", "boolean") else "numeric"
+        parts.append(values.agg(F.lit(c).alias("feature"), there.alias("non_null"), (1 - F.try_divide(there, n)).alias("missing_share"), F.count("v").alias("distinct_values"), F.lit(kind).alias("kind")))
+    return union(parts)
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,8 +53,46 @@ def bit_density(bits: DataFrame, n_bits: int) -> DataFrame:
 
 
 def id_digest(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
-    """SHA-256 of a group's sorted ids, one a line."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), "\n"), 256).alias("digest"))
+    """(keys, n, digest): SHA-256 of a group's sorted ids, one a line; null ids are left out.
+
+    A digest can't be put together from parts. A group's ids are sorted within its partition, and folded into it as they stream by: a task holds one batch of ids,
+    whatever the group's size. A group without an id has the digest of nothing.
+    """
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n long, digest string"])
+    group = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
+    rows = df.select(*keys, group.alias("_group"), F.col(id_col).cast("string").alias("_id")).repartition("_group").sortWithinPartitions("_group", F.asc_nulls_last("_id"))
+    names = [*keys, "n", "digest"]
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held, last, n, some, kept = None, None, 0, False, hashlib.sha256()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*held.columns, pa.array([n], pa.int64()), pa.array([kept.hexdigest()])], names)
+
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            groups, ids = batch.column(len(keys)), batch.column(len(keys) + 1)
+            edges = [0, *(pc.indices_nonzero(pc.not_equal(groups.slice(1), groups.slice(0, size - 1))).to_numpy() + 1).tolist(), size]
+            for a, b in zip(edges, edges[1:]):
+                if groups[a].as_py() != last:
+                    if held is not None:
+                        yield made()
+                    held, last, n, some, kept = batch.slice(a, 1).select(keys), groups[a].as_py(), 0, False, hashlib.sha256()
+                there = ids.slice(a, b - a).drop_null()
+                if len(there):
+                    kept.update((("\n" if some else "") + "\n".join(there.to_pylist())).encode())
+                    some = True
+                n += b - a
+        if held is not None:
+            yield made()
+
+    return rows.mapInArrow(fold, schema)
 
 
 def flatten_report(report: Any, path: str = "") -> list[tuple[str, Any]]:

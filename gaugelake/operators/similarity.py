@@ -1,8 +1,10 @@
 """Nearest neighbours of bit sets, kept as arrays of set bits.
 
 Rows on either side fall into blocks; two blocks meet in one group as bit matrices, whose product counts shared bits at the speed of the hardware, and only the
-best of each query leave the group. So no pair of rows is ever a row of a table, and a task holds two blocks whatever the tables' size. All pairs are
-compared once: bits that half of all rows set cost no more than rare ones.
+best of each query leave the group. So no pair of rows is ever a row of a table, and a task holds two blocks whatever the tables' size.
+
+Blocks hold rows of like size (number of set bits). A first round compares each block of queries with the blocks of ``train`` nearest in size and leaves a lower bound
+of the k-th best score; a second round skips every pair of blocks whose sizes, and whose unions of bits, can't reach it. The answers are those of all pairs.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugelake.operators.ranks import places
 from gaugelake.tables import written
 
 #: Rows of a block.
@@ -39,11 +42,21 @@ def scores(queries: np.ndarray, train: np.ndarray, measure: str = "tanimoto") ->
     return np.round(score, 12) if measure == "cosine" else score
 
 
+def distances(queries: np.ndarray, train: np.ndarray, held: int = 1 << 22) -> np.ndarray:
+    """Euclidean distance of each two rows, from their differences; so many of these are held at once."""
+    out = np.empty((len(queries), len(train)))
+    step = max(1, held // max(1, train.size))
+    for a in range(0, len(queries), step):
+        gap = queries[a : a + step, None, :] - train[None]
+        out[a : a + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+    return out
+
+
 def best_of(queries: np.ndarray, train: np.ndarray, same: np.ndarray | None, k: int, measure: str) -> tuple[np.ndarray, np.ndarray]:
     """(places in ``train``, similarities) of the k most similar rows of each query, the first of equal ones; ``same``: pairs that are no candidates."""
-    score = scores(queries, train, measure)
+    score = -distances(queries, train) if measure == "euclidean" else scores(queries, train, measure)
     if same is not None:
-        score[same] = -1
+        score[same] = -np.inf
     near = np.argsort(-score, axis=1, kind="stable")[:, :k]
     return near, np.take_along_axis(score, near, axis=1)
 
@@ -51,15 +64,17 @@ def best_of(queries: np.ndarray, train: np.ndarray, same: np.ndarray | None, k:
 def most_similar(queries: DataFrame, train: DataFrame, k: int = 1, keys: tuple[str, ...] = (), others: bool = False, measure: str = "tanimoto") -> DataFrame:
     """(keys, query, candidate, similarity): the ``k`` rows of ``train`` most similar to each query (ties: least id), among those of equal ``keys``.
 
-    Rows: (keys, entity_id, bits); a null set is empty, and two empty sets have similarity 0. measure: tanimoto, or cosine (to 12 places). ``others``: a query's own row is no
-    candidate. A query whose keys no row of ``train`` has gets none.
+    Rows: (keys, entity_id, bits); a null set is empty, and two empty sets have similarity 0. measure: tanimoto; cosine (to 12 places); or euclidean, where bits
+    is a dense vector of doubles and the similarity the negated distance. ``others``: a query's own row is no candidate. A query whose keys no row of ``train`` has gets none.
     """
-    own, number = queries.schema["entity_id"].dataType.simpleString(), F.pmod(F.xxhash64("entity_id"), F.lit(1 << 40))
-    side = lambda df, s: df.select(*keys, F.lit(s).alias("side"), F.col("entity_id").alias("id"), F.coalesce("bits", F.array().cast("array<int>")).cast("array<int>").alias("bits"), number.alias("_n"))
-    rows, sizes = written(side(queries, 0).unionByName(side(train, 1)), "bits", q=F.count_if(F.col("side") == 0), t=F.count_if(F.col("side") == 1))
-    n, m = (max(1, -(-sizes.get(s, 0) // BLOCK)) for s in ("q", "t"))
-    q = rows.where("side = 0").withColumn("i", F.pmod("_n", F.lit(n)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    t = rows.where("side = 1").withColumn("j", F.pmod("_n", F.lit(m)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    own, dense = queries.schema["entity_id"].dataType.simpleString(), measure == "euclidean"
+    kind = "array<double>" if dense else "array<int>"
+    side = lambda df, s: df.select(*keys, F.lit(s).alias("side"), F.col("entity_id").alias("id"), F.coalesce("bits", F.array().cast(kind)).cast(kind).alias("bits"))
+    # What blocks are in order of: the number of set bits, or the distance from the origin.
+    width = F.sqrt(F.aggregate("bits", F.lit(0.0), lambda t, x: t + x * x)) if dense else F.size("bits").cast("double")
+    rows, _ = written(side(queries, 0).unionByName(side(train, 1)).withColumn("_w", width), "bits")
+    blocks, cards = _blocked(rows, keys, BLOCK, dense)
+    pairs, table = _pairs(cards, keys, measure)
     kinds = dict(queries.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], f"query {own}", f"candidate {own}", "similarity double"])
 
@@ -70,17 +85,83 @@ def most_similar(queries: DataFrame, train: DataFrame, k: int = 1, keys: tuple[s
         names = [*keys, "query", "candidate", "similarity"]
         if not len(a) or not len(b):
             return pd.DataFrame({c: [] for c in names})
-        width = 1 + max((int(max(x)) for x in group["bits"] if len(x)), default=0)
+        if dense:
+            left, right = (np.array(x["bits"].tolist(), float).reshape(len(x), -1) for x in (a, b))
+        else:
+            width = 1 + max((int(max(x)) for x in group["bits"] if len(x)), default=0)
+            left, right = _matrix(a["bits"], width), _matrix(b["bits"], width)
         same = a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :] if others else None
-        near, score = best_of(_matrix(a["bits"], width), _matrix(b["bits"], width), same, k, measure)
+        near, score = best_of(left, right, same, k, measure)
         out = pd.DataFrame({"query": np.repeat(a["id"].to_numpy(), near.shape[1]), "candidate": b["id"].to_numpy()[near.ravel()], "similarity": score.ravel()})
         for c in keys:
             out[c] = group[c].iloc[0]
-        return out[out["similarity"] >= 0][names]
+        return out[out["similarity"] > -np.inf][names]
+
+    def met(chosen: DataFrame) -> DataFrame:
+        """The k best of each query over these pairs of blocks."""
+        q = blocks.where("side = 0").join(chosen, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("block") == F.col("i")])
+        t = blocks.where("side = 1").join(chosen, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("block") == F.col("j")])
+        names = [*keys, "side", "id", "bits", "i", "j"]
+        return q.select(*names).unionByName(t.select(*names)).groupBy(*keys, "i", "j").applyInPandas(tile, schema)
 
-    found = q.drop("_n").unionByName(t.drop("_n")).groupBy(*keys, "i", "j").applyInPandas(tile, schema)
     place = Window.partitionBy(*keys, "query").orderBy(F.desc("similarity"), "candidate")  # k rows a block of ``train``
-    return found.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k).drop("_p")
+    best = lambda df: df.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k)
+    first, _ = written(met(pairs.where("near")), "near")
+    # A block's bound: the least k-th best of its queries; none where one has fewer than k yet.
+    kth = best(first).where(F.col("_p") == k).select(*keys, F.col("query").alias("id"), "similarity")
+    asked = blocks.where("side = 0").select(*[F.col(c).alias(f"_{c}") for c in keys], "id", "block")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    held = asked.join(kth.withColumnRenamed("id", "_id"), [*on, F.col("id").eqNullSafe(F.col("_id"))], "left")
+    bounds = held.groupBy(*[f"_{c}" for c in keys], F.col("block").alias("i")).agg(F.when(F.count("*") == F.count("similarity"), F.min("similarity")).alias("least"))
+    same = [F.col(f"_{c}").eqNullSafe(F.col(f"_b_{c}")) for c in keys]
+    bounds = bounds.withColumnsRenamed({f"_{c}": f"_b_{c}" for c in keys} | {"i": "_i"})
+    open_ = pairs.where("NOT near").join(bounds, [*same, F.col("i") == F.col("_i")]).where("least IS NULL OR bound >= least")
+    left, seen_pairs = written(open_.select(*[f"_{c}" for c in keys], "i", "j"), "open")
+    skipped.update(pairs=table["n"], compared=table.get("near", 0) + seen_pairs["n"])
+    every = first if not seen_pairs["n"] else first.unionByName(met(left))
+    return best(every).drop("_p")
+
+
+#: How many pairs of blocks the last search had, and how many of them it compared.
+skipped: dict[str, int] = {}
+
+
+def _blocked(rows: DataFrame, keys: tuple[str, ...], size: int, dense: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``block``, a row for each side and block: extent of ``_w`` and union of bits). A block has ``size`` rows of a side, in order of ``_w``."""
+    order = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    placed = places(rows.withColumn("_h", order), [*keys, "side"], ["_w", "_h"], "_at")
+    blocks, _ = written(placed.withColumn("block", F.floor((F.col("_at") - 1) / size).cast("int")).drop("_at", "_h"), "blocks")
+    cards = blocks.groupBy(*keys, "side", "block").agg(F.min("_w").alias("low"), F.max("_w").alias("high"))
+    none = F.array().cast("array<int>")
+    if dense:
+        return blocks, written(cards.withColumn("union", none), "cards")[0]
+    bits = blocks.select(*keys, "side", "block", F.explode("bits").alias("bit")).distinct().groupBy(*keys, "side", "block").agg(F.collect_set("bit").alias("union"))
+    on = [cards[c].eqNullSafe(bits[c]) for c in [*keys, "side", "block"]]
+    joined = cards.join(bits, on, "left").select(*[cards[c] for c in [*keys, "side", "block"]], "low", "high", F.coalesce("union", none).alias("union"))
+    return blocks, written(joined, "cards")[0]
+
+
+def _pairs(cards: DataFrame, keys: tuple[str, ...], measure: str) -> tuple[DataFrame, dict]:
+    """(_keys, i, j, bound, near): the greatest score that rows of two blocks can have, and whether j is one of the two best blocks for i by it."""
+    side = lambda n, name, a, p: cards.where(F.col("side") == n).select(*[F.col(c).alias(f"{p}{c}") for c in keys], F.col("block").alias(name), F.col("low").alias(f"{a}l"), F.col("high").alias(f"{a}h"), F.col("union").alias(f"{a}u"))
+    q, t = side(0, "i", "q", "_"), side(1, "j", "t", "_t_")
+    both = q.join(t, [F.col(f"_{c}").eqNullSafe(F.col(f"_t_{c}")) for c in keys]) if keys else q.crossJoin(t)  # a row a block, not a row a row
+    # The two sizes that are as like as the blocks allow.
+    a, b = F.greatest("ql", F.least("qh", "tl")), F.greatest("tl", F.least("th", "ql"))
+    if measure == "euclidean":  # the triangle's other side
+        bound = -F.abs(a - b) * (1 - 1e-9)
+    else:
+        # Of a and b bits at most min(a, b) are shared, and at most those of both unions, s, with sizes of s at least.
+        s = F.size(F.array_intersect("qu", "tu")).cast("double")
+        x, y = F.greatest("ql", s), F.greatest("tl", s)
+        part = F.coalesce(F.try_divide(F.least(a, b), F.greatest(a, b)), F.lit(0.0))
+        if measure == "tanimoto":
+            bound = F.least(part, F.coalesce(F.try_divide(s, x + y - s), F.lit(0.0)))
+        else:
+            bound = F.least(F.sqrt(part), F.coalesce(F.try_divide(s, F.sqrt(x * y)), F.lit(0.0)))
+    order = Window.partitionBy(*[f"_{c}" for c in keys], "i").orderBy(F.desc("bound"), F.abs(F.col("ql") + F.col("qh") - F.col("tl") - F.col("th")), "j")  # a row a block of ``train``
+    made = both.withColumn("bound", bound + 1e-9).withColumn("near", F.row_number().over(order) <= 2)
+    return written(made.select(*[f"_{c}" for c in keys], "i", "j", "bound", "near"), "pairs", near=F.count_if("near"))
 
 
 def nearest_neighbour(queries: DataFrame, train: DataFrame, others: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from gaugelake.functions.columns import esol, sample_key, slug
 from gaugelake.operators import bootstrap, metrics, overlap, reports, residuals, resolve, selection, similarity, splits, tasks, unify
 from gaugelake.streaming.rollup import source_rollup
+from gaugelake.tables import written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -107,9 +108,9 @@ _BITS = """vb AS (
 
 
 def _two_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every id divisible by 100 as a query against all rows."""
+    """Every row as a query against all rows."""
     b = bits(spark, sf_dir)
-    return b.where("entity_id % 100 = 0"), b
+    return b, b
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored.select("heldout", "repeat", "seed", F.col("observation_id").alias("entity_id"), F.col("value").alias("truth"), F.explode(F.array(*[f"_{m}" for m in models])).alias("m")).where("m IS NOT NULL")
     out = rows.select("heldout", "repeat", "seed", "entity_id", "truth", "m.predicted", "m.sigma", "m.model")
     run = F.concat_ws("_", F.concat(F.lit("source_"), slug(F.col("heldout"))), F.concat(F.lit("r"), F.col("repeat").cast("string")), F.lit("mean"), "model")
-    return out.withColumns({"feature_type": F.lit("mean"), "strategy": F.concat(F.lit("source_"), slug(F.col("heldout"))), "run_id": run})
+    named = out.withColumns({"feature_type": F.lit("mean"), "strategy": F.concat(F.lit("source_"), slug(F.col("heldout"))), "run_id": run})
+    return written(named, "predictions")[0]  # read by every step that follows
 
 
 _PRED = f"""{_OBS}, ov AS (SELECT observation_id, source, grp, weekday, value FROM obs WHERE value IS NOT NULL),
@@ -166,18 +168,18 @@ _SEL = f"""{_RUNS}, cand AS (
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residuals.run_summary(residuals.failure_labels(residuals.with_residuals(predictions(spark, sf_dir))))
+    return written(residuals.run_summary(residuals.failure_labels(residuals.with_residuals(predictions(spark, sf_dir)))), "runs")[0]
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _runs(spark, sf_dir)
     task = F.concat_ws("_r", "strategy", F.col("repeat").cast("string"))
     named = runs.select("run_id", task.alias("task_id"), F.regexp_replace("strategy", "source_", "").alias("heldout"), F.col("model").alias("x_model"), F.col("feature_type").alias("x_feature_type"), F.col("mae").alias("x_validation_rmse"), F.col("rmse").alias("y_rmse"), F.lit(True).alias("selectable"))
-    return tasks.ranked_outcomes(named)
+    return written(tasks.ranked_outcomes(named), "candidates")[0]
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.selected_candidates(_candidates(spark, sf_dir), {"fixed_group": ("group", "mean")})
+    return written(selection.selected_candidates(_candidates(spark, sf_dir), {"fixed_group": ("group", "mean")}), "selected")[0]
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,17 +298,17 @@ def external_task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- similarity and splits
 
-_NEAR = f"""{_BITS}, q AS (SELECT * FROM post WHERE entity_id % 100 = 0), t AS (SELECT * FROM post),
+_NEAR = f"""{_BITS}, q AS (SELECT * FROM post), t AS (SELECT * FROM post),
     sim AS (SELECT q.entity_id AS query, t.entity_id AS candidate, count(*)::DOUBLE / (any_value(q.nb) + any_value(t.nb) - count(*)) AS s FROM q JOIN t ON q.bit = t.bit AND q.entity_id <> t.entity_id GROUP BY q.entity_id, t.entity_id)"""
 
 
 @_query(f"""WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, candidate) AS p FROM sim)
-    SELECT v.entity_id AS query, coalesce(candidate, (SELECT min(entity_id) FROM vb)) AS nearest, d(coalesce(s, 0)::FLOAT) AS similarity FROM vb v LEFT JOIN r ON v.entity_id = r.query AND p = 1 WHERE v.entity_id % 100 = 0""")
+    SELECT v.entity_id AS query, coalesce(candidate, (SELECT min(entity_id) FROM vb)) AS nearest, d(coalesce(s, 0)::FLOAT) AS similarity FROM vb v LEFT JOIN r ON v.entity_id = r.query AND p = 1""")
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest_neighbour(*_two_sets(spark, sf_dir), others=True)
 
 
-@_query(f"""WITH {_NEAR} SELECT v.entity_id, d(coalesce(max(s), 0)) AS max_similarity FROM vb v LEFT JOIN sim ON v.entity_id = query WHERE v.entity_id % 100 = 0 GROUP BY v.entity_id""")
+@_query(f"""WITH {_NEAR} SELECT v.entity_id, d(coalesce(max(s), 0)) AS max_similarity FROM vb v LEFT JOIN sim ON v.entity_id = query GROUP BY v.entity_id""")
 def max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.max_similarity(*_two_sets(spark, sf_dir), others=True)
 
@@ -343,7 +345,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'random' AS strategy, n(1) AS repeat, n(13) AS seed, partition, n(count(*)) AS n, n(count(DISTINCT grp)) AS groups, d(avg(target)) AS target_mean, d(stddev_samp(target)) AS target_sd, d(median(target)) AS target_median, d(min(target)) AS target_min, d(max(target)) AS target_max,
     NULL::DOUBLE AS similarity_median, d(count(*)::DOUBLE / sum(count(*)) OVER ()) AS fraction FROM j GROUP BY partition""")
 def split_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _targets(spark, sf_dir)
+    t, _ = written(_targets(spark, sf_dir), "targets")
     a = splits.random_partitions(t, 13).join(t.select("entity_id", "grp"), "entity_id")
     a = a.withColumns({"strategy": F.lit("random"), "repeat": F.lit(1), "seed": F.lit(13), "max_similarity": F.lit(None).cast("double")})
     return splits.split_quality(a, t)
@@ -451,7 +453,7 @@ _TASK = f"""{_SPLIT}, j AS (SELECT p.partition <> 'test' AS fit, t.* FROM parts
     d(avg((reliability = 'single_observation')::INT) FILTER (fit)) AS x_fit_single_observation_fraction, d(avg(n_observations) FILTER (fit)) AS x_fit_mean_observations, d(avg((n_sources > 1)::INT) FILTER (fit)) AS x_fit_multiple_source_fraction,
     d((SELECT sum(CASE WHEN f = 0 THEN t ELSE 0 END)::DOUBLE / sum(t) FROM gs)) AS x_test_unseen_group_fraction FROM j""")
 def task_meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _targets(spark, sf_dir)
+    t, _ = written(_targets(spark, sf_dir), "targets")
     a = splits.random_partitions(t, 13).join(t.select("entity_id", "grp"), "entity_id").withColumns({"strategy": F.lit("random"), "repeat": F.lit(1), "seed": F.lit(13), "max_similarity": F.lit(None).cast("double")})
     out = tasks.task_features(a, t, t.select("entity_id", F.col("n_with_props").cast("double").alias("props")), ("props",))
     names = ["entities", "groups", "target_mean", "target_sd", "target_median", "target_iqr", "single_observation_fraction", "mean_observations", "multiple_source_fraction"]
@@ -460,7 +462,7 @@ def task_meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""WITH {_TASK}, a AS (SELECT avg(n_with_props) FILTER (NOT fit) AS mt, avg(n_with_props) FILTER (fit) AS mf, stddev_samp(n_with_props) FILTER (fit) AS sf FROM j) SELECT d(mf) AS x_fit_props_mean, d(mt) AS x_test_props_mean, d(CASE WHEN sf > 0 THEN (mt - mf) / sf END) AS x_shift_props_smd FROM a""")
 def smd_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _targets(spark, sf_dir)
+    t, _ = written(_targets(spark, sf_dir), "targets")
     a = splits.random_partitions(t, 13).join(t.select("entity_id", "grp"), "entity_id").withColumns({"strategy": F.lit("random"), "repeat": F.lit(1), "seed": F.lit(13), "max_similarity": F.lit(None).cast("double")})
     return tasks.task_features(a, t, t.select("entity_id", F.col("n_with_props").cast("double").alias("props")), ("props",)).select("x_fit_props_mean", "x_test_props_mean", "x_shift_props_smd")
 
