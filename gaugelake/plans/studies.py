@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.models import experiments, meta
-from gaugelake.models.regressors import DESCRIPTORS
+from gaugelake.models import experiments, linear, meta
+from gaugelake.models.regressors import DESCRIPTORS, candidates
 from gaugelake.operators import holdouts, reports, selection, splits, tasks
 from gaugelake.operators.checks import union
 from gaugelake.plans.audit import _BINNED, _BITS, _LOW, _OBS, _SEL, _SQL, _SUMMARY, _candidates, _query, _stratified, bits, observations
@@ -215,6 +215,74 @@ def experiment_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir, models, range(2, 65)).results.select("run_id", "model", "n_train", "n_test", "features_after", "best_parameters", "validation_rmse", "test_rmse", "test_mae", "test_r2", "test_spearman", "test_gaussian_nll")
 
 
+# ---- linear fits of any size
+
+_RANDOM = " UNION ALL ".join(f"SELECT {r} AS repeat, {seed} AS seed, entity_id, partition FROM ({_of_seed('random', seed)})" for r, seed in _SPLIT_SEEDS)
+_ALPHAS = ", ".join(f"({k}, 'alpha={c['alpha']}', {c['alpha']}::DOUBLE)" for k, c in enumerate(candidates("ridge"), 1))
+_RIDGE = f"""RECURSIVE an AS ({_RANDOM}), ft AS (
+    SELECT phase, an.*, embedding[1]::DOUBLE AS y, embedding, partition = 'train' OR (partition = 'validation' AND phase = 'test') AS fit FROM an JOIN embeddings ON vec_id = entity_id, (VALUES ('tune'), ('test')) AS t(phase) WHERE phase = 'test' OR partition <> 'test'
+), lg AS (
+    SELECT repeat, phase, entity_id, partition, fit, y, unnest(range(2, 65)) AS j, unnest(embedding[2:64])::DOUBLE AS v FROM ft
+), sc AS (
+    SELECT repeat, phase, j, avg(v) AS m, stddev_pop(v) AS s FROM lg WHERE fit GROUP BY repeat, phase, j
+), zz AS (
+    SELECT lg.*, CASE WHEN s > 1e-12 THEN (v - m) / s ELSE 0 END AS z FROM lg JOIN sc ON lg.repeat = sc.repeat AND lg.phase = sc.phase AND lg.j = sc.j
+), ym AS (
+    SELECT repeat, phase, avg(y) AS my FROM ft WHERE fit GROUP BY repeat, phase
+), gm AS (
+    SELECT a.repeat, a.phase, a.j AS i, b.j AS j, sum(a.z * b.z) AS g FROM zz AS a JOIN zz AS b ON a.repeat = b.repeat AND a.phase = b.phase AND a.entity_id = b.entity_id AND a.fit AND b.fit GROUP BY a.repeat, a.phase, a.j, b.j
+    UNION ALL SELECT zz.repeat, zz.phase, j, 65, sum(z * (y - my)) FROM zz JOIN ym ON zz.repeat = ym.repeat AND zz.phase = ym.phase WHERE fit GROUP BY zz.repeat, zz.phase, j
+), gj AS (
+    SELECT repeat, phase, candidate, parameters, 2 AS k, i, j, g + CASE WHEN i = j THEN alpha ELSE 0 END AS v FROM gm, (VALUES {_ALPHAS}) AS t(candidate, parameters, alpha)
+    UNION ALL SELECT repeat, phase, candidate, parameters, k + 1, i, j, CASE WHEN i = k THEN above / corner ELSE v - own * above / corner END FROM (
+        SELECT *, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY repeat, phase, candidate, j) AS above, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY repeat, phase, candidate, i) AS own,
+            max(CASE WHEN i = k AND j = k THEN v END) OVER (PARTITION BY repeat, phase, candidate) AS corner FROM gj WHERE k <= 64)
+), wt AS (
+    SELECT repeat, phase, candidate, parameters, i AS j, v AS w FROM gj WHERE k = 65 AND j = 65
+), pr AS (
+    SELECT zz.repeat, zz.phase, candidate, parameters, entity_id, any_value(y) AS y, any_value(my) + sum(z * w) AS predicted FROM zz JOIN wt ON zz.repeat = wt.repeat AND zz.phase = wt.phase AND zz.j = wt.j JOIN ym ON zz.repeat = ym.repeat AND zz.phase = ym.phase
+    WHERE NOT fit GROUP BY zz.repeat, zz.phase, candidate, parameters, entity_id
+), ev AS (
+    SELECT repeat, phase, candidate, parameters, count(*) AS n, sqrt(avg((y - predicted) ** 2)) AS rmse, avg(abs(y - predicted)) AS mae FROM pr GROUP BY repeat, phase, candidate, parameters
+), be AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY rmse, mae, candidate) AS p FROM ev WHERE phase = 'tune') WHERE p = 1
+)"""
+
+
+def _linear_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Random splits of all seeds, with the first component as the target and all others as features."""
+    e, b = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), bits(spark, sf_dir)
+    names = [f"f{k}" for k in range(2, 65)]
+    wide = e.select(F.col("vec_id").alias("entity_id"), F.element_at("embedding", 1).cast("double").alias("target"), *[F.element_at("embedding", k).cast("double").alias(f"f{k}") for k in range(2, 65)])
+    parts = splits.split_assignments(b, b, ["random"]).select("repeat", "entity_id", "partition")
+    return parts.join(wide, "entity_id"), names
+
+
+@_query(f"""WITH {_RIDGE} SELECT n(repeat) AS repeat, phase, n(candidate) AS candidate, parameters, n(j) AS feature, d(w) AS weight FROM wt""")
+def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge on 63 features, for every seed, both phases and all candidates."""
+    frame, names = _linear_frame(spark, sf_dir)
+    part = F.col("partition")
+    both = frame.withColumn("phase", F.explode(F.when(part == "test", F.array(F.lit("test"))).otherwise(F.array(F.lit("tune"), F.lit("test")))))
+    keys = ["repeat", "phase"]
+    rows, _ = linear.standardised(both, keys, names, (part == "train") | ((part == "validation") & (F.col("phase") == "test")))
+    fits = linear.fit_linear(rows, keys, names, "target", candidates("ridge"))
+    return fits.select(*keys, "candidate", "parameters", F.posexplode("weights").alias("feature", "weight")).withColumn("feature", F.col("feature") + 2)
+
+
+@_query(f"""WITH {_RIDGE} SELECT n(be.repeat) AS repeat, be.parameters AS best_parameters, d(be.rmse) AS validation_rmse, d(be.mae) AS validation_mae, n(ev.n) AS n_test, d(ev.rmse) AS test_rmse, d(ev.mae) AS test_mae
+    FROM be JOIN ev ON be.repeat = ev.repeat AND be.candidate = ev.candidate AND ev.phase = 'test'""")
+def ridge_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, names = _linear_frame(spark, sf_dir)
+    return linear.run_linear(frame, ["repeat"], names, candidates("ridge"))[1]
+
+
+@_query()
+def elastic_net_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, names = _linear_frame(spark, sf_dir)
+    return linear.run_linear(frame, ["repeat"], names, candidates("elastic_net"))[1]
+
+
 # ---- meta models and their selector
 
 _META = f"""{_SEL}, mr AS (SELECT f.heldout, c.model, avg((c.regret <= 0.1)::INT) AS probability FROM cand AS c JOIN (SELECT DISTINCT heldout FROM cand) AS f ON c.heldout <> f.heldout GROUP BY f.heldout, c.model),
