@@ -149,6 +149,36 @@ def baselines(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return _published(spark, args, made)
 
 
+def _known_and_outcomes(results: DataFrame, runs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(what is known of each run before the test, with a column for each parameter; its outcomes)."""
+    errors = [F.col(f"validation_{c}").alias(f"x_validation_{c}") for c in ("rmse", "mae", "r2", "spearman")]
+    known = results.select("run_id", "model", "feature_type", "strategy", "repeat", "seed", *errors, F.col("features_after").alias("x_features_after_preprocessing"), "best_parameters")
+    known = known.join(runs.select("run_id", *more), "run_id") if more else known
+    known = tasks.json_columns(known, "best_parameters", tasks.json_keys(known, "best_parameters")).drop("best_parameters")
+    return known, runs.select("run_id", F.col("rmse").alias("y_rmse"), F.col("mae").alias("y_mae"), F.col("failure_rate_gt_1p0").alias("y_primary_failure_rate"))
+
+
+def meta_dataset(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """The meta table of the runs within splits, with their failure summaries and a data dictionary. A task of which no run may be selected is a fault."""
+    labeled = residuals.failure_labels(residuals.with_residuals(readers.read_parquet(spark, f"{args.runs}/test_predictions")), tuple({*args.thresholds, 1.0}))
+    labeled = _save(labeled, args, "prediction_failures")
+    thresholds = tuple({*args.thresholds, 1.0})
+    runs = _save(residuals.run_summary(labeled, thresholds=thresholds), args, "run_summary")
+    _save(residuals.group_summary(runs, args.primary_threshold), args, "group_summary")
+    _save(residuals.entity_summary(labeled, thresholds), args, "entity_summary")
+    descriptors = readers.read_parquet(spark, args.descriptors)
+    names = tuple(c for c in descriptors.columns if c != "entity_id")
+    results = readers.read_parquet(spark, f"{args.runs}/model_results")
+    checks.raise_if_any(checks.differing_keys(results, runs, ["run_id"]), f"{args.output}/incomplete")
+    used = readers.read_parquet(spark, args.assignments).join(results.select("strategy", "repeat").distinct(), ["strategy", "repeat"], "left_semi")
+    per_task = tasks.task_features(used, readers.read_parquet(spark, args.targets), descriptors, names, strict=True)
+    known, outcomes = _known_and_outcomes(results, runs)
+    out = _save(tasks.meta_table(known, outcomes, per_task), args, "within_meta")
+    _save(tasks.data_dictionary(spark, out), args, "data_dictionary")
+    bare = out.groupBy("task_id").agg(F.count_if("selectable").alias("n")).where("n = 0").select(F.lit("no run to select").alias("check"), F.col("task_id").alias("detail"))
+    return checks.union([checks.repeated_keys(out, ["run_id"]), bare])
+
+
 def holdout_runs(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Experiments on hold-out tasks, with failures, group summary by source, and the meta table of all runs there are."""
     rows = readers.read_parquet(spark, args.tasks)
@@ -167,12 +197,8 @@ def holdout_runs(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     names = tuple(c for c in descriptors.columns if c != "entity_id")
     each = [rows.where(F.col("heldout") == n) for n in sorted(r[0] for r in rows.select("heldout").distinct().collect())]
     per_task = union([tasks.task_features(held.task_inputs(own)[0], held.task_inputs(own.where("repeat = 1"))[1], descriptors, names) for own in each])
-    results = readers.read_parquet(spark, f"{args.output}/model_results")
-    known = results.select("run_id", "model", "feature_type", "strategy", "repeat", "seed", *[F.col(f"validation_{c}").alias(f"x_validation_{c}") for c in ("rmse", "mae", "r2", "spearman")], F.col("features_after").alias("x_features_after_preprocessing"), "best_parameters")
-    known = known.join(runs.select("run_id", "heldout"), "run_id")
-    outcomes = runs.select("run_id", F.col("rmse").alias("y_rmse"), F.col("mae").alias("y_mae"), F.col("failure_rate_gt_1p0").alias("y_primary_failure_rate"))
-    keys = tasks.json_keys(known, "best_parameters")
-    source = tasks.rebuilt_meta(tasks.json_columns(known, "best_parameters", keys).drop("best_parameters"), outcomes, per_task)
+    known, outcomes = _known_and_outcomes(readers.read_parquet(spark, f"{args.output}/model_results"), runs, "heldout")
+    source = tasks.rebuilt_meta(known, outcomes, per_task)
     out = _save(source, args, "source_meta")
     if args.base_meta:
         out = _save(tasks.combined_meta(readers.read_parquet(spark, args.base_meta), source), args, "meta")
@@ -221,6 +247,12 @@ def meta(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     selected = _save(union(chosen), args, "selected_candidates")
     _save(selection.selection_grains(selected), args, "selection")
     _save(bootstrap.cluster_bootstrap(selected, ["selector"], "heldout", "y_regret", args.iterations), args, "uncertainty")
+    names = sorted(r[0] for r in selected.select("selector").distinct().collect())  # a row a selector
+    learned = [n for n in names if n.startswith("meta_model_")]
+    pairs = [(a, b) for a in learned for b in names if b != "oracle" and b not in learned and not b.startswith("ablation_")]
+    both = [selection.paired(selected, a, b, "y_regret").withColumns({"candidate": F.lit(a), "comparator": F.lit(b)}) for a, b in pairs]
+    _save(bootstrap.paired_bootstrap(union(both), ["candidate", "comparator"], "heldout", iterations=args.iterations), args, "paired_comparisons")
+    _save(reports.feature_audit(frame, sorted(c for c in frame.columns if c.startswith("x_"))), args, "feature_audit")
     return checks.repeated_keys(selected, ["selector", "task_id"])
 
 
@@ -249,6 +281,9 @@ def parser() -> argparse.ArgumentParser:
     f = step(failures, "predictions")
     f.add_argument("--thresholds", nargs="+", type=float, default=list(residuals.THRESHOLDS))
     f.add_argument("--primary-threshold", type=float, default=1.0)
+    d = step(meta_dataset, "runs", "assignments", "targets", "descriptors")
+    d.add_argument("--thresholds", nargs="+", type=float, default=list(residuals.THRESHOLDS))
+    d.add_argument("--primary-threshold", type=float, default=1.0)
     c = step(select, "candidates")
     c.add_argument("--fixed", default="{}", help='JSON: selector to [model, feature type]')
     c.add_argument("--iterations", type=int, default=2000)

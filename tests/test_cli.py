@@ -76,6 +76,10 @@ def test_commands_from_raw_files_to_meta_models(spark, tmp_path):
     assert spark.read.parquet(f"{out}/within/model_results").count() == 3
     with pytest.raises(ValueError, match="already"):
         main([*within, "--models", "knn", "--append"], spark)
+    main(["meta_dataset", "--runs", f"{out}/within", "--assignments", f"{out}/split_assignments", "--targets", f"{out}/targets", "--descriptors", str(tmp_path / "dense"), "--output", f"{out}/within", "--no-csv"], spark)
+    table_of = spark.read.parquet(f"{out}/within/within_meta")
+    assert table_of.count() == 3 and table_of.where("y_rank = 1").count() == 1 and {"x_fit_target_median", "x_test_similarity_p10", "x_shift_f1_smd", "x_hp_alpha"} <= set(table_of.columns)
+    assert table_of.where("x_model = 'dummy' AND (y_rank IS NOT NULL OR selectable)").count() == 0 and spark.read.parquet(f"{out}/within/data_dictionary").count() == len(table_of.columns)
     main(["holdouts", "--observations", f"{out}/observations", "--bits", str(tmp_path / "bits"), "--output", out, "--seeds", "1", "--sources", "AqSolDB", "Delaney", "AQUA", "--no-csv"], spark)
     assert spark.read.parquet(f"{out}/holdout_summary").count() == 3
     runs = ["holdout_runs", "--tasks", f"{out}/holdout_tasks", "--descriptors", str(tmp_path / "dense"), "--features", table, "--output", f"{out}/held", "--models", "dummy", "ridge", "knn", "elastic_net", "hist_gradient_boosting", "--no-csv"]
@@ -85,6 +89,8 @@ def test_commands_from_raw_files_to_meta_models(spark, tmp_path):
     main(["meta", "--meta", f"{out}/held/source_meta", "--output", f"{out}/meta", "--iterations", "100", "--fixed", '{"fixed_ridge": ["ridge", "rdkit_descriptors"]}', "--no-csv"], spark)
     selectors = {x.selector for x in spark.read.parquet(f"{out}/meta/selected_candidates").collect()}
     assert {"oracle", "fixed_ridge", "meta_model_logistic", "meta_model_bayesian_logistic_laplace", "ablation_hgb_full"} <= selectors and spark.read.parquet(f"{out}/meta/importances").count() > 30
+    pairs = {(x.candidate, x.comparator) for x in spark.read.parquet(f"{out}/meta/paired_comparisons").collect()}
+    assert ("meta_model_logistic", "fixed_ridge") in pairs and len(pairs) == 4 * 3 and spark.read.parquet(f"{out}/meta/feature_audit").where("feature = 'x_model'").first().distinct_values == 4
     with pytest.raises(ValueError, match="100"):
         main(["meta", "--meta", f"{out}/held/source_meta", "--output", f"{out}/meta", "--iterations", "10"], spark)
     sys.modules["gl_trainer"] = __import__("test_experiments")
