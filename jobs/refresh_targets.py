@@ -57,8 +57,10 @@ def refresh(spark: SparkSession, batch: DataFrame, number: int, output: str, con
     _overwrite(rows, f"{output}/observations", config["salts"], "day", "batch")
     every = spark.read.schema(OBSERVATIONS).parquet(f"{output}/observations")
     touched = every.where(F.col("batch") == number).select("day").distinct()  # a row a day
-    # Files that are delivered twice bring the same observations again.
-    mine = every.join(touched, "day", "left_semi").dropDuplicates(["observation_id"])
+    mine = every.join(touched, "day", "left_semi")
+    # Files that are delivered twice bring the same observations again. Without an id they can't be told apart, and all count.
+    named = F.col("observation_id").isNotNull()
+    mine = mine.where(named).dropDuplicates(["observation_id"]).unionByName(mine.where(~named))
     limits = {k: config[k] for k in ("consistent_max", "conflict_min", "review_min", "review_max")}
     targets = resolve_targets(mine, **limits, labels=("grp",), keys=("entity_id", "day"))
     _overwrite(targets.observe(kept, F.count(F.lit(1)).alias("n")), f"{output}/targets", config["salts"], "day")
