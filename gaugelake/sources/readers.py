@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import shutil
-import tarfile
 import urllib.request
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from gaugelake.sources.streams import digests, first_lines, invalid_lines, lines_after, listing
 
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if all files are valid in it, else Latin-1. Executors test the bytes."""
-    bad = spark.read.format("binaryFile").load(path).where(F.coalesce(~F.is_valid_utf8(F.col("content").cast("string")), F.lit(False)))
-    return "ISO-8859-1" if bad.limit(1).count() else "UTF-8"
+    """UTF-8 if all files are valid in it, else Latin-1. All tasks test the lines; no file is held whole."""
+    return "ISO-8859-1" if invalid_lines(spark, path).limit(1).count() else "UTF-8"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, skip_lines: int = 0, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header, after ``skip_lines`` lines; columns by name. Without a schema all columns are strings."""
-    reader = (spark.read.schema(schema) if schema else spark.read).option("header", True).option("encoding", encoding or csv_encoding(spark, path)).option("mode", "PERMISSIVE")
+    """A CSV file, or a folder of them, with a header after ``skip_lines`` lines; columns by name. Without a schema all columns are strings.
+
+    With ``skip_lines`` the files share the first one's header, a row ends with its line, and one without text is left out; columns that the header lacks are an error.
+    """
+    encoding = encoding or csv_encoding(spark, path)
     if not skip_lines:
+        reader = (spark.read.schema(schema) if schema else spark.read).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
         return reader.csv(path)
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n", -1)).alias("line"))
-    body = [r.line for r in lines.collect()][skip_lines:]  # small files with a preamble
-    if not body:
+    files = listing(spark, path).where("length > 0").orderBy("path").limit(1).collect()
+    head = first_lines(files[0].path, skip_lines + 1)[skip_lines:] if files else []
+    if not head:
         return spark.createDataFrame([], schema or StructType())
-    return reader.csv(spark.createDataFrame([(x,) for x in body if x], "value string").rdd.map(lambda r: r[0]))
+    header = [c.strip() for c in next(csv.reader([head[0].decode(encoding).lstrip("\ufeff")]))]
+    kinds = {f.name: f.dataType for f in schema.fields} if schema else {}
+    if missing := sorted(set(kinds).difference(header)):
+        raise ValueError(f"missing columns: {missing}")
+    text = F.regexp_replace(F.decode("line", encoding), "\r$", "")
+    lines = lines_after(spark, path, skip_lines + 1).select(text.alias("line")).where("line <> ''")
+    row = F.from_csv("line", StructType([StructField(c, kinds.get(c, StringType())) for c in header]).simpleString())
+    return lines.select(row.alias("r")).select(*[F.col(f"r.`{c}`").alias(c) for c in (kinds or header)])
 
 
 def read_sources(specs: list[tuple[str, str, StructType, int | None]], spark: SparkSession) -> dict[str, DataFrame]:
@@ -75,34 +87,6 @@ def download(url: str, target: str, size: int | None = None, md5: str | None = N
     return path
 
 
-def read_archive(spark: SparkSession, archive: str, members: dict[str, tuple[str, int]], schema: StructType, folder: str, skip_lines: int = 1, md5: str | None = None, id_col: str | None = None) -> DataFrame:
-    """The CSV members of a tar.gz as one table with a column task. members: task to (member, expected rows).
-
-    The archive's digest, the members' presence, their row counts and, with ``id_col``, that no id stands twice are checked. ``folder``: where members are unpacked, for all executors to read.
-    """
-    if md5 and file_digest(archive) != md5:
-        raise ValueError("the archive's MD5 is another one")
-    parts = []
-    with tarfile.open(archive) as tar:
-        held = {m.name: m for m in tar.getmembers() if m.isfile()}
-        for task, (member, expected) in sorted(members.items()):
-            if member not in held:
-                raise ValueError(f"{member} is not in the archive")
-            target = Path(folder) / f"{task}.csv"
-            lines = tar.extractfile(held[member]).read().decode().splitlines()[skip_lines:]
-            target.write_text("\n".join(lines) + "\n")
-            df = spark.read.schema(schema).option("header", True).csv(str(target)).withColumn("task", F.lit(task))
-            if (n := df.count()) != expected:
-                raise ValueError(f"{member} has {n} rows, not {expected}")
-            parts.append(df)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if id_col and (twice := out.groupBy(id_col).count().where("count > 1").limit(5).collect()):
-        raise ValueError(f"repeated ids: {[r[0] for r in twice]}")
-    return out
-
-
 def read_report(path: str | Path) -> dict:
     return json.loads(Path(path).read_text())
 
@@ -123,21 +107,20 @@ def path_size(spark: SparkSession, path: str) -> int:
 def file_inventory(spark: SparkSession, root: str, exclude: tuple[str, ...] = (".git/", "__pycache__/", ".egg-info/", ".pyc", ".pyo"), max_bytes: int | None = None, include: tuple[str, ...] = ()) -> DataFrame:
     """(path, length, sha256) of every file under ``root``, in order of its path; raises when one is larger than ``max_bytes``.
 
-    exclude: parts of a path (those with a slash end a folder's name, the others the path) that leave a file out. include: files, or folders with a slash behind
+    Contents are hashed where they are read, in chunks, and those of files that are left out are not read. exclude: parts of a path (those with a slash end a folder's name, the others the path) that leave a file out. include: files, or folders with a slash behind
     them, that alone are taken.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = "file:" + str(Path(root).resolve()) + "/"
-    listed = found.select(F.regexp_replace("path", "^file:/+", "file:/").alias("p"), "length", F.sha2("content", 256).alias("sha256"))
-    listed = listed.select(F.expr("substr(p, length({0}) + 1)".format(repr(base))).alias("path"), "length", "sha256")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
+    full = F.substring(F.col("path"), len(base), 1 << 30)  # with the slash before the name
+    listed = listing(spark, root, empty=True).withColumn("name", F.substring(F.col("path"), len(base) + 1, 1 << 30))
     for part in exclude:
-        full = F.concat(F.lit("/"), F.col("path"))
         listed = listed.where(~(full.contains(part if part.startswith(".") and part != ".git/" else "/" + part) if part.endswith("/") else full.endswith(part)))
     if include:
-        listed = listed.where(any_of([F.col("path").startswith(p) if p.endswith("/") else F.col("path") == p for p in include]))
+        listed = listed.where(any_of([F.col("name").startswith(p) if p.endswith("/") else F.col("name") == p for p in include]))
     if max_bytes is not None and (large := listed.where(F.col("length") >= max_bytes).limit(5).collect()):
-        raise ValueError(f"too large: {[r.path for r in large]}")
-    return listed.orderBy("path")
+        raise ValueError(f"too large: {[r.name for r in large]}")
+    return digests(listed).select(F.substring(F.col("path"), len(base) + 1, 1 << 30).alias("path"), "length", "sha256").orderBy("path")
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -7,7 +7,7 @@ import tarfile
 
 import pytest
 
-from gaugelake.sources import readers, writers
+from gaugelake.sources import archives, readers, streams, writers
 from gaugelake.streaming.rollup import source_rollup
 
 SCHEMA = "ID string, Name string, SMILES string, Solubility double"
@@ -26,21 +26,81 @@ def test_csv_encodings(spark, tmp_path):
         readers.read_sources([("u", str(tmp_path / "u.csv"), kind, 5)], spark)
 
 
-def test_archive_is_checked(spark, tmp_path):
+def _tar(path, members, mode="w:gz"):
+    with tarfile.open(path, mode) as tar:
+        for name, body in members.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+
+
+@pytest.mark.parametrize("mode", ["w:gz", "w"])
+def test_archive_is_checked(spark, tmp_path, mode):
     from pyspark.sql.types import _parse_datatype_string
 
     archive, kind = tmp_path / "a.tar.gz", _parse_datatype_string(SCHEMA)
-    body = b"junk line\nID,Name,SMILES,Solubility\n1,x,C,-1.5\n"
-    with tarfile.open(archive, "w:gz") as tar:
-        info = tarfile.TarInfo("d/t1.csv")
-        info.size = len(body)
-        tar.addfile(info, io.BytesIO(body))
+    head = b"junk line\nSolubility,more,ID,Name,SMILES\n"
+    many = "".join(f"-{k}.5,,{k + 10},\"n, {k}\",C\r\n" for k in range(9000)).encode()
+    _tar(archive, {"d/t1.csv": head + b'-1.5,a,1,"x\ny",C\n\n,,2\n', "d/t2.csv": b"\xef\xbb\xbf" + head + many, "d/none.csv": head, "d/bad.csv": head + b"high,a,1,x,C\n"}, mode)
     digest = hashlib.md5(archive.read_bytes()).hexdigest()
-    df = readers.read_archive(spark, str(archive), {"t1": ("d/t1.csv", 1)}, kind, str(tmp_path), md5=digest)
-    assert [(r.ID, r.Solubility, r.task) for r in df.collect()] == [("1", -1.5, "t1")]
-    for members, md5, what in (({"t1": ("d/t1.csv", 2)}, None, "rows"), ({"t1": ("no.csv", 1)}, None, "not in"), ({"t1": ("d/t1.csv", 1)}, "0" * 32, "MD5")):
+    read = lambda members, md5=None, **more: archives.read_archive(spark, str(archive), members, kind, md5=md5, **more)
+    df = read({"one": ("d/t1.csv", 2), "two": ("d/t2.csv", 9000), "zero": ("d/none.csv", 0)}, digest, id_col="ID")
+    got = {r.ID: r for r in df.collect()}
+    assert len(got) == 9002 and tuple(got["1"]) == ("1", "x\ny", "C", -1.5, "one") and tuple(got["2"]) == ("2", None, None, None, "one")
+    assert tuple(got["9009"]) == ("9009", "n, 8999", "C", -8999.5, "two")
+    assert {r.member for r in archives.archive_members(spark, str(archive)).collect()} == {"d/t1.csv", "d/t2.csv", "d/none.csv", "d/bad.csv"}
+    for members, md5, what in (({"t1": ("d/t1.csv", 3)}, None, "rows"), ({"t1": ("no.csv", 1)}, None, "not in"), ({"t1": ("d/t1.csv", 2)}, "0" * 32, "MD5")):
         with pytest.raises(ValueError, match=what):
-            readers.read_archive(spark, str(archive), members, kind, str(tmp_path), md5=md5)
+            read(members, md5)
+    with pytest.raises(ValueError, match="repeated ids"):
+        read({"a": ("d/t1.csv", 2), "b": ("d/t1.csv", 2)}, id_col="ID")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read({"a": ("d/bad.csv", 1)})
+
+
+def test_csv_behind_a_preamble(spark, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string("b double, a string")
+    folder = tmp_path / "c"
+    folder.mkdir()
+    (folder / "1.csv").write_bytes("made by hand\n\na,c,b\nnaïve,,1.5\r\n\n\"x, y\",2,\n".encode("latin-1"))
+    (folder / "2.csv").write_bytes(b"made by hand\n\na,c,b\n" + b"".join(b"r%d,,%d\n" % (k, k) for k in range(5000)))
+    (folder / "3.csv").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")  # files in several pieces
+    try:
+        got = sorted((r.a, r.b) for r in readers.read_csv(spark, str(folder), kind, skip_lines=2).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 5002 and set(got) == {("naïve", 1.5), ("x, y", None), *[(f"r{k}", float(k)) for k in range(5000)]}
+    assert readers.read_csv(spark, str(folder / "1.csv"), skip_lines=2).columns == ["a", "c", "b"] and readers.read_csv(spark, str(folder / "3.csv"), kind, skip_lines=2).count() == 0
+    with pytest.raises(ValueError, match="missing columns"):
+        readers.read_csv(spark, str(folder), _parse_datatype_string("z string"), skip_lines=2)
+
+
+def test_files_of_any_size(spark, tmp_path):
+    root = tmp_path / "big"
+    root.mkdir()
+    size = (3 << 30) + 5  # beyond what one value holds; a hole of zeros
+    with open(root / "hole.bin", "wb") as f:
+        f.write(b"start")
+        f.truncate(size)
+    (root / "empty").write_bytes(b"")
+    (root / "a b%.txt").write_bytes(b"x" * 9)
+    want = hashlib.sha256(b"start")
+    for _ in range(3 << 10):
+        want.update(bytes(1 << 20))
+    got = {r.path: (r.length, r.sha256) for r in readers.file_inventory(spark, str(root)).collect()}
+    assert got == {"hole.bin": (size, want.hexdigest()), "empty": (0, hashlib.sha256().hexdigest()), "a b%.txt": (9, hashlib.sha256(b"x" * 9).hexdigest())}
+    changed = streams.listing(spark, str(root / "a b%.txt")).selectExpr("path", "length + 1 AS length")
+    with pytest.raises(Exception, match="changed while it was read"):
+        streams.digests(changed).collect()
+
+
+def test_footers(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 3 AS k", "array(id) AS l").repartition(3).write.partitionBy("k").parquet(str(tmp_path / "t"))
+    found = streams.footers(spark, str(tmp_path / "t")).collect()
+    assert sum(r.rows for r in found) == 100 and {r.columns for r in found} == {2} and all(r.length > 0 and r.row_groups == 1 for r in found)
 
 
 def test_lock_and_inventory(spark, tmp_path):
