@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gaugelake.functions.columns import finite_or_null
 from gaugelake.operators.checks import union
 from gaugelake.operators.quantiles import with_quantiles
+from gaugelake.tables import written
 
 
 def source_validation(obs: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
@@ -106,6 +107,27 @@ def flatten_report(report: Any, path: str = "") -> list[tuple[str, Any]]:
     return [(path, report)]
 
 
+def flattened(reports: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, metric, value) of a table of nested reports, JSON texts of up to 16 MB in ``column``: what ``flatten_report`` gives of each, values as strings.
+
+    A round opens one level of all reports at once; there are as many rounds as the deepest report has levels. A null report gives no row; a text that is no JSON is an error.
+    """
+    spark, leaves = reports.sparkSession, []
+    level = reports.where(F.col(column).isNotNull()).select(F.col(id_col), F.lit("").alias("metric"), F.parse_json(F.col(column)).alias("v"))
+    dot = lambda name: F.concat(F.col("metric"), F.when(F.col("metric") != "", ".").otherwise(""), name)
+    while True:
+        kind = F.schema_of_variant("v")
+        marked, seen = written(level.withColumn("_open", kind.startswith("OBJECT") | (kind.startswith("ARRAY") & (F.to_json("v") != "[]"))), "reports", open=F.count_if("_open"))
+        value = F.coalesce(F.when(F.schema_of_variant("v").startswith("ARRAY"), "[]"), F.variant_get("v", "$", "string"))
+        leaves.append(marked.where("NOT _open").select(id_col, "metric", value.alias("value")))
+        if not seen.get("open"):
+            return union(leaves)
+        items = marked.where("_open").select(id_col, "metric", F.col("v").alias("_v"))
+        items = items.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        inner = F.when(F.schema_of_variant("value").startswith("OBJECT"), F.concat("metric", F.lit("."), F.col("pos").cast("string"))).otherwise(F.col("metric"))
+        level = items.select(id_col, F.when(F.col("key").isNotNull(), dot(F.col("key"))).otherwise(inner).alias("metric"), F.col("value").alias("v"))
+
+
 def split_report(quality: DataFrame, column: str = "similarity_median") -> DataFrame:
     """For each strategy the mean, least and greatest of its repeats' test medians; ``quality``: rows of ``splits.split_quality``."""
     test = quality.where("partition = 'test'")

@@ -8,19 +8,23 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import platform
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gaugelake.models import adapters, experiments
 from gaugelake.models import external as external_runs
 from gaugelake.models import meta as meta_models
-from gaugelake.operators import bootstrap, checks, metrics, overlap, reports, residuals, resolve, selection, splits, tasks
+from gaugelake.operators import bootstrap, checks, metrics, overlap, reports, residuals, resolve, selection, similarity, splits, tasks
 from gaugelake.operators import holdouts as held
 from gaugelake.operators.checks import union
 from gaugelake.session import build_session
-from gaugelake.sources import harmonise, readers, writers
+from gaugelake.sources import archives, harmonise, readers, streams, writers
+from gaugelake.tables import written
 
 
 def _save(df: DataFrame, args: argparse.Namespace, name: str) -> DataFrame:
@@ -83,10 +87,62 @@ def audit(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return checks.repeated_keys(found, ["external_id"])
 
 
+def import_archive(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """An external test set from its archive: inputs and labels apart, features, and what of it is known inside, exactly and nearly.
+
+    The archive is downloaded if it isn't there (or with --force-download) and --url is given. A structure that can't be parsed, or stands twice, is a fault.
+    """
+    if args.url:
+        readers.download(args.url, args.archive, args.bytes, args.md5, args.force_download)
+    members = {task: (name, rows) for task, (name, rows) in json.loads(args.members).items()}
+    schema = StructType.fromDDL("ID string, Name string, SMILES string, Solubility double")
+    raw = archives.read_archive(spark, args.archive, members, schema, args.skip_lines, args.md5, "ID").withColumnsRenamed({"ID": "external_id", "Name": "compound_name", "SMILES": "original_smiles", "Solubility": "value"})
+    parsed, _ = written(adapters.standardize(raw, "original_smiles", _named(args.parser)), "parsed")
+    bad = parsed.where("structure_status <> 'ok'").select(F.lit("structure not parsed").alias("check"), F.col("external_id").alias("detail"))
+    checks.raise_if_any(checks.union([bad, checks.repeated_keys(parsed, ["entity_id"])]), f"{args.output}/input_faults")
+    inputs = _save(parsed.drop("value"), args, "inputs")
+    labels = _save(parsed.select("external_id", "task", "value", F.lit(True).alias("locked_for_model_selection")), args, "labels")
+    compute = _named(args.compute)(radius=args.radius, n_bits=args.bits, chirality=not args.ignore_chirality)
+    made = _save(adapters.featurize(inputs, "parent", compute), argparse.Namespace(**vars(args) | {"no_csv": True}), "features")
+    targets = readers.read_parquet(spark, args.targets).where("primary").select("entity_id")
+    inside = overlap.restricted_to(readers.read_parquet(spark, args.internal_bits).select("entity_id", "bits"), targets, exact=True)
+    near = similarity.nearest_neighbour(made.select("entity_id", "bits"), inside).select(F.col("query").alias("entity_id"), F.col("nearest").alias("nearest_target"), F.col("similarity").alias("max_similarity"))
+    found = overlap.overlap_audit(inputs.join(labels.select("external_id", "value"), "external_id"), readers.read_parquet(spark, args.observations))
+    found = overlap.existence(found.join(near, "entity_id", "left"), targets, "in_targets").withColumn("nearest_is_equal", F.coalesce(F.col("max_similarity") >= 1 - 1e-12, F.lit(False)))
+    audited = _save(found, args, "overlap_audit")
+    _save(overlap.exclusion_list(audited.where("in_targets")), args, "exclusions")
+    _save(overlap.task_summary(audited), args, "task_summary")
+    digest = streams.digests(streams.listing(spark, args.archive), ("md5", "sha256")).first().asDict()
+    counts = audited.agg(F.count("*").alias("rows"), F.count_if("in_internal").alias("known"), F.count_if("in_targets").alias("in_targets"), F.count_if("nearest_is_equal").alias("nearest_is_equal")).first().asDict()
+    _reported(spark, args, "import_report", {"archive": digest, "external": counts, "labels_apart": True})
+    return checks.union([checks.differing_keys(inputs, made, ["entity_id"]), checks.other_bits(made.where("size(failures) = 0"), args.bits)])
+
+
+def _reported(spark: SparkSession, args: argparse.Namespace, name: str, report: dict) -> None:
+    """A report as JSON, and flat as a table (metric, value)."""
+    Path(args.output).mkdir(parents=True, exist_ok=True)
+    writers.write_report(report, f"{args.output}/{name}.json")
+    body = spark.createDataFrame([(name, Path(f"{args.output}/{name}.json").read_text())], "report string, body string")
+    _save(reports.flattened(body, "report", "body"), args, name)
+
+
 def inventory(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Checksums of the files below a folder and, where they are named, row counts of tables (from footers), what the runs hold, and locked packages: one manifest."""
     out = _save(readers.file_inventory(spark, args.root, max_bytes=args.max_bytes, include=tuple(args.include)), args, "checksums")
-    _save(readers.inventory_totals(out), args, "totals")
-    return checks.repeated_keys(out, ["path"])
+    totals = _save(readers.inventory_totals(out), args, "totals").first().asDict()
+    manifest = {"generated_at": datetime.now(timezone.utc).isoformat(), "python": platform.python_version(), "spark": spark.version, "checksums": totals | {"algorithm": "SHA-256"}, "max_bytes": args.max_bytes}
+    faults = [checks.repeated_keys(out, ["path"])]
+    if args.tables:
+        counts = [streams.footers(spark, path).agg(F.lit(name).alias("table"), F.sum("rows").alias("n"), F.max("columns").alias("columns")) for name, _, path in (t.partition("=") for t in args.tables)]
+        manifest["tables"] = {r.table: {"rows": r.n, "columns": r.columns} for r in _save(union(counts), args, "table_counts").collect()}  # a row a table
+    if args.runs:
+        results, predictions = (readers.read_parquet(spark, f"{args.runs}/{t}") for t in ("model_results", "test_predictions"))
+        manifest["experiment"] = _save(reports.experiment_summary(results), args, "experiment").first().asDict()
+        faults += [checks.repeated_keys(results, ["run_id"]), checks.repeated_keys(predictions, ["run_id", "entity_id"]), checks.differing_keys(results, predictions, ["run_id"])]
+    if args.lock:
+        manifest["packages"] = {r.package: r.version for r in readers.read_lock(spark, args.lock).collect()}
+    _reported(spark, args, "manifest", manifest)
+    return checks.union(faults)
 
 
 def _named(text: str):
@@ -291,14 +347,26 @@ def parser() -> argparse.ArgumentParser:
     i = step(inventory, "root")
     i.add_argument("--max-bytes", type=int, default=95_000_000)
     i.add_argument("--include", nargs="*", default=[])
+    i.add_argument("--tables", nargs="*", default=[], help="name=path of Parquet tables to count")
+    i.add_argument("--runs", help="folder of model_results and test_predictions")
+    i.add_argument("--lock", help="a file of package==version lines")
+    k = step(import_archive, "archive", "observations", "targets", "internal_bits")
+    k.add_argument("--members", required=True, help="JSON: task to [member, rows]")
+    k.add_argument("--skip-lines", type=int, default=1)
+    k.add_argument("--md5")
+    k.add_argument("--url")
+    k.add_argument("--bytes", type=int)
+    k.add_argument("--force-download", action="store_true")
+    k.add_argument("--parser", default="gaugelake.models.structures:parse", help="module:function of a structure's text")
     m = step(master, "raw")
     m.add_argument("--parser", default="gaugelake.models.structures:parse", help="module:function of a structure's text")
     g = step(features, "targets")
     g.add_argument("--structure", default="parent")
-    g.add_argument("--radius", type=int, default=2)
-    g.add_argument("--bits", type=int, default=2048)
-    g.add_argument("--ignore-chirality", action="store_true")
-    g.add_argument("--compute", default="gaugelake.models.structures:features", help="module:function that makes a function of a structure's text")
+    for p in (g, k):
+        p.add_argument("--radius", type=int, default=2)
+        p.add_argument("--bits", type=int, default=2048)
+        p.add_argument("--ignore-chirality", action="store_true")
+        p.add_argument("--compute", default="gaugelake.models.structures:features", help="module:function that makes a function of a structure's text")
     b, r = step(baselines, "targets", "assignments"), step(holdout_runs, "tasks", "descriptors")
     for p in (b, r):
         p.add_argument("--features", nargs="+", required=True, help="name=path of each feature table")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.models import experiments, linear, meta
 from gaugelake.models.regressors import DESCRIPTORS, candidates
-from gaugelake.operators import holdouts, reports, selection, splits, tasks
+from gaugelake.operators import checks, holdouts, reports, selection, splits, tasks
 from gaugelake.operators.checks import union
 from gaugelake.plans.audit import _BINNED, _BITS, _LOW, _OBS, _SEL, _SQL, _SUMMARY, _candidates, _query, _stratified, bits, observations
 from gaugelake.sources.harmonise import COLUMNS, TYPES, harmonise
@@ -361,3 +361,90 @@ def _harmonised_sql() -> str:
 @_query(_harmonised_sql())
 def harmonised_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union([harmonise(df, name) for name, df in _raw(spark, sf_dir).items()])
+
+
+# ---- reports and checks
+
+_DAYS = """WITH e AS (SELECT event_type, user_id, ts::DATE AS day, value FROM events WHERE event_type IS NOT NULL), dd AS (
+    SELECT event_type, day, count(*) AS k, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS p FROM e GROUP BY event_type, day)"""
+
+
+@_query(f"""{_DAYS}
+    SELECT event_type AS report, 'events.n' AS metric, count(*)::VARCHAR AS value FROM e GROUP BY event_type UNION ALL
+    SELECT event_type, 'events.with_value', (count(value) > 0)::VARCHAR FROM e GROUP BY event_type UNION ALL
+    SELECT event_type, 'users', u::VARCHAR FROM (SELECT DISTINCT event_type, user_id AS u FROM e WHERE user_id < 10) UNION ALL
+    SELECT event_type, 'users', '[]' FROM e GROUP BY event_type HAVING count_if(user_id < 10) = 0 UNION ALL
+    SELECT event_type, 'days.' || p || '.day', day::VARCHAR FROM dd UNION ALL
+    SELECT event_type, 'days.' || p || '.events.n', k::VARCHAR FROM dd UNION ALL
+    SELECT event_type, 'days.' || p || '.faults', '[]' FROM dd UNION ALL
+    SELECT DISTINCT event_type, 'reviewed', NULL FROM e""")
+def nested_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested report of each event type (as many as a table of kinds has; a list of days in each), flat."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type IS NOT NULL").withColumn("day", F.to_date("ts"))
+    daily = events.groupBy("event_type", "day").agg(F.count("*").alias("n"), F.count("value").alias("v"), F.collect_set(F.when(F.col("user_id") < 10, F.col("user_id"))).alias("u"))
+    day = F.struct(F.col("day").cast("string").alias("day"), F.struct("n").alias("events"), F.array().cast("array<int>").alias("faults"))
+    whole = daily.groupBy("event_type").agg(
+        F.struct(F.sum("n").alias("n"), (F.sum("v") > 0).alias("with_value")).alias("events"), F.array_distinct(F.flatten(F.collect_set("u"))).alias("users"), F.array_sort(F.collect_list(day)).alias("days")
+    )
+    text = F.to_json(F.struct("events", "users", "days", F.lit(None).cast("int").alias("reviewed"), F.create_map().cast("map<string,int>").alias("notes")), {"ignoreNullFields": "false"})
+    return reports.flattened(whole.select(F.col("event_type").alias("report"), text.alias("body")), "report", "body")
+
+
+_PLANTED = """WITH v AS (SELECT vec_id AS e, label AS g, vec_id % 100 AS r FROM embeddings), a0 AS (
+    SELECT e, g, CASE WHEN e % 97 = 5 THEN 'dev' WHEN r < 80 THEN 'train' WHEN r < 90 THEN 'validation' ELSE 'test' END AS p FROM v WHERE e % 103 <> 6
+), a1 AS (
+    SELECT *, CASE WHEN p = 'train' THEN CASE WHEN e % 89 = 3 THEN 0.5::DOUBLE END WHEN e % 83 = 7 THEN NULL WHEN e % 83 = 8 THEN 1.25::DOUBLE ELSE 0.25::DOUBLE END AS s FROM a0
+), a AS (SELECT * FROM a1 UNION ALL SELECT * FROM a1 WHERE e % 101 = 4), h AS (
+    SELECT 'h' || e % 3 AS t, e, CASE WHEN e % 9 < 3 THEN 'test' WHEN e % 9 < 8 THEN 'train' ELSE 'validation' END AS p,
+        CASE WHEN (e % 9 < 3) <> (e % 53 = 9) THEN 'heldout_source_only' ELSE 'nonheldout_sources_only' END AS o FROM v WHERE e % 3 > 0 OR e % 9 < 8
+), m AS (SELECT e, e // 7 AS k, e % 7 < 3 + CASE WHEN e // 7 % 5 = 1 THEN 1 ELSE 0 END AS top, e % 61 = 2 AS bare FROM v)"""
+
+
+@_query(f"""{_PLANTED}, mm AS (SELECT * FROM m UNION ALL SELECT * FROM m WHERE e % 67 = 3)
+    SELECT 'splits' AS part, 'repeated strategy+repeat+entity_id' AS "check", 'group 1 ' || e AS detail FROM a GROUP BY e HAVING count(*) > 1 UNION ALL
+    SELECT 'splits', 'entities missing', 'group 1' FROM a HAVING count(DISTINCT e) <> (SELECT count(DISTINCT e) FROM v) UNION ALL
+    SELECT 'splits', 'a partition is empty', 'group 1' FROM a HAVING count(DISTINCT p) < 3 UNION ALL
+    SELECT 'splits', 'unknown partition', p FROM a WHERE p = 'dev' UNION ALL
+    SELECT 'splits', 'similarity is null for train alone', e::VARCHAR FROM a WHERE (p = 'train') <> (s IS NULL) UNION ALL
+    SELECT 'splits', 'max_similarity out of range', e || ' ' || s FROM a WHERE s > 1 UNION ALL
+    SELECT 'splits', 'group in several partitions', concat_ws(' ', 'group 1', g) FROM a GROUP BY g HAVING count(DISTINCT p) > 1 UNION ALL
+    SELECT 'holdouts', 'origin is another side''s', t || ' 1 ' || e FROM h WHERE (p = 'test') <> (o = 'heldout_source_only') UNION ALL
+    SELECT 'holdouts', 'a partition is empty', t || ' 1' FROM h GROUP BY t HAVING count(DISTINCT p) < 3 UNION ALL
+    SELECT 'meta', 'repeated run_id', e::VARCHAR FROM mm GROUP BY e HAVING count(*) > 1 UNION ALL
+    SELECT 'meta', 'missing y_rmse', e::VARCHAR FROM mm WHERE bare UNION ALL
+    SELECT 'meta', 'number of top runs', concat_ws(' ', k, sum(top::INT)) FROM mm GROUP BY k HAVING sum(top::INT) <> 3 UNION ALL
+    SELECT 'meta', 'too few sources', '2' FROM mm HAVING count(DISTINCT k % 2) < 3 UNION ALL
+    SELECT 'meta', 'task of several sources', k::VARCHAR FROM mm GROUP BY k HAVING count(DISTINCT CASE WHEN e % 71 = 9 THEN 1 - k % 2 ELSE k % 2 END) > 1 UNION ALL
+    SELECT 'bits', 'not a set of bits', e::VARCHAR FROM v WHERE e % 79 BETWEEN 1 AND 3 UNION ALL
+    SELECT 'values', 'values differ', e::VARCHAR FROM v WHERE e % 73 IN (0, 1) UNION ALL
+    SELECT 'keys', 'only on the left', e::VARCHAR FROM v WHERE e % 59 = 1 AND e % 47 <> 1 UNION ALL
+    SELECT 'keys', 'only on the right', e::VARCHAR FROM v WHERE e % 47 = 1 AND e % 59 <> 1 UNION ALL
+    SELECT 'groups', 'several parity', concat_ws(' ', g) FROM v GROUP BY g HAVING count(DISTINCT e % 2) > 1 UNION ALL
+    SELECT 'totals', 'rows lost', count(*) || ' ' || count(*) FILTER (e % 43 <> 1) FROM v HAVING count(*) FILTER (e % 43 = 1) > 0""")
+def planted_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors' ids as split, hold-out, meta and feature tables with planted faults, and what the checks say of them."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("entity_id"), F.col("label").alias("grp"))
+    e, x = F.col("entity_id"), F.expr
+    part = F.when(e % 97 == 5, "dev").when(e % 100 < 80, "train").when(e % 100 < 90, "validation").otherwise("test")
+    sets = v.where("entity_id % 103 <> 6").select("entity_id", F.lit("group").alias("strategy"), F.lit(1).alias("repeat"), part.alias("partition"), "grp")
+    likeness = x("CASE WHEN partition = 'train' THEN CASE WHEN entity_id % 89 = 3 THEN 0.5D END WHEN entity_id % 83 = 7 THEN NULL WHEN entity_id % 83 = 8 THEN 1.25D ELSE 0.25D END")
+    sets = sets.withColumn("max_similarity", likeness)
+    sets = sets.unionByName(sets.where("entity_id % 101 = 4"))
+    held = v.where("entity_id % 3 > 0 OR entity_id % 9 < 8").select(
+        F.concat(F.lit("h"), e % 3).alias("heldout"), F.lit(1).alias("repeat"), "entity_id", F.when(e % 9 < 3, "test").when(e % 9 < 8, "train").otherwise("validation").alias("partition"),
+        F.when((e % 9 < 3) != (e % 53 == 9), checks.ORIGINS["test"]).otherwise(checks.ORIGINS["fit"]).alias("origin"),
+    )
+    task = x("entity_id div 7")
+    runs = v.select(
+        e.alias("run_id"), task.alias("task_id"), F.when(e % 71 == 9, 1 - task % 2).otherwise(task % 2).alias("heldout"), F.lit(True).alias("selectable"), (e % 7 < 3 + F.when(task % 5 == 1, 1).otherwise(0)).alias("y_top"),
+        F.when(e % 61 != 2, 1.0).alias("y_rmse"), F.lit(0.0).alias("y_regret"), F.lit(True).alias("y_near_best"),
+    )
+    runs = runs.unionByName(runs.where("run_id % 67 = 3"))
+    bits = v.select("entity_id", x("CASE entity_id % 79 WHEN 1 THEN array(0, 0) WHEN 2 THEN array(0, 64) WHEN 3 THEN NULL ELSE array(0, 63) END").alias("bits"))
+    values = v.select("entity_id", F.lit(0.1).alias("a"), x("CASE entity_id % 73 WHEN 0 THEN 0.1001D WHEN 1 THEN NULL ELSE 0.1D + 1e-13D END").alias("b"))
+    found = {
+        "splits": checks.split_faults(sets, v), "holdouts": checks.holdout_faults(held), "meta": checks.source_meta_faults(runs), "bits": checks.other_bits(bits, 64),
+        "values": checks.not_close(values, "entity_id", F.col("a"), F.col("b")), "keys": checks.differing_keys(v.where("entity_id % 47 <> 1"), v.where("entity_id % 59 <> 1"), ["entity_id"]),
+        "groups": checks.inconsistent(v.withColumn("parity", e % 2), "grp", ["parity"]), "totals": checks.unequal_totals(v, F.count("*"), v.where("entity_id % 43 <> 1"), F.count("*"), "rows lost"),
+    }
+    return union([df.select(F.lit(name).alias("part"), "check", "detail") for name, df in found.items()])

@@ -8,27 +8,58 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from gaugelake.operators.unify import union_loose
+from gaugelake.tables import small, written
+
+
+def fingerprint(columns: list[str]) -> dict[str, Column]:
+    """Aggregates that two bags of rows share if they are equal, and by chance one in 2 ** 64 times and less if they aren't: rows, and the sum and the xor of two hashes of each row."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    total = F.coalesce(F.sum(F.xxhash64(*cells).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return {"n": F.count(F.lit(1)), "total": total, "mixed": F.coalesce(F.bit_xor(F.xxhash64(F.lit(1), *cells)), F.lit(0).cast("long"))}
+
+
+def _mark(df: DataFrame, columns: list[str]) -> tuple:
+    return tuple(df.agg(*[c.alias(k) for k, c in fingerprint(columns).items()]).first())
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Equal as bags of rows."""
-    return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+    """Equal as bags of rows, columns by place, by their fingerprints: each side is read once, and no row is shuffled.
+
+    Where numbers of two types, or maps, meet, rows themselves are compared; columns of otherwise different types are unequal.
+    """
+    kinds = [(x.dataType, y.dataType) for x, y in zip(a.schema.fields, b.schema.fields)]
+    if len(a.columns) != len(b.columns) or any(x != y and not (isinstance(x, NumericType) and isinstance(y, NumericType)) for x, y in kinds):
+        return False
+    if any(x != y or "map<" in x.simpleString() for x, y in kinds):
+        return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+    return _mark(a, a.columns) == _mark(b.toDF(*a.columns), a.columns)
 
 
 def write_table(df: DataFrame, path: str, csv_path: str | None = None, gzip: bool = False) -> int:
-    """zstd Parquet, and CSV if asked for; both are read again and must have as many rows. Returns that number."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    spark = df.sparkSession
-    n = spark.read.parquet(path).count()
+    """zstd Parquet, and CSV if asked for. Returns the number of rows.
+
+    The write observes the fingerprint of what it writes, which that of the files must equal; the CSV must have as many rows. Columns of maps have no fingerprint.
+    """
+    spark, watch = df.sparkSession, Observation()
+    marked = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    seen = df.observe(watch, *[c.alias(k) for k, c in fingerprint(marked).items()]) if marked else df
+    seen.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    back = spark.read.parquet(path)
+    n, *rest = _mark(back, marked) if marked else (back.count(),)
+    wrote = {"n": 0, "total": "0", "mixed": 0} | dict(watch.get if marked else {"n": n})
+    if marked and (n, *rest) != tuple(wrote[k] for k in ("n", "total", "mixed")):
+        raise ValueError(f"{path} holds {n} rows, which aren't the {wrote['n']} that were written")
     if csv_path:
         df.write.mode("overwrite").option("header", True).option("compression", "gzip" if gzip else "none").csv(csv_path)
-        if (m := spark.read.option("header", True).csv(csv_path).count()) != n:
+        if (m := spark.read.option("header", True).option("multiLine", True).csv(csv_path).count()) != n:
             raise ValueError(f"CSV has {m} rows, Parquet {n}")
     return n
 
@@ -73,14 +104,16 @@ def swap(spark: SparkSession, staged: str, target: str) -> None:
         system.delete(backup, True)
 
 
-def append_runs(spark: SparkSession, new: DataFrame, target: str, key: str = "run_id", idempotent: bool = False) -> str:
+def append_runs(spark: SparkSession, new: DataFrame, target: str, key: str = "run_id", idempotent: bool = False, by: str | None = None) -> str:
     """Add rows of new runs to a table, or make it. Runs that are there already are refused; with ``idempotent``, all of them there is a no-op.
 
-    Returns "created", "appended" or "unchanged".
+    An append writes files of the new runs alone. Only new columns make the whole table be written anew and swapped. ``by``: a column by whose values a new table
+    lies in folders, so that :func:`rebuild` can replace those of some values. Returns "created", "appended" or "unchanged".
     """
     system, where = _files(spark, target)
+    parts = [by] if by else []
     if not system.exists(where):
-        new.write.option("compression", "zstd").parquet(target)
+        new.write.option("compression", "zstd").partitionBy(*parts).parquet(target)
         return "created"
     there, ids = spark.read.parquet(target), new.select(key).distinct()
     known, total = ids.join(there.select(key).distinct(), key, "left_semi").count(), ids.count()
@@ -88,12 +121,28 @@ def append_runs(spark: SparkSession, new: DataFrame, target: str, key: str = "ru
         return "unchanged"
     if known:
         raise ValueError(f"{known} of {total} runs are in the table already")
+    if dict(there.dtypes) == dict(new.dtypes):
+        new.select(*there.columns).write.mode("append").option("compression", "zstd").partitionBy(*parts).parquet(target)
+        return "appended"
     staged = f"{target}-{uuid.uuid4().hex[:8]}"
-    union_loose([there, new]).write.option("compression", "zstd").parquet(staged)
+    union_loose([there, new]).write.option("compression", "zstd").partitionBy(*parts).parquet(staged)
     swap(spark, staged, target)
     return "appended"
 
 
+def rebuild(spark: SparkSession, target: str, touched: DataFrame, by: str, how: Callable[[DataFrame], DataFrame]) -> int:
+    """Replace the rows of the values of ``by`` in ``touched`` by ``how`` of them, which keeps their columns: ranks within a task after its runs were appended.
+
+    ``target`` lies in folders by ``by``; those of other values are neither read nor written (dynamic partition overwrite), and a call that runs twice has the
+    same result if ``how`` has. Returns the number of rows written.
+    """
+    values, seen = written(touched.select(by).distinct(), "touched")
+    own = spark.read.parquet(target).join(small(values, seen["n"]), by, "left_semi")
+    made, wrote = written(how(own), "rebuilt")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(by).parquet(target)
+    return wrote["n"]
+
+
 def merged_report(before: dict, new: dict) -> dict:
     """A report of all runs: counts add up, records of skipped and failed runs are joined (of one run the last), requested names are united, and it fails if either did."""
     out = before | new

@@ -45,6 +45,44 @@ def make_compute(radius, n_bits, chirality):
     return lambda text: ([float(len(text))], sorted({ord(c) % n_bits for c in text}), [])
 
 
+def test_import_and_manifest(spark, tmp_path):
+    import hashlib
+    import json
+    import sys
+
+    from test_sources import _tar
+
+    sys.modules["gl_stand_in"] = sys.modules[__name__]
+    out, archive = str(tmp_path / "out"), tmp_path / "set.tar.gz"
+    head = b"made by hand\nID,Name,SMILES,Solubility\n"
+    _tar(archive, {"d/tight.csv": head + b"1,a,CCO,-1\n2,b,NNN,-2\n", "d/loose.csv": head + b"3,c,CO,-3\n", "d/broken.csv": head + b"4,d,?,-3\n"})
+    spark.createDataFrame([("o1", "A", "KCCO", -1.1), ("o2", "B", "KCCO", -1.3), ("o3", "A", "KOO", 0.0)], "observation_id string, source string, entity_id string, value double").write.parquet(str(tmp_path / "obs"))
+    spark.createDataFrame([("KCCO", True), ("KOO", True), ("KCO", False)], "entity_id string, primary boolean").write.parquet(str(tmp_path / "targets"))
+    spark.createDataFrame([("KCCO", [3, 15]), ("KOO", [15]), ("KCO", [3])], "entity_id string, bits array<int>").write.parquet(str(tmp_path / "bits"))
+    run = ["import_archive", "--archive", str(archive), "--observations", str(tmp_path / "obs"), "--targets", str(tmp_path / "targets"), "--internal_bits", str(tmp_path / "bits"), "--output", out]
+    run += ["--parser", "gl_stand_in:parse_text", "--compute", "gl_stand_in:make_compute", "--bits", "64", "--md5", hashlib.md5(archive.read_bytes()).hexdigest(), "--members"]
+    main([*run, '{"tight": ["d/tight.csv", 2], "loose": ["d/loose.csv", 1]}'], spark)
+    found = {r.external_id: r for r in spark.read.parquet(f"{out}/overlap_audit").collect()}
+    assert (found["1"].in_internal, found["1"].internal_sources, found["1"].in_targets, found["1"].nearest_is_equal, found["1"].nearest_target) == (True, 2, True, True, "KCCO")
+    assert (found["2"].in_internal, found["2"].max_similarity, found["2"].nearest_target) == (False, 0.0, "KCCO") and (found["3"].in_targets, found["3"].nearest_is_equal, found["3"].nearest_target) == (False, True, "KCCO")
+    assert "value" not in spark.read.parquet(f"{out}/inputs").columns and spark.read.parquet(f"{out}/labels").count() == 3
+    assert [r.external_ids for r in spark.read.parquet(f"{out}/exclusions").collect()] == ["1"] and spark.read.parquet(f"{out}/task_summary").count() == 2
+    assert json.loads((tmp_path / "out/import_report.json").read_text())["external"] == {"rows": 3, "known": 1, "in_targets": 1, "nearest_is_equal": 2}
+    with pytest.raises(ValueError, match="structure not parsed: 4"):
+        main([*run, '{"bad": ["d/broken.csv", 1]}'], spark)
+    runs = tmp_path / "runs"
+    spark.createDataFrame([("r1", "m", "f", "random", 1), ("r2", "n", "f", "random", 1)], "run_id string, model string, feature_type string, strategy string, repeat int").write.parquet(str(runs / "model_results"))
+    spark.createDataFrame([("r1", "e1"), ("r2", "e1"), ("r1", "e2")], "run_id string, entity_id string").write.parquet(str(runs / "test_predictions"))
+    (tmp_path / "lock.txt").write_text("b==2\n# a==1\nA==1.0\n")
+    step = ["inventory", "--root", str(tmp_path / "obs"), "--output", out, "--tables", f"results={runs}/model_results", f"obs={tmp_path}/obs", "--runs", str(runs), "--lock", str(tmp_path / "lock.txt")]
+    main(step, spark)
+    flat = {r.metric: r.value for r in spark.read.parquet(f"{out}/manifest").collect()}
+    assert flat["tables.results.rows"] == "2" and flat["tables.obs.columns"] == "4" and flat["experiment.models"] == "2" and flat["packages.A"] == "1.0" and int(flat["checksums.files"]) >= 2
+    spark.createDataFrame([("r9", "e1")], "run_id string, entity_id string").write.mode("append").parquet(str(runs / "test_predictions"))
+    with pytest.raises(ValueError, match="only on the right: r9"):
+        main(step, spark)
+
+
 def test_commands_from_raw_files_to_meta_models(spark, tmp_path):
     import sys
 

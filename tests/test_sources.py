@@ -158,3 +158,54 @@ def test_stream_equals_table(spark, tmp_path):
     finally:
         q.stop()
     assert {tuple(r) for r in spark.table("rollup_test").collect()} == {tuple(r) for r in source_rollup(df).collect()} and spark.table("rollup_test").count() == 2
+
+
+def test_appends_touch_what_changed(spark, tmp_path):
+    from gaugelake.operators.tasks import ranked_outcomes
+
+    target = str(tmp_path / "meta")
+    runs = lambda ids: spark.createDataFrame([(f"r{k}", f"t{k % 3}", k != 4, float(k * 7 % 5)) for k in ids], "run_id string, task_id string, selectable boolean, y_rmse double")
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "meta").rglob("*.parquet")}
+    assert writers.append_runs(spark, ranked_outcomes(runs(range(9))), target, by="task_id") == "created"
+    before, new = files(), runs([12, 15, 10])  # of t0 and t1
+    assert writers.append_runs(spark, ranked_outcomes(new), target, by="task_id") == "appended"
+    after = files()
+    assert before.items() <= after.items() and len(after) > len(before)
+    plain = ["run_id", "task_id", "selectable", "y_rmse"]
+    assert writers.rebuild(spark, target, new, "task_id", lambda df: ranked_outcomes(df.select(*plain))) == 9
+    last = files()
+    kept = {p for p in last if "task_id=t2" in str(p)}
+    assert kept and all(last[p] == before[p] for p in kept) and not (set(last) - kept) & set(after)
+    whole = ranked_outcomes(runs([*range(9), 12, 15, 10]))
+    assert writers.same_rows(spark.read.parquet(target).select(*whole.columns), whole)
+    assert writers.append_runs(spark, ranked_outcomes(new), target, by="task_id", idempotent=True) == "unchanged"
+    wider = ranked_outcomes(runs([20])).selectExpr("*", "1 AS more")
+    assert writers.append_runs(spark, wider, target, by="task_id") == "appended" and spark.read.parquet(target).where("more = 1").count() == 1
+
+
+def test_fingerprints(spark, tmp_path):
+    rows = lambda x: spark.createDataFrame(x, "a int, b string")
+    one = rows([(1, "x"), (1, "x"), (2, None)])
+    assert writers.same_rows(one, rows([(2, None), (1, "x"), (1, "x")])) and writers.same_rows(one.limit(0), rows([]))
+    for other in ([(1, "x"), (2, None)], [(1, "x"), (2, None), (2, None)], [(1, "x"), (1, "x"), (None, "2")], []):
+        assert not writers.same_rows(one, rows(other))
+    assert writers.same_rows(one, one.selectExpr("CAST(a AS long) AS a", "b")) and not writers.same_rows(one, one.select("b", "a").selectExpr("b AS x", "CAST(a AS string) AS y"))
+    loose = one.selectExpr("a", "map(a, b) AS m", "uuid() AS u", "'two\nlines' AS t")  # other rows each time they are made
+    assert writers.write_table(loose, str(tmp_path / "t")) == 3 and writers.write_table(loose.drop("m"), str(tmp_path / "t"), str(tmp_path / "c")) == 3
+    assert writers.write_table(one.limit(0), str(tmp_path / "e")) == 0
+
+
+def test_nested_reports_are_flat(spark):
+    import json
+
+    from gaugelake.operators.reports import flatten_report, flattened
+
+    made = [
+        {"a": {"b": [1, 2, {"c": "x", "d": [{"e": None}, [3, [4, {"f": True}]], []]}], "g": {}, "h": []}, "i": "text", "j": 2.5},
+        [], {}, 7, "s", [[], [{"k": [1]}]], {"x.y": {"z": [{"w": 1}, {"w": [2, 3]}]}}, [{"p": 0}], None,
+    ]
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    want = sorted(((k, m, text(v)) for k, r in enumerate(made) for m, v in flatten_report(r)), key=repr)
+    table = spark.createDataFrame([*[(k, json.dumps(r)) for k, r in enumerate(made)], (99, None)], "id int, report string")
+    assert sorted((tuple(r) for r in flattened(table, "id", "report").collect()), key=repr) == want and len(want) > 20
+    assert flattened(table.limit(0), "id", "report").collect() == []
