@@ -220,9 +220,9 @@ WITH t AS (
 ), q AS (
     SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n, row_number() OVER (PARTITION BY doc_id, s ORDER BY i) - 1 AS p FROM s
 ), v AS (
-    SELECT doc_id, n, p, min((h, -i)) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS m FROM q WHERE n > 10
+    SELECT doc_id, n, p, min((h, -i)) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS m FROM q WHERE n > 16
 ), c AS (
-    SELECT DISTINCT doc_id, -m[2] AS i FROM v WHERE p <= n - 6
+    SELECT DISTINCT doc_id, -m[2] AS i FROM v WHERE p <= n - 16
 ), u AS (
     SELECT q.doc_id, q.i AS a, row_number() OVER (PARTITION BY q.doc_id ORDER BY q.i) AS u FROM q LEFT JOIN c ON q.doc_id = c.doc_id AND q.i = c.i WHERE p = 0 OR c.i IS NOT NULL
 ), e AS (

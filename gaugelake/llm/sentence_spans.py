@@ -1,6 +1,6 @@
 """Substring dedup by sliding spans of sentences, for any text: with long sentences, short ones, or none.
 
-A text is cut into sentences, and a sentence of many words once more: behind its winnowed words (the least hash of some stretch of words, so equal
+A text is cut into sentences, and a sentence of so many words that a passage might not hold two such once more: before its winnowed words (the least hash of some stretch of words, so equal
 passages are cut alike wherever they stand). Every run of consecutive sentences that has enough words is hashed; a text without any such
 run is one itself. Of equal runs in the corpus all but the first go.
 
@@ -209,15 +209,15 @@ def _gone(sent: DataFrame) -> DataFrame:
 
 
 def dedup_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = 2, min_words: int = 20, long: int = 10, stretch: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = 2, min_words: int = 20, long: int = 16, stretch: int = 16
 ) -> DataFrame:
     """Each row of ``docs`` as the struct ``row``, with ``text`` (what is left), n_removed_words, n_spans.
 
     A sentence ends behind a word with a stop (. ! ? or one of other scripts), or at a line feed; those of over ``long`` words are cut before winnowed words, the
     least in a stretch of ``stretch``. A span is a run of ``run`` and more consecutive such units, as few as have ``min_words`` words together; a
     text without one is a span as a whole. Spans are compared by their words, by two 64-bit hashes. Of equal spans the first (least id, null last, then place)
-    stays; the words of every other one go, with the white space behind them. So a passage of 51 words and more that stands elsewhere
-    holds a full span, whatever its stops, and of equal texts one stays. n_spans counts stretches of removed words.
+    stays; the words of every other one go, with the white space behind them. No unit has over 16 words, so a passage of 51 words that stands elsewhere, less
+    15 at either end in units that it doesn't fill, has 21 in whole units: a full span, whatever its stops. Of equal texts one stays. n_spans counts stretches of removed words.
 
     Ids are integers. A null text stays null; rows equal in id and text are treated alike; texts of any length are taken whole; other columns
     of any name stay in ``row``; an empty table gives an empty result.
