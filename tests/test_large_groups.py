@@ -119,6 +119,45 @@ def test_all_tasks_share_one_product(spark, monkeypatch):
         assert x.max_similarity == (None if want is None else pytest.approx(want))
 
 
+@pytest.mark.parametrize("upto", [0, 3, 12])
+def test_small_sets_meet_in_their_subsets(spark, monkeypatch, upto):
+    monkeypatch.setattr(similarity, "_small", lambda counts: upto)
+    r = random.Random(upto)
+    sets = {f"e{k}": sorted(r.sample(range(100), r.choice([0, 1, 2, 3, 7]))) for k in range(50)}
+    sets |= {f"e{k}": sets["e0"] for k in (50, 51)} | {"wide": list(range(20 if upto < 12 else 12))}
+    # More tasks than a mask has; the last has no train rows, and so a tile without an answer.
+    rows = [(t, k, "test" if t == 70 else r.choice(["train", "test"])) for t in range(71) for k in sets if t > 1 or k == "wide"]
+    df = spark.createDataFrame(rows, "repeat int, entity_id string, partition string")
+    got = similarity.max_similarity_by_task(df, spark.createDataFrame(list(sets.items()), "entity_id string, bits array<int>"), ["repeat"]).collect()
+    train = {}
+    for t, k, p in rows:
+        train.setdefault(t, []).extend([k] if p == "train" else [])
+    assert len(got) == len(rows)
+    for x in got:
+        want = None if x.partition == "train" else max((_score(sets[x.entity_id], sets[k], "tanimoto") for k in train[x.repeat]), default=0.0)
+        assert x.max_similarity == want
+    alone = similarity.max_similarity_by_task(df.where("repeat = 70"), spark.createDataFrame(list(sets.items()), "entity_id string, bits array<int>"), ["repeat"])
+    assert {x.max_similarity for x in alone.collect()} == {0.0}  # no answer in any tile
+
+
+def test_which_sets_are_small():
+    assert similarity._small({1: 10_000, 3: 10_000, 30: 5}) == 3 and similarity._small({30: 10_000, 12: 100}) == 0 and similarity._small({}) == 0
+
+
+def test_best_sets_holds_strips(monkeypatch):
+    """Places and scores are those of all pairs sorted, in strips of any length; a strip, not all pairs, is held."""
+    monkeypatch.setattr(similarity, "STRIP", 64)
+    r = np.random.default_rng(3)
+    a, b = (np.packbits(r.random((n, 128)) < 0.2, axis=1, bitorder="little").view(np.uint64) for n in (40, 30))
+    for measure in ("tanimoto", "cosine"):
+        near, score = similarity.best_sets(a, b, 4, measure, (np.arange(30), np.arange(30)))
+        for i in range(40):
+            bits = [set(np.flatnonzero(np.unpackbits(w.view(np.uint8), bitorder="little")).tolist()) for w in (a[i], *b)]
+            want = sorted((-_score(bits[0], x, measure), k) for k, x in enumerate(bits[1:]) if k != i)[:4]
+            assert [(-s, k) for s, k in zip(score[i], near[i])] == want
+    assert (similarity.most_shared(a, b) == similarity.best_sets(a, b, 1, "tanimoto")[1][:, 0]).all()
+
+
 def test_assignments_of_all_seeds_are_those_of_each(spark):
     r = random.Random(2)
     rows = [(f"m{k:03d}", r.gauss(0, 1), f"g{r.randrange(30)}" if k % 9 else f"own{k}", sorted(r.sample(range(40), 6))) for k in range(200)]
