@@ -1,7 +1,8 @@
 """Nearest neighbours of bit sets, kept as arrays of set bits.
 
-Rows on either side fall into blocks; two blocks meet in one group as words of 64 bits, whose shared bits are counted a strip at a time, and only the best of each
-query leave the group. So no pair of rows is ever a row of a table, and a task holds two blocks and a strip whatever the tables' size.
+Rows on either side fall into blocks; a block of queries meets a span of blocks in one group as words of 64 bits, whose shared bits are counted a strip at a time, and
+only the best of each query leave the group. So no pair of rows is ever a row of a table, and a task holds a block, a span and a strip whatever the tables' size. Within a
+strip the greatest counts of runs of columns bound what a query's best can be, and only counts that reach it are looked at one by one.
 
 Blocks hold rows of like size (number of set bits). A first round compares each block of queries with the blocks of ``train`` nearest in size and leaves a lower bound
 of the k-th best score; a second round skips every pair of blocks whose sizes, and whose unions of bits, can't reach it. The answers are those of all pairs.
@@ -20,8 +21,10 @@ from gaugelake.tables import written
 
 #: Rows of a block; blocks of dense vectors hold a quarter.
 BLOCK = 16384
-#: Pairs whose shared bits are counted at once.
-STRIP = 1 << 20
+#: Pairs whose distances are held at once, and those whose shared bits are; pairs whose common words are.
+STRIP, COUNTS, WORDS = 1 << 20, 1 << 22, 1 << 17
+#: Most rows, and bytes of their words, of a span of blocks; least tiles that a search is cut into.
+SPAN, SPAN_BYTES, TILES = 1 << 18, 1 << 26, 96
 #: Most bits of a set whose subsets are listed, and what a subset costs, in comparisons of two rows.
 SUBSETS, SUBSET_COST = 12, 500
 #: Tasks that share a mask of 64 bits.
@@ -34,28 +37,33 @@ def set_bits(vector: Column, threshold: float) -> Column:
     return F.filter(above, lambda i: i.isNotNull())
 
 
-def with_words(df: DataFrame, words: int) -> DataFrame:
-    """``df`` with ``packed``: its ``bits`` as so many words of 64 bits."""
+def with_words(df: DataFrame, words: int, more: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """``df`` with ``packed``: its ``bits`` as so many words of 64 bits. more: other columns by the lists that they come from, with their words."""
+    made = {"packed": ("bits", words)} | {name: (bits, n) for bits, (name, n) in (more or {}).items()}
+
+    def packed(column, words: int):
+        import pyarrow as pa
+
+        wide, size, n, parts = 64 * words, 8 * words, len(column), []
+        step = max(1, (1 << 24) // wide)
+        for at in range(0, n, step):
+            piece = column.slice(at, step)
+            lengths = np.diff(piece.offsets.to_numpy())
+            flat = np.zeros((len(piece), wide), np.uint8)
+            flat[np.repeat(np.arange(len(piece)), lengths), piece.flatten().to_numpy(zero_copy_only=False)] = 1
+            parts.append(np.packbits(flat, axis=1, bitorder="little"))
+        data = np.concatenate(parts) if parts else np.zeros((0, size), np.uint8)
+        offsets = np.arange(0, (n + 1) * size, size, dtype=np.int32)
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        wide, size = 64 * words, 8 * words
         for batch in batches:
-            column, parts = batch.column(batch.schema.get_field_index("bits")), []
-            step = max(1, (1 << 24) // wide)
-            for at in range(0, batch.num_rows, step):
-                piece = column.slice(at, step)
-                lengths = np.diff(piece.offsets.to_numpy())
-                flat = np.zeros((len(piece), wide), np.uint8)
-                flat[np.repeat(np.arange(len(piece)), lengths), piece.flatten().to_numpy(zero_copy_only=False)] = 1
-                parts.append(np.packbits(flat, axis=1, bitorder="little"))
-            data = np.concatenate(parts) if parts else np.zeros((0, size), np.uint8)
-            offsets = np.arange(0, (batch.num_rows + 1) * size, size, dtype=np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, packed], [*batch.schema.names, "packed"])
-
-    return df.mapInArrow(pack, df.withColumn("packed", F.lit(None).cast("binary")).schema)
+            new = [packed(batch.column(batch.schema.get_field_index(bits)), n) for bits, n in made.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *made])
+
+    return df.mapInArrow(pack, df.withColumns({name: F.lit(None).cast("binary") for name in made}).schema)
 
 
 def _words(packed) -> np.ndarray:
@@ -93,46 +101,172 @@ def _by_size(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int,
     return order, np.ascontiguousarray(words[order].T), list(zip(starts.tolist(), ends, strict=True)), found
 
 
+def _distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows, which of them each row is)."""
+    if words.shape[1] == 1:
+        found, which = np.unique(words[:, 0], return_inverse=True)
+        return found[:, None], which
+    found, which = np.unique(np.ascontiguousarray(words).view(f"V{8 * words.shape[1]}").ravel(), return_inverse=True)
+    return found.view(np.uint64).reshape(len(found), -1), which
+
+
+def _lists(which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in order of their row of ``_distinct``, where each row's start, and the end)."""
+    return np.argsort(which, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(which, minlength=n))])
+
+
+class _Columns:
+    """Different rows of train as columns, in order of size; runs of ``width`` columns have one size, padded with empty ones (``row`` is -1 there)."""
+
+    def __init__(self, train: np.ndarray, most: int):
+        sizes = _sizes(train)
+        order = np.argsort(sizes, kind="stable")
+        found, counts = np.unique(sizes, return_counts=True)
+        self.width = 1 << min(8, max(3, int(len(train) // (8 * most)).bit_length()))
+        runs = -(-counts // self.width)
+        starts = np.cumsum(runs) - runs
+        at = np.repeat(starts * self.width - (np.cumsum(counts) - counts), counts) + np.arange(len(order))
+        self.row = np.full(int(runs.sum()) * self.width, -1, np.int64)
+        self.row[at] = order
+        self.words = np.zeros((train.shape[1], len(self.row)), np.uint64)
+        self.words[:, at] = train[order].T
+        self.sizes = np.repeat(found, runs)
+
+    def counted(self, left: np.ndarray) -> np.ndarray:
+        """Bits that each row shares with each column, in the least type that holds them."""
+        n = len(self.words)
+        out = np.empty((len(left), self.words.shape[1]), np.uint8 if 64 * n < 256 else np.uint16 if 64 * n < 65536 else np.uint32)
+        step = max(self.width, WORDS // len(left))
+        held = np.empty((len(left), step), np.uint64)
+        for x in range(0, out.shape[1], step):
+            part = out[:, x : x + step]
+            both = held[:, : part.shape[1]]
+            for w in range(n):
+                np.bitwise_and(left[:, w, None], self.words[w, x : x + step], out=both)
+                if w:
+                    part += np.bitwise_count(both)
+                else:
+                    np.bitwise_count(both, out=part)
+        return out
+
+    def strips(self, rows: np.ndarray) -> Iterator[slice]:
+        step = max(1, COUNTS // self.words.shape[1])
+        return (slice(s, s + step) for s in range(0, len(rows), step))
+
+    def hits(self, both: np.ndarray, nq: np.ndarray, most: int, measure: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, columns, scores, bounds): all columns that share a bit and are as similar as ``bounds``, which the ``most`` best columns of each row are at least."""
+        runs = both.reshape(len(both), -1, self.width)
+        top = runs.max(axis=2)
+        scored = _score(top, nq[:, None], self.sizes[None, :], measure)
+        # The best of each run: so many columns score as much.
+        bound = np.partition(scored, -most, axis=1)[:, -most] if most <= scored.shape[1] else np.zeros(len(both))
+        r, g = np.nonzero((top > 0) & (scored >= bound[:, None]))
+        nr, ng = nq[r], self.sizes[g]
+        least = bound[r] * (nr + ng) / (1 + bound[r]) if measure == "tanimoto" else bound[r] * np.sqrt(nr.astype(float) * ng)
+        least = np.maximum(np.floor(least).astype(np.int64) - 1, 1)
+        for _ in range(3):
+            least += _score(least, nr, ng, measure) < bound[r]
+        counts = runs[r, g]
+        a, b = np.nonzero(counts >= least[:, None])
+        return r[a], g[a] * self.width + b, _score(counts[a, b], nr[a], ng[a], measure), bound
+
+
 def best_sets(queries: np.ndarray, train: np.ndarray, k: int, measure: str, same: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places in ``train``, similarities) of the k most similar rows of each query, the first of equal ones; ``same``: (queries, rows) that are no candidates, at -inf.
 
-    Among rows of one size the most shared bits are best, so a strip holds counts alone, and scores are of the best of each size.
+    Copies on either side are compared once. With ``same`` so many more are found as a query has rows that are none.
     """
-    order, right, edges, sizes = _by_size(train)
-    nq, k = _sizes(queries), min(k, len(train))
-    near, score = np.empty((len(queries), k), np.int64), np.empty((len(queries), k))
-    if same is not None:
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        sort = np.argsort(same[0], kind="stable")
-        rows, columns = same[0][sort], back[same[1][sort]]
-    step = max(1, STRIP // max(1, len(train)))
-    for s in range(0, len(queries), step):
-        both = _shared(queries[s : s + step], right, 1)  # 0: no candidate
-        own, every = nq[s : s + step], np.arange(len(both))
-        if same is not None:
-            a, b = np.searchsorted(rows, [s, s + len(both)])
-            both[rows[a:b] - s, columns[a:b]] = 0
-        at = np.stack([x + both[:, x:y].argmax(axis=1) for x, y in edges], axis=1)
-        top = np.take_along_axis(both, at, axis=1)
-        scored = np.where(top > 0, _score(top - (top > 0), own[:, None], sizes[None, :], measure), -np.inf)
-        for j in range(k):
-            most = scored.max(axis=1)
-            pick = np.where(scored == most[:, None], order[at], len(order)).argmin(axis=1)
-            place = at[every, pick]
-            near[s : s + step, j], score[s : s + step, j] = order[place], most
-            if j + 1 == k:
-                break
-            both[every, place] = 0
-            for g in np.unique(pick).tolist():  # what is next in that size
-                r = np.flatnonzero(pick == g)
-                x, y = edges[g]
-                at[r, g] = x + both[r, x:y].argmax(axis=1)
-                left = both[r, at[r, g]]
-                scored[r, g] = np.where(left > 0, _score(left - (left > 0), own[r], sizes[g], measure), -np.inf)
+    k = min(k, len(train))
+    near, score = np.zeros((len(queries), k), np.int64), np.full((len(queries), k), -np.inf)
+    most = k + (int(np.bincount(same[0]).max()) if same is not None and len(same[0]) else 0)
+    asked, asks = _distinct(queries)
+    kept, holds = _distinct(train)
+    copies, first = _lists(holds, len(kept))
+    users, start = _lists(asks, len(asked))
+    columns, sizes = _Columns(kept, most), _sizes(asked)
+    pairs = np.sort(same[0] * np.int64(len(train)) + same[1]) if same is not None else np.zeros(0, np.int64)
+    for s in columns.strips(asked):
+        left, nq = asked[s], sizes[s]
+        r, c, found, bound = columns.hits(columns.counted(left), nq, most, measure)
+        rows, n = columns.row[c], np.minimum(first[1:] - first[:-1], most)  # of more copies none is among the best
+        n = n[rows]
+        r, found, at = np.repeat(r, n), np.repeat(found, n), np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place = copies[at]
+        bare = np.flatnonzero((bound <= 0) & (np.bincount(r, minlength=len(left)) < most))  # rows that share no bit come next, the first of them
+        more = [(np.full(len(z), q), z) for q in bare for z in [_first_others(place[r == q], most, len(train))]]
+        if more:
+            r, place = np.concatenate([r, *[a for a, _ in more]]), np.concatenate([place, *[b for _, b in more]])
+            found = np.concatenate([found, np.zeros(len(place) - len(found))])
+        order = np.lexsort((place, -found, r))
+        r, place, found = r[order], place[order], found[order]
+        head = np.arange(len(r)) - np.searchsorted(r, r) < most
+        r, place, found = r[head], place[head], found[head]
+        # Each copy of a query has these; its own row goes.
+        ends = np.searchsorted(r, np.arange(len(left) + 1))
+        own = users[start[s.start] : start[s.start + len(left)]]
+        group = np.repeat(np.arange(len(left)), np.diff(start[s.start : s.start + len(left) + 1]))
+        n = (ends[1:] - ends[:-1])[group]
+        at = np.repeat(ends[group] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        q, place, found = np.repeat(own, n), place[at], found[at]
+        turn = np.repeat(np.arange(len(own)), n)
+        if len(pairs):
+            key = q * np.int64(len(train)) + place
+            other = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] != key
+            q, place, found, turn = q[other], place[other], found[other], turn[other]
+        j = np.arange(len(q)) - np.searchsorted(turn, turn)
+        q, j, place, found = (x[j < k] for x in (q, j, place, found))
+        near[q, j], score[q, j] = place, found
     return near, score
 
 
+def _first_others(taken: np.ndarray, n: int, of: int) -> np.ndarray:
+    """The first n places that aren't taken."""
+    free = np.setdiff1d(np.arange(min(of, n + len(taken))), taken)
+    return free[:n]
+
+
+def best_of_tasks(queries: np.ndarray, asks: np.ndarray, train: np.ndarray, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tasks, places of queries, similarities): for each task that a query asks, the greatest similarity to the rows of ``train`` that fit it; none where none does.
+
+    asks, fits: rows by tasks. A pair is counted once for all tasks: a query's best few rows are mostly some of each task's. Where they aren't, more of them are looked at,
+    then all.
+    """
+    tasks = asks.shape[1]
+    asked, which = _distinct(queries)
+    kept, holds = _distinct(train)
+    users, start = _lists(which, len(asked))
+    copies, first = _lists(holds, len(kept))
+    wanted = np.logical_or.reduceat(asks[users], start[:-1], axis=0).T.copy()
+    held = np.logical_or.reduceat(fits[copies], first[:-1], axis=0).T.copy()
+    open_, sizes = wanted & held.any(axis=1)[:, None], _sizes(asked)
+    best = np.full((tasks, len(asked)), -np.inf)
+    for most in (8, 64, None):
+        rows = np.flatnonzero(open_.any(axis=0))
+        if not len(rows):
+            break
+        columns = _Columns(kept, most or 8)
+        fitted = None if most else np.where(columns.row >= 0, held[:, columns.row], False)
+        for s in columns.strips(rows):
+            mine = rows[s]
+            both = columns.counted(asked[mine])
+            if most:
+                r, c, score, _ = columns.hits(both, sizes[mine], most, "tanimoto")
+                order = np.lexsort((-score, r))
+                r, c, score = mine[r[order]], columns.row[c[order]], score[order]
+                for t in np.flatnonzero(open_[:, mine].any(axis=1)):
+                    hit = np.flatnonzero(open_[t, r] & held[t, c])
+                    hit = hit[np.concatenate([[True], r[hit][1:] != r[hit][:-1]])] if len(hit) else hit
+                    best[t, r[hit]] = score[hit]
+            else:
+                for t in np.flatnonzero(open_[:, mine].any(axis=1)):
+                    some = np.flatnonzero(open_[t, mine])
+                    top = (both[some] * fitted[t]).reshape(len(some), -1, columns.width).max(axis=2)
+                    best[t, mine[some]] = _score(top, sizes[mine[some], None], columns.sizes[None, :]).max(axis=1)
+        open_ &= best == -np.inf
+    t, q = np.nonzero(asks.T & held.any(axis=1)[:, None])
+    return t.astype(np.int32), q, best[t, which[q]]
+
+
 def most_shared(queries: np.ndarray, train: np.ndarray) -> np.ndarray:
     """The greatest similarity of each query to a row of ``train``."""
     _, right, edges, sizes = _by_size(train)
@@ -190,7 +324,8 @@ def most_similar(queries: DataFrame, train: DataFrame, k: int = 1, keys: tuple[s
         rows, _ = written(sides.withColumn("_w", width), "bits")
     else:
         rows, seen = written(sides.withColumn("bits", F.array_distinct("bits")).withColumn("_w", width), "bits", last=F.max(F.array_max("bits")))
-        rows = with_words(rows, 1 + (seen.get("last") or 0) // 64)
+        words = 1 + (seen.get("last") or 0) // 64
+        rows = with_words(rows, words)
     blocks, cards = _blocked(rows, keys, max(1, BLOCK // 4) if dense else BLOCK, dense)
     held = "bits" if dense else "packed"
     pairs, table = _pairs(cards, keys, measure)
@@ -218,16 +353,21 @@ def most_similar(queries: DataFrame, train: DataFrame, k: int = 1, keys: tuple[s
             out[c] = group[c].iloc[0]
         return out[out["similarity"] > -np.inf][names]
 
-    def met(chosen: DataFrame) -> DataFrame:
-        """The k best of each query over these pairs of blocks."""
-        q = blocks.where("side = 0").join(chosen, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("block") == F.col("i")])
-        t = blocks.where("side = 1").join(chosen, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("block") == F.col("j")])
-        names = [*keys, "side", "id", held, "i", "j"]
-        return q.select(*names).unionByName(t.select(*names)).groupBy(*keys, "i", "j").applyInPandas(tile, schema)
+    # Blocks of a span; vectors come one block at a time.
+    widest = 1 if dense else max(1, min(SPAN // BLOCK, SPAN_BYTES // (8 * words * BLOCK)))
+
+    def met(chosen: DataFrame, n: int) -> DataFrame:
+        """The k best of each query over these ``n`` pairs of blocks, for each span."""
+        span = max(1, min(widest, n // TILES))
+        dealt = chosen.withColumn("at", F.floor(F.col("j") / span))
+        q = blocks.where("side = 0").join(dealt.drop("j").distinct(), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("block") == F.col("i")])
+        t = blocks.where("side = 1").join(dealt, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("block") == F.col("j")])
+        names = [*keys, "side", "id", held, "i", "at"]
+        return q.select(*names).unionByName(t.select(*names)).groupBy(*keys, "i", "at").applyInPandas(tile, schema)
 
-    place = Window.partitionBy(*keys, "query").orderBy(F.desc("similarity"), "candidate")  # k rows a block of ``train``
+    place = Window.partitionBy(*keys, "query").orderBy(F.desc("similarity"), "candidate")  # k rows a span of ``train``
     best = lambda df: df.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k)
-    first, _ = written(met(pairs.where("near")), "near")
+    first, _ = written(met(pairs.where("near").select(*[f"_{c}" for c in keys], "i", "j"), table.get("near", 0)), "near")
     # A block's bound: the least k-th best of its queries; none where one has fewer than k yet.
     kth = best(first).where(F.col("_p") == k).select(*keys, F.col("query").alias("id"), "similarity")
     asked = blocks.where("side = 0").select(*[F.col(c).alias(f"_{c}") for c in keys], "id", "block")
@@ -239,7 +379,7 @@ def most_similar(queries: DataFrame, train: DataFrame, k: int = 1, keys: tuple[s
     open_ = pairs.where("NOT near").join(bounds, [*same, F.col("i") == F.col("_i")]).where("least IS NULL OR bound >= least")
     left, seen_pairs = written(open_.select(*[f"_{c}" for c in keys], "i", "j"), "open")
     skipped.update(pairs=table["n"], compared=table.get("near", 0) + seen_pairs["n"])
-    every = first if not seen_pairs["n"] else first.unionByName(met(left))
+    every = first if not seen_pairs["n"] else first.unionByName(met(left, seen_pairs["n"]))
     return best(every).drop("_p")
 
 
@@ -370,45 +510,39 @@ def _by_subsets(rows: DataFrame) -> DataFrame:
 
 
 def _by_blocks(rows: DataFrame, small_upto: int, n_large: int, n_small: int, words: int, tasks: int, own: str) -> DataFrame:
-    """(task, entity_id, similarity) from all pairs of which one has over ``small_upto`` bits: greatest ones within two blocks.
+    """(task, entity_id, similarity) from all pairs of which one has over ``small_upto`` bits: greatest ones within a block of queries and a span of train rows.
 
-    Blocks of large sets come first and meet every block once, at (lesser, greater); those of small sets meet these alone.
+    Blocks and spans of large sets come first and meet all of the other side; those of small sets meet large ones alone.
     """
     size = min(BLOCK, max(1024, -(-(n_large + n_small) // 16)))
     large, few = max(1, -(-n_large // size)), -(-n_small // size)
-    drawn = F.xxhash64("entity_id")
-    is_large = F.size("bits") > small_upto
-    block = F.when(is_large, F.pmod(drawn, F.lit(large))).otherwise(large + F.pmod(drawn, F.lit(max(1, few)))).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.when(is_large, large + few - 1).otherwise(large - 1)), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    packed, _ = written(with_words(rows.withColumn("own", block), words).withColumn("p", pairs).drop("bits"), "packed")
-    dealt = packed.withColumn("p", F.explode("p")).select("entity_id", "fit", "ask", "packed", "own", "p.i", "p.j")
+    longest = min(SPAN, max(1024, SPAN_BYTES // max(8 * words, tasks)))
+    spans = lambda n, least: max(-(-n // longest), min(least, -(-n // size)))
+    wide = max(1, spans(n_large, -(-TILES // (large + few))))
+    narrow = spans(n_small, -(-TILES // large))
+    drawn, is_large = F.xxhash64("entity_id"), F.size("bits") > small_upto
+    of = lambda a, b: F.when(is_large, F.pmod(drawn, F.lit(a))).otherwise(a + F.pmod(drawn, F.lit(max(1, b)))).cast("int")
+    rows = rows.withColumns({"i": of(large, few), "j": of(wide, narrow), "large": is_large, "asks": F.size("ask") > 0, "fits": F.size("fit") > 0})
+    held = 1 + (tasks - 1) // 64
+    packed, _ = written(with_words(rows, words, {"ask": ("asked", held), "fit": ("fitted", held)}).drop("bits", "ask", "fit"), "packed")
+    upto = lambda a, b: F.explode(F.sequence(F.lit(0), F.when(F.col("large"), a + b - 1).otherwise(a - 1)))
+    queries = packed.where("asks").select("entity_id", F.lit(0).alias("side"), "packed", F.col("asked").alias("tasks"), "i", upto(wide, narrow).alias("j"))
+    train = packed.where("fits").select(F.lit(None).cast(own).alias("entity_id"), F.lit(1).alias("side"), "packed", F.col("fitted").alias("tasks"), upto(large, few).alias("i"), "j")
 
     def tile(group):
         import pandas as pd
 
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        sides = [group[group["own"] == b] for b in ((i, j) if i != j else (i,))]
-        held = [(side["entity_id"].to_numpy(), _words(side["packed"].tolist()), _mask(side["fit"], tasks), _mask(side["ask"], tasks)) for side in sides if len(side)]
-        out = {"task": [], "entity_id": [], "similarity": []}
-        for a, b in ((0, 1), (1, 0)) if i != j else ((0, 0),):
-            if len(held) <= max(a, b):
-                continue
-            ids, left, _, ask = held[a]
-            _, right, fit, _ = held[b]
-            for t in range(tasks):
-                r, c = np.flatnonzero(ask[:, t]), np.flatnonzero(fit[:, t])
-                if len(r) and len(c):
-                    out["task"].append(np.full(len(r), t, np.int32))
-                    out["entity_id"].append(ids[r])
-                    out["similarity"].append(most_shared(left[r], right[c]))
-        return pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0, object) for k, v in out.items()})  # Arrow takes no empty floats for strings
-
-    return dealt.groupBy("i", "j").applyInPandas(tile, f"task int, entity_id {own}, similarity double")
-
-
-def _mask(lists, tasks: int) -> np.ndarray:
-    out = np.zeros((len(lists), tasks), bool)
-    lengths = [len(x) for x in lists]
-    if sum(lengths):
-        out[np.repeat(np.arange(len(lists)), lengths), np.concatenate([np.asarray(x, np.int64) for x in lists])] = True
-    return out
+        a, b = (group[group["side"] == s] for s in (0, 1))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"task": [], "entity_id": [], "similarity": []}, dtype=object)  # Arrow takes no empty floats for strings
+        task, at, score = best_of_tasks(_words(a["packed"].tolist()), _mask(a["tasks"], tasks), _words(b["packed"].tolist()), _mask(b["tasks"], tasks))
+        if not len(task):
+            return pd.DataFrame({"task": [], "entity_id": [], "similarity": []}, dtype=object)
+        return pd.DataFrame({"task": task, "entity_id": a["entity_id"].to_numpy()[at], "similarity": score})
+
+    return queries.unionByName(train).groupBy("i", "j").applyInPandas(tile, f"task int, entity_id {own}, similarity double")
+
+
+def _mask(packed, tasks: int) -> np.ndarray:
+    """Rows by tasks, from words of their bits."""
+    return np.unpackbits(_words(packed.tolist()).view(np.uint8), axis=1, count=tasks, bitorder="little").astype(bool)

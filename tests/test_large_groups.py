@@ -158,6 +158,72 @@ def test_best_sets_holds_strips(monkeypatch):
     assert (similarity.most_shared(a, b) == similarity.best_sets(a, b, 1, "tanimoto")[1][:, 0]).all()
 
 
+def _packed(r, n, width, p):
+    return np.packbits(r.random((n, width)) < p, axis=1, bitorder="little").view(np.uint64)
+
+
+def _counted(monkeypatch):
+    """How many pairs of words have been counted since, in a list of one."""
+    seen, plain = [0], np.bitwise_count
+
+    def spy(x, *args, **kwargs):
+        seen[0] += x.size if x.ndim == 2 and 1 not in x.shape else 0
+        return plain(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "bitwise_count", spy)
+    return seen
+
+
+def test_copies_are_compared_once(monkeypatch):
+    """A search's work follows the different sets; ties, copies of a query's own row and rows that share nothing come by their places."""
+    r = np.random.default_rng(4)
+    sets = np.vstack([_packed(r, 12, 64, 0.1), np.zeros((1, 1), np.uint64)])
+    a = sets[r.integers(0, len(sets), 400)]
+    seen = _counted(monkeypatch)
+    near, score = similarity.best_sets(a, a, 6, "cosine", (np.arange(400), np.arange(400)))
+    assert seen[0] < 400 * 400 / 4
+    bits = [set(np.flatnonzero(np.unpackbits(w.view(np.uint8), bitorder="little")).tolist()) for w in a]
+    for i in range(0, 400, 7):
+        want = sorted((-_score(bits[i], x, "cosine"), k) for k, x in enumerate(bits) if k != i)[:6]
+        assert [(-s, k) for s, k in zip(score[i], near[i])] == want
+
+
+@pytest.mark.parametrize("width", [64, 320])
+def test_tasks_share_their_counts(monkeypatch, width):
+    """The best of every task from one count of each pair; tasks whose train rows are few, far off or none need all pairs of their queries."""
+    r = np.random.default_rng(width)
+    a, b = _packed(r, 150, width, 0.2), _packed(r, 3000, width, 0.2)
+    asks, fits = r.random((150, 15)) < 0.3, r.random((3000, 15)) < 0.7
+    seen = _counted(monkeypatch)
+    similarity.best_of_tasks(a, asks, b, fits)
+    assert seen[0] <= 2 * 150 * 3000 * width / 64
+    fits[:, 3], fits[:, 5], fits[1:, 4] = False, r.random(3000) < 0.01, False
+    fits[0, 4] = True
+    task, query, score = similarity.best_of_tasks(a, asks, b, fits)
+    got = dict(zip(zip(task.tolist(), query.tolist()), score.tolist()))
+    want = {}
+    for t in range(15):
+        rows = np.flatnonzero(asks[:, t])
+        if fits[:, t].any():
+            want |= {(t, q): s for q, s in zip(rows.tolist(), similarity.most_shared(a[rows], b[fits[:, t]]).tolist())}
+    assert got == want
+
+
+def test_spans_of_blocks(spark, monkeypatch):
+    """Blocks of queries meet several blocks at once, and answers are those of all pairs."""
+    for name, value in (("BLOCK", 8), ("SPAN", 64), ("TILES", 4)):
+        monkeypatch.setattr(similarity, name, value)
+    rows = [(g, k, b) for g in ("x", None) for k, b in _sets(100, 3)]
+    sets = dict(_sets(100, 3))
+    df = spark.createDataFrame(rows, "g string, entity_id long, bits array<int>")
+    got = {}
+    for x in similarity.most_similar(df, df, 3, ("g",), others=True, measure="cosine").collect():
+        got.setdefault((x.g, x["query"]), []).append((-x.similarity, x.candidate))
+    for g in ("x", None):
+        for q, a in sets.items():
+            assert sorted(got[g, q]) == sorted((-_score(a, b, "cosine"), c) for c, b in sets.items() if c != q)[:3]
+
+
 def test_assignments_of_all_seeds_are_those_of_each(spark):
     r = random.Random(2)
     rows = [(f"m{k:03d}", r.gauss(0, 1), f"g{r.randrange(30)}" if k % 9 else f"own{k}", sorted(r.sample(range(40), 6))) for k in range(200)]
