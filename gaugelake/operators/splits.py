@@ -166,10 +166,11 @@ def with_similarity(assignments: DataFrame, bits: DataFrame, keys: tuple[str, ..
     return max_similarity_by_task(assignments, bits, list(keys))
 
 
-def split_assignments(targets: DataFrame, bits: DataFrame, strategies: Iterable[str] = STRATEGIES, seeds: Iterable[int] = SEEDS, value: str = "target", group: str = "grp") -> DataFrame:
+def split_assignments(targets: DataFrame, bits: DataFrame, strategies: Iterable[str] = STRATEGIES, seeds: Iterable[int] = SEEDS, value: str = "target", group: str = "grp", similar: bool = True) -> DataFrame:
     """(strategy, repeat, seed, entity_id, partition, grp, max_similarity) of all strategies and seeds.
 
-    Each strategy deals all seeds at once, and one product of all blocks of bits finds the greatest similarity to the train rows of every task.
+    Each strategy deals all seeds at once, and one product of all blocks of bits finds the greatest similarity to the train rows of every task. Without ``similar``
+    that column is not there, and only the strategy that deals by similarity compares rows.
     """
     chosen = list(strategies)
     if unknown := sorted(set(chosen).difference(STRATEGIES)):
@@ -182,7 +183,8 @@ def split_assignments(targets: DataFrame, bits: DataFrame, strategies: Iterable[
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return with_similarity(every.join(slim.select("entity_id", "grp"), "entity_id").select(*_KEYS, "entity_id", "partition", "grp"), bits, _KEYS)
+    out = every.join(slim.select("entity_id", "grp"), "entity_id").select(*_KEYS, "entity_id", "partition", "grp")
+    return with_similarity(out, bits, _KEYS) if similar else out
 
 
 def holdout_manifest(obs: DataFrame, seeds: tuple[int, ...] = SEEDS, train_share: float = 0.9) -> DataFrame:

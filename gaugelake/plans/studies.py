@@ -254,7 +254,7 @@ def _linear_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str
     e, b = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), bits(spark, sf_dir)
     names = [f"f{k}" for k in range(2, 65)]
     wide = e.select(F.col("vec_id").alias("entity_id"), F.element_at("embedding", 1).cast("double").alias("target"), *[F.element_at("embedding", k).cast("double").alias(f"f{k}") for k in range(2, 65)])
-    parts = splits.split_assignments(b, b, ["random"]).select("repeat", "entity_id", "partition")
+    parts = splits.split_assignments(b, b, ["random"], similar=False).select("repeat", "entity_id", "partition")
     return parts.join(wide, "entity_id"), names
 
 

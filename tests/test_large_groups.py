@@ -242,6 +242,16 @@ def test_assignments_of_all_seeds_are_those_of_each(spark):
         splits.split_assignments(df, df, ["other"])
 
 
+def test_assignments_without_similarities_compare_no_rows(spark, monkeypatch):
+    r = random.Random(6)
+    df = spark.createDataFrame([(k, r.gauss(0, 1), "g", [k % 7]) for k in range(60)], "entity_id long, target double, grp string, bits array<int>")
+    want = {(x.seed, x.entity_id): x.partition for x in splits.split_assignments(df, df, ["random"], (13,)).collect()}
+    monkeypatch.setattr(splits, "max_similarity_by_task", None)
+    got = splits.split_assignments(df, df, ["random"], (13,), similar=False)
+    assert got.columns == ["strategy", "repeat", "seed", "entity_id", "partition", "grp"]
+    assert {(x.seed, x.entity_id): x.partition for x in got.collect()} == want
+
+
 def test_digests_stream(spark):
     r = random.Random(8)
     rows = [(r.choice(["a", "b", None]), f"id{r.randrange(10**6)}") for _ in range(5000)] + [("none", None), ("a", None), ("a", "id1"), ("a", "id1")]
