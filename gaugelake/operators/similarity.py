@@ -21,8 +21,8 @@ from gaugelake.tables import written
 
 #: Rows of a block; blocks of dense vectors hold a quarter.
 BLOCK = 16384
-#: Pairs whose distances are held at once, and those whose shared bits are; pairs whose common words are.
-STRIP, COUNTS, WORDS = 1 << 20, 1 << 22, 1 << 17
+#: Pairs whose distances are held at once, runs whose greatest counts are, and pairs whose common words are; columns that these span.
+STRIP, RUNS, WORDS, ACROSS = 1 << 20, 1 << 16, 1 << 16, 1 << 13
 #: Most rows, and bytes of their words, of a span of blocks; least tiles that a search is cut into.
 SPAN, SPAN_BYTES, TILES = 1 << 18, 1 << 26, 96
 #: Most bits of a set whose subsets are listed, and what a subset costs, in comparisons of two rows.
@@ -122,53 +122,70 @@ class _Columns:
         sizes = _sizes(train)
         order = np.argsort(sizes, kind="stable")
         found, counts = np.unique(sizes, return_counts=True)
-        self.width = 1 << min(8, max(3, int(len(train) // (8 * most)).bit_length()))
+        self.width = 1 << min(8, max(3, int(len(train) // max(8 * most, 4 * len(found))).bit_length()))  # of padding less than of rows
         runs = -(-counts // self.width)
         starts = np.cumsum(runs) - runs
         at = np.repeat(starts * self.width - (np.cumsum(counts) - counts), counts) + np.arange(len(order))
         self.row = np.full(int(runs.sum()) * self.width, -1, np.int64)
         self.row[at] = order
-        self.words = np.zeros((train.shape[1], len(self.row)), np.uint64)
-        self.words[:, at] = train[order].T
+        words = np.zeros((train.shape[1], len(self.row)), np.uint64)
+        words[:, at] = train[order].T
         self.sizes = np.repeat(found, runs)
+        self.words = words.reshape(len(words), -1, self.width)
+        bits = 64 * len(words)
+        self.kind = np.uint8 if bits < 256 else np.uint16 if bits < 65536 else np.uint32
+
+    def greatest(self, left: np.ndarray) -> np.ndarray:
+        """The most bits that each row shares with a column of each run. A few rows and runs are counted at a time, and only this is kept of them."""
+        out = np.empty((len(left), len(self.sizes)), self.kind)
+        runs = min(len(self.sizes), max(1, ACROSS // self.width))
+        step = max(1, WORDS // (runs * self.width))
+        held, counts = np.empty((step, runs * self.width), np.uint64), np.empty((step, runs * self.width), self.kind)
+        for x in range(0, len(self.sizes), runs):
+            lane = self.words[:, x : x + runs].reshape(len(self.words), -1)
+            for s in range(0, len(left), step):
+                rows = left[s : s + step]
+                both, n = held[: len(rows), : lane.shape[1]], counts[: len(rows), : lane.shape[1]]
+                for w, words in enumerate(lane):
+                    np.bitwise_and(rows[:, w, None], words, out=both)
+                    if w:
+                        n += np.bitwise_count(both)
+                    else:
+                        np.bitwise_count(both, out=n)
+                n.reshape(len(rows), -1, self.width).max(axis=2, out=out[s : s + step, x : x + runs])
+        return out
 
-    def counted(self, left: np.ndarray) -> np.ndarray:
-        """Bits that each row shares with each column, in the least type that holds them."""
-        n = len(self.words)
-        out = np.empty((len(left), self.words.shape[1]), np.uint8 if 64 * n < 256 else np.uint16 if 64 * n < 65536 else np.uint32)
-        step = max(self.width, WORDS // len(left))
-        held = np.empty((len(left), step), np.uint64)
-        for x in range(0, out.shape[1], step):
-            part = out[:, x : x + step]
-            both = held[:, : part.shape[1]]
-            for w in range(n):
-                np.bitwise_and(left[:, w, None], self.words[w, x : x + step], out=both)
-                if w:
-                    part += np.bitwise_count(both)
-                else:
-                    np.bitwise_count(both, out=part)
+    def counted(self, left: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """Bits that each row shares with each column of its run."""
+        out = np.zeros((len(left), self.width), self.kind)
+        for w, words in enumerate(self.words):
+            out += np.bitwise_count(left[:, w, None] & words[runs])
         return out
 
     def strips(self, rows: np.ndarray) -> Iterator[slice]:
-        step = max(1, COUNTS // self.words.shape[1])
+        step = max(1, RUNS // len(self.sizes))
         return (slice(s, s + step) for s in range(0, len(rows), step))
 
-    def hits(self, both: np.ndarray, nq: np.ndarray, most: int, measure: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def hits(self, left: np.ndarray, nq: np.ndarray, most: int, measure: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(rows, columns, scores, bounds): all columns that share a bit and are as similar as ``bounds``, which the ``most`` best columns of each row are at least."""
-        runs = both.reshape(len(both), -1, self.width)
-        top = runs.max(axis=2)
+        top = self.greatest(left)
         scored = _score(top, nq[:, None], self.sizes[None, :], measure)
         # The best of each run: so many columns score as much.
-        bound = np.partition(scored, -most, axis=1)[:, -most] if most <= scored.shape[1] else np.zeros(len(both))
+        bound = np.partition(scored, -most, axis=1)[:, -most] if most <= scored.shape[1] else np.zeros(len(top))
         r, g = np.nonzero((top > 0) & (scored >= bound[:, None]))
         nr, ng = nq[r], self.sizes[g]
         least = bound[r] * (nr + ng) / (1 + bound[r]) if measure == "tanimoto" else bound[r] * np.sqrt(nr.astype(float) * ng)
         least = np.maximum(np.floor(least).astype(np.int64) - 1, 1)
         for _ in range(3):
             least += _score(least, nr, ng, measure) < bound[r]
-        counts = runs[r, g]
-        a, b = np.nonzero(counts >= least[:, None])
-        return r[a], g[a] * self.width + b, _score(counts[a, b], nr[a], ng[a], measure), bound
+        found = [(np.zeros(0, np.int64),) * 3]
+        step = max(1, WORDS // self.width)
+        for s in range(0, len(r), step):
+            counts = self.counted(left[r[s : s + step]], g[s : s + step])
+            a, b = np.nonzero(counts >= least[s : s + step, None])
+            found.append((a + s, b, counts[a, b]))
+        a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        return r[a], g[a] * self.width + b, _score(n, nr[a], ng[a], measure), bound
 
 
 def best_sets(queries: np.ndarray, train: np.ndarray, k: int, measure: str, same: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +204,7 @@ def best_sets(queries: np.ndarray, train: np.ndarray, k: int, measure: str, same
     pairs = np.sort(same[0] * np.int64(len(train)) + same[1]) if same is not None else np.zeros(0, np.int64)
     for s in columns.strips(asked):
         left, nq = asked[s], sizes[s]
-        r, c, found, bound = columns.hits(columns.counted(left), nq, most, measure)
+        r, c, found, bound = columns.hits(left, nq, most, measure)
         rows, n = columns.row[c], np.minimum(first[1:] - first[:-1], most)  # of more copies none is among the best
         n = n[rows]
         r, found, at = np.repeat(r, n), np.repeat(found, n), np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -240,29 +257,28 @@ def best_of_tasks(queries: np.ndarray, asks: np.ndarray, train: np.ndarray, fits
     held = np.logical_or.reduceat(fits[copies], first[:-1], axis=0).T.copy()
     open_, sizes = wanted & held.any(axis=1)[:, None], _sizes(asked)
     best = np.full((tasks, len(asked)), -np.inf)
-    for most in (8, 64, None):
+    # Tasks that share few pairs (one task, or small parts of all rows) are counted each for itself.
+    apart = int((open_.sum(axis=1) * held.sum(axis=1)).sum()) <= len(asked) * len(kept)
+    for most in () if apart else (8, 64):
         rows = np.flatnonzero(open_.any(axis=0))
         if not len(rows):
             break
-        columns = _Columns(kept, most or 8)
-        fitted = None if most else np.where(columns.row >= 0, held[:, columns.row], False)
+        columns = _Columns(kept, most)
         for s in columns.strips(rows):
             mine = rows[s]
-            both = columns.counted(asked[mine])
-            if most:
-                r, c, score, _ = columns.hits(both, sizes[mine], most, "tanimoto")
-                order = np.lexsort((-score, r))
-                r, c, score = mine[r[order]], columns.row[c[order]], score[order]
-                for t in np.flatnonzero(open_[:, mine].any(axis=1)):
-                    hit = np.flatnonzero(open_[t, r] & held[t, c])
-                    hit = hit[np.concatenate([[True], r[hit][1:] != r[hit][:-1]])] if len(hit) else hit
-                    best[t, r[hit]] = score[hit]
-            else:
-                for t in np.flatnonzero(open_[:, mine].any(axis=1)):
-                    some = np.flatnonzero(open_[t, mine])
-                    top = (both[some] * fitted[t]).reshape(len(some), -1, columns.width).max(axis=2)
-                    best[t, mine[some]] = _score(top, sizes[mine[some], None], columns.sizes[None, :]).max(axis=1)
+            r, c, score, _ = columns.hits(asked[mine], sizes[mine], most, "tanimoto")
+            order = np.lexsort((-score, r))
+            r, c, score = mine[r[order]], columns.row[c[order]], score[order]
+            for t in np.flatnonzero(open_[:, mine].any(axis=1)):
+                hit = np.flatnonzero(open_[t, r] & held[t, c])
+                hit = hit[np.concatenate([[True], r[hit][1:] != r[hit][:-1]])] if len(hit) else hit
+                best[t, r[hit]] = score[hit]
         open_ &= best == -np.inf
+    for t in np.flatnonzero(open_.any(axis=1)):
+        rows, columns = np.flatnonzero(open_[t]), _Columns(kept[held[t]], 1)
+        for s in columns.strips(rows):
+            mine = rows[s]
+            best[t, mine] = _score(columns.greatest(asked[mine]), sizes[mine, None], columns.sizes[None, :]).max(axis=1)
     t, q = np.nonzero(asks.T & held.any(axis=1)[:, None])
     return t.astype(np.int32), q, best[t, which[q]]
 

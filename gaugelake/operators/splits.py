@@ -7,6 +7,7 @@ them. Slim tables are written between the steps, so a plan stays as long as one
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,17 +143,27 @@ def group_partitions(targets: DataFrame, seed: int, shares: tuple[float, float,
     return _grouped(targets, seed_tasks(targets.sparkSession, [seed]), shares, large).select("entity_id", "partition")
 
 
-def _low_similarity(binned: DataFrame, bits: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(repeat, seed, entity_id, partition) of the low-similarity strategy, from one product of all blocks for all seeds."""
+def _provisional(binned: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(repeat, seed, entity_id, partition): the stratified 70 % that the low-similarity strategy compares the rest with."""
     rows = binned.select("entity_id", "bin").crossJoin(F.broadcast(tasks))  # a row a seed
     chosen, _ = written(stratified_split(rows, 0.7, F.col("seed"), keys=_TASK), "provisional")
-    sides = chosen.withColumn("partition", F.when(F.col("chosen"), "train").otherwise("rest"))
-    scored = max_similarity_by_task(sides, bits, [*_TASK]).where("partition = 'rest'")
+    return chosen.select(*_TASK, "entity_id", F.when(F.col("chosen"), "train").otherwise("rest").alias("partition"))
+
+
+def _least_similar(sides: DataFrame, scored: DataFrame) -> DataFrame:
+    """(repeat, seed, entity_id, max_similarity, partition) of the rest: the tenth of all ``sides`` with the least of ``scored`` is test, the next one validation."""
     ranked = score_rank(scored.select(*_TASK, "entity_id", "max_similarity"), "max_similarity", "entity_id", F.col("seed"), [*_TASK])
-    each = chosen.groupBy(*_TASK).agg(F.bround(F.lit(0.1) * F.count("*")).cast("long").alias("tenth"))
+    each = sides.groupBy(*_TASK).agg(F.bround(F.lit(0.1) * F.count("*")).cast("long").alias("tenth"))
     cut = ranked.join(F.broadcast(each), [*_TASK])  # a row a seed
     part = F.when(F.col("place") <= F.col("tenth"), "test").when(F.col("place") <= 2 * F.col("tenth"), "validation").otherwise("train")
-    return chosen.where("chosen").select(*_TASK, "entity_id", F.lit("train").alias("partition")).unionByName(cut.select(*_TASK, "entity_id", part.alias("partition")))
+    return cut.select(*_TASK, "entity_id", "max_similarity", part.alias("partition"))
+
+
+def _low_similarity(binned: DataFrame, bits: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(repeat, seed, entity_id, partition) of the low-similarity strategy, from one product of all blocks for all seeds."""
+    sides = _provisional(binned, tasks)
+    late = _least_similar(sides, max_similarity_by_task(sides, bits, [*_TASK]).where("partition = 'rest'"))
+    return sides.where("partition = 'train'").unionByName(late.drop("max_similarity"))
 
 
 def low_similarity_partitions(targets: DataFrame, bits: DataFrame, seed: int, value: str = "target") -> DataFrame:
@@ -169,8 +180,8 @@ def with_similarity(assignments: DataFrame, bits: DataFrame, keys: tuple[str, ..
 def split_assignments(targets: DataFrame, bits: DataFrame, strategies: Iterable[str] = STRATEGIES, seeds: Iterable[int] = SEEDS, value: str = "target", group: str = "grp", similar: bool = True) -> DataFrame:
     """(strategy, repeat, seed, entity_id, partition, grp, max_similarity) of all strategies and seeds.
 
-    Each strategy deals all seeds at once, and one product of all blocks of bits finds the greatest similarity to the train rows of every task. Without ``similar``
-    that column is not there, and only the strategy that deals by similarity compares rows.
+    Each strategy deals all seeds at once, and one product of all blocks of bits finds the greatest similarity to the train rows of every task; a second, small one
+    adds the rows that the low-similarity strategy makes train by it. Without ``similar`` that column is not there, and only that strategy compares rows.
     """
     chosen = list(strategies)
     if unknown := sorted(set(chosen).difference(STRATEGIES)):
@@ -178,13 +189,22 @@ def split_assignments(targets: DataFrame, bits: DataFrame, strategies: Iterable[
     tasks = seed_tasks(targets.sparkSession, seeds)
     slim, _ = written(targets.select("entity_id", F.col(value).alias("target"), F.col(group).alias("grp")), "targets")
     binned = quantile_bins(slim.select("entity_id", "target"), "target") if {"random", "low_similarity"} & set(chosen) else None
-    made = {"random": lambda: _random(binned, tasks), "group": lambda: _grouped(slim, tasks, (0.8, 0.1, 0.1), 0.001), "low_similarity": lambda: _low_similarity(binned, bits, tasks)}
-    parts = [made[s]().withColumn("strategy", F.lit(s)) for s in chosen]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    out = every.join(slim.select("entity_id", "grp"), "entity_id").select(*_KEYS, "entity_id", "partition", "grp")
-    return with_similarity(out, bits, _KEYS) if similar else out
+    low = _provisional if similar else lambda binned, tasks: _low_similarity(binned, bits, tasks)
+    made = {"random": lambda: _random(binned, tasks), "group": lambda: _grouped(slim, tasks, (0.8, 0.1, 0.1), 0.001), "low_similarity": lambda: low(binned, tasks)}
+    parts = {s: made[s]().withColumn("strategy", F.lit(s)) for s in chosen}
+    every = reduce(DataFrame.unionByName, [parts[s] for s in chosen])
+    columns = [*_KEYS, "entity_id", "partition", "grp"]
+    with_group = lambda df: df.join(slim.select("entity_id", "grp"), "entity_id").select(*columns, *[c for c in df.columns if c not in columns])
+    if not similar:
+        return with_group(every)
+    scored = with_similarity(every.select(*_KEYS, "entity_id", "partition"), bits, _KEYS)
+    if "low_similarity" not in parts:
+        return with_group(scored)
+    # What the rest has in common with the first train rows is known by now; those of the rest that become train are few.
+    late = _least_similar(parts["low_similarity"], scored.where("strategy = 'low_similarity' AND partition = 'rest'")).withColumn("strategy", F.lit("low_similarity"))
+    late = with_similarity(late.withColumnRenamed("max_similarity", "_first"), bits, _KEYS)
+    late = late.withColumn("max_similarity", F.when(F.col("partition") != "train", F.greatest("max_similarity", "_first"))).drop("_first")
+    return with_group(scored.where("partition <> 'rest'").unionByName(late))
 
 
 def holdout_manifest(obs: DataFrame, seeds: tuple[int, ...] = SEEDS, train_share: float = 0.9) -> DataFrame:

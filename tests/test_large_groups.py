@@ -278,3 +278,44 @@ def test_descriptions_follow_names():
     assert described("x_test_similarity_below_0p3") == "predictor: share of test rows with similarity below 0.3"
     assert described("x_shift_mass_smd") == "predictor: difference of means in standard deviations of mass between fit and test rows"
     assert described("x_hp_alpha") == "predictor: parameter alpha of the fitted model" and described("run_id").startswith("identifier") and described("y_rmse") == "outcome: root mean square error"
+
+
+def test_few_runs_are_held_and_parts_are_counted_apart(monkeypatch):
+    """Whatever the number of train rows, a step holds the common words of some runs; tasks that share few pairs count their own ones alone."""
+    r = np.random.default_rng(7)
+    a, b = _packed(r, 200, 64, 0.2), _packed(r, 20000, 64, 0.2)
+    monkeypatch.setattr(similarity, "WORDS", 1 << 13)
+    monkeypatch.setattr(similarity, "ACROSS", 1 << 11)
+    most, plain = [0], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x, *args, **kwargs: (most.append(x.size if x.ndim == 2 and 1 not in x.shape else 0), plain(x, *args, **kwargs))[1])
+    one = similarity.best_of_tasks(a, np.ones((200, 1), bool), b, np.ones((20000, 1), bool))
+    near, score = similarity.best_sets(a, b, 3, "tanimoto")
+    assert max(most) <= 1 << 13 and (one[2] == score[:, 0]).all()
+    parts = r.integers(0, 10, 20000)
+    asks, fits = r.random((200, 10)) < 0.2, parts[:, None] == np.arange(10)
+    most.clear()
+    task, query, score = similarity.best_of_tasks(a, asks, b, fits)
+    assert sum(most) < 200 * 20000 / 2
+    for t in range(10):
+        rows = np.flatnonzero(asks[:, t])
+        assert dict(zip(query[task == t].tolist(), score[task == t].tolist())) == dict(zip(rows.tolist(), similarity.most_shared(a[rows], b[parts == t]).tolist()))
+
+
+def test_all_strategies_share_a_product(spark, monkeypatch):
+    """The rows of the low-similarity strategy meet its first train rows once, with the other strategies; then the new ones alone. Similarities are those to all train rows."""
+    r = random.Random(5)
+    sets = {k: sorted(r.sample(range(30), r.choice([0, 4, 13, 14, 15]))) for k in range(120)}
+    df = spark.createDataFrame([(k, r.gauss(0, 1), f"g{k % 20}", b) for k, b in sets.items()], "entity_id long, target double, grp string, bits array<int>")
+    met, plain = [], splits.max_similarity_by_task
+
+    def spy(assignments, bits, keys):
+        met.append({(x.strategy, x.partition): x.n for x in assignments.groupBy("strategy", "partition").agg(F.count("*").alias("n")).collect()})
+        return plain(assignments, bits, keys)
+
+    monkeypatch.setattr(splits, "max_similarity_by_task", spy)
+    rows = splits.split_assignments(df, df, seeds=(13, 37)).collect()
+    assert len(met) == 2 and met[0]["low_similarity", "train"] == 168 and met[1] == {("low_similarity", "train"): 24, ("low_similarity", "validation"): 24, ("low_similarity", "test"): 24}
+    assert len(rows) == 720
+    for x in rows:
+        train = [y.entity_id for y in rows if (y.strategy, y.seed, y.partition) == (x.strategy, x.seed, "train")]
+        assert x.max_similarity == (None if x.partition == "train" else max(_score(sets[x.entity_id], sets[k], "tanimoto") for k in train))
