@@ -27,19 +27,27 @@ DEFAULTS: dict[str, Any] = {"seeds": [13, 37], "train_share": 0.9, "conflict_min
 TASKS = "repeat int, seed int, entity_id string, partition string, grp string, lang string, target double, n_observations long, n_sources long, heldout string"
 
 
+#: Labels (an id and a number each) that may be broadcast, so that only labelled texts are read through; with more of them texts become digests before they meet.
+MOST_LABELS = 2_000_000
+
+
 def plain(text: Column) -> Column:
     """A text as its copies share it: A-Z as a-z, and single spaces between words."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(low, r"[ \t-\r]+", " "))
+    ascii_ = F.octet_length(text) == F.char_length(text)  # there lower() is the same, and much faster
+    low = F.when(ascii_, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.trim(F.regexp_replace(low, r"[\t-\r][ \t-\r]*| [ \t-\r]+", " "))  # a single space stays
 
 
 def labelled(documents: DataFrame, labels: DataFrame, group_words: int) -> DataFrame:
     """Observations: the quality of each labelled text, whose entity is the text's digest and whose group its first words'."""
-    text = plain(F.col("text"))
-    slim = documents.select("doc_id", "lang", "source", text.alias("t")).where("t <> ''")
-    opening = F.array_join(F.slice(F.split("t", " "), 1, group_words), " ")
-    keyed = slim.select("doc_id", "lang", "source", F.sha2("t", 256).alias("entity_id"), F.sha2(opening, 256).alias("grp"))
-    return keyed.join(labels.select("doc_id", F.col("quality").cast("double").alias("value")), "doc_id").withColumnRenamed("doc_id", "observation_id")
+    rated = labels.select("doc_id", F.col("quality").cast("double").alias("value")).where("doc_id IS NOT NULL")
+    few = rated.count() <= MOST_LABELS
+    docs = documents.select("doc_id", "lang", "source", "text").where(F.col("text").rlike(r"[^ \t-\r]"))  # has a word
+    met = docs.join(F.broadcast(rated), "doc_id") if few else docs
+    slim = met.withColumn("t", plain(F.col("text"))).drop("text")
+    digests = {"entity_id": F.sha2("t", 256), "grp": F.sha2(F.substring_index("t", " ", group_words), 256)}
+    keyed = slim.select("doc_id", "lang", "source", *[d.alias(c) for c, d in digests.items()], *(["value"] if few else []))
+    return (keyed if few else keyed.join(rated, "doc_id")).withColumnRenamed("doc_id", "observation_id")
 
 
 def run(spark: SparkSession, documents: str, labels: str, output: str, config: dict[str, Any] | None = None) -> dict[str, int]:

@@ -1,9 +1,11 @@
 """The two jobs on copies of small tables: growing input, runs that repeat, and each edge of the data."""
 
 import datetime
+import hashlib
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +125,25 @@ def test_registered_queries_equal_their_sql(spark):
         columns, order = [c[0] for c in made.description], sorted(got.columns)
         assert sorted(columns) == order
         assert sorted(repr(tuple(r[columns.index(c)] for c in order)) for r in made.fetchall()) == sorted(repr(tuple(r[c] for c in order)) for r in got.collect())
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_only_labelled_texts_are_read_through(spark, monkeypatch, most):
+    """Texts are made plain once, after they met their labels where these are few; whatever the number of labels, the digests are those of the plain rule."""
+    monkeypatch.setattr(document_holdouts, "MOST_LABELS", most)
+    texts = ["Ab  cD", " Ab\tcd\r\n", "\x0b\x0c", "", None, "ÄB É x Y", "a b c d e f", "A B c\n\nd E g", "a  ", "\x1cQ \x85 İ", "x\n y", "one two three four five", "K"]
+    docs = spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)] + [(99, "no label", "en", "a")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))] + [(0, 1), (None, 1), (777, 1)], "doc_id long, quality int")
+    made = document_holdouts.labelled(docs, labels, 5)
+    got = sorted((x.observation_id, x.entity_id, x.grp, x.value) for x in made.collect())
+    want = []
+    for k, text in enumerate(texts):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        t = re.sub("[ \t-\r]+", " ", low).strip(" ")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want += [(k, sha(t), sha(" ".join(t.split(" ")[:5])), float(v)) for v in ([k % 2, 1] if k == 0 else [k % 2]) if t]
+    assert got == sorted(want)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    join = plan.index("Join Inner")
+    assert (plan.index("regexp_replace") < join) == (most > 0)  # above the join, or below it
