@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugelake.operators.ranks import places
-from gaugelake.tables import written
+from gaugelake.tables import small, written
 
 #: Rows of a block; blocks of dense vectors hold a quarter.
 BLOCK = 16384
@@ -464,12 +464,13 @@ def max_similarity_by_task(assignments: DataFrame, bits: DataFrame, keys: list[s
     each pair. Up to which size sets count as small (0: none) follows from how many there are of each. Pairs with a larger set are compared as blocks of words.
     """
     assigned, seen = written(assignments, "assigned")
-    tasks = assigned.select(*keys).distinct().orderBy(*keys).collect() if keys else [()]  # a row a task
-    spark, named = assigned.sparkSession, [f"_{c}" for c in keys]
-    kinds = dict(assigned.dtypes)
-    numbers = spark.createDataFrame([(*t, i) for i, t in enumerate(tasks)], ", ".join([*[f"`_{c}` {kinds[c]}" for c in keys], "_task int"]))
-    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(keys, named, strict=True)]
-    numbered = (assigned.join(F.broadcast(numbers), on) if keys else assigned.crossJoin(F.broadcast(numbers))).drop(*named)
+    tasks, numbered = 1, assigned.withColumn("_task", F.lit(0))
+    if keys:
+        named = [f"_{c}" for c in keys]
+        place = F.row_number().over(Window.orderBy(*keys)) - 1  # a row a task
+        numbers, counted = written(assigned.select(*keys).distinct().select(*[F.col(c).alias(n) for c, n in zip(keys, named, strict=True)], place.alias("_task")), "tasks")
+        on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(keys, named, strict=True)]
+        tasks, numbered = counted["n"], assigned.join(small(numbers, counted["n"]), on).drop(*named)
     train = F.col("partition") == "train"
     sides = numbered.groupBy("entity_id").agg(F.collect_list(F.when(train, F.col("_task"))).alias("fit"), F.collect_list(F.when(~train, F.col("_task"))).alias("ask"))
     sets = bits.select("entity_id", F.array_sort(F.array_distinct(F.coalesce("bits", F.array().cast("array<int>")).cast("array<int>"))).alias("bits"))
@@ -481,7 +482,7 @@ def max_similarity_by_task(assignments: DataFrame, bits: DataFrame, keys: list[s
         found.append(_by_subsets(rows.where(F.size("bits") <= small_upto)))
     if any(k > small_upto for k in counts):
         n = {True: sum(c for k, c in counts.items() if k > small_upto), False: sum(c for k, c in counts.items() if k <= small_upto)}
-        found.append(_by_blocks(rows, small_upto, n[True], n[False], 1 + size["last"] // 64, len(tasks), own))
+        found.append(_by_blocks(rows, small_upto, n[True], n[False], 1 + size["last"] // 64, tasks, own))
     if not found:
         return numbered.withColumn("max_similarity", F.when(~train, F.lit(0.0))).select(*assignments.columns, "max_similarity")
     every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
@@ -546,19 +547,28 @@ def _by_blocks(rows: DataFrame, small_upto: int, n_large: int, n_small: int, wor
     train = packed.where("fits").select(F.lit(None).cast(own).alias("entity_id"), F.lit(1).alias("side"), "packed", F.col("fitted").alias("tasks"), upto(large, few).alias("i"), "j")
 
     def tile(group):
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        a, b = (group[group["side"] == s] for s in (0, 1))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"task": [], "entity_id": [], "similarity": []}, dtype=object)  # Arrow takes no empty floats for strings
-        task, at, score = best_of_tasks(_words(a["packed"].tolist()), _mask(a["tasks"], tasks), _words(b["packed"].tolist()), _mask(b["tasks"], tasks))
-        if not len(task):
-            return pd.DataFrame({"task": [], "entity_id": [], "similarity": []}, dtype=object)
-        return pd.DataFrame({"task": task, "entity_id": a["entity_id"].to_numpy()[at], "similarity": score})
+        a, b = (group.filter(pc.equal(group["side"], s)) for s in (0, 1))
+        sides = [(_column_words(x["packed"], words), _mask(_column_words(x["tasks"], held), tasks)) for x in (a, b)]
+        none = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)
+        task, at, score = best_of_tasks(*sides[0], *sides[1]) if len(a) and len(b) else none
+        return pa.table({"task": task, "entity_id": a["entity_id"].take(pa.array(at)), "similarity": score})
+
+    return queries.unionByName(train).groupBy("i", "j").applyInArrow(tile, f"task int, entity_id {own}, similarity double")
+
+
+def _column_words(column, words: int) -> np.ndarray:
+    """Rows of words from a column of ``packed``, without an object a row."""
+    import pyarrow as pa
 
-    return queries.unionByName(train).groupBy("i", "j").applyInPandas(tile, f"task int, entity_id {own}, similarity double")
+    size = 8 * words
+    chunks = (c.cast(pa.binary(size)) for c in column.chunks)
+    parts = [np.frombuffer(c.buffers()[1], np.uint8)[c.offset * size : (c.offset + len(c)) * size] for c in chunks if len(c)]
+    return np.concatenate(parts or [np.zeros(0, np.uint8)]).view(np.uint64).reshape(-1, words)
 
 
-def _mask(packed, tasks: int) -> np.ndarray:
+def _mask(packed: np.ndarray, tasks: int) -> np.ndarray:
     """Rows by tasks, from words of their bits."""
-    return np.unpackbits(_words(packed.tolist()).view(np.uint8), axis=1, count=tasks, bitorder="little").astype(bool)
+    return np.unpackbits(packed.view(np.uint8), axis=1, count=tasks, bitorder="little").view(bool)

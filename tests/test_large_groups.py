@@ -319,3 +319,32 @@ def test_all_strategies_share_a_product(spark, monkeypatch):
     for x in rows:
         train = [y.entity_id for y in rows if (y.strategy, y.seed, y.partition) == (x.strategy, x.seed, "train")]
         assert x.max_similarity == (None if x.partition == "train" else max(_score(sets[x.entity_id], sets[k], "tanimoto") for k in train))
+
+
+def test_tasks_are_searched_without_rows_in_pandas(spark):
+    """Ids of any size come back as they went in, with and without tasks, whatever words and tasks a row has."""
+    r, base = random.Random(1), (1 << 60) + 1
+    sets = {base + k: sorted(r.sample(range(150), 20)) for k in range(60)}
+    bits = spark.createDataFrame(list(sets.items()), "entity_id long, bits array<int>")
+    rows = [(t, base + k, "train" if (k + t) % 3 else "test") for t in range(70) for k in range(t % 2, 60, 1 + t // 2)]
+    df = spark.createDataFrame(rows, "t int, entity_id long, partition string")
+    for keys, known in ((["t"], df), ([], df.where("t = 0"))):
+        got = similarity.max_similarity_by_task(known, bits, keys).collect()
+        assert len(got) == known.count()
+        for x in got:
+            train = [k for t, k, p in rows if (t, p) == (x.t, "train")]
+            assert x.max_similarity == (None if x.partition == "train" else max((_score(sets[x.entity_id], sets[k], "tanimoto") for k in train), default=0.0))
+
+
+def test_words_of_columns():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    words = r.integers(0, 1 << 63, (50, 3), dtype=np.uint64)
+    values = [x.tobytes() for x in words]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.chunked_array([pa.array(values[:20], kind), pa.array([], kind), pa.array(values, kind).slice(20, 30)])
+        assert (similarity._column_words(column, 3) == words).all()
+        assert (similarity._column_words(column.slice(7, 21), 3) == words[7:28]).all()
+        assert similarity._column_words(column.slice(0, 0), 3).shape == (0, 3)
+    assert (similarity._mask(words, 150) == [[int(x[t // 64]) >> t % 64 & 1 for t in range(150)] for x in words]).all()
