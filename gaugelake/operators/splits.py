@@ -26,8 +26,9 @@ _KEYS = ("strategy", "repeat", "seed")
 
 
 def seed_tasks(spark: SparkSession, seeds: Iterable[int]) -> DataFrame:
-    """(repeat, seed): a row a seed, which callers may broadcast."""
-    return spark.createDataFrame(list(enumerate(map(int, seeds), 1)), "repeat int, seed int")
+    """(repeat, seed): a row a seed, which callers may broadcast. An expression: a list of rows would start Python workers of its own on all executors."""
+    listed = F.array(*[F.lit(int(s)) for s in seeds]).cast("array<int>")
+    return spark.range(1).select(F.posexplode(listed).alias("repeat", "seed")).withColumn("repeat", F.col("repeat") + 1)
 
 
 def quantile_bins(df: DataFrame, value: str, max_bins: int = 10) -> DataFrame:

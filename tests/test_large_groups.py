@@ -348,3 +348,11 @@ def test_words_of_columns():
         assert (similarity._column_words(column.slice(7, 21), 3) == words[7:28]).all()
         assert similarity._column_words(column.slice(0, 0), 3).shape == (0, 3)
     assert (similarity._mask(words, 150) == [[int(x[t // 64]) >> t % 64 & 1 for t in range(150)] for x in words]).all()
+
+
+def test_seeds_need_no_python_workers(spark):
+    """A list of rows is an RDD that Python workers unpickle, beside those of the functions: a daemon and a worker a core more on each executor."""
+    seeds = splits.seed_tasks(spark, (37, 13))
+    assert seeds.dtypes == [("repeat", "int"), ("seed", "int")] and [tuple(x) for x in seeds.collect()] == [(1, 37), (2, 13)]
+    assert splits.seed_tasks(spark, ()).count() == 0
+    assert "RDD" not in seeds._jdf.queryExecution().toString()
