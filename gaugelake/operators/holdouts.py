@@ -14,7 +14,7 @@ from gaugelake.operators.overlap import without_entities_of
 from gaugelake.operators.resolve import NEEDED, resolve_targets
 from gaugelake.operators.similarity import max_similarity_by_task
 from gaugelake.operators.splits import SEEDS, chance_rank, group_of, seed_tasks
-from gaugelake.tables import small, written
+from gaugelake.tables import large, small, written
 
 
 def source_targets(obs: DataFrame, sources: Iterable[str] | None = None, **how) -> DataFrame:
@@ -59,7 +59,7 @@ def source_holdout_tasks(obs: DataFrame, bits: DataFrame | None = None, sources:
     kept = ["reliability", "n_observations", "n_sources", "sources", "value_range", "primary", "origin"]
     named = targets.withColumn("grp", group_of(F.col(group).cast("string"), F.col("entity_id")) if group else F.lit(None).cast("string"))
     slim, _ = written(named.select("heldout", "side", "entity_id", "target", "grp", *kept), "targets")
-    if bits is not None and (bare := slim.join(bits, "entity_id", "left_anti").select("entity_id").limit(5).collect()):
+    if bits is not None and (bare := large(slim).join(large(bits), "entity_id", "left_anti").select("entity_id").limit(5).collect()):
         raise ValueError(f"no bits for {[r[0] for r in bare]}")
     tasks = F.broadcast(seed_tasks(obs.sparkSession, seeds))  # a row a seed
     fit = slim.where("side = 'fit'")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.operators.ranks import running_sums
-from gaugelake.tables import small, written
+from gaugelake.tables import large, small, written
 
 
 def _mean_ranks(counts: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def average_ranks(df: DataFrame, keys: list[str], column: str, name: str) -> Dat
     """``df`` with the rank of ``column`` in its group; ties share their mean rank."""
     df, _ = written(df, "ranked")  # counted, then joined
     counts = df.groupBy(*keys, column).agg(F.count("*").alias("n"))
-    return df.join(_mean_ranks(counts, keys, column, name), [*keys, column])
+    return large(df).join(large(_mean_ranks(counts, keys, column, name)), [*keys, column])
 
 
 def regression_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,7 +40,7 @@ def regression_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
     def ranks(column: str, name: str) -> DataFrame:
         return _mean_ranks(full.groupBy(*named, column).agg(F.sum("_n").alias("n")), named, column, name)
 
-    ranked, _ = written(full.join(ranks("truth", "_rt"), [*named, "truth"]).join(ranks("predicted", "_rp"), [*named, "predicted"]), "ranked")
+    ranked, _ = written(large(full).join(large(ranks("truth", "_rt")), [*named, "truth"]).join(large(ranks("predicted", "_rp")), [*named, "predicted"]), "ranked")
     w, gap, t = F.col("_n"), F.col("truth") - F.col("predicted"), F.col("truth")
     n = F.sum(w)
     # Ranks of n rows have the mean (n + 1) / 2.

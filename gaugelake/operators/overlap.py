@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.functions.columns import joined_list, joined_set
+from gaugelake.tables import large
 
 
 def source_overlap(obs: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def source_overlap(obs: DataFrame) -> DataFrame:
 
 def without_entities_of(obs: DataFrame, heldout: DataFrame) -> DataFrame:
     """Rows of ``obs`` (keys heldout, entity_id) whose entity is not in ``heldout``: no measurement of a held-out entity is left. Null entities stay."""
-    return obs.join(heldout.select("heldout", "entity_id").distinct(), ["heldout", "entity_id"], "left_anti")
+    return obs.join(large(heldout.select("heldout", "entity_id").distinct()), ["heldout", "entity_id"], "left_anti")
 
 
 def restricted_to(features: DataFrame, targets: DataFrame, key: str = "entity_id", exact: bool = False) -> DataFrame:

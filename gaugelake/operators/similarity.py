@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugelake.operators.ranks import places
-from gaugelake.tables import small, written
+from gaugelake.tables import large, small, written
 
 #: Rows of a block; blocks of dense vectors hold a quarter.
 BLOCK = 16384
@@ -474,7 +474,7 @@ def max_similarity_by_task(assignments: DataFrame, bits: DataFrame, keys: list[s
     train = F.col("partition") == "train"
     sides = numbered.groupBy("entity_id").agg(F.collect_list(F.when(train, F.col("_task"))).alias("fit"), F.collect_list(F.when(~train, F.col("_task"))).alias("ask"))
     sets = bits.select("entity_id", F.array_sort(F.array_distinct(F.coalesce("bits", F.array().cast("array<int>")).cast("array<int>"))).alias("bits"))
-    rows, size = written(sides.join(sets, "entity_id").where(F.size("bits") > 0), "sides", last=F.max(F.array_max("bits")))
+    rows, size = written(large(sides).join(large(sets), "entity_id").where(F.size("bits") > 0), "sides", last=F.max(F.array_max("bits")))
     counts = {r[0]: r[1] for r in rows.groupBy(F.size("bits")).count().collect()}  # a row a size
     small_upto = _small(counts)
     own, found = rows.schema["entity_id"].dataType.simpleString(), []
@@ -487,7 +487,7 @@ def max_similarity_by_task(assignments: DataFrame, bits: DataFrame, keys: list[s
         return numbered.withColumn("max_similarity", F.when(~train, F.lit(0.0))).select(*assignments.columns, "max_similarity")
     every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     best, _ = written(every.groupBy("task", "entity_id").agg(F.max("similarity").alias("_best")).withColumnsRenamed({"task": "_task"}), "nearest")
-    out = numbered.join(best, ["_task", "entity_id"], "left")
+    out = numbered.join(large(best), ["_task", "entity_id"], "left")
     return out.withColumn("max_similarity", F.when(~train, F.coalesce("_best", F.lit(0.0)))).select(*assignments.columns, "max_similarity")
 
 
@@ -515,12 +515,12 @@ def _by_subsets(rows: DataFrame) -> DataFrame:
     subsets = lambda df: df.withColumn("m", F.explode(F.sequence(F.lit(1), last))).withColumn("part", F.filter("bits", lambda _, i: member(i))).drop("m")
     sized = subsets(sets.where("fit <> 0")).groupBy("chunk", "part", F.size("bits").alias("n")).agg(F.bit_or("fit").alias("fit"))
     held = sized.groupBy("chunk", "part").agg(F.collect_list(F.struct("n", "fit")).alias("held"))  # an entry a size
-    met = subsets(sets.where("ask <> 0").select("bits", "chunk", "ask")).join(held, ["chunk", "part"])
+    met = subsets(sets.where("ask <> 0").select("bits", "chunk", "ask")).join(large(held), ["chunk", "part"])
     both = F.size("part").cast("double")
     each = met.select("bits", "chunk", "ask", both.alias("both"), F.explode("held").alias("h")).select("bits", "chunk", (F.col("both") / (F.size("bits") + F.col("h.n") - F.col("both"))).alias("score"), F.col("ask").bitwiseAND(F.col("h.fit")).alias("mask"))
     scored = each.where("mask <> 0").groupBy("bits", "chunk", "score").agg(F.bit_or("mask").alias("mask"))
     ladder, _ = written(scored.groupBy("bits", "chunk").agg(F.collect_list(F.struct("score", "mask")).alias("ladder")), "ladders")  # an entry a score
-    asked = masked.where("ask <> 0").join(ladder, ["bits", "chunk"]).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(MASK - 1))))
+    asked = large(masked.where("ask <> 0")).join(large(ladder), ["bits", "chunk"]).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(MASK - 1))))
     has = lambda m: F.call_function("shiftright", m, F.col("t")).bitwiseAND(F.lit(1).cast("long")) == 1
     best = F.array_max(F.transform(F.filter("ladder", lambda x: has(x["mask"])), lambda x: x["score"]))
     return asked.where(has(F.col("ask"))).select((F.col("chunk") * MASK + F.col("t")).alias("task"), "entity_id", best.alias("similarity")).where("similarity IS NOT NULL")

@@ -17,7 +17,7 @@ from gaugelake.operators.overlap import without_entities_of
 from gaugelake.operators.quantiles import grouped_quantiles, with_quantiles
 from gaugelake.operators.ranks import places, running_sums
 from gaugelake.operators.similarity import max_similarity_by_task
-from gaugelake.tables import small, written
+from gaugelake.tables import large, small, written
 
 SEEDS = (13, 37, 73, 101, 137)
 STRATEGIES = ("random", "group", "low_similarity")
@@ -195,7 +195,7 @@ def split_assignments(targets: DataFrame, bits: DataFrame, strategies: Iterable[
     parts = {s: made[s]().withColumn("strategy", F.lit(s)) for s in chosen}
     every = reduce(DataFrame.unionByName, [parts[s] for s in chosen])
     columns = [*_KEYS, "entity_id", "partition", "grp"]
-    with_group = lambda df: df.join(slim.select("entity_id", "grp"), "entity_id").select(*columns, *[c for c in df.columns if c not in columns])
+    with_group = lambda df: df.join(large(slim.select("entity_id", "grp")), "entity_id").select(*columns, *[c for c in df.columns if c not in columns])
     if not similar:
         return with_group(every)
     scored = with_similarity(every.select(*_KEYS, "entity_id", "partition"), bits, _KEYS)
@@ -224,7 +224,7 @@ def holdout_manifest(obs: DataFrame, seeds: tuple[int, ...] = SEEDS, train_share
 def split_quality(assignments: DataFrame, targets: DataFrame) -> DataFrame:
     """For each task and partition: size, groups, target spread, similarity, and its share of the task. Medians by radix selection: a partition may be of any size."""
     keys = ["strategy", "repeat", "seed", "partition"]
-    slim = assignments.select(*keys, "entity_id", "grp", "max_similarity").join(targets.select("entity_id", "target"), "entity_id")
+    slim = assignments.select(*keys, "entity_id", "grp", "max_similarity").join(large(targets.select("entity_id", "target")), "entity_id")
     df, _ = written(slim.drop("entity_id"), "assigned")
     groups = df.groupBy(*keys, "grp").agg(F.count("*").alias("n"))  # two steps: a partition's groups are counted over many tasks
     out = df.groupBy(*keys).agg(

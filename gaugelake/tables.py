@@ -63,6 +63,14 @@ def written(df: DataFrame, what: str, **seen: Column) -> tuple[DataFrame, dict[s
     return spark.read.schema(df.schema).parquet(path), {"n": 0} | dict(watch.get)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df``, whose rows grow with the input, as a side of a join that sorts and merges.
+
+    Without it Spark sizes a work table by its compressed files, and a table of under 10 MB there may be collected and hashed by the driver at twenty times that.
+    """
+    return df.hint("merge")
+
+
 def small(df: DataFrame, n: int, most: int = FEW) -> DataFrame:
-    """``df`` to be broadcast if its ``n`` rows, which have been counted, are few; else as it is."""
-    return F.broadcast(df) if n <= most else df
+    """``df`` to be broadcast if its ``n`` rows, which have been counted, are few; else merged as a large one."""
+    return F.broadcast(df) if n <= most else large(df)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.functions.columns import slug_or_error, threshold_name, utc_now
 from gaugelake.models import structures
-from gaugelake.operators import checks, holdouts, reports, tasks
+from gaugelake.operators import checks, holdouts, metrics, ranks, reports, similarity, tasks
 from gaugelake.sources import harmonise, readers, writers
 
 OBS = "observation_id string, source string, entity_id string, value double, grp string"
@@ -45,6 +45,24 @@ def test_tasks_are_whole(spark, obs):
         holdouts.source_holdout_tasks(obs, bits.where("entity_id <> 'm2'"), seeds=(1,))
 
 
+def test_no_growing_table_goes_to_the_driver(obs, monkeypatch):
+    """Small as all tables are here, only those that are broadcast by name are: a work table's compressed size says little of its rows."""
+    faults, real = [], holdouts.written
+
+    def planned(df, what, **seen):
+        plan = df._jdf.queryExecution()
+        if plan.executedPlan().toString().count("BroadcastHashJoin") > plan.optimizedPlan().toString().count("strategy=broadcast"):
+            faults.append(what)
+        return real(df, what, **seen)
+
+    for module in (holdouts, metrics, ranks, similarity):
+        monkeypatch.setattr(module, "written", planned)
+    bits = obs.where("entity_id IS NOT NULL").groupBy("entity_id").agg(F.collect_set((F.abs(F.hash("entity_id")) % 7).cast("int")).alias("bits"))
+    monkeypatch.setattr(similarity, "SUBSET_COST", 0)  # small sets meet in their subsets, as large tables do
+    planned(holdouts.source_holdout_tasks(obs, bits, seeds=(1, 2), group="grp"), "tasks")
+    assert faults == []
+
+
 def _meta(spark, more=()):
     rows = [(f"r{s}{k}", f"t{s}", s, True, m, 0.1 * k, 1.0 + k, int(k < 3)) for s in "ABC" for k, m in enumerate(("svr", "knn", "mlp", "ridge"))]
     return spark.createDataFrame([*rows, *more], "run_id string, task_id string, heldout string, selectable boolean, x_model string, y_regret double, y_rmse double, y_top int").withColumn("y_near_best", F.lit(1))
